@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +20,7 @@ MAX_RANK_PARTS = 2_000
 
 
 def order_number(df: DataFrame, name: str) -> Column | None:
-    """A double that grows with the column, or None where there is none (strings)."""
+    """A double that never falls where the column grows, or None where there is none."""
     kind = df.schema[name].dataType.typeName()
     c = F.col(f"`{name}`")
     if kind in ("timestamp", "timestamp_ntz"):
@@ -29,7 +28,14 @@ def order_number(df: DataFrame, name: str) -> Column | None:
         return (F.unix_date(F.to_date(c)) * 86400 + seconds).cast("double")
     if kind == "date":
         return F.unix_date(c).cast("double")
-    if kind in ("string", "boolean", "binary", "array", "map", "struct"):
+    if kind == "string":
+        low, high = (bytes(v or "", "utf-8") for v in df.agg(F.min(c), F.max(c)).first())
+        shared = 0
+        while shared < min(len(low), len(high)) and low[shared] == high[shared]:
+            shared += 1
+        head = F.hex(F.substring(c.cast("binary"), shared + 1, 6))
+        return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double")
+    if kind in ("boolean", "binary", "array", "map", "struct"):
         return None
     return c.cast("double")
 
@@ -38,7 +44,8 @@ def _edges(df: DataFrame, numbers: Sequence[tuple[str, Column, int]]) -> list[li
     """Approximate quantile edges of several columns, in one pass."""
     aggs = [
         F.percentile_approx(
-            number, F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(max(1000, 20 * parts))
+            number, F.expr(f"array({', '.join(f'{i / parts!r}D' for i in range(1, parts))})"),
+            F.lit(max(1000, 20 * parts)),
         ).alias(alias)
         for alias, number, parts in numbers
         if parts > 1
@@ -49,18 +56,23 @@ def _edges(df: DataFrame, numbers: Sequence[tuple[str, Column, int]]) -> list[li
     return [sorted(set(row.get(alias) or [])) for alias, _, _ in numbers]
 
 
+def _search(edges: Sequence[float], low: int, high: int) -> str:
+    """A balanced tree of comparisons: 2b for a value equal to edge b, 2b+1 above it."""
+    if low == high:
+        return str(2 * low + 1)
+    mid = (low + high) // 2
+    edge = f"{edges[mid]!r}D"
+    return (
+        f"IF(__x < {edge}, {_search(edges, low, mid)}, "
+        f"IF(__x = {edge}, {2 * mid + 2}, {_search(edges, mid + 1, high)}))"
+    )
+
+
 def _tag(df: DataFrame, number: Column, edges: Sequence[float], out: str) -> DataFrame:
-    """2b for a value equal to edge b, 2b+1 for the open range after it."""
+    """Range of a value: odd codes are open ranges between edges, even codes single edges."""
     if not edges:
         return df.withColumn(out, F.lit(1))
-    raw, num = f"{out}_b", f"{out}_x"
-    splits = [float("-inf"), *[float(e) for e in edges], float("inf")]
-    tagged = Bucketizer(splits=splits, inputCol=num, outputCol=raw).transform(
-        df.withColumn(num, number)
-    )
-    low = F.element_at(F.array(*[F.lit(s) for s in splits]), F.col(raw).cast("int") + 1)
-    code = F.col(raw).cast("int") * 2 + (F.col(num) > low).cast("int")
-    return tagged.withColumn(out, code).drop(raw, num)
+    return df.withColumn("__x", number).withColumn(out, F.expr(_search(edges, 0, len(edges)))).drop("__x")
 
 
 def _ranges(
@@ -73,7 +85,11 @@ def _ranges(
     number = order_number(df, order)
     if number is None:
         return df.withColumn("__code", F.lit(1)).withColumn("__sub", F.lit(1))
-    tie_number = order_number(df, tie) if tie else None
+    # two timestamps or strings may share a number, so only true numbers can be split by tie
+    splits = df.schema[order].dataType.typeName() not in ("string", "timestamp", "timestamp_ntz")
+    tie_number = order_number(df, tie) if tie and splits else None
+    if tie and df.schema[tie].dataType.typeName() == "string":
+        tie_number = None
     wanted = [("o", number, parts)]
     if tie_number is not None:
         wanted.append(("t", tie_number, min(parts, MAX_TIE_PARTS)))
@@ -160,13 +176,13 @@ def value_ranks(df: DataFrame, columns: Mapping[str, tuple[str, str]]) -> DataFr
     counts = tagged.select(cells.alias("c")).groupBy("c.i", "c.code").count().collect()
     out = tagged
     for i, (c, (less, equal)) in enumerate(columns.items()):
-        here = [0] * (2 * len(edges[i]) + 2)
+        here = [0] * (2 * len(edges[i]) + 3)
         for r in counts:
             if r["i"] == i:
                 here[r["code"]] = r["count"]
         below = [sum(here[:at]) for at in range(len(here))]
         code, sub = F.col(f"__code{i}"), f"__sub{i}"
-        pick = lambda xs: F.element_at(F.array(*[F.lit(x).cast("long") for x in xs]), code + 1)
+        pick = lambda xs: F.element_at(F.expr(f"array({', '.join(f'{x}L' for x in xs)})"), code + 1)
         whole = code % 2 == 0
         salt = F.pmod(F.xxhash64(*[F.col(f"`{n}`") for n in df.columns]), F.lit(MAX_TIE_PARTS))
         out = out.withColumn(sub, F.when(whole, salt.cast("int")).otherwise(F.lit(-1)))

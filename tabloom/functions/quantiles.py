@@ -57,6 +57,14 @@ def exact_quantiles(
     return out
 
 
+def kth_smallest(df: DataFrame, column: str, ranks: Sequence[int]) -> list[float]:
+    """The values at the given zero-based ranks; missing values are not ranked."""
+    values = df.select(_value(column).alias("v0"))
+    n = values.agg(F.count("v0")).first()[0]
+    found = _order_statistics(values, {0: n}, sorted({(0, k) for k in ranks}), EXACT_ROWS)
+    return [found[(0, k)] for k in ranks]
+
+
 def _value(c: str) -> Column:
     x = F.col(f"`{c}`").cast("double")
     return F.when(~F.isnan(x), x)
