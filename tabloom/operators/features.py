@@ -180,7 +180,7 @@ def _power(y: Column, name: str, lam: Column) -> Column:
 
 def fit_target_transform(
     df: DataFrame, target: str, name: str, *, low: float = -2.0, high: float = 3.0,
-    points: int = 21, passes: int = 5,
+    points: int = 9, passes: int = 8,
 ) -> TargetTransform:
     """`log`, or `boxcox` / `yeojohnson` with the power of largest likelihood. Each pass
     evaluates a grid of powers in one aggregation and narrows around the best."""

@@ -218,7 +218,7 @@ def str_join_items(spark, sf):
 
 @query("array_subset", """WITH b AS (SELECT l_orderkey, list_sort(list(DISTINCT l_returnflag)) AS held FROM lineitem GROUP BY 1)
 SELECT l_orderkey, array_to_string(held, ',') AS held,
-array_to_string(list_sort(list_filter(held, x -> x NOT IN ('A', 'R'))), ',') AS rest,
+array_to_string(list_sort(list_filter(held, lambda x: x NOT IN ('A', 'R'))), ',') AS rest,
 list_contains(held, 'A') AND list_contains(held, 'R') AS has_both FROM b""")
 def array_subset(spark, sf):
     b = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
