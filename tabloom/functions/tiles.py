@@ -34,6 +34,7 @@ def tiles(
 ) -> DataFrame:
     """Apply `fn(left block, right block)` to every pair of blocks."""
     n_left, n_right = _blocks(left.count(), block_rows), _blocks(right.count(), block_rows)
+    right = right.select(*[F.col(f"`{c}`").alias(c) for c in right.columns])
     home = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     a = left.withColumn("__a", home(n_left)).withColumn("__b", copies(n_right))

@@ -136,23 +136,26 @@ def rule_nodes(rules: DataFrame) -> DataFrame:
     return rules.select(items.alias("item")).distinct()
 
 
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_RULES else df
+
+
 def matching_rules(baskets: DataFrame, rules: DataFrame) -> DataFrame:
-    """(basket, rule columns) for every rule whose whole antecedent is in the basket."""
-    keyed = rules.filter(F.size("antecedent") > 0).withColumn("rule", rule_text(F.col("antecedent"), F.col("consequent")))
-    exploded = keyed.withColumn("item", F.explode("antecedent"))
-    if rules.count() <= BROADCAST_RULES:
-        exploded = F.broadcast(exploded)
-    hits = baskets.join(exploded, "item").groupBy("basket", "rule").agg(
-        F.count("*").alias("found"),
-        *[F.first(c).alias(c) for c in ("antecedent", "consequent", "support", "confidence", "lift")],
-    )
-    return hits.filter(F.col("found") == F.size("antecedent")).drop("found")
+    """(basket, held, rule columns) for every rule whose whole antecedent is in the basket.
+    Only items that occur in a rule are collected, so `held` is no longer than the rule
+    vocabulary; a basket meets the rules through their first antecedent item."""
+    usable = rules.filter(F.size("antecedent") > 0)
+    known = baskets.join(_small(rule_nodes(usable)), "item")
+    held = known.groupBy("basket").agg(F.collect_set("item").alias("held"))
+    leads = _small(usable.withColumn("lead", F.col("antecedent")[0]))
+    met = held.withColumn("lead", F.explode("held")).join(leads, "lead")
+    return met.filter(F.size(F.array_except("antecedent", "held")) == 0).drop("lead")
 
 
 def candidates(baskets: DataFrame, rules: DataFrame) -> DataFrame:
     """Consequent items a basket does not hold yet, with the score of each rule."""
     offered = matching_rules(baskets, rules).withColumn("item", F.explode("consequent"))
-    new = offered.join(baskets, ["basket", "item"], "left_anti")
+    new = offered.filter(~F.array_contains("held", F.col("item"))).drop("held")
     return new.withColumn("score", F.round(F.col("lift") * F.col("confidence"), 6))
 
 

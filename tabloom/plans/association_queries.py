@@ -11,7 +11,7 @@ from tabloom.plans.fixtures import BASKET_ITEMS, basket_items
 from tabloom.plans.registry import query
 from tabloom.session import cut, table
 
-SUPPORT, CONFIDENCE, LIFT = 0.0012, 0.15, 1.05
+SUPPORT, CONFIDENCE, LIFT = 0.0012, 0.2, 1.1
 
 
 def baskets(spark, sf):
@@ -98,14 +98,14 @@ def join_subset(spark, sf):
                         F.round(F.col("support") * n).cast("long").alias("baskets"))
 
 
-@query("mine_rules", f"SELECT {_TEXT}, support, confidence, round(lift, 4) AS lift FROM {RULES}")
+@query("mine_rules", f"SELECT {_TEXT}, support, confidence, round(lift + 1e-8, 4) AS lift FROM {RULES}")
 def mine_rules(spark, sf):
-    return texts(rules(spark, sf)).withColumn("lift", F.round("lift", 4))
+    return texts(rules(spark, sf)).withColumn("lift", F.round(F.col("lift") + 1e-8, 4))
 
 
-@query("rule_order", f"SELECT {_TEXT}, support, confidence, round(lift, 4) AS lift FROM {RULES}")
+@query("rule_order", f"SELECT {_TEXT}, support, confidence, round(lift + 1e-8, 4) AS lift FROM {RULES}")
 def rule_order(spark, sf):
-    return texts(A.order_rules(rules(spark, sf))).withColumn("lift", F.round("lift", 4))
+    return texts(A.order_rules(rules(spark, sf))).withColumn("lift", F.round(F.col("lift") + 1e-8, 4))
 
 
 @query("filter_rules", f"SELECT {_TEXT}, support, confidence, lift FROM {RULES} WHERE support >= 0.002 AND confidence >= 0.1 AND lift >= 1.05")
@@ -128,11 +128,11 @@ u AS MATERIALIZED (SELECT * FROM {RULES})
 SELECT basket, held, u.* FROM h JOIN u ON list_has_all(held, antecedent))"""
 
 
-@query("join_rule_basket", f"""SELECT basket, array_to_string(antecedent, ' + ') || ' => ' || array_to_string(consequent, ' + ') AS rule, round(lift, 4) AS lift FROM {_MATCH}""")
+@query("join_rule_basket", f"""SELECT basket, array_to_string(antecedent, ' + ') || ' => ' || array_to_string(consequent, ' + ') AS rule, round(lift + 1e-8, 4) AS lift FROM {_MATCH}""")
 def join_rule_basket(spark, sf):
     found = A.matching_rules(baskets(spark, sf), cut(rules(spark, sf)))
     return found.select("basket", rule_text(F.col("antecedent"), F.col("consequent")).alias("rule"),
-                        F.round("lift", 4).alias("lift"))
+                        F.round(F.col("lift") + 1e-8, 4).alias("lift"))
 
 
 _CAND = f"""(SELECT basket, item, max(score) AS score FROM (SELECT basket, held, unnest(consequent) AS item,

@@ -34,9 +34,9 @@ def apply_threshold(spark, sf):
     return scored(spark, sf).select("row_key", M.apply_threshold(F.col("p")).alias("y"))
 
 
-@query("flag_filter", f"SELECT row_key, p FROM {SCORED} WHERE p > 0.9")
+@query("flag_filter", f"SELECT row_key, p FROM {SCORED} WHERE p > 0.6")
 def flag_filter(spark, sf):
-    return E.flag_filter(scored(spark, sf).select("row_key", "p"), "p", 0.9, "row_key")
+    return E.flag_filter(scored(spark, sf).select("row_key", "p"), "p", 0.6, "row_key")
 
 
 PER_CLASS = f"""(WITH c AS (SELECT * FROM {CLASSED}), l AS (SELECT truth AS label FROM c UNION SELECT prediction FROM c),
@@ -155,10 +155,10 @@ def metric_anomaly_mean(spark, sf):
 
 @query("metric_ari_nmi", f"""WITH c AS (SELECT truth, prediction, count(*)::DOUBLE AS n FROM {CLASSED} GROUP BY 1, 2),
 a AS (SELECT truth, sum(n) AS n FROM c GROUP BY 1), b AS (SELECT prediction, sum(n) AS n FROM c GROUP BY 1), t AS (SELECT sum(n) AS t FROM c),
-x AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS both, (SELECT sum(n * (n - 1) / 2) FROM a) AS pa, (SELECT sum(n * (n - 1) / 2) FROM b) AS pb,
+x AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS bt, (SELECT sum(n * (n - 1) / 2) FROM a) AS pa, (SELECT sum(n * (n - 1) / 2) FROM b) AS pb,
 (SELECT -sum(n / t * ln(n / t)) FROM a, t) AS ha, (SELECT -sum(n / t * ln(n / t)) FROM b, t) AS hb,
 (SELECT sum(c.n / t * ln(t * c.n / (a.n * b.n))) FROM c JOIN a USING (truth) JOIN b USING (prediction), t) AS mi, t FROM t)
-SELECT round((both - pa * pb / (t * (t - 1) / 2)) / ((pa + pb) / 2 - pa * pb / (t * (t - 1) / 2)), 6) AS adjusted_rand,
+SELECT round((bt - pa * pb / (t * (t - 1) / 2)) / ((pa + pb) / 2 - pa * pb / (t * (t - 1) / 2)), 6) AS adjusted_rand,
 round(mi / ((ha + hb) / 2), 6) AS nmi FROM x""")
 def metric_ari_nmi(spark, sf):
     return rounded(M.ari_nmi(classed(spark, sf)))
@@ -331,19 +331,19 @@ def top_personas(spark, sf):
 
 DEVIATIONS = " UNION ALL ".join(
     f"""SELECT '{c}' AS feature, round(avg({c}) FILTER (flag), 5) AS flagged_mean, round(avg({c}), 5) AS base_mean,
-    round((avg({c}) FILTER (flag) - avg({c})) / stddev_pop({c}), 5) AS deviation FROM (SELECT *, p > 0.8 AS flag FROM {SCORED})""" for c in _F)
+    round((avg({c}) FILTER (flag) - avg({c})) / stddev_pop({c}), 5) AS deviation FROM (SELECT *, p > 0.6 AS flag FROM {SCORED})""" for c in _F)
 
 
 @query("top_deviations", DEVIATIONS)
 def top_deviations(spark, sf):
-    s = scored(spark, sf).withColumn("flag", (F.col("p") > 0.8).cast("int"))
+    s = scored(spark, sf).withColumn("flag", (F.col("p") > 0.6).cast("int"))
     return rounded(K.top_deviations(s, "flag", _F), 5)
 
 
 @query("explain_anomaly", DEVIATIONS)
 def explain_anomaly(spark, sf):
     from tabloom.operators.explain import explain_anomaly as explain
-    s = scored(spark, sf).withColumn("flag", (F.col("p") > 0.8).cast("int"))
+    s = scored(spark, sf).withColumn("flag", (F.col("p") > 0.6).cast("int"))
     return rounded(explain(s, "flag", _F)["per_feature_deviation"], 5)
 
 
