@@ -110,17 +110,27 @@ class FittedFeatures:
     def transform(self, df: DataFrame, *, keep: Sequence[str] = ()) -> DataFrame:
         """Prepared feature columns plus the columns to keep; a kept column that is also a
         feature appears once, prepared."""
-        out = df.select(*dict.fromkeys([*keep, *self.numeric, *self.categorical]))
-        out = scale(fill(out, self.fills), self.scaler)
+        others = [c for c in keep if c not in (*self.numeric, *self.categorical)]
+        return self._prepare(df, others, "")
+
+    def _prepare(self, df: DataFrame, keep: Sequence[str], prefix: str) -> DataFrame:
+        out = df.select(
+            *[F.col(f"`{c}`") for c in keep],
+            *[F.col(f"`{c}`").alias(prefix + c) for c in (*self.numeric, *self.categorical)],
+        )
+        out = fill(out, {prefix + c: v for c, v in self.fills.items()})
+        out = scale(out, {prefix + c: v for c, v in self.scaler.items()}) if self.scaler else out
         for c, categories in self.ordinal.items():
-            out = encode_ordinal(out, c, categories)
+            out = encode_ordinal(out, prefix + c, categories)
         for c, categories in self.one_hot.items():
-            out = encode_one_hot(out, c, categories)
+            out = encode_one_hot(out, prefix + c, categories)
         return out
 
     def assemble(self, df: DataFrame, *, keep: Sequence[str] = (), out: str = "features") -> DataFrame:
-        prepared = self.transform(df, keep=keep)
-        vectors = VectorAssembler(inputCols=self.names, outputCol=out).transform(prepared)
+        """The kept columns as they are, and the prepared features as one vector."""
+        prepared = self._prepare(df, keep, "__f_")
+        inputs = [f"__f_{c}" for c in self.names]
+        vectors = VectorAssembler(inputCols=inputs, outputCol=out).transform(prepared)
         return vectors.select(*keep, out)
 
 

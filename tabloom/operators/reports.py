@@ -78,3 +78,41 @@ def dimred_report(df: DataFrame, columns: Sequence[str]) -> dict[str, DataFrame]
         "correlation_groups": P.correlation_groups(df, columns),
         "vif": P.vif(df, columns),
     }
+
+
+def clustering_report(df: DataFrame, key: str, columns: Sequence[str]) -> dict[str, DataFrame]:
+    from tabloom.operators.clusters import hopkins
+
+    rows = df.select(key, F.array(*[F.col(f"`{c}`").cast("double") for c in columns]).alias("vector"))
+    return {
+        "hopkins": hopkins(rows.filter(~F.exists("vector", lambda v: v.isNull())), key, "vector"),
+        "scree": P.scree(df, columns), "components_for_90": P.components_for(df, columns),
+    }
+
+
+def eda_report(df: DataFrame, task) -> dict[str, DataFrame]:
+    """Base views and the views of the task, as lazily evaluated tables."""
+    from tabloom.operators import association, timeseries
+
+    columns = [c for c in task.inputs(df) if c in P.numeric_columns(df)]
+    kind = task.task_type
+    if kind == "association":
+        baskets = association.baskets_from_wide(df.select(task.key, *task.inputs(df)), task.inputs(df))
+        long = baskets.select(F.col(task.key).alias("basket"), F.explode("items").alias("item"))
+        return {"schema": P.schema_report(df), **association.association_report(long)}
+    out = base_report(df)
+    if kind in ("binary", "multiclass", "multilabel"):
+        out |= classification_report(df, task.target, task.inputs(df))
+    elif kind == "regression":
+        views = P.regression_report(df, task.target, task.inputs(df))
+        out |= {f"target_{name}": view for name, view in views.items()}
+    elif kind == "forecasting":
+        series = [task.group] if task.group else []
+        out |= timeseries.timeseries_report(df, series, task.time_column, task.target)
+    elif kind == "clustering":
+        out |= clustering_report(df, task.key, columns)
+    elif kind == "anomaly_detection":
+        out |= anomaly_report(df, columns)
+    elif kind == "dimensionality_reduction":
+        out |= dimred_report(df, columns)
+    return out

@@ -319,12 +319,13 @@ def anova_f(spark, sf):
     return rounded(K.anova_f(lines(spark, sf), "cluster", _F), 5)
 
 
-PERSONAS = f"""(SELECT cluster, feature, m AS mean, m - o AS deviation, row_number() OVER (PARTITION BY cluster ORDER BY abs(m - o) DESC, feature)::INTEGER AS place FROM
-(SELECT cluster, feature, avg(x) AS m FROM {_long_sql([*_F, 'l_tax'])} GROUP BY 1, 2) JOIN
-(SELECT feature, avg(x) AS o FROM {_long_sql([*_F, 'l_tax'])} GROUP BY 1) USING (feature) QUALIFY place <= 3)"""
+def personas_sql(features) -> str:
+    return f"""(SELECT cluster, feature, m AS mean, m - o AS deviation, row_number() OVER (PARTITION BY cluster ORDER BY abs(m - o) DESC, feature)::INTEGER AS place FROM
+(SELECT cluster, feature, avg(x) AS m FROM {_long_sql(features)} GROUP BY 1, 2) JOIN
+(SELECT feature, avg(x) AS o FROM {_long_sql(features)} GROUP BY 1) USING (feature) QUALIFY place <= 3)"""
 
 
-@query("top_personas", f"SELECT cluster, feature, round(mean, 5) AS mean, round(deviation, 5) AS deviation, place FROM {PERSONAS}")
+@query("top_personas", f"SELECT cluster, feature, round(mean, 5) AS mean, round(deviation, 5) AS deviation, place FROM {personas_sql([*_F, 'l_tax'])}")
 def top_personas(spark, sf):
     return rounded(K.top_personas(lines(spark, sf), "cluster", [*_F, "l_tax"]), 5)
 
