@@ -9,14 +9,18 @@ values, so recomputing a lost partition gives the same layout.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_TIE_PARTS = 64
 MAX_RANK_PARTS = 2_000
+TREE_EDGES = 200
+FEW_VALUES = 180
 
 
 def order_number(df: DataFrame, name: str) -> Column | None:
@@ -40,20 +44,19 @@ def order_number(df: DataFrame, name: str) -> Column | None:
     return c.cast("double")
 
 
-def _edges(df: DataFrame, numbers: Sequence[tuple[str, Column, int]]) -> list[list[float]]:
+def _approx_edges(number: Column, parts: int) -> Column:
+    shares = ", ".join(f"{i / parts!r}D" for i in range(1, parts))
+    return F.percentile_approx(number, F.expr(f"array({shares})"), F.lit(max(1000, 20 * parts)))
+
+
+def _edges(df: DataFrame, numbers: Sequence[tuple[Column, int]]) -> list[list[float]]:
     """Approximate quantile edges of several columns, in one pass."""
-    aggs = [
-        F.percentile_approx(
-            number, F.expr(f"array({', '.join(f'{i / parts!r}D' for i in range(1, parts))})"),
-            F.lit(max(1000, 20 * parts)),
-        ).alias(alias)
-        for alias, number, parts in numbers
-        if parts > 1
-    ]
-    if not aggs:
-        return [[] for _ in numbers]
-    row = df.agg(*aggs).first().asDict()
-    return [sorted(set(row.get(alias) or [])) for alias, _, _ in numbers]
+    cut_up = [i for i, (_, parts) in enumerate(numbers) if parts > 1]
+    row = df.agg(*[_approx_edges(*numbers[i]) for i in cut_up]).first() if cut_up else []
+    out: list[list[float]] = [[] for _ in numbers]
+    for i, found in zip(cut_up, row):
+        out[i] = sorted(set(found or []))
+    return out
 
 
 def _search(edges: Sequence[float], low: int, high: int) -> str:
@@ -72,7 +75,14 @@ def _tag(df: DataFrame, number: Column, edges: Sequence[float], out: str) -> Dat
     """Range of a value: odd codes are open ranges between edges, even codes single edges."""
     if not edges:
         return df.withColumn(out, F.lit(1))
-    return df.withColumn("__x", number).withColumn(out, F.expr(_search(edges, 0, len(edges)))).drop("__x")
+    if len(edges) <= TREE_EDGES:
+        return df.withColumn("__x", number).withColumn(
+            out, F.expr(_search(edges, 0, len(edges)))
+        ).drop("__x")
+    splits = [float("-inf"), *edges, float("inf")]
+    cut_up = Bucketizer(splits=splits, inputCol="__x", outputCol="__b").transform(df.withColumn("__x", number))
+    low = f"element_at(array(double('-Infinity'), {', '.join(f'{e!r}D' for e in edges)}), int(__b) + 1)"
+    return cut_up.withColumn(out, F.expr(f"int(__b) * 2 + int(__x > {low})")).drop("__x", "__b")
 
 
 def _ranges(
@@ -90,9 +100,9 @@ def _ranges(
     tie_number = order_number(df, tie) if tie and splits else None
     if tie and df.schema[tie].dataType.typeName() == "string":
         tie_number = None
-    wanted = [("o", number, parts)]
+    wanted = [(number, parts)]
     if tie_number is not None:
-        wanted.append(("t", tie_number, min(parts, MAX_TIE_PARTS)))
+        wanted.append((tie_number, min(parts, MAX_TIE_PARTS)))
     found = _edges(df, wanted)
     tagged = _tag(df, number, found[0], "__code")
     if tie_number is None or not found[1]:
@@ -166,23 +176,41 @@ def value_ranks(df: DataFrame, columns: Mapping[str, tuple[str, str]]) -> DataFr
     (at most two per range) go into the plan as literals."""
     parts = min(MAX_RANK_PARTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     names = list(columns)
-    edges = _edges(df, [(f"e{i}", order_number(df, c), parts) for i, c in enumerate(names)])
+    numbers = [order_number(df, c) for c in names]
+    row = df.agg(
+        *[F.approx_count_distinct(n) for n in numbers],
+        *[_approx_edges(n, max(parts, 2)) for n in numbers],
+    ).first()
+    # a column with few values makes each value a range of its own and needs no window
+    few = {i for i in range(len(names)) if row[i] <= FEW_VALUES}
+    edges = [sorted(set(found or [])) for found in row[len(names) :]]
     tagged = df
-    for i, c in enumerate(names):
-        tagged = _tag(tagged, order_number(df, c), edges[i], f"__code{i}")
+    for i in range(len(names)):
+        if i not in few:
+            tagged = _tag(tagged, numbers[i], edges[i], f"__code{i}")
     cells = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.col(f"__code{i}").alias("code")) for i in range(len(names))
+        F.struct(
+            F.lit(i).alias("i"),
+            (numbers[i] if i in few else F.col(f"__code{i}")).cast("double").alias("at"),
+        )
+        for i in range(len(names))
     ]))
-    counts = tagged.select(cells.alias("c")).groupBy("c.i", "c.code").count().collect()
+    counts: list[dict[float, int]] = [{} for _ in names]
+    for r in tagged.select(cells.alias("c")).groupBy("c.i", "c.at").count().collect():
+        counts[r["i"]][r["at"]] = r["count"]
+    for i in few:
+        edges[i] = sorted(counts[i])
+        counts[i] = {2.0 * at + 2: counts[i][v] for at, v in enumerate(edges[i])}
+        tagged = _tag(tagged, numbers[i], edges[i], f"__code{i}")
     out = tagged
     for i, (c, (less, equal)) in enumerate(columns.items()):
-        here = [0] * (2 * len(edges[i]) + 3)
-        for r in counts:
-            if r["i"] == i:
-                here[r["code"]] = r["count"]
-        below = [sum(here[:at]) for at in range(len(here))]
+        here = [counts[i].get(float(at), 0) for at in range(2 * len(edges[i]) + 3)]
+        below = [0, *itertools.accumulate(here)][:-1]
         code, sub = F.col(f"__code{i}"), f"__sub{i}"
         pick = lambda xs: F.element_at(F.expr(f"array({', '.join(f'{x}L' for x in xs)})"), code + 1)
+        if i in few:
+            out = out.withColumns({less: pick(below), equal: pick(here)}).drop(f"__code{i}")
+            continue
         whole = code % 2 == 0
         salt = F.pmod(F.xxhash64(*[F.col(f"`{n}`") for n in df.columns]), F.lit(MAX_TIE_PARTS))
         out = out.withColumn(sub, F.when(whole, salt.cast("int")).otherwise(F.lit(-1)))

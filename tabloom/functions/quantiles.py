@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tabloom.functions.prefix import prefix_sums
 
 EXACT_ROWS = 250_000
+EXACT_TOTAL = 2_000_000
 ACCURACY = 10_000
 MARGIN = 4 / ACCURACY
 
@@ -31,14 +32,15 @@ def exact_quantiles(
     columns = list(columns)
     if not columns:
         return {}
-    values = df.select(*[_value(c).alias(f"v{i}") for i, c in enumerate(columns)])
-    sizes = values.agg(*[F.count(f"v{i}").alias(f"n{i}") for i in range(len(columns))]).first()
+    exact_rows = min(exact_rows, max(1, EXACT_TOTAL // len(columns)))
+    values = df.selectExpr(*[f"{_value_text(c)} AS v{i}" for i, c in enumerate(columns)])
+    sizes = values.selectExpr(*[f"count(v{i}) AS n{i}" for i in range(len(columns))]).first()
     out: dict[str, list[float | None]] = {}
     small = [i for i in range(len(columns)) if 0 < sizes[i] <= exact_rows]
     large = [i for i in range(len(columns)) if sizes[i] > exact_rows]
     if small:
-        wanted = F.array(*[F.lit(float(p)) for p in probs])
-        row = values.agg(*[F.percentile(f"v{i}", wanted).alias(f"q{i}") for i in small]).first()
+        wanted = ", ".join(f"{float(p)!r}D" for p in probs)
+        row = values.selectExpr(*[f"percentile(v{i}, array({wanted})) AS q{i}" for i in small]).first()
         for at, i in enumerate(small):
             out[columns[i]] = [float(v) for v in row[at]]
     if large:
@@ -65,9 +67,13 @@ def kth_smallest(df: DataFrame, column: str, ranks: Sequence[int]) -> list[float
     return [found[(0, k)] for k in ranks]
 
 
+def _value_text(c: str) -> str:
+    x = f"CAST(`{c}` AS DOUBLE)"
+    return f"CASE WHEN NOT isnan({x}) THEN {x} END"
+
+
 def _value(c: str) -> Column:
-    x = F.col(f"`{c}`").cast("double")
-    return F.when(~F.isnan(x), x)
+    return F.expr(_value_text(c))
 
 
 def _around(n: int, p: float) -> tuple[int, int]:
@@ -75,51 +81,58 @@ def _around(n: int, p: float) -> tuple[int, int]:
     return low, min(low + 1, n - 1)
 
 
+def _inside(i: int, low: float | None, high: float | None) -> str:
+    bounds = [f"v{i} IS NOT NULL"]
+    if low is not None:
+        bounds.append(f"v{i} > {low!r}D")
+    if high is not None:
+        bounds.append(f"v{i} < {high!r}D")
+    return f"CASE WHEN {' AND '.join(bounds)} THEN v{i} END"
+
+
 def _order_statistics(values, sizes, ranks, exact_rows):
+    """Values at (column, rank). Each open rank keeps exclusive bounds, the number of values at
+    or below the lower bound, and the number of values inside; ranks in the same bounds share
+    one approximate aggregate."""
     found: dict[tuple[int, int], float] = {}
-    # per open target: exclusive bounds, number of values at or below the lower bound, rows inside
     state = {(i, k): (None, None, 0, sizes[i]) for i, k in ranks}
-
-    def inside(i, low, high):
-        c = F.col(f"v{i}")
-        cond = c.isNotNull()
-        if low is not None:
-            cond = cond & (c > F.lit(low))
-        if high is not None:
-            cond = cond & (c < F.lit(high))
-        return F.when(cond, c)
-
     while state:
         few = [t for t, s in state.items() if s[3] <= exact_rows]
         if few:
-            aggs = []
+            exprs = []
             for i, k in few:
                 low, high, below, n = state[(i, k)]
                 p = (k - below) / (n - 1) if n > 1 else 0.0
-                aggs.append(F.percentile(inside(i, low, high), F.lit(p)))
-            for t, v in zip(few, values.agg(*aggs).first()):
+                exprs.append(f"percentile({_inside(i, low, high)}, {p!r}D)")
+            for t, v in zip(few, values.selectExpr(*exprs).first()):
                 found[t] = float(v)
                 del state[t]
         if not state:
             break
-        open_targets = list(state)
-        aggs = []
-        for i, k in open_targets:
-            low, high, below, n = state[(i, k)]
-            at = (k - below) / n
-            span = F.array(F.lit(max(0.0, at - MARGIN)), F.lit(min(1.0, at + MARGIN)))
-            aggs.append(F.percentile_approx(inside(i, low, high), span, F.lit(ACCURACY)))
-        guesses = values.agg(*aggs).first()
-        counts = []
-        for (i, _), (a, b) in zip(open_targets, guesses):
-            c = F.col(f"v{i}")
-            for cond in (c < F.lit(a), c <= F.lit(a), c < F.lit(b), c <= F.lit(b)):
-                counts.append(F.count(F.when(cond, 1)))
-        row = values.agg(*counts).first()
-        for at, (i, k) in enumerate(open_targets):
+        groups: dict[tuple, list[tuple[int, int]]] = {}
+        for t, s in state.items():
+            groups.setdefault((t[0], *s), []).append(t)
+        exprs, shares = [], []
+        for (i, low, high, below, n), targets in groups.items():
+            at = [(k - below) / n for _, k in targets]
+            share = sorted({min(1.0, max(0.0, x)) for v in at for x in (v - MARGIN, v + MARGIN)})
+            shares.append((at, share))
+            wanted = ", ".join(f"{x!r}D" for x in share)
+            exprs.append(f"percentile_approx({_inside(i, low, high)}, array({wanted}), {ACCURACY})")
+        guesses = values.selectExpr(*exprs).first()
+        ends = {}
+        for (group, targets), (at, share), guess in zip(groups.items(), shares, guesses):
+            where = dict(zip(share, guess))
+            for t, v in zip(targets, at):
+                ends[t] = (where[max(0.0, v - MARGIN)], where[min(1.0, v + MARGIN)])
+        points = sorted({(t[0], x) for t, pair in ends.items() for x in pair})
+        counted = values.selectExpr(*[
+            f"count(CASE WHEN v{i} {sign} {x!r}D THEN 1 END)" for i, x in points for sign in ("<", "<=")
+        ]).first()
+        below_of = {p: (counted[2 * j], counted[2 * j + 1]) for j, p in enumerate(points)}
+        for (i, k), (a, b) in ends.items():
             low, high, below, n = state[(i, k)]
-            a, b = guesses[at]
-            lt_a, le_a, lt_b, le_b = row[4 * at : 4 * at + 4]
+            (lt_a, le_a), (lt_b, le_b) = below_of[(i, a)], below_of[(i, b)]
             if lt_a <= k < le_a:
                 found[(i, k)] = float(a)
             elif lt_b <= k < le_b:

@@ -6,6 +6,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,11 +142,12 @@ def hopkins(df: DataFrame, key: str, vector: str, *, seed: int = 0) -> DataFrame
         return spark.createDataFrame([(None,)], "hopkins double")
     m = min(MAX_PROBES, max(5, n // 10))
     picked = hash_sample(df.select(key, vector), key, m, seed=seed).collect()
-    cells = df.select(F.posexplode(vector).alias("d", "x")).groupBy("d").agg(
-        F.min("x").alias("lo"), F.max("x").alias("hi")
-    ).orderBy("d").collect()
+    bounds = Summarizer.metrics("min", "max").summary(array_to_vector(vector))
+    low, high = df.select(bounds.alias("s")).select("s.min", "s.max").first()
+    low, high = low.toArray(), high.toArray()
     uniform = [
-        [c["lo"] + _uniform(i, c["d"], seed) * (c["hi"] - c["lo"]) for c in cells] for i in range(m)
+        [lo + _uniform(i, d, seed) * (hi - lo) for d, (lo, hi) in enumerate(zip(low, high))]
+        for i in range(m)
     ]
     probes = uniform + [list(r[vector]) for r in picked]
     ids = [None] * m + [r[key] for r in picked]

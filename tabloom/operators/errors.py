@@ -120,8 +120,7 @@ def error_by_quantile(df: DataFrame, *, parts: int = 4) -> DataFrame:
 def cluster_imbalance(df: DataFrame, cluster: str = "cluster") -> DataFrame:
     """Cluster sizes with the ratio of the largest to the smallest and a warning from two on."""
     sizes = df.groupBy(cluster).agg(F.count("*").alias("size"))
-    w = Window.partitionBy()
-    ratio = F.round(F.max("size").over(w) / F.min("size").over(w), 4)
+    ratio = sizes.select(F.round(F.max("size") / F.min("size"), 4)).scalar()
     return sizes.select("*", ratio.alias("ratio"), (ratio >= IMBALANCE_RATIO).alias("imbalanced"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.prefix import row_positions
 from tabloom.functions.quantiles import exact_quantiles
-from tabloom.operators.cleaning import fill, fit_fills
+from tabloom.operators.cleaning import fit_fills
 from tabloom.operators.profile import NUMERIC, require, type_of
 from tabloom.session import cut
 
@@ -30,8 +30,8 @@ def fit_scaler(df: DataFrame, columns: Sequence[str], kind: str) -> dict[str, tu
         q = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
         pairs = {c: (v[1], None if v[0] is None else v[2] - v[0]) for c, v in q.items()}
     elif kind in SCALERS:
-        stats = (F.avg, F.stddev_pop) if kind == "standard" else (F.min, F.max)
-        row = df.agg(*[f(F.col(f"`{c}`").cast("double")) for c in columns for f in stats]).first()
+        stats = ("avg", "stddev_pop") if kind == "standard" else ("min", "max")
+        row = df.selectExpr(*[f"{f}(CAST(`{c}` AS DOUBLE))" for c in columns for f in stats]).first()
         pairs = {}
         for i, c in enumerate(columns):
             a, b = row[2 * i], row[2 * i + 1]
@@ -113,13 +113,23 @@ class FittedFeatures:
         others = [c for c in keep if c not in (*self.numeric, *self.categorical)]
         return self._prepare(df, others, "")
 
+    def _number_text(self, c: str) -> str:
+        """Fill and scale of a numeric column as one SQL expression; wide tables are built
+        from text because one Column call per step and column adds up."""
+        x = f"CAST(`{c}` AS DOUBLE)"
+        if c in self.fills:
+            x = f"IF({x} IS NULL OR isnan({x}), {float(self.fills[c])!r}D, {x})"
+        if c in self.scaler:
+            shift, width = self.scaler[c]
+            x = f"({x} - {float(shift)!r}D) / {float(width)!r}D"
+        return x
+
     def _prepare(self, df: DataFrame, keep: Sequence[str], prefix: str) -> DataFrame:
-        out = df.select(
-            *[F.col(f"`{c}`") for c in keep],
-            *[F.col(f"`{c}`").alias(prefix + c) for c in (*self.numeric, *self.categorical)],
+        out = df.selectExpr(
+            *[f"`{c}`" for c in keep],
+            *[f"{self._number_text(c)} AS `{prefix}{c}`" for c in self.numeric],
+            *[f"`{c}` AS `{prefix}{c}`" for c in self.categorical],
         )
-        out = fill(out, {prefix + c: v for c, v in self.fills.items()})
-        out = scale(out, {prefix + c: v for c, v in self.scaler.items()}) if self.scaler else out
         for c, categories in self.ordinal.items():
             out = encode_ordinal(out, prefix + c, categories)
         for c, categories in self.one_hot.items():
@@ -146,7 +156,10 @@ def fit_features(
     categorical = [c for c in features if c not in numeric]
     fills = fit_fills(train, numeric, "median") if numeric else {}
     fills = {c: v for c, v in fills.items() if v is not None}
-    scaled = fit_scaler(fill(train, fills), numeric, scaler) if numeric and scaler else {}
+    scaled = {}
+    if numeric and scaler:
+        filled = FittedFeatures(tuple(numeric), (), fills).transform(train)
+        scaled = fit_scaler(filled, numeric, scaler)
     return FittedFeatures(
         tuple(numeric), tuple(categorical), fills, scaled,
         {c: fit_categories(train, c) for c in categorical} if encoder == "ordinal" else {},

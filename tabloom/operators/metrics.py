@@ -7,7 +7,8 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -236,11 +237,9 @@ def square_distance(a: Column, b: Column) -> Column:
 
 def centroids(df: DataFrame, cluster: str = "cluster", vector: str = "vector") -> DataFrame:
     """(cluster, size, center): the mean vector per cluster."""
-    cells = df.select(cluster, F.posexplode(vector).alias("d", "x"))
-    means = cells.groupBy(cluster, "d").agg(F.avg("x").alias("m"), F.count("*").alias("n"))
-    return means.groupBy(cluster).agg(
-        F.max("n").alias("size"),
-        F.transform(F.sort_array(F.collect_list(F.struct("d", "m"))), lambda r: r["m"]).alias("center"),
+    summary = Summarizer.metrics("count", "mean").summary(array_to_vector(vector))
+    return df.groupBy(cluster).agg(summary.alias("s")).select(
+        cluster, F.col("s.count").alias("size"), vector_to_array("s.mean").alias("center")
     )
 
 
@@ -273,9 +272,8 @@ def davies_bouldin(df: DataFrame, cluster: str = "cluster", vector: str = "vecto
 def calinski_harabasz(df: DataFrame, cluster: str = "cluster", vector: str = "vector") -> DataFrame:
     rows, _ = _with_center(df, cluster, vector)
     within, n = rows.agg(F.sum("d2"), F.count("*")).first()
-    cells = df.select(F.posexplode(vector).alias("d", "x"))
-    spread = cells.groupBy("d").agg((F.var_pop("x") * F.count("x")).alias("t"))
-    total = spread.agg(F.sum("t")).first()[0]
+    variance = df.select(Summarizer.variance(array_to_vector(vector)).alias("v")).first()["v"]
+    total = float(variance.toArray().sum()) * (n - 1)
     k = df.select(cluster).distinct().count()
     value = ((total - within) / (k - 1)) / (within / (n - k)) if k > 1 and n > k and within else None
     return df.sparkSession.createDataFrame([(value,)], "calinski_harabasz double")

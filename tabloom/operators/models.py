@@ -118,10 +118,11 @@ def _forest(p, c):
 def _boosting(p, c):
     depth = 5 if p["max_depth"] is None else min(int(p["max_depth"]), MAX_TREE_DEPTH)
     common = dict(stepSize=p["learning_rate"], maxDepth=depth, maxIter=p["max_iter"], seed=c.seed)
+    stop = dict(validationIndicatorCol="validation", validationTol=1e-4)
     if c.task_type == "regression":
-        return mr.GBTRegressor(validationIndicatorCol="validation", **common)
+        return mr.GBTRegressor(**stop, **common)
     if c.classes <= 2:
-        return mc.GBTClassifier(validationIndicatorCol="validation", **common)
+        return mc.GBTClassifier(**stop, **common)
     return OneVsRest(classifier=mc.GBTClassifier(**common))
 
 

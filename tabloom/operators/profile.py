@@ -300,14 +300,14 @@ def crosstab(
 def class_counts(df: DataFrame, target: str) -> DataFrame:
     """Rows and share of each target value, missing targets ignored."""
     counts = df.filter(~_missing(df, target)).groupBy(target).agg(F.count("*").alias("count"))
-    total = F.sum("count").over(Window.partitionBy())
+    total = counts.select(F.sum("count")).scalar()
     return counts.withColumn("fraction", F.col("count") / total)
 
 
 def class_balance(df: DataFrame, target: str, *, limit: float = MINORITY_LIMIT) -> DataFrame:
     """Class counts with the minority share and whether it is below the limit."""
     counts = class_counts(df, target)
-    low = F.min("fraction").over(Window.partitionBy())
+    low = counts.select(F.min("fraction")).scalar()
     return counts.select("*", low.alias("minority_fraction"), (low < limit).alias("imbalanced"))
 
 
@@ -433,7 +433,7 @@ def iqr_flags(df: DataFrame, columns: Sequence[str], *, factor: float = IQR_FACT
 
 
 def complete_doubles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.select(*[to_number(f"`{c}`").alias(c) for c in columns]).na.drop()
+    return df.selectExpr(*[f"try_cast(`{c}` AS DOUBLE) AS `{c}`" for c in columns]).na.drop()
 
 
 def moments(df: DataFrame, columns: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:

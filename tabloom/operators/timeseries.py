@@ -86,17 +86,17 @@ def acf(placed: DataFrame, series: Sequence[str]) -> DataFrame:
     """Autocorrelation per series and lag, with the series sum of squares below."""
     means = placed.groupBy(*series).agg(F.avg("y").alias("m"))
     centred = placed.join(means, list(series)).withColumn("c", F.col("y") - F.col("m"))
-    rows, w, home = with_halo(centred.select(*series, "pos", "n", "c"), series, before=MAX_LAG)
-    products = rows.withColumns({
-        f"p{k}": F.col("c") * F.lag("c", k).over(w) for k in range(1, MAX_LAG + 1)
-    }).filter(home)
+    rows, _, home = with_halo(centred.select(*series, "pos", "n", "c"), series, before=MAX_LAG)
+    over = f"OVER (PARTITION BY {', '.join(f'`{c}`' for c in [*series, '__block'])} ORDER BY pos)"
+    lags = range(1, MAX_LAG + 1)
+    products = rows.withColumn("__home", home).selectExpr(
+        *[f"`{c}`" for c in series], "n", "c", "__home", *[f"c * lag(c, {k}) {over} AS p{k}" for k in lags]
+    ).filter("__home")
     sums = products.groupBy(*series).agg(
         F.max("n").alias("n"), F.sum(F.col("c") * F.col("c")).alias("d"),
-        *[F.coalesce(F.sum(f"p{k}"), F.lit(0.0)).alias(f"p{k}") for k in range(1, MAX_LAG + 1)],
+        F.expr(f"array({', '.join(f'coalesce(sum(p{k}), 0D)' for k in lags)})").alias("p"),
     )
-    pairs = F.explode(F.array(*[
-        F.struct(F.lit(k).alias("lag"), F.col(f"p{k}").alias("p")) for k in range(1, MAX_LAG + 1)
-    ])).alias("r")
+    pairs = F.explode(F.expr("transform(p, (x, i) -> named_struct('lag', i + 1, 'p', x))")).alias("r")
     value = F.when(F.col("d") > 1e-12, F.col("r.p") / F.nullif("d", F.lit(0.0))).otherwise(0.0)
     return (
         sums.select(*series, "n", "d", pairs).filter(F.col("r.lag") <= max_lag(F.col("n")))

@@ -354,10 +354,10 @@ def background_sample(spark, sf):
 SELECT 'rows' AS part, '' AS a, '' AS b, count(*)::DOUBLE AS value FROM {HOLED_CUSTOMER}
 UNION ALL SELECT 'columns', '', '', 5
 UNION ALL SELECT 'missing', "column", '', missing::DOUBLE FROM ({_MISSING}) WHERE missing > 0
-UNION ALL SELECT 'pearson', "left", "right", r FROM ({pearson_sql(HOLED_CUSTOMER, _HOLED, 5)})
-UNION ALL SELECT 'spearman', "left", "right", r FROM ({spearman_sql(HOLED_CUSTOMER, _HOLED, 5)})
-UNION ALL SELECT 'mean', "column", '', round(mean, 5) FROM ({describe_sql(HOLED_CUSTOMER, _HOLED)})
-UNION ALL SELECT 'median', "column", '', round(p50, 5) FROM ({describe_sql(HOLED_CUSTOMER, _HOLED)})""")
+UNION ALL SELECT 'pearson', "left", "right", r FROM ({pearson_sql(HOLED_CUSTOMER, _HOLED, 4)})
+UNION ALL SELECT 'spearman', "left", "right", r FROM ({spearman_sql(HOLED_CUSTOMER, _HOLED, 4)})
+UNION ALL SELECT 'mean', "column", '', round(mean, 4) FROM ({describe_sql(HOLED_CUSTOMER, _HOLED)})
+UNION ALL SELECT 'median', "column", '', round(p50, 4) FROM ({describe_sql(HOLED_CUSTOMER, _HOLED)})""")
 def base_report(spark, sf):
     from tabloom.operators.reports import base_report as report, long_report
     return rounded(long_report(report(holed_customer(spark, sf)), {
@@ -366,4 +366,4 @@ def base_report(spark, sf):
         "pearson": ("pearson", "left", "right", "r"),
         "spearman": ("spearman", "left", "right", "r"),
         "mean": ("describe", "column", None, "mean"), "median": ("describe", "column", None, "p50"),
-    }), 5)
+    }), 4)
