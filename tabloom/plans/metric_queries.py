@@ -228,10 +228,13 @@ def residual_points(spark, sf):
     return rounded(E.residual_points(regressed(spark, sf), "row_key"), 4)
 
 
-@query("residual_hist", f"""WITH r AS (SELECT prediction - truth AS r FROM {REGRESSED}), m AS (SELECT min(r) AS lo, (max(r) - min(r)) / 20 AS w FROM r),
+RESIDUAL_HIST = f"""WITH r AS (SELECT prediction - truth AS r FROM {REGRESSED}), m AS (SELECT min(r) AS lo, (max(r) - min(r)) / 20 AS w FROM r),
 k AS (SELECT least(floor((r - lo) / w) + 1, 20)::INTEGER AS bin, count(*) AS n FROM r, m GROUP BY 1)
 SELECT b.bin::INTEGER AS bin, round(lo + (b.bin - 1) * w, 3) AS lower, round(lo + b.bin * w, 3) AS upper, coalesce(n, 0) AS count
-FROM range(1, 21) b(bin) CROSS JOIN m LEFT JOIN k ON k.bin = b.bin""")
+FROM range(1, 21) b(bin) CROSS JOIN m LEFT JOIN k ON k.bin = b.bin"""
+
+
+@query("residual_hist", RESIDUAL_HIST)
 def residual_hist(spark, sf):
     return rounded(E.residual_histogram(regressed(spark, sf)), 3)
 
@@ -243,16 +246,22 @@ def qq_points(spark, sf):
     return rounded(q.select("row_key", "residual", "plotting_position"), 4, plotting_position=8)
 
 
-@query("heteroscedasticity", f"""SELECT round(corr(a, b), 6) AS spearman FROM (SELECT
+HETERO = f"""SELECT round(corr(a, b), 6) AS spearman FROM (SELECT
 rank() OVER (ORDER BY e) + (count(*) OVER (PARTITION BY e) - 1) / 2.0 AS a, rank() OVER (ORDER BY q) + (count(*) OVER (PARTITION BY q) - 1) / 2.0 AS b
-FROM (SELECT abs(prediction - truth) AS e, abs(prediction) AS q FROM {REGRESSED}))""")
+FROM (SELECT abs(prediction - truth) AS e, abs(prediction) AS q FROM {REGRESSED}))"""
+
+
+@query("heteroscedasticity", HETERO)
 def heteroscedasticity(spark, sf):
     return rounded(E.heteroscedasticity(regressed(spark, sf)))
 
 
-@query("error_by_quantile", f"""WITH q AS (SELECT quantile_cont(truth, [0, 0.25, 0.5, 0.75, 1]) AS e FROM {REGRESSED}),
+ERROR_BY_QUANTILE = f"""WITH q AS (SELECT quantile_cont(truth, [0, 0.25, 0.5, 0.75, 1]) AS e FROM {REGRESSED}),
 b AS (SELECT 1 + (truth > e[2])::INTEGER + (truth > e[3])::INTEGER + (truth > e[4])::INTEGER AS bin, e, abs(prediction - truth) AS err FROM {REGRESSED}, q)
-SELECT bin, round(any_value(e[bin]), 4) AS lower, round(any_value(e[bin + 1]), 4) AS upper, round(avg(err), 4) AS mean_abs_error, count(*) AS rows FROM b GROUP BY 1""")
+SELECT bin, round(any_value(e[bin]), 4) AS lower, round(any_value(e[bin + 1]), 4) AS upper, round(avg(err), 4) AS mean_abs_error, count(*) AS rows FROM b GROUP BY 1"""
+
+
+@query("error_by_quantile", ERROR_BY_QUANTILE)
 def error_by_quantile(spark, sf):
     return rounded(E.error_by_quantile(regressed(spark, sf)), 4)
 

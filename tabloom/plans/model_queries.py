@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tabloom.functions.hashing import unit_hash_sql
 from tabloom.operators import errors as E
 from tabloom.operators import explain as X
 from tabloom.operators import metrics as M
@@ -14,8 +15,10 @@ from tabloom.operators.reports import anomaly_report, classification_report, dim
 from tabloom.plans.fixtures import (
     REGRESSED, VECTOR_CELLS, VECTORS, regressed, vector_columns, vectors,
 )
-from tabloom.plans.metric_queries import ANOVA, PROFILES, _F, lines, personas_sql
-from tabloom.plans.profile_queries import _EIGEN2, IQR, MAHALANOBIS, ZSCORE, _VIF_SQL
+from tabloom.plans.metric_queries import (
+    ANOVA, ERROR_BY_QUANTILE, HETERO, PROFILES, RESIDUAL_HIST, _F, lines, personas_sql,
+)
+from tabloom.plans.profile_queries import _EIGEN2, IQR, MAHALANOBIS, ZSCORE, _VIF_SQL, histogram_sql
 from tabloom.plans.association_queries import RULES, rules
 from tabloom.plans.registry import query, rounded
 from tabloom.plans.series_queries import KEY, placed
@@ -161,9 +164,33 @@ def train_model(spark, sf):
     return rounded(run.leaderboard(), 4)
 
 
-@query("cv_scores")
+_KEYED = """(SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS row_key, l_quantity AS x, l_extendedprice AS y FROM lineitem)"""
+_H = unit_hash_sql("row_key", seed=0)
+# Equal folds in hash order, and the least squares line of the other folds for each of them;
+# `shrink` is the penalty of a ridge fit on the standardised feature.
+_FOLDS = f"""(SELECT x, y, CASE WHEN pos < (n % 5) * (n // 5 + 1) THEN pos // (n // 5 + 1) ELSE (pos - n % 5) // (n // 5) END AS fold
+FROM (SELECT *, row_number() OVER (ORDER BY {_H}) - 1 AS pos, count(*) OVER () AS n FROM {_KEYED}))"""
+
+
+def cv_sql(shrink: float) -> str:
+    """rmse, mae and r2 per fold, on the train and on the held-out rows."""
+    parts = " UNION ALL ".join(
+        f"SELECT fold, '{m}' AS metric, max({e}) FILTER (NOT held) AS train, max({e}) FILTER (held) AS val FROM v GROUP BY fold"
+        for m, e in (("rmse", "rmse"), ("mae", "mae"), ("r2", "r2")))
+    return f"""(WITH f AS MATERIALIZED (SELECT * FROM {_FOLDS}),
+b AS (SELECT g AS fold, avg(x) AS mx, avg(y) AS my, regr_sxy(y, x) / (regr_sxx(y, x) * (1 + {shrink} / count(*))) AS b
+  FROM f, range(5) r(g) WHERE f.fold <> g GROUP BY 1),
+v AS (SELECT b.fold::INTEGER AS fold, f.fold = b.fold AS held, sqrt(avg((y - my - b * (x - mx)) ** 2)) AS rmse,
+  avg(abs(y - my - b * (x - mx))) AS mae, 1 - sum((y - my - b * (x - mx)) ** 2) / (var_pop(y) * count(*)) AS r2 FROM f, b GROUP BY 1, 2)
+{parts})"""
+
+
+CV = f"SELECT fold, metric, round(train, 4) AS train, round(val, 4) AS val FROM {cv_sql(0)}"
+
+
+@query("cv_scores", CV)
 def cv_scores(spark, sf):
-    return rounded(N.cv_scores(priced(spark, sf), LINE_TASK, "linear_regression"), 4)
+    return rounded(N.cv_scores(priced(spark, sf), ONE, "linear_regression"), 4)
 
 
 # One feature, hash folds: the validation RMSE of least squares has a closed form.
@@ -187,20 +214,23 @@ def tune(spark, sf):
     return rounded(N.tune(docs(spark, sf), DOC_TASK, "logistic_regression", trials=5, frozen={"max_iter": 100}), 4)
 
 
-@query("auto_compare")
+@query("auto_compare", " UNION ALL ".join(
+    f"""SELECT '{m}' AS model, metric, round(avg(val), 4) AS mean, round(stddev_samp(val), 4) AS std, round(avg(train), 4) AS train_mean,
+    round(avg(train) - avg(val), 4) AS gap, count(*) AS folds FROM {cv_sql(a)} GROUP BY metric""" for m, a in (("linear_regression", 0), ("ridge", 1000))))
 def auto_compare(spark, sf):
-    return rounded(N.auto_compare(priced(spark, sf), LINE_TASK, ["linear_regression", "ridge"]), 4)
+    return rounded(N.auto_compare(
+        priced(spark, sf), ONE, ["linear_regression", "ridge"], params={"ridge": {"alpha": 1000.0}}), 4)
 
 
-@query("sidecar_metrics")
+@query("sidecar_metrics", f"SELECT 'run' AS run_id, * FROM ({CV})")
 def sidecar_metrics(spark, sf):
-    folds = N.cv_scores(priced(spark, sf), LINE_TASK, "linear_regression")
+    folds = N.cv_scores(priced(spark, sf), ONE, "linear_regression")
     path = f"{scratch_dir(spark, 'metrics')}/run"
     folds.withColumn("run_id", F.lit("run")).write.json(path)
     return rounded(spark.read.schema("run_id string, fold int, metric string, train double, val double").json(path), 4)
 
 
-@query("persist_model")
+@query("persist_model", "SELECT count(*) AS rows, count(*) AS same FROM labels JOIN documents USING (doc_id)")
 def persist_model(spark, sf):
     d, fitted = fitted_docs(spark, sf, "decision_tree", max_depth=4)
     path = N.save_model(fitted, f"{scratch_dir(spark, 'model')}/run")
@@ -209,15 +239,28 @@ def persist_model(spark, sf):
         F.count("*").alias("rows"), F.count_if(F.col("prediction") == F.col("again")).alias("same"))
 
 
-@query("predict_frame")
+@query("predict_frame", f"""SELECT row_key, y AS l_extendedprice, round(exp(a + b * x) - 1, 2) AS prediction FROM {_KEYED},
+(SELECT regr_slope(ln(1 + y), x) AS b, regr_intercept(ln(1 + y), x) AS a FROM {_KEYED})""")
 def predict_frame(spark, sf):
     p = priced(spark, sf)
-    fitted = N.fit_model(p, LINE_TASK, "linear_regression", options=N.PreprocessingOptions(target_transform="log"))
-    return rounded(fitted.predict(p).select("row_key", "l_extendedprice", "prediction"), 3)
+    fitted = N.fit_model(p, ONE, "linear_regression", options=N.PreprocessingOptions(target_transform="log"))
+    return rounded(fitted.predict(p).select("row_key", "l_extendedprice", "prediction"), 2)
+
+
+_HELD = f"(SELECT x, y, row_number() OVER (ORDER BY {_H}) <= ceil(0.2 * count(*) OVER ()) AS held FROM {_KEYED})"
+_TEST = f"""(SELECT y, y - a - b * x AS err FROM {_HELD}, (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM {_HELD} WHERE NOT held) WHERE held)"""
 
 
-@query("evaluate_test")
+@query("evaluate_test", f"""SELECT 'rmse' AS metric, round(sqrt(avg(err * err)), 4) AS value FROM {_TEST} UNION ALL SELECT 'mae', round(avg(abs(err)), 4) FROM {_TEST}
+UNION ALL SELECT 'r2', round(1 - sum(err * err) / (var_pop(y) * count(*)), 4) FROM {_TEST}""")
 def evaluate_test(spark, sf):
+    prepared = N.run_preprocessing(priced(spark, sf), ONE, N.PreprocessingOptions())
+    fitted = N.fit_model(prepared.frame.filter("split = 'train'").drop("split"), ONE, "linear_regression")
+    return rounded(R.evaluate_test(fitted, prepared), 4)
+
+
+@query("evaluate_test_classifier")
+def evaluate_test_classifier(spark, sf):
     prepared = N.run_preprocessing(docs(spark, sf), DOC_TASK, N.PreprocessingOptions())
     fitted = N.fit_model(prepared.frame.filter("split = 'train'").drop("split"), DOC_TASK, "logistic_regression")
     return rounded(R.evaluate_test(fitted, prepared), 5)
@@ -285,10 +328,14 @@ def metric_pca_two(spark, sf):
     return rounded(spark.createDataFrame([(value,)], "reconstruction_error double"), 8)
 
 
-@query("reconstruction_rows")
+@query("reconstruction_rows", f"""WITH m AS (SELECT avg(l_quantity) AS mx, avg(l_discount) AS my,
+0.5 * atan2(2 * covar_samp(l_quantity, l_discount), var_samp(l_quantity) - var_samp(l_discount)) AS t FROM lineitem),
+r AS (SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS row_key, abs((l_discount - my) * cos(t) - (l_quantity - mx) * sin(t)) AS error FROM lineitem, m)
+SELECT row_key, round(error, 6) AS error, round((SELECT quantile_cont(error, 0.8) FROM r), 6) AS threshold FROM r""")
 def reconstruction_rows(spark, sf):
-    v, fitted = _pca(spark, sf, 10)
-    return rounded(O.reconstruction_rows(fitted, v), 5)
+    p = priced(spark, sf)
+    fitted = N.fit_model(p, _PCA_TASK, "pca", {"n_components": 1}, options=RAW)
+    return rounded(O.reconstruction_rows(fitted, p).drop("above"), 6)
 
 
 @query("explain_pca")
@@ -302,8 +349,14 @@ def explain_pca(spark, sf):
 # explanations -----------------------------------------------------------------------------------------
 
 
-@query("explain_linear")
+@query("explain_linear", f"SELECT 'l_quantity' AS feature, round(sxy / sxx, 4) AS coefficient, NULL::DOUBLE AS odds_ratio FROM {_MOMENTS}")
 def explain_linear(spark, sf):
+    fitted = N.fit_model(priced(spark, sf), ONE, "linear_regression", options=RAW)
+    return rounded(X.explain_linear(fitted, spark), 4)
+
+
+@query("explain_linear_odds")
+def explain_linear_odds(spark, sf):
     _, fitted = fitted_docs(spark, sf, "logistic_regression")
     return rounded(X.explain_linear(fitted, spark), 4)
 
@@ -326,10 +379,18 @@ def explain_permutation(spark, sf):
     return rounded(X.explain_permutation(fitted, d, repeats=2), 4)
 
 
-@query("explain_pdp_ice")
+@query("explain_pdp_ice", f"""SELECT 'l_quantity' AS feature, g AS grid, round(my + sxy / sxx * (g - mx), 3) AS average
+FROM (SELECT DISTINCT l_quantity AS g FROM lineitem), {_MOMENTS}""")
 def explain_pdp_ice(spark, sf):
+    p = priced(spark, sf)
+    fitted = N.fit_model(p, ONE, "linear_regression", options=RAW)
+    return rounded(X.explain_pdp_ice(fitted, p)["average"], 3)
+
+
+@query("explain_ice_tree")
+def explain_ice_tree(spark, sf):
     d, fitted = fitted_docs(spark, sf, "decision_tree", max_depth=4)
-    return rounded(X.explain_pdp_ice(fitted, d)["average"], 4)
+    return rounded(X.explain_pdp_ice(fitted, d)["ice"], 4)
 
 
 @query("explain_ig")
@@ -353,8 +414,18 @@ def explain_model(spark, sf):
     return rounded(X.explain_model(fitted, d)["importances"], 4)
 
 
-@query("error_views")
+@query("error_views", f"""SELECT 'by_quantile' AS part, bin::VARCHAR AS a, mean_abs_error AS value FROM ({ERROR_BY_QUANTILE})
+UNION ALL SELECT 'histogram', bin::VARCHAR, count::DOUBLE FROM ({RESIDUAL_HIST})
+UNION ALL SELECT 'spearman', '', round(spearman, 4) FROM ({HETERO})""")
 def error_views(spark, sf):
+    views = E.error_views(regressed(spark, sf), "regression", "row_key")
+    return rounded(long_report(views, {
+        "by_quantile": ("by_quantile", "bin", None, "mean_abs_error"), "histogram": ("histogram", "bin", None, "count"),
+        "spearman": ("heteroscedasticity", None, None, "spearman")}).drop("b"), 4)
+
+
+@query("error_views_binary")
+def error_views_binary(spark, sf):
     d, fitted = fitted_docs(spark, sf, "logistic_regression")
     scored = fitted.predict(d).withColumn("truth", F.col("quality"))
     return E.error_views(scored, "binary", "doc_id", score="p_1")["confusion"]
@@ -445,7 +516,14 @@ def classification_report_query(spark, sf):
         "feature_by_class": ("feature_by_class", "value", "class", "count")})
 
 
-@query("eda_report")
+_PAIRS = (("l_quantity", "l_discount"), ("l_quantity", "l_tax"), ("l_quantity", "l_extendedprice"),
+          ("l_discount", "l_tax"), ("l_discount", "l_extendedprice"), ("l_tax", "l_extendedprice"))
+
+
+@query("eda_report", "SELECT 'skew' AS part, 'l_extendedprice' AS a, '' AS b, round(skewness(l_extendedprice), 5) AS value FROM lineitem"
+    + "".join(f" UNION ALL SELECT 'mean', '{c}', '', round(avg({c}), 5) FROM lineitem" for c in ("l_quantity", "l_discount", "l_tax", "l_extendedprice"))
+    + "".join(f" UNION ALL SELECT 'pearson', '{a}', '{b}', round(corr({a}, {b}), 5) FROM lineitem" for a, b in _PAIRS)
+    + f" UNION ALL SELECT 'histogram', bin::VARCHAR, '', count::DOUBLE FROM ({histogram_sql('lineitem', 'l_extendedprice', 30, True)})")
 def eda_report(spark, sf):
     from tabloom.operators.reports import eda_report as report
     bundle = report(priced(spark, sf), N.Task("regression", key="row_key", target="l_extendedprice"))

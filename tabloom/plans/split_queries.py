@@ -189,7 +189,8 @@ def fit_pipeline(spark, sf):
     return rounded(fitted.transform(c, keep=["c_custkey"]))
 
 
-@query("run_preprocessing")
+@query("run_preprocessing", """WITH c AS (SELECT count(*) AS n, round(0.2 * count(*)) AS t FROM orders GROUP BY o_orderstatus)
+SELECT 'stratified' AS strategy, sum(n - t)::BIGINT AS train_rows, sum(t)::BIGINT AS test_rows, 3 AS feature_count, 'ordinal' AS encoder, 'standard' AS scaler FROM c""")
 def run_preprocessing(spark, sf):
     from tabloom.operators.training import PreprocessingOptions, Task, run_preprocessing as run
     o = table(spark, sf, "orders")
