@@ -11,7 +11,7 @@ from tabloom.plans.fixtures import BASKET_ITEMS, basket_items
 from tabloom.plans.registry import query
 from tabloom.session import cut, table
 
-SUPPORT, CONFIDENCE, LIFT = 0.0012, 0.2, 1.1
+SUPPORT, CONFIDENCE, LIFT = 0.0036, 0.16, 1.02
 
 
 def baskets(spark, sf):
@@ -108,9 +108,9 @@ def rule_order(spark, sf):
     return texts(A.order_rules(rules(spark, sf))).withColumn("lift", F.round(F.col("lift") + 1e-8, 4))
 
 
-@query("filter_rules", f"SELECT {_TEXT}, support, confidence, lift FROM {RULES} WHERE support >= 0.002 AND confidence >= 0.1 AND lift >= 1.05")
+@query("filter_rules", f"SELECT {_TEXT}, support, confidence, lift FROM {RULES} WHERE support >= 0.004 AND confidence >= 0.18 AND lift >= 1.05")
 def filter_rules(spark, sf):
-    return texts(A.filter_rules(rules(spark, sf), min_support=0.002, min_confidence=0.1, min_lift=1.05))
+    return texts(A.filter_rules(rules(spark, sf), min_support=0.004, min_confidence=0.18, min_lift=1.05))
 
 
 @query("rule_stats", f"SELECT round(avg(support), 6) AS support, round(avg(confidence), 6) AS confidence, round(avg(lift), 6) AS lift FROM {RULES}")
