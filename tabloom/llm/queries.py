@@ -69,3 +69,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact import exact_groups
 
     return exact_groups(docs_of(spark, sf_dir))
+
+
+@query("op10_byte_bpe")
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bytebpe import digests
+
+    return digests(docs_of(spark, sf_dir))
