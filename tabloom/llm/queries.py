@@ -76,3 +76,24 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bytebpe import digests
 
     return digests(docs_of(spark, sf_dir))
+
+
+@query("op9_language_id")
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import predictions
+
+    return predictions(docs_of(spark, sf_dir))
+
+
+@query("op6_quality")
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import predictions
+
+    return predictions(docs_of(spark, sf_dir), docs_of(spark, sf_dir, "labels"))
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxic import predictions
+
+    return predictions(docs_of(spark, sf_dir), docs_of(spark, sf_dir, "labels"))
