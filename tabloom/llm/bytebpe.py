@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import frequent, stored
 
 WORDS = 1 << 18
 LONG = 200
@@ -145,18 +145,6 @@ def _word_counts(texts: DataFrame, pattern: str) -> DataFrame:
     return texts.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _frequent(counts: DataFrame, most: int) -> DataFrame:
-    """The words above the lowest count that leaves at most `most` of them."""
-    level = F.floor(F.log2("n") * 64)
-    kept, low = 0, None
-    for row in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
-        kept += row["count"]
-        if kept > most:
-            break
-        low = row["level"]
-    return counts.where(level >= low) if low is not None else counts.limit(0)
-
-
 def _as_ids(words: list[str], table: np.ndarray) -> pa.Array:
     raw = [w.encode() for w in words]
     flat = table[np.frombuffer(b"".join(raw), np.uint8)]
@@ -183,7 +171,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             yield pa.record_batch([batch.column("word"), _as_ids(batch.column("word").to_pylist(), byte_ids)],
                                   ["word", "pieces"])
 
-    common = (_frequent(counts, words).where(F.octet_length("word") <= LONG).select("word")
+    common = (frequent(counts, words).where(F.octet_length("word") <= LONG).select("word")
               .mapInArrow(as_bytes, "word string, pieces array<bigint>")
               .select("word", merged(F.col("pieces"), ranks).alias("ids")).toPandas())
     known = {w: (n,) for w, n in whole.items()}

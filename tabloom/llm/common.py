@@ -56,3 +56,15 @@ def word_spans(folded: bytes) -> tuple[np.ndarray, np.ndarray]:
     inside = np.concatenate(([False], np.frombuffer(folded, np.uint8) != 0x20, [False]))
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     return edges[0::2], edges[1::2]
+
+
+def frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The words above the lowest count that leaves at most `most` of them."""
+    level = F.floor(F.log2("n") * 64)
+    kept, low = 0, None
+    for row in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
+        kept += row["count"]
+        if kept > most:
+            break
+        low = row["level"]
+    return counts.where(level >= low) if low is not None else counts.limit(0)

@@ -97,3 +97,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxic import predictions
 
     return predictions(docs_of(spark, sf_dir), docs_of(spark, sf_dir, "labels"))
+
+
+@query("op7_lm_score")
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hpylm import score
+
+    return score(docs_of(spark, sf_dir))

@@ -4,9 +4,11 @@ Words are read as symbols: insult, threat, target, negation, reporting verb, cla
 pattern is a small transducer over symbols that emits an event: an insult; an insult aimed at a
 target; a threat at a target; a negation in scope of an insult; a reporting verb before one. Their
 composition runs over the clauses of a text, and each matched clause is read as one kind (see KINDS)
-by what the transducers emitted. Weights of the kinds are fitted to document labels by logistic
-regression in numpy on a bounded sample (at most PER_LABEL documents of a label); a text's score comes
-from its counts of matched clauses, so isolated symbols outside a match do not count.
+by what the transducers emitted. A clause weighs as much as its insults: listed words have a fixed
+weight, further words and word beginnings are learned as insults from document labels, with the
+lower bound of their log odds as weight (see `learn_insults`). A text's features are the weights of
+its matched clauses by kind, and per word; logistic regression in numpy turns them into the score.
+All learning uses a bounded sample: at most PER_LABEL documents of a label, SAMPLE_BYTES of each.
 
 Defined cases: null and empty texts match nothing and get the base score; rows without a label are
 not learned from; without both labels fixed weights are used; equal texts get equal scores; other
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, crc_mod
 from .sampling import labelled_sample
 
-PER_LABEL = 2500
+PER_LABEL, SAMPLE_BYTES = 3000, 20_000
 
 # Word lists of the grammar.
 LEXICON = {
@@ -132,98 +134,182 @@ def clause_kind(events: set[str]) -> int | None:
     return KINDS.index("insult")
 
 
-def matched(raw: bytes, machine: Composed) -> list[tuple[int, int]]:
-    """Matched clauses of a text: (clause number, kind)."""
-    folded = raw.translate(_SPLIT)
-    if not any(WORDS.get(w) in (INSULT, THREAT) for w in set(folded.split())):
-        return []
-    out, step = [], machine.step
-    for number, clause in enumerate(folded.split(b"\n")):
-        symbols = [WORDS.get(w, OTHER) for w in clause.split()]
-        if INSULT not in symbols and THREAT not in symbols:
+@dataclass
+class Insults:
+    """Learned insults: weights of words and of word beginnings."""
+
+    words: dict[bytes, float]
+    starts: dict[bytes, float]
+
+    def weight(self, word: bytes) -> float:
+        """Weight of a word as an insult; 0 if it is none."""
+        if WORDS.get(word) == INSULT:
+            return LISTED
+        found = self.words.get(word, 0.0)
+        return max(found, *(self.starts.get(word[:n], 0.0) for n in STARTS if n < len(word)), 0.0)
+
+
+#: Weight of a listed insult, and of a threat; lengths in bytes of learned word beginnings.
+LISTED, STARTS = 5.0, range(4, 11)
+#: Documents that a learned insult must stand in, and how sure (log likelihood ratio) it must be.
+LEAST, SURE = 5, 15.0
+
+
+def folded(raw: bytes) -> bytes:
+    return raw.decode("utf-8", "replace").lower().encode().translate(_SPLIT)
+
+
+def _units(word: bytes) -> list[tuple[bool, bytes]]:
+    return [(True, word), *((False, word[:n]) for n in STARTS if n < len(word))]
+
+
+def learn_insults(texts: list[bytes], labels: list[int]) -> Insults:
+    """Words and word beginnings that stand in toxic documents and hardly in others.
+
+    A unit's documents count at most once per pair of neighbouring words, so that copies of one text
+    do not make its words insults. Weight: log odds less one standard error."""
+    groups: dict[int, list[list[bytes]]] = {0: [], 1: []}
+    for raw, label in {(r, y): None for r, y in zip(texts, labels, strict=True)}:
+        groups[label].append(folded(raw).split())
+    docs: dict[tuple[bool, bytes], int] = {}
+    for words in groups[1]:
+        for unit in {u for w in set(words) if len(w) >= 3 for u in _units(w)}:
+            docs[unit] = docs.get(unit, 0) + 1
+    docs = {u: n for u, n in docs.items() if n >= LEAST}
+    beside: dict[tuple[bool, bytes], set[int]] = {u: set() for u in docs}
+    for words in groups[1]:
+        for before, word, after in zip([b"", *words], words, [*words[1:], b""], strict=False):
+            for unit in _units(word):
+                if unit in beside and len(beside[unit]) <= docs[unit]:
+                    beside[unit].add(hash((before, word, after)))
+    others = dict.fromkeys(docs, 0)
+    for words in groups[0]:
+        for unit in {u for w in set(words) for u in _units(w) if u in others}:
+            others[unit] += 1
+    n1, n0 = len(groups[1]) + 1, len(groups[0]) + 1
+    out = Insults({}, {})
+    for unit, n in docs.items():
+        a, b = min(n, len(beside[unit])), others[unit]
+        share, base = a / (a + b) if a + b else 0, n1 / (n1 + n0)
+        if a < LEAST or share <= base:
             continue
-        state, events = machine.start, set()
-        for symbol in symbols:
-            state, said = step(state, symbol)
-            events |= said
-        kind = clause_kind(events)
-        if kind is not None:
-            out.append((number, kind))
+        sure = a * np.log(share / base) + (b * np.log((1 - share) / (1 - base)) if b else 0)
+        odds = np.log((a + 0.5) / n1) - np.log((b + 0.5) / n0) - np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+        if sure >= SURE and odds >= 1:
+            (out.words if unit[0] else out.starts)[unit[1]] = float(min(odds, LISTED))
     return out
 
 
+class Reader:
+    """Composed grammar with the insults' weights; remembers the symbols of words it has met."""
+
+    def __init__(self, insults: Insults):
+        self.insults, self.machine = insults, grammar()
+        self.known: dict[bytes, tuple[int, float]] = {}
+
+    def symbol(self, word: bytes) -> tuple[int, float]:
+        if word not in self.known:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            weight = self.insults.weight(word)
+            plain = WORDS.get(word, OTHER)
+            self.known[word] = (INSULT, weight) if weight else (plain, LISTED if plain == THREAT else 0.0)
+        return self.known[word]
+
+    def matched(self, text: bytes) -> list[tuple[int, int, float]]:
+        """Matched clauses of a folded text: clause number, kind, weight."""
+        if not any(self.symbol(w)[1] for w in set(text.split())):
+            return []
+        out = []
+        for number, clause in enumerate(text.split(b"\n")):
+            read = [self.symbol(w) for w in clause.split()]
+            weight = sum(w for _, w in read)
+            if not weight:
+                continue
+            state, events = self.machine.start, set()
+            for symbol, _ in read:
+                state, said = self.machine.step(state, symbol)
+                events |= said
+            kind = clause_kind(events)
+            if kind is not None:
+                out.append((number, kind, weight))
+        return out
+
+    def features(self, raw: bytes) -> tuple[np.ndarray, list[tuple[int, int, float]]]:
+        text = folded(raw)
+        found = self.matched(text)
+        if not found:
+            return np.zeros(len(KINDS) + 1), found
+        weights = np.bincount([k for _, k, _ in found], [w for _, _, w in found], len(KINDS))
+        return np.append(np.log1p(weights), np.log1p(100 * weights.sum() / len(text.split()))), found
+
+
 @dataclass
-class Weights:
+class Model:
+    insults: Insults
     kinds: np.ndarray
     bias: float
 
-    def score(self, counts: np.ndarray) -> np.ndarray:
-        z = np.log1p(counts) @ self.kinds + self.bias
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    def score(self, features: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(features @ self.kinds + self.bias, -30, 30)))
 
 
 #: Used where nothing can be learned, and the centre that fitted weights are drawn to.
-PRIOR = Weights(np.array([6.0, 7.0, 7.0, 3.0, 3.0]), -3.5)
+PRIOR_KINDS, PRIOR_BIAS = np.array([2.5, 3.0, 3.0, 1.0, 1.0, 0.5]), -3.0
 
 
-def train(counts: np.ndarray, labels: np.ndarray) -> Weights:
-    """Logistic regression around PRIOR by Newton steps."""
-    x = np.column_stack([np.log1p(counts), np.ones(len(counts))])
-    centre = np.append(PRIOR.kinds, PRIOR.bias)
-    w, pull = centre.copy(), np.append(np.full(len(KINDS), 0.3), 0.05)
-    for _ in range(30):
+def train(texts: list[bytes], labels: list[int]) -> Model:
+    """Insults first, then logistic regression around the prior by Newton steps."""
+    model = Model(learn_insults(texts, labels), PRIOR_KINDS, PRIOR_BIAS)
+    reader, y = Reader(model.insults), np.array(labels)
+    x = np.column_stack([np.array([reader.features(t)[0] for t in texts]), np.ones(len(texts))])
+    centre = np.append(PRIOR_KINDS, PRIOR_BIAS)
+    w, pull = centre.copy(), np.append(np.full(len(centre) - 1, 0.5), 0.05)
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - labels) + pull * (w - centre)
-        hess = (x * (p * (1 - p))[:, None]).T @ x + np.diag(pull)
-        w = w - np.linalg.solve(hess, grad)
-    return Weights(w[:-1], float(w[-1]))
-
-
-def clauses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str | None = None) -> DataFrame:
-    """Per document: doc_id, counts (matched clauses of each kind) and hits (clause number and
-    kind); `keep` names one more column to carry."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = grammar()
-        for batch in batches:
-            counts, hits = [], []
-            for raw in batch.column("raw").to_pylist():
-                found = matched(raw, machine)
-                counts.append(np.bincount([k for _, k in found], minlength=len(KINDS)).tolist())
-                hits.append([{"clause": c, "kind": KINDS[k]} for c, k in found])
-            yield pa.record_batch([
-                batch.column("doc_id"), batch.column("keep"), pa.array(counts, pa.list_(pa.int64())),
-                pa.array(hits, pa.list_(pa.struct([("clause", pa.int64()), ("kind", pa.string())])))],
-                ["doc_id", "keep", "counts", "hits"])
-
-    return docs.select(
-        F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), as_bytes(text_col).alias("raw"),
-        (F.col(keep).cast("int") if keep else F.lit(None).cast("int")).alias("keep"),
-    ).mapInArrow(run, "doc_id bigint, keep int, counts array<bigint>, hits array<struct<clause: bigint, kind: string>>")
+        grad = x.T @ (p - y) + pull * (w - centre)
+        hess = (x * np.maximum(p * (1 - p), 1e-3)[:, None]).T @ x + np.diag(pull)
+        w = w - np.clip(np.linalg.solve(hess, grad), -1, 1)
+    return Model(model.insults, w[:-1], float(w[-1]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id",
-        text_col: str = "text", held_mod: int = 3, held_is: int = 1) -> Weights:
+        text_col: str = "text", held_mod: int = 3, held_is: int = 1) -> Model:
     """Fit on labelled rows whose crc32(id) modulo `held_mod` is not `held_is`."""
     known = labels.select(F.col(id_col).cast("bigint").alias("k"), F.col(label).cast("int").alias("y"))
     known = known.where(F.col("y").isin(0, 1) & (crc_mod("k", held_mod) != held_is)).dropDuplicates(["k"])
     sample = labelled_sample(known, "y", ["k"], PER_LABEL)
     if sample["y"].nunique() < 2:
-        return PRIOR
+        return Model(Insults({}, {}), PRIOR_KINDS, PRIOR_BIAS)
     wanted = F.broadcast(docs.sparkSession.createDataFrame(sample))
-    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("k"), F.col(f"`{text_col}`").alias("text"))
-    got = clauses(rows.join(wanted, "k"), "k", "text", "y").select("keep", "counts").toPandas()
-    if got["keep"].nunique() < 2:
-        return PRIOR
-    return train(np.array(got["counts"].tolist(), float), got["keep"].to_numpy())
-
-
-def score(docs: DataFrame, weights: Weights, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, score, counts, hits."""
-    z = F.lit(float(weights.bias))
-    for k, w in enumerate(weights.kinds.tolist()):
-        z = z + F.log1p(F.get("counts", F.lit(k))) * F.lit(float(w))
-    found = clauses(docs, id_col, text_col)
-    return found.select("doc_id", (1 / (1 + F.exp(-z))).alias("score"), "counts", "hits")
+    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("k"),
+                       F.substring(as_bytes(text_col), 1, SAMPLE_BYTES).alias("raw"))
+    got = rows.join(wanted, "k").select("k", "y", "raw").toPandas()
+    got = got.sort_values(["k", "raw"], kind="stable").drop_duplicates("k")
+    if got["y"].nunique() < 2:
+        return Model(Insults({}, {}), PRIOR_KINDS, PRIOR_BIAS)
+    return train([bytes(r) for r in got["raw"]], [int(y) for y in got["y"]])
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: doc_id, score and hits (clause number, kind and weight of matched clauses)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        reader = Reader(own.insults)
+        for batch in batches:
+            rows = [reader.features(raw) for raw in batch.column("raw").to_pylist()]
+            scores = own.score(np.array([f for f, _ in rows]).reshape(len(rows), -1)) if rows else []
+            hits = [[{"clause": c, "kind": KINDS[k], "weight": w} for c, k, w in found] for _, found in rows]
+            yield pa.record_batch([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(hits, _HITS)],
+                                  ["doc_id", "score", "hits"])
+
+    return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), as_bytes(text_col).alias("raw")) \
+        .mapInArrow(run, "doc_id bigint, score double, hits array<struct<clause: bigint, kind: string, weight: double>>")
+
+
+_HITS = pa.list_(pa.struct([("clause", pa.int64()), ("kind", pa.string()), ("weight", pa.float64())]))
 
 
 def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
