@@ -3,7 +3,8 @@
 Tokens are words (A-Z lower-cased) and one end per text. Restaurants, from the top:
 
 - spelling: byte trigrams of rare words, over the ALPHABET most frequent bytes;
-- rare words: all words but the DISHES most frequent; its parent is the spelling model;
+- rare words: all words but the DISHES most frequent; its parent is the spelling model. What that leaves
+  for words never met is the probability of one unknown word, as in the unigram base;
 - root: the DISHES most frequent words, one dish for any rare word, one for the end; its parent is
   uniform;
 - contexts: one restaurant for each of the CONTEXTS most frequent previous words, one for the start of
@@ -101,7 +102,7 @@ class Spelling:
 
     def __init__(self, symbol: np.ndarray, counts: np.ndarray):
         self.symbol = symbol
-        self.spread = np.log(max(1, int((symbol == OTHER).sum())))
+        self.spread = np.log(max(1, int((symbol == OTHER).sum())))  # the other bytes share a symbol
         tri = counts.reshape(64, 64, 64).astype(float)
         bi = tri.sum(0)
         one = (bi.sum(0) + 0.5) / (bi.sum() + 32)
@@ -285,15 +286,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
                 for _ in range(SAMPLES):
                     t = seat(n, p, theta, d, max(0, tables - 1), rng, table)
                     mean += (n - d * t + (theta + d * tables) * p) / (theta + customers)
-                yield pa.record_batch([batch.column("word"), batch.column("n"), pa.array(t),
-                                       pa.array(np.log10(mean / SAMPLES))], ["word", "n", "t", "log10"])
+                yield pa.record_batch([batch.column("word"), batch.column("n"), pa.array(t), pa.array(p),
+                                       pa.array(np.log10(mean / SAMPLES))], ["word", "n", "t", "p", "log10"])
 
-        return rare.mapInArrow(run, "word binary, n bigint, t bigint, log10 double")
+        return rare.mapInArrow(run, "word binary, n bigint, t bigint, p double, log10 double")
 
+    spelled = 0.0  # what the spelling model gives to rare words that were met
     for sweep in range(2):
-        all_tables = drawn(all_tables, sweep).agg(F.coalesce(F.sum("t"), F.lit(0))).first()[0]
+        all_tables, spelled = drawn(all_tables, sweep).agg(
+            F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("p"), F.lit(0.0))).first()
     seated = stored(drawn(all_tables, SWEEPS).select("word", "n", "log10"), "lm-seated")
-    fresh = np.log10((theta + d * all_tables) / (theta + customers))  # of a word never met, besides its spelling
+    unknown = float(np.log10((theta + d * all_tables) / (theta + customers) * max(1 - spelled, 1 / (v_all + 1))))
 
     tail = seated.join(F.broadcast(_words_frame(spark, words[n_dish:])), "word").toPandas() if len(words) > n_dish else None
     code = {w: i for i, w in enumerate(words)}
@@ -329,18 +332,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
     pairs = part.select("row", F.explode("others").alias("o")).select("row", "o.word", "o.k")
     joined = pairs.join(seated, "word", "left")
 
-    def unmet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spelled = spelling.value.log_p(batch.column("word").to_pylist()) / np.log(10) + fresh
-            n = batch.column("n").to_numpy(zero_copy_only=False)
-            got = np.where(np.isnan(n), spelled, batch.column("log10").to_numpy(zero_copy_only=False))
-            n, k = np.nan_to_num(n), batch.column("k").to_numpy()
-            yield pa.record_batch([batch.column("row"), pa.array(k * (n > 0)), pa.array(k * (np.log10(n + 0.1) - floor)),
-                                   pa.array(k * got)], ["row", "n_known", "base", "own"])
-
-    rest = joined.select("row", "word", "k", F.col("n").cast("double").alias("n"), "log10").mapInArrow(
-        unmet, "row bigint, n_known bigint, base double, own double").groupBy("row").agg(
-        F.sum("n_known").alias("more"), F.sum("base").alias("base"), F.sum("own").alias("own"))
+    n, k = F.coalesce("n", F.lit(0)), F.col("k")
+    rest = joined.groupBy("row").agg(
+        F.sum(F.when(n > 0, k).otherwise(0)).alias("more"),
+        F.sum(k * (F.log10(n + 0.1) - F.lit(float(floor)))).alias("base"),
+        F.sum(k * F.coalesce("log10", F.lit(unknown))).alias("own"))
     zero = F.lit(0.0)
     out = part.drop("others").join(rest, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
