@@ -104,3 +104,10 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .hpylm import score
 
     return score(docs_of(spark, sf_dir))
+
+
+@query("op2_ngram_join")
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chosenpath import similar_texts
+
+    return similar_texts(docs_of(spark, sf_dir))
