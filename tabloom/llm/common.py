@@ -68,3 +68,11 @@ def frequent(counts: DataFrame, most: int) -> DataFrame:
             break
         low = row["level"]
     return counts.where(level >= low) if low is not None else counts.limit(0)
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, key: str, heavy: int) -> DataFrame:
+    """Join every row with its group. Groups of more than `heavy` rows (so at most rows / heavy of
+    them) are broadcast, so that no task gets a hot key."""
+    hot = F.broadcast(groups.where(F.col("group_size") > heavy))
+    cold = rows.join(hot.select(key), key, "left_anti")
+    return rows.join(hot, key).unionByName(cold.join(groups.where(F.col("group_size") <= heavy), key))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_dir
-from .common import stored
+from .common import stored, with_groups
 
 #: A digest with more than this share of the rows is joined by broadcast: there are at most 1 / SHARE.
 SHARE = 1 / 500
@@ -65,21 +65,12 @@ class DigestIndex:
         self.spark.catalog.refreshTable(self.name)
         held = groups.drop("first_id").join(self.rows().hint("merge"), "digest")
         total = groups.agg(F.sum("group_size")).first()[0] or 0
-        return _with_groups(seen, held, max(2, int(total * SHARE))).select(
+        return with_groups(seen, held, "digest", max(2, int(total * SHARE))).select(
             "doc_id", "keep_id", "group_size",
             F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
             F.col("digest").alias("text_sha256"))
 
 
-def _with_groups(rows: DataFrame, groups: DataFrame, heavy: int) -> DataFrame:
-    """Join every row with its group; the few heavy groups are broadcast, so that no task gets a
-    hot digest."""
-    hot = F.broadcast(groups.where(F.col("group_size") > heavy))
-    cold = rows.join(hot.select("digest"), "digest", "left_anti")
-    return rows.join(hot, "digest").unionByName(
-        cold.join(groups.where(F.col("group_size") <= heavy), "digest"))
-
-
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  path: str | None = None) -> DataFrame:
     """`DigestIndex.add` on the index at `path`; without one, on a new index in the shared folder."""

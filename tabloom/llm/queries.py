@@ -111,3 +111,10 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chosenpath import similar_texts
 
     return similar_texts(docs_of(spark, sf_dir))
+
+
+@query("op5_suffix_dedup")
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import remove_repeats
+
+    return remove_repeats(docs_of(spark, sf_dir)).drop("edges")
