@@ -130,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
     sample = labelled_sample(known, "y", ["k"], PER_LABEL)
     if sample["y"].nunique() < 2:
         return float(sample["y"].mean()) if len(sample) else 0.5
-    wanted = F.broadcast(docs.sparkSession.createDataFrame(sample))
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(sample, "k bigint, y int"))
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("k"), as_bytes(text_col).alias("raw"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

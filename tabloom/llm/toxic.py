@@ -281,7 +281,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     sample = labelled_sample(known, "y", ["k"], PER_LABEL)
     if sample["y"].nunique() < 2:
         return Model(Insults({}, {}), PRIOR_KINDS, PRIOR_BIAS)
-    wanted = F.broadcast(docs.sparkSession.createDataFrame(sample))
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(sample, "k bigint, y int"))
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("k"),
                        F.substring(as_bytes(text_col), 1, SAMPLE_BYTES).alias("raw"))
     got = rows.join(wanted, "k").select("k", "y", "raw").toPandas()
