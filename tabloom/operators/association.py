@@ -180,17 +180,17 @@ def recommended_text(recommended: DataFrame) -> DataFrame:
     ), ", ").alias("items"))
 
 
-def explain_rules(rules: DataFrame, *, edges: int = 100, table: int = 20) -> dict[str, DataFrame]:
-    """Rule network, lift/confidence points and rule table."""
+def explain_rules(rules: DataFrame) -> dict[str, DataFrame]:
+    """Rule network, lift/confidence points and rule table, all rules in rule order."""
     names = [join_items(F.col("antecedent")), join_items(F.col("consequent"))]
     best = order_rules(rules)
     return {
         "nodes": rule_nodes(rules),
-        "edges": best.limit(edges).select(
+        "edges": best.select(
             names[0].alias("source"), names[1].alias("target"), "lift", "confidence"),
         "points": rules.select(
             "confidence", "lift", "support", rule_text(F.col("antecedent"), F.col("consequent")).alias("rule")),
-        "table": best.limit(table).select(
+        "table": best.select(
             names[0].alias("antecedent"), names[1].alias("consequent"), "support", "confidence", "lift"),
     }
 

@@ -17,7 +17,6 @@ from tabloom.operators.profile import (
 )
 
 WORST = 10
-SEGMENT_VALUES = 8
 HISTOGRAM_BINS = 20
 MOST_CONFUSED = 5
 IMBALANCE_RATIO = 2.0
@@ -38,20 +37,23 @@ def worst_n(df: DataFrame, by: str, key: str, *, n: int = WORST, largest: bool =
 
 def segment_errors(
     df: DataFrame, segments: Sequence[str] | None = None, *, error: str = "error",
-    target: str | None = None, cap: int = SEGMENT_VALUES,
+    target: str | None = None,
 ) -> DataFrame:
-    """Mean error and rows per value of every categorical column with few values."""
+    """Mean error and rows per value of every segment column (all categorical columns unless
+    named), in one pass over the rows."""
     columns = [c for c in (segments or categorical_columns(df)) if c != target]
-    parts = [
-        df.groupBy(F.col(f"`{c}`").cast("string").alias("value"))
-        .agg(F.avg(error).alias("mean_abs_error"), F.count("*").alias("rows"))
-        .select(F.lit(c).alias("column"), "value", "mean_abs_error", "rows")
-        for c in _low_cardinality(df, columns, cap)
-    ]
-    if not parts:
+    if not columns:
         return df.sparkSession.createDataFrame(
             [], "column string, value string, mean_abs_error double, rows long")
-    return reduce(DataFrame.unionByName, parts).orderBy("column", F.desc("mean_abs_error"), "value")
+    cells = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns
+    ]))
+    return (
+        df.select(F.col(f"`{error}`").alias("__e"), cells.alias("__s")).groupBy("__s")
+        .agg(F.avg("__e").alias("mean_abs_error"), F.count("*").alias("rows"))
+        .select("__s.column", "__s.value", "mean_abs_error", "rows")
+        .orderBy("column", F.desc("mean_abs_error"), "value")
+    )
 
 
 def dense_confusion(df: DataFrame, truth: str = "truth", prediction: str = "prediction") -> DataFrame:

@@ -18,13 +18,10 @@ from tabloom.functions.quantiles import exact_quantiles
 from tabloom.operators import clusters as K
 from tabloom.operators import metrics as M
 from tabloom.operators.models import CLASSIFICATION
-from tabloom.operators.profile import NUMERIC, hash_sample, type_of
+from tabloom.operators.profile import NUMERIC, type_of
 from tabloom.operators.training import Trained, pca_parts
 
 # Sizes of the explanations.
-BACKGROUND_ROWS = 100
-ICE_ROWS = 20
-PDP_FEATURES = 2
 GRID_POINTS = 100
 REPEATS = 3
 GRADIENT_STEPS = 32
@@ -101,8 +98,8 @@ def explain_permutation(
         rows.append((c, float(np.mean(drops)), float(statistics.pstdev(drops))))
     df.unpersist()
     rows.sort(key=lambda r: (-r[1], r[0]))
-    sizes = sorted((abs(r[1]) for r in rows), reverse=True)
-    close = len(sizes) > 1 and sum(r[1] for r in rows) > 0 and sizes[0] > 0 and sizes[1] / sizes[0] > SPREAD
+    strength = np.sort(np.abs([r[1] for r in rows]))
+    close = bool(np.sum([r[1] for r in rows]) > 0 and (strength[-2:-1] > SPREAD * strength[-1:]).any())
     return df.sparkSession.createDataFrame(
         [(*r, close) for r in rows], "feature string, importance double, std double, spread boolean"
     )
@@ -117,24 +114,25 @@ def _grid(df: DataFrame, column: str) -> list[float]:
     return [float(v) for v in np.linspace(low, high, GRID_POINTS)]
 
 
-def explain_pdp_ice(trained: Trained, df: DataFrame) -> dict[str, DataFrame]:
-    """Average and individual response over a grid of the first two numeric inputs, on a
-    background of at most a hundred rows."""
+def explain_pdp_ice(
+    trained: Trained, df: DataFrame, *, features: Sequence[str] | None = None,
+    curves_of: DataFrame | None = None,
+) -> dict[str, DataFrame]:
+    """Response over a grid of every numeric input (or of `features`): the average over all rows of
+    `df`, and one curve per row, or only per key of `curves_of`."""
     task = trained.task
-    background = hash_sample(df, task.key, BACKGROUND_ROWS)
-    individual = hash_sample(df.select(task.key), task.key, ICE_ROWS)
+    chosen = features or [n for n in trained.features.numeric if type_of(df, n) in NUMERIC]
     average, curves = None, None
-    for c in [n for n in trained.features.numeric if type_of(df, n) in NUMERIC][:PDP_FEATURES]:
+    for c in chosen:
         grid = F.explode(F.expr(f"array({', '.join(f'{v!r}D' for v in _grid(df, c))})"))
-        moved = background.withColumn("__g", grid).withColumn(c, F.col("__g"))
-        scored = trained.predict(moved)
-        response = f"p_{trained.labels[-1]}" if f"p_{trained.labels[-1] if trained.labels else ''}" in scored.columns else "prediction"
+        scored = trained.predict(df.withColumn("__g", grid).withColumn(c, F.col("__g")))
+        response = f"p_{trained.labels[-1] if trained.labels else ''}"
         points = scored.select(
             F.lit(c).alias("feature"), task.key, F.col("__g").alias("grid"),
-            F.col(response).cast("double").alias("response"),
+            F.col(response if response in scored.columns else "prediction").cast("double").alias("response"),
         )
         mean = points.groupBy("feature", "grid").agg(F.avg("response").alias("average"))
-        own = points.join(F.broadcast(individual), task.key)
+        own = points if curves_of is None else points.join(curves_of.select(task.key).distinct(), task.key)
         average = mean if average is None else average.unionByName(mean)
         curves = own if curves is None else curves.unionByName(own)
     return {"average": average, "ice": curves}
@@ -151,45 +149,61 @@ def _network(trained: Trained) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _forward(layers, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    hidden, a = [], x
-    for i, (w, b) in enumerate(layers):
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    """Logistic function without overflow, by the identity with the hyperbolic tangent."""
+    return 0.5 * (1.0 + np.tanh(0.5 * z))
+
+
+def _class_gradient(layers, x: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Gradient of the probability of class `target` at each row of `x`.
+
+    The network is a chain of maps; its Jacobian is multiplied out from the input on, so that
+    after the last layer `jac[r]` holds d logits / d inputs of row r, and the softmax Jacobian
+    row diag(p) - p p' picks the class."""
+    jac, a = None, x
+    for depth, (w, b) in enumerate(layers, 1):
         z = a @ w.T + b
-        if i < len(layers) - 1:
-            a = 1.0 / (1.0 + np.exp(-np.clip(z, -60.0, 60.0)))
-            hidden.append(a)
-        else:
-            e = np.exp(z - z.max(axis=1, keepdims=True))
-            a = e / e.sum(axis=1, keepdims=True)
-    return a, hidden
+        jac = np.broadcast_to(w, (len(x), *w.shape)) if jac is None else np.einsum("oh,rhi->roi", w, jac)
+        if depth < len(layers):
+            a = _sigmoid(z)
+            jac = jac * (a - a * a)[:, :, None]
+    p = _softmax(z)
+    row = p[np.arange(len(x)), target, None] * (np.eye(p.shape[1])[target] - p)
+    return np.einsum("ro,roi->ri", row, jac)
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    return 1.0 / np.exp(z[:, None, :] - z[:, :, None]).sum(axis=2)
+
+
+def _most_likely(layers, x: np.ndarray) -> np.ndarray:
+    for w, b in layers[:-1]:
+        x = _sigmoid(x @ w.T + b)
+    return (x @ layers[-1][0].T + layers[-1][1]).argmax(axis=1)
 
 
 def integrated_gradients(
     trained: Trained, df: DataFrame, *, steps: int = GRADIENT_STEPS
 ) -> DataFrame:
-    """Attribution of the predicted-class probability to every prepared feature, from a zero
-    baseline with midpoint steps."""
+    """Attribution of the predicted-class probability to every prepared feature: the mean gradient
+    along the straight path from zero, at the midpoints of `steps` pieces, times the value."""
     layers, key, names = _network(trained), trained.task.key, trained.features.names
     kind = df.schema[key].dataType.simpleString()
     rows = trained.vectors(df).select(key, vector_to_array("features").alias("x"))
     shipped = df.sparkSession.sparkContext.broadcast(layers)
+    path = (np.arange(steps) + 0.5) / steps
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         net = shipped.value
         for pdf in batches:
-            x = np.asarray(pdf["x"].tolist(), dtype=float).reshape(len(pdf), -1)
-            total = np.zeros_like(x)
-            each = np.arange(len(pdf))
-            target = _forward(net, x)[0].argmax(axis=1) if len(pdf) else each
-            for s in range(steps):
-                p, hidden = _forward(net, x * ((s + 0.5) / steps))
-                chosen = p[each, target][:, None]
-                delta = -p * chosen
-                delta[each, target] += chosen[:, 0]
-                for (w, _), a in zip(reversed(net[1:]), reversed(hidden)):
-                    delta = (delta @ w) * a * (1.0 - a)
-                total += delta @ net[0][0]
-            values = pd.DataFrame(total / steps * x, columns=names, index=pdf.index)
+            x = np.array(pdf["x"].tolist(), dtype=float).reshape(len(pdf), len(names))
+            mean = np.zeros_like(x)
+            for at in range(0, len(x), 64):  # all steps of 64 rows are one stacked batch
+                part = x[at : at + 64]
+                stack = (path[:, None, None] * part).reshape(-1, part.shape[1])
+                slopes = _class_gradient(net, stack, np.tile(_most_likely(net, part), steps))
+                mean[at : at + 64] = slopes.reshape(steps, *part.shape).mean(axis=0)
+            values = pd.DataFrame(mean * x, columns=names, index=pdf.index)
             yield pd.concat([pdf[[key]], values], axis=1)
 
     schema = ", ".join([f"`{key}` {kind}", *[f"`{n}` double" for n in names]])

@@ -282,12 +282,8 @@ def chi_square(df: DataFrame, target: str, features: Sequence[str]) -> DataFrame
     )
 
 
-def crosstab(
-    df: DataFrame, feature: str, target: str, values: Sequence, *, cap: int = CATEGORY_CAP
-) -> DataFrame:
-    """Feature x target counts, for a feature with at most `cap` values."""
-    if not _low_cardinality(df, [feature], cap):
-        raise ValueError(f"'{feature}' has more than {cap} values")
+def crosstab(df: DataFrame, feature: str, target: str, values: Sequence) -> DataFrame:
+    """Counts of each feature value against the given target values."""
     present = df.filter(~_missing(df, feature) & ~_missing(df, target))
     return present.groupBy(feature).agg(
         *[F.count_if(F.col(target) == F.lit(v)).alias(str(v)) for v in values]
@@ -373,18 +369,14 @@ def target_histogram(df: DataFrame, target: str, *, bins: int = HISTOGRAM_BINS)
     return histogram_table(df, target, bins, right_closed=True)
 
 
-def regression_report(
-    df: DataFrame, target: str, features: Sequence[str], *, scatter_rows: int = 5_000
-) -> dict[str, DataFrame]:
-    """Target skew, hint and histogram; the complete-row scatter only for small tables."""
-    out = {
+def regression_report(df: DataFrame, target: str, features: Sequence[str]) -> dict[str, DataFrame]:
+    """Target skew, hint and histogram, and the complete rows as scatter."""
+    return {
         "skew": skew(df, [target]),
         "hint": skew_hint(df, [target]),
         "histogram": target_histogram(df, target),
+        "scatter": dropna_complete(df.select(*features, target), [*features, target]),
     }
-    if df.count() <= scatter_rows:
-        out["scatter"] = dropna_complete(df.select(*features, target), [*features, target])
-    return out
 
 
 # outliers and multivariate statistics -------------------------------------------------
@@ -500,15 +492,14 @@ def correlation_groups(
 ) -> DataFrame:
     """Features joined to the first feature they correlate with, in column order."""
     r = np.abs(np.nan_to_num(_correlation(df, columns)))
-    taken: set[int] = set()
+    leads: list[int] = []
     rows = []
-    for i, lead in enumerate(columns):
-        if i in taken:
-            continue
-        mates = [j for j in range(len(columns)) if j != i and j not in taken and r[i, j] >= limit]
-        taken.update([i, *mates])
-        if mates:
-            rows += [(lead, columns[j], float(r[i, j])) for j in mates]
+    for j, member in enumerate(columns):  # every column looks back for the first lead it follows
+        behind = next((i for i in leads if r[i, j] >= limit), None)
+        if behind is None:
+            leads.append(j)
+        else:
+            rows.append((columns[behind], member, float(r[behind, j])))
     return df.sparkSession.createDataFrame(rows, "lead string, member string, r double")
 
 

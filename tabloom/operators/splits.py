@@ -54,8 +54,8 @@ def split_stratified(
 ) -> DataFrame:
     """round(test_size * rows) test rows of every class."""
     placed = row_positions(
-        df.withColumn("__h", unit_hash(key, seed=seed)), "__h", by=[label], out="__pos",
-        total="__n", uniform=True,
+        df.withColumn("__h", unit_hash(key, seed=seed)), "__h", by=[label], tie=key,
+        out="__pos", total="__n", uniform=True,
     )
     test = F.col("__pos") < F.round(F.col("__n") * test_size)
     return placed.withColumn("split", _side(test)).drop("__h", "__pos", "__n")
@@ -84,7 +84,7 @@ def cv_kfold(df: DataFrame, key: str, *, folds: int = FOLDS, seed: int = 0) -> D
 
 def cv_stratified(df: DataFrame, key: str, label: str, *, folds: int = FOLDS, seed: int = 0) -> DataFrame:
     placed = row_positions(
-        df.withColumn("__h", unit_hash(key, seed=seed)), "__h", by=[label], out="__pos", uniform=True
+        df.withColumn("__h", unit_hash(key, seed=seed)), "__h", by=[label], tie=key, out="__pos", uniform=True
     )
     return placed.withColumn("fold", (F.col("__pos") % folds).cast("int")).drop("__h", "__pos")
 
@@ -135,16 +135,11 @@ def backtest_cuts(
 def validation_split(
     df: DataFrame, key: str, *, label: str | None = None, fraction: float = 0.1, seed: int = 0
 ) -> DataFrame:
-    """Boolean `validation`: round(fraction * rows) rows, per class when every class can give
-    some; none for tables too small to hold out two rows."""
-    n = df.count()
-    held = round(n * fraction)
-    if n < 10 or held < 2 or n - held < 2:
-        return df.withColumn("validation", F.lit(False))
-    if label is not None:
-        classes = df.groupBy(label).count().agg(F.min("count"), F.count("*")).first()
-        if classes[0] >= 2 and held >= classes[1] and n - held >= classes[1]:
-            split = split_stratified(df, key, label, test_size=fraction, seed=seed)
-            return split.withColumn("validation", F.col("split") == "test").drop("split")
-    (cut,) = _cuts(df, [key], seed, [held - 1])
-    return df.withColumn("validation", unit_hash(key, seed=seed) <= cut)
+    """Boolean `validation`. Every class (the whole table without a label) gives its quota,
+    round(fraction * rows) but never its last row, in hash order of the key."""
+    placed = row_positions(
+        df.withColumn("__h", unit_hash(key, seed=seed)), "__h", by=[label] if label else [],
+        tie=key, out="__pos", total="__n", uniform=True,
+    )
+    quota = F.least(F.round(F.col("__n") * fraction), F.col("__n") - 1)
+    return placed.withColumn("validation", F.col("__pos") < quota).drop("__h", "__pos", "__n")

@@ -20,11 +20,8 @@ from tabloom.operators.splits import backtest_cuts
 # Limits of the series statistics.
 PERIOD = 12
 WINDOWS = (3, 5, 13)
-MAX_LAG = 40
 ADF_CRITICAL = -2.86
 MIN_ROWS = 4
-MAX_HORIZON = 48
-HISTORY_ROWS = 500
 
 
 def series_frame(
@@ -78,35 +75,40 @@ def decompose(placed: DataFrame, series: Sequence[str]) -> DataFrame:
     return joined.withColumn("residual", F.col("y") - F.col("trend") - F.col("seasonal"))
 
 
-def max_lag(n: Column) -> Column:
-    return F.least(F.lit(MAX_LAG), F.greatest(F.lit(1), F.floor(n / 2) - 1)).cast("int")
+#: Lags unless the caller asks for more; a series of n rows has at most n / 2 - 1.
+LAGS = 40
 
 
-def acf(placed: DataFrame, series: Sequence[str]) -> DataFrame:
-    """Autocorrelation per series and lag, with the series sum of squares below."""
+def max_lag(n: Column, lags: int = LAGS) -> Column:
+    return F.least(F.lit(lags), F.greatest(F.lit(1), F.floor(n / 2) - 1)).cast("int")
+
+
+def acf(placed: DataFrame, series: Sequence[str], *, lags: int = LAGS) -> DataFrame:
+    """Autocorrelation per series and lag up to `lags`, with the series sum of squares below."""
+    most = lags
     means = placed.groupBy(*series).agg(F.avg("y").alias("m"))
     centred = placed.join(means, list(series)).withColumn("c", F.col("y") - F.col("m"))
-    rows, _, home = with_halo(centred.select(*series, "pos", "n", "c"), series, before=MAX_LAG)
+    rows, _, home = with_halo(centred.select(*series, "pos", "n", "c"), series, before=most)
     over = f"OVER (PARTITION BY {', '.join(f'`{c}`' for c in [*series, '__block'])} ORDER BY pos)"
-    lags = range(1, MAX_LAG + 1)
+    steps = range(1, most + 1)
     products = rows.withColumn("__home", home).selectExpr(
-        *[f"`{c}`" for c in series], "n", "c", "__home", *[f"c * lag(c, {k}) {over} AS p{k}" for k in lags]
+        *[f"`{c}`" for c in series], "n", "c", "__home", *[f"c * lag(c, {k}) {over} AS p{k}" for k in steps]
     ).filter("__home")
     sums = products.groupBy(*series).agg(
         F.max("n").alias("n"), F.sum(F.col("c") * F.col("c")).alias("d"),
-        F.expr(f"array({', '.join(f'coalesce(sum(p{k}), 0D)' for k in lags)})").alias("p"),
+        F.expr(f"array({', '.join(f'coalesce(sum(p{k}), 0D)' for k in steps)})").alias("p"),
     )
     pairs = F.explode(F.expr("transform(p, (x, i) -> named_struct('lag', i + 1, 'p', x))")).alias("r")
     value = F.when(F.col("d") > 1e-12, F.col("r.p") / F.nullif("d", F.lit(0.0))).otherwise(0.0)
     return (
-        sums.select(*series, "n", "d", pairs).filter(F.col("r.lag") <= max_lag(F.col("n")))
+        sums.select(*series, "n", "d", pairs).filter(F.col("r.lag") <= max_lag(F.col("n"), most))
         .select(*series, F.col("r.lag").alias("lag"), value.alias("acf"))
     )
 
 
 def pacf(correlations: DataFrame, series: Sequence[str]) -> DataFrame:
-    """Partial autocorrelation by the Durbin-Levinson recursion; a series brings at most
-    forty numbers."""
+    """Partial autocorrelation by the Durbin-Levinson recursion; a series brings one
+    number per lag."""
     fields = [correlations.schema[c] for c in series]
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields],
                         "lag int", "pacf double"])
@@ -188,7 +190,9 @@ def lag_features(
 
 
 def horizon(steps: int) -> int:
-    return max(1, min(int(steps), MAX_HORIZON))
+    if int(steps) < 1:
+        raise ValueError("a forecast needs at least one step")
+    return int(steps)
 
 
 def forecast_naive(df: DataFrame, series: Sequence[str], time: str, y: str, steps: int) -> DataFrame:
@@ -210,8 +214,10 @@ def forecast_seasonal_naive(
     )
 
 
-def history_trace(placed: DataFrame, series: Sequence[str], time: str, *, rows: int = HISTORY_ROWS) -> DataFrame:
-    return placed.filter(F.col("pos") >= F.col("n") - rows).select(
+def history_trace(placed: DataFrame, series: Sequence[str], time: str, *, rows: int | None = None) -> DataFrame:
+    """The whole series, or its last `rows` points."""
+    kept = placed if rows is None else placed.filter(F.col("pos") >= F.col("n") - rows)
+    return kept.select(
         *series, time, F.round("y", 6).alias("value")
     )
 

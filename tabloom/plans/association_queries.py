@@ -158,8 +158,8 @@ _ORDER = "ORDER BY lift DESC, confidence DESC, support DESC, antecedent, consequ
 
 
 @query("explain_rules", f"""WITH u AS MATERIALIZED (SELECT * FROM {RULES})
-SELECT 'edge' AS part, array_to_string(antecedent, ' + ') AS a, array_to_string(consequent, ' + ') AS b, lift AS value FROM (SELECT * FROM u {_ORDER} LIMIT 100)
-UNION ALL SELECT 'table', array_to_string(antecedent, ' + '), array_to_string(consequent, ' + '), support FROM (SELECT * FROM u {_ORDER} LIMIT 20)
+SELECT 'edge' AS part, array_to_string(antecedent, ' + ') AS a, array_to_string(consequent, ' + ') AS b, lift AS value FROM u
+UNION ALL SELECT 'table', array_to_string(antecedent, ' + '), array_to_string(consequent, ' + '), support FROM u
 UNION ALL SELECT 'point', array_to_string(antecedent, ' + ') || ' => ' || array_to_string(consequent, ' + '), '', confidence FROM u""")
 def explain_rules(spark, sf):
     from tabloom.operators.reports import long_report

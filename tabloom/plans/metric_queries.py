@@ -193,7 +193,8 @@ def top_flagged(spark, sf):
 
 
 @query("segment_errors", f"""SELECT 'l_returnflag' AS "column", l_returnflag AS value, round(avg(abs(prediction - truth)), 4) AS mean_abs_error, count(*) AS rows FROM {REGRESSED} GROUP BY 2
-UNION ALL SELECT 'l_linestatus', l_linestatus, round(avg(abs(prediction - truth)), 4), count(*) FROM {REGRESSED} GROUP BY 2""")
+UNION ALL SELECT 'l_linestatus', l_linestatus, round(avg(abs(prediction - truth)), 4), count(*) FROM {REGRESSED} GROUP BY 2
+UNION ALL SELECT 'row_key', row_key::VARCHAR, round(avg(abs(prediction - truth)), 4), count(*) FROM {REGRESSED} GROUP BY 2""")
 def segment_errors(spark, sf):
     e = E.row_error(regressed(spark, sf))
     return rounded(E.segment_errors(e, ["l_returnflag", "l_linestatus", "row_key"]), 4)

@@ -133,7 +133,7 @@ def forecast_seasonal_naive(spark, sf):
     return T.forecast_seasonal_naive(placed(spark, sf), KEY, 24)
 
 
-@query("history_trace", f"SELECT event_type, day, round(y, 6) AS value FROM {PLACED} WHERE pos >= n - 500")
+@query("history_trace", f"SELECT event_type, day, round(y, 6) AS value FROM {PLACED}")
 def history_trace(spark, sf):
     return T.history_trace(placed(spark, sf), KEY, "day")
 

@@ -85,18 +85,20 @@ def read_version(spark, sf):
 
 def digest_sql(source: str, columns) -> str:
     """`columns` maps a sorted column name to its text expression."""
-    parts = ", ".join(f"coalesce(CAST({e} AS VARCHAR), '<null>')" for e in columns)
-    return f"""SELECT count(*) AS rows, CAST(sum(CAST('0x' || substr(md5(concat_ws('|', {parts})), 1, 12) AS BIGINT)) AS VARCHAR) AS digest FROM {source}"""
+    parts = ", ".join(f"coalesce(length(CAST({e} AS VARCHAR)) || ':' || CAST({e} AS VARCHAR), '-')" for e in columns)
+    half = "CAST(sum(CAST('0x' || substr(m, {}, 16) AS UBIGINT)) AS VARCHAR)"
+    return f"""SELECT count(*) AS rows, {half.format(1)} || '-' || {half.format(17)} AS digest
+FROM (SELECT md5(concat_ws('|', {parts})) AS m FROM {source})"""
 
 
 @query("dataset_hash", digest_sql("orders", [
-    "o_orderkey", "o_orderpriority", "o_orderstatus", "CAST(o_totalprice AS DECIMAL(38,6))"]))
+    "o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice"]))
 def dataset_hash(spark, sf):
     return W.dataset_hash(orders(spark, sf))
 
 
 @query("replay_steps", digest_sql(CLEANED, [
-    "CAST(balance AS DECIMAL(38,6))", "c_custkey", "CAST(nation AS DECIMAL(38,6))", "segment"]))
+    "balance", "c_custkey", "nation", "segment"]))
 def replay_steps(spark, sf):
     done = W.replay(messy_doubled(spark, sf), [
         ("dedupe", {}), ("fix_dtypes", {}), ("drop_missing_target", {"target": "segment"}),
@@ -154,5 +156,5 @@ def stream_score(spark, sf):
     done = score_available(spark, sf, "events.parquet", [
         lambda df: df.select("event_id", "value", (F.col("value") > fences["value"][1]).cast("int").alias("flagged")),
         lambda df: C.clip(df, fences), lambda df: X.scale(df, scaler),
-    ])
+    ], scratch_dir(spark, "stream-score"))
     return done.select("event_id", F.round("value", 6).alias("scaled"), "flagged")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,14 +47,19 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession, prefix: str) -> str:
-    """A fresh folder every executor can reach: the shared checkpoint folder when the
-    session names one, a local temporary folder otherwise (tests, single machine)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        import uuid
+    """A fresh folder every executor can reach, in the shared folder the session names; a
+    temporary folder on a single machine, an error on a cluster without a shared folder."""
+    return f"{shared_folder(spark)}/{prefix}-{uuid.uuid4().hex}"
 
-        return f"{shared.rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"{prefix}-")
+
+def shared_folder(spark: SparkSession) -> str:
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="tabloom-")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -61,7 +68,5 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tabloom-cp-")
-        )
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from tabloom.operators.profile import schema_report
 
-DIGEST_SCALE = 6
 Step = tuple[str, Mapping[str, Any]]
 
 
@@ -38,21 +37,19 @@ def read_version_info(spark: SparkSession, root: str, version: int) -> DataFrame
 
 
 def _text(df: DataFrame, name: str) -> Column:
-    kind = df.schema[name].dataType.typeName()
-    c = F.col(f"`{name}`")
-    if kind in ("double", "float"):
-        c = c.cast(f"decimal(38,{DIGEST_SCALE})")
-    return F.coalesce(c.cast("string"), F.lit("<null>"))
+    """Length and text of a value; a null has no length, so nothing else reads the same."""
+    text = F.col(f"`{name}`").cast("string")
+    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
 
 
 def dataset_hash(df: DataFrame) -> DataFrame:
     """(rows, digest): a digest of the content that depends neither on row order nor on how
-    the data is cut into files. Doubles are compared to six decimals."""
+    the data is cut into files: per row an md5 of the length-prefixed texts, of which both halves
+    are summed."""
     row = F.md5(F.concat_ws("|", *[_text(df, c) for c in sorted(df.columns)]).cast("binary"))
-    number = F.conv(F.substring(row, 1, 12), 16, 10).cast("decimal(38,0)")
-    return df.agg(
-        F.count("*").alias("rows"), F.coalesce(F.sum(number), F.lit(0)).cast("string").alias("digest")
-    )
+    halves = [F.conv(F.substring(row, at, 16), 16, 10).cast("decimal(38,0)") for at in (1, 17)]
+    sums = [F.coalesce(F.sum(h), F.lit(0)).cast("string") for h in halves]
+    return df.agg(F.count("*").alias("rows"), F.concat_ws("-", *sums).alias("digest"))
 
 
 def replay(

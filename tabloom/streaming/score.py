@@ -6,8 +6,6 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.session import scratch_dir
-
 Step = Callable[[DataFrame], DataFrame]
 
 
@@ -20,13 +18,14 @@ def apply_steps(stream: DataFrame, steps: Sequence[Step]) -> DataFrame:
 
 
 def score_available(
-    spark: SparkSession, path: str, pattern: str, steps: Sequence[Step], out: str | None = None
+    spark: SparkSession, path: str, pattern: str, steps: Sequence[Step], out: str
 ) -> DataFrame:
     """Score all files now under `path` through a stream and read the result back. The sink
-    and its checkpoint live in the shared scratch folder, so a restart resumes exactly."""
+    and its checkpoint live under `out`, a folder that all executors share: called again with the
+    same `out`, only files that came since are scored."""
     schema = spark.read.option("pathGlobFilter", pattern).parquet(path).schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(path)
-    root = out or scratch_dir(spark, "stream-score")
+    root = out.rstrip("/")
     running = (
         apply_steps(stream, steps).writeStream.format("parquet").outputMode("append")
         .option("checkpointLocation", f"{root}/checkpoint").option("path", f"{root}/scored")
