@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
@@ -24,24 +25,30 @@ FEW_VALUES = 180
 
 
 def order_number(df: DataFrame, name: str) -> Column | None:
-    """A double that never falls where the column grows, or None where there is none."""
+    """A number that never falls where the column grows, or None where there is none. It is the
+    value itself, in its own exact type, for all but strings."""
     kind = df.schema[name].dataType.typeName()
     c = F.col(f"`{name}`")
-    if kind in ("timestamp", "timestamp_ntz"):
-        seconds = F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
-        return (F.unix_date(F.to_date(c)) * 86400 + seconds).cast("double")
+    if kind == "timestamp":
+        return F.unix_micros(c)
+    if kind == "timestamp_ntz":
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', `{name}`)")
     if kind == "date":
-        return F.unix_date(c).cast("double")
+        return F.unix_date(c).cast("bigint")
     if kind == "string":
         low, high = (bytes(v or "", "utf-8") for v in df.agg(F.min(c), F.max(c)).first())
         shared = 0
         while shared < min(len(low), len(high)) and low[shared] == high[shared]:
             shared += 1
         head = F.hex(F.substring(c.cast("binary"), shared + 1, 6))
-        return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double")
-    if kind in ("boolean", "binary", "array", "map", "struct"):
-        return None
-    return c.cast("double")
+        return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("bigint")
+    if kind in ("byte", "short", "integer", "long"):
+        return c.cast("bigint")
+    if kind == "decimal":
+        return c
+    if kind in ("float", "double"):
+        return c.cast("double")
+    return None
 
 
 def _approx_edges(number: Column, parts: int) -> Column:
@@ -49,40 +56,55 @@ def _approx_edges(number: Column, parts: int) -> Column:
     return F.percentile_approx(number, F.expr(f"array({shares})"), F.lit(max(1000, 20 * parts)))
 
 
-def _edges(df: DataFrame, numbers: Sequence[tuple[Column, int]]) -> list[list[float]]:
+def _apart(values: Sequence) -> list:
+    """Sorted values that also differ as doubles."""
+    return [v for _, v in sorted({float(v): v for v in values}.items())]
+
+
+def _edges(df: DataFrame, numbers: Sequence[tuple[Column, int]]) -> list[list]:
     """Approximate quantile edges of several columns, in one pass."""
     cut_up = [i for i, (_, parts) in enumerate(numbers) if parts > 1]
     row = df.agg(*[_approx_edges(*numbers[i]) for i in cut_up]).first() if cut_up else []
-    out: list[list[float]] = [[] for _ in numbers]
+    out: list[list] = [[] for _ in numbers]
     for i, found in zip(cut_up, row):
-        out[i] = sorted(set(found or []))
+        out[i] = _apart(found or [])
     return out
 
 
 def _search(edges: Sequence[float], low: int, high: int) -> str:
-    """A balanced tree of comparisons: 2b for a value equal to edge b, 2b+1 above it."""
+    """A balanced tree of comparisons: how many edges do not exceed the value."""
     if low == high:
-        return str(2 * low + 1)
+        return str(low)
     mid = (low + high) // 2
-    edge = f"{edges[mid]!r}D"
-    return (
-        f"IF(__x < {edge}, {_search(edges, low, mid)}, "
-        f"IF(__x = {edge}, {2 * mid + 2}, {_search(edges, mid + 1, high)}))"
-    )
+    return f"IF(__x < {edges[mid]!r}D, {_search(edges, low, mid)}, {_search(edges, mid + 1, high)})"
 
 
-def _tag(df: DataFrame, number: Column, edges: Sequence[float], out: str) -> DataFrame:
-    """Range of a value: odd codes are open ranges between edges, even codes single edges."""
+def _literal(value) -> str:
+    if isinstance(value, Decimal):
+        return f"{value:f}BD"
+    return f"{value}L" if isinstance(value, int) else f"{value!r}D"
+
+
+def _tag(df: DataFrame, number: Column, edges: Sequence, out: str) -> DataFrame:
+    """Range of a value: odd codes are open ranges between edges, even codes single edges. The
+    edge is found among doubles; whether the value is the edge, or just beside it, is decided on the
+    exact numbers."""
     if not edges:
         return df.withColumn(out, F.lit(1))
+    rough = [float(e) for e in edges]
+    with_x = df.withColumn("__n", number).withColumn("__x", F.col("__n").cast("double"))
     if len(edges) <= TREE_EDGES:
-        return df.withColumn("__x", number).withColumn(
-            out, F.expr(_search(edges, 0, len(edges)))
-        ).drop("__x")
-    splits = [float("-inf"), *edges, float("inf")]
-    cut_up = Bucketizer(splits=splits, inputCol="__x", outputCol="__b").transform(df.withColumn("__x", number))
-    low = f"element_at(array(double('-Infinity'), {', '.join(f'{e!r}D' for e in edges)}), int(__b) + 1)"
-    return cut_up.withColumn(out, F.expr(f"int(__b) * 2 + int(__x > {low})")).drop("__x", "__b")
+        placed = with_x.withColumn("__b", F.expr(_search(rough, 0, len(edges))))
+    else:
+        splits = [float("-inf"), *rough, float("inf")]
+        placed = Bucketizer(splits=splits, inputCol="__x", outputCol="__b").transform(with_x)
+    b = F.col("__b").cast("int")
+    edge = F.element_at(F.expr(f"array({', '.join(map(_literal, edges))})"), F.greatest(b, F.lit(1)))
+    code = (
+        F.when(b == 0, 1).when(F.col("__n") < edge, 2 * b - 1).when(F.col("__n") == edge, 2 * b)
+        .otherwise(2 * b + 1)
+    )
+    return placed.withColumn(out, code.cast("int")).drop("__n", "__x", "__b")
 
 
 def _ranges(
@@ -95,8 +117,8 @@ def _ranges(
     number = order_number(df, order)
     if number is None:
         return df.withColumn("__code", F.lit(1)).withColumn("__sub", F.lit(1))
-    # two timestamps or strings may share a number, so only true numbers can be split by tie
-    splits = df.schema[order].dataType.typeName() not in ("string", "timestamp", "timestamp_ntz")
+    # two strings may share a number; all other numbers are the value, which ties can split
+    splits = df.schema[order].dataType.typeName() != "string"
     tie_number = order_number(df, tie) if tie and splits else None
     if tie and df.schema[tie].dataType.typeName() == "string":
         tie_number = None
@@ -179,11 +201,15 @@ def value_ranks(df: DataFrame, columns: Mapping[str, tuple[str, str]]) -> DataFr
     numbers = [order_number(df, c) for c in names]
     row = df.agg(
         *[F.approx_count_distinct(n) for n in numbers],
+        *[F.max(F.abs(n.cast("double"))) for n in numbers],
         *[_approx_edges(n, max(parts, 2)) for n in numbers],
     ).first()
     # a column with few values makes each value a range of its own and needs no window
-    few = {i for i in range(len(names)) if row[i] <= FEW_VALUES}
-    edges = [sorted(set(found or [])) for found in row[len(names) :]]
+    # (its values are told apart as doubles, so they must be exact there)
+    exact = [df.schema[c].dataType.typeName() != "decimal" and (row[len(names) + i] or 0) < 2.0**53
+             for i, c in enumerate(names)]
+    few = {i for i in range(len(names)) if row[i] <= FEW_VALUES and exact[i]}
+    edges = [_apart(found or []) for found in row[2 * len(names) :]]
     tagged = df
     for i in range(len(names)):
         if i not in few:

@@ -71,7 +71,12 @@ def encode_ordinal(df: DataFrame, column: str, categories: DataFrame) -> DataFra
 
 
 def one_hot_names(column: str, categories: Sequence[str | None]) -> list[tuple[str, str | None]]:
-    return [(f"{column}_{'missing' if v is None else v}", v) for v in categories]
+    """Column name per category; the name of the missing one is lengthened until it is free."""
+    taken = {f"{column}_{v}" for v in categories if v is not None}
+    gap = f"{column}_missing"
+    while gap in taken:
+        gap += "_"
+    return [(gap if v is None else f"{column}_{v}", v) for v in categories]
 
 
 def fit_one_hot(df: DataFrame, column: str) -> list[str | None]:

@@ -87,9 +87,10 @@ def reconstruction_rows(trained: Trained, df: DataFrame, *, share: float = 0.8)
     return rows.select("*", F.lit(limit).alias("threshold"), (F.col("error") > limit).alias("above"))
 
 
-def learning_curve(trained: Trained, df: DataFrame) -> DataFrame:
-    """Loss per iteration with the best iteration so far marked. Boosting reports training
-    and held-out loss per round; other models report their objective history."""
+def learning_curve(trained: Trained, df: DataFrame, *, seed: int = 0) -> DataFrame:
+    """Loss per iteration with the best iteration so far marked. Boosting reports training and
+    held-out loss per round (`seed` is the one of the fit); models with an objective history report
+    it, without a validation loss; models without iterations give an empty curve."""
     spark = df.sparkSession
     model = trained.model
     if hasattr(model, "evaluateEachIteration"):
@@ -98,17 +99,20 @@ def learning_curve(trained: Trained, df: DataFrame) -> DataFrame:
         labels = F.array(*[F.lit(v) for v in trained.labels]) if trained.labels else None
         y = (F.array_position(labels, F.col(trained.task.target)) - 1) if trained.labels else F.col(trained.task.target)
         rows = trained.vectors(df).withColumn("label", y.cast("double"))
-        held = unit_hash(trained.task.key, seed="validation:0") < 0.1
+        held = unit_hash(trained.task.key, seed=f"validation:{seed}") < 0.1
         args = () if trained.labels else ("squared",)
         train = model.evaluateEachIteration(rows.filter(~held), *args)
         val = model.evaluateEachIteration(rows.filter(held), *args)
     else:
-        history = model.summary.objectiveHistory if not callable(model.summary) else model.summary().objectiveHistory
-        train = val = list(history)
-    table = [(i + 1, float(a), float(b)) for i, (a, b) in enumerate(zip(train, val))]
+        summary = getattr(model, "summary", None)
+        summary = summary() if callable(summary) else summary
+        train = list(getattr(summary, "objectiveHistory", None) or [])
+        val = [None] * len(train)
+    table = [(i + 1, float(a), None if b is None else float(b)) for i, (a, b) in enumerate(zip(train, val))]
     curve = spark.createDataFrame(table, "epoch int, train_loss double, val_loss double")
-    best = min(table, key=lambda r: r[2])[0] if table else None
+    known = [r for r in table if r[2] is not None]
+    best = min(known, key=lambda r: r[2])[0] if known else None
     return curve.select(
-        "*", (F.col("val_loss") - F.col("train_loss")).alias("gap"), F.lit(best).alias("best_epoch"),
-        F.lit(bool(table) and table[-1][2] > min(r[2] for r in table)).alias("overfitting"),
+        "*", (F.col("val_loss") - F.col("train_loss")).alias("gap"), F.lit(best).cast("int").alias("best_epoch"),
+        F.lit(bool(known) and known[-1][2] > min(r[2] for r in known)).alias("overfitting"),
     )

@@ -97,14 +97,13 @@ def fit_lag_boosting(
     placed: DataFrame, series: Sequence[str], *, lags: int = PERIOD, learning_rate: float = 0.1,
     max_iter: int = 100, seed: int = 0,
 ) -> LagForecaster:
-    """One boosted model over the lag features of all series. The number of lags is what the
-    shortest usable series allows (a third of its rows)."""
-    sizes = placed.groupBy(*series).agg(F.max("n").alias("n")).agg(F.min("n"), F.max("n")).first()
-    if sizes[0] is None:
-        raise ValueError("lag boosting needs at least one row")
-    used = max(1, min(lags, max(1, sizes[0] // 3)))
-    if sizes[1] <= used + 2:
-        raise ValueError(f"lag boosting needs more than {used + 2} rows for {used} lags")
+    """One boosted model over the lag features of all series. Up to `lags` lags, fewer where no
+    series has three times as many rows. Series without enough rows for the lags neither train nor
+    get a forecast; they do not lower the lags of the others."""
+    longest = placed.agg(F.max("n")).first()[0]
+    used = min(lags, (longest or 0) // 3)
+    if used < 1:
+        raise ValueError("lag boosting needs a series of three rows or more")
     names = [f"y_lag_{k}" for k in range(1, used + 1)]
     rows = lag_features(placed, series, lags=used).na.drop(subset=names)
     vectors = VectorAssembler(inputCols=names, outputCol="features").transform(rows)

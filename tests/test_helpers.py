@@ -131,3 +131,41 @@ def test_normal_and_chi_square(spark):
     assert np.allclose(got, [NormalDist().inv_cdf(x) for x in p], rtol=1e-7, atol=1e-8)
     assert chi2_quantile(0.999, 2) == pytest.approx(-2 * np.log(0.001))
     assert chi2_quantile(0.95, 1) == pytest.approx(3.841458820694124)
+
+
+def _positions(df, order, tie, known=None):
+    got = row_positions(df, order, tie=tie, out="__p", total="__n").toPandas()
+    want = got.sort_values([known or order, tie], kind="stable").reset_index(drop=True)
+    return (want["__p"] == range(len(want))).all()
+
+
+def test_positions_of_large_integers_and_decimals(spark):
+    base = 1 << 60
+    df = spark.range(3000).select((F.lit(base) + (F.col("id") * 7919) % 1500).alias("v"), (3000 - F.col("id")).alias("id"))
+    assert _positions(df, "v", "id")
+    assert _positions(df.withColumn("v", (F.col("v") / 1000).cast("decimal(30,3)") + F.col("id").cast("decimal(20,0)")), "v", "id")
+
+
+def test_positions_across_summer_time_and_below_a_second(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        start = 1730610000  # two hours before the clocks go back
+        df = spark.range(4000).select(
+            F.timestamp_micros(F.lit(start * 1_000_000) + (F.col("id") * 7919) % 4000 * 3_600_007).alias("t"), "id")
+        assert _positions(df.withColumn("u", F.unix_micros("t")), "t", "id", "u")
+        assert _positions(df.withColumn("t", F.col("t").cast("timestamp_ntz")), "t", "id")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_a_frequent_time_is_split(spark):
+    from tabloom.functions.prefix import _ranges
+
+    df = spark.range(9000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("2024-01-05 00:00:00")).otherwise(
+            F.concat(F.lit("2024-01-"), F.lpad((F.col("id") % 28 + 1).cast("string"), 2, "0"), F.lit(" 01:00:00")))
+        .cast("timestamp").alias("t"), "id")
+    assert _positions(df, "t", "id")
+    parts = _ranges(df, "t", "id", False, 16).groupBy("__code", "__sub").count()
+    assert parts.agg(F.max("count")).first()[0] <= 1500
