@@ -38,6 +38,21 @@ def to_number(c: Column | str) -> Column:
     return as_col(c).try_cast("double")
 
 
+#: Texts that are numbers, and those that are whole numbers.
+NUMBER = r"(?i)^[+-]?(([0-9]+[.]?[0-9]*|[.][0-9]+)(e[+-]?[0-9]+)?|inf(inity)?)$"
+WHOLE = r"^[+-]?[0-9]+$"
+
+
+def parse_number(c: Column) -> Column:
+    """Text to double, by the pattern of numbers alone ("1d" is not one)."""
+    return F.when(c.rlike(NUMBER), c.try_cast("double"))
+
+
+def parse_whole(c: Column) -> Column:
+    """Text to bigint; NULL for what is no whole number or does not fit."""
+    return F.when(c.rlike(WHOLE), c.try_cast("bigint"))
+
+
 def is_missing(c: Column, type_name: str) -> Column:
     return (c.isNull() | F.isnan(c)) if type_name in ("double", "float") else c.isNull()
 

@@ -49,7 +49,7 @@ def str_trim_lower_isin(spark, sf):
 
 
 FIXED = f"""(SELECT c_custkey, CAST({_clean_sql('balance')} AS DOUBLE) AS balance,
-{_clean_sql('segment')} AS segment, CAST({_clean_sql('nation')} AS DOUBLE) AS nation FROM {MESSY_CUSTOMER})"""
+{_clean_sql('segment')} AS segment, CAST({_clean_sql('nation')} AS BIGINT) AS nation FROM {MESSY_CUSTOMER})"""
 
 
 @query("fix_dtypes", f"SELECT * FROM {FIXED}")
@@ -200,7 +200,7 @@ def run_cleaning_ops(spark, sf):
     {"CASE WHEN count(DISTINCT segment) <= 20 THEN 'categorical' ELSE 'text' END" if t == 'string' else "any_value('numeric')"} AS kind,
     count(*) - count({c}) AS missing, round((count(*) - count({c})) / count(*)::DOUBLE, 4) AS missing_pct,
     count(DISTINCT {c}) AS "unique" FROM {CLEANED}"""
-    for c, t in (("c_custkey", "bigint"), ("segment", "string"), ("nation", "double"), ("balance", "double"))))
+    for c, t in (("c_custkey", "bigint"), ("segment", "string"), ("nation", "bigint"), ("balance", "double"))))
 def run_cleaning_report(spark, sf):
     return P.schema_report(C.run_cleaning(messy_doubled(spark, sf), _OPTIONS).frame)
 

@@ -28,8 +28,8 @@ def _dropped_csv(spark, df, sep: str) -> str:
     return path
 
 
-@query("scan_csv", f"""SELECT c_custkey::DOUBLE AS c_custkey, CASE WHEN lower(trim(balance)) NOT IN ('', 'n/a') THEN trim(balance)::DOUBLE END AS balance,
-CASE WHEN trim(segment) <> '?' THEN trim(segment) END AS segment, CASE WHEN nation <> 'NULL' THEN nation::DOUBLE END AS nation FROM {MESSY_CUSTOMER}""")
+@query("scan_csv", f"""SELECT c_custkey::BIGINT AS c_custkey, CASE WHEN lower(trim(balance)) NOT IN ('', 'n/a') THEN trim(balance)::DOUBLE END AS balance,
+CASE WHEN trim(segment) <> '?' THEN trim(segment) END AS segment, CASE WHEN nation <> 'NULL' THEN nation::BIGINT END AS nation FROM {MESSY_CUSTOMER}""")
 def scan_csv(spark, sf):
     return S.scan_csv(spark, _dropped_csv(spark, messy_customer(spark, sf), ","))
 
