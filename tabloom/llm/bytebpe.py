@@ -1,10 +1,12 @@
 """Byte-level BPE: ranked merges folded by higher-order functions over the byte arrays of words.
 
-Words (matches of the tokenizer's pattern) are counted over all texts. The most frequent, at most
-WORDS, are merged once and broadcast as a table; every other word is merged where it stands, once
-per document. A merge step looks up all neighbouring pairs in a literal rank map, and joins the
-leftmost pair of lowest rank. Words that are in the vocabulary as a whole are one token, as in the
-tiktoken library. Decoding concatenates the pieces of the ids.
+Each task cuts its texts into words (matches of the tokenizer's pattern), keeps a list of the distinct
+words of a block of documents and one code per word. Spark merges the words of the lists: the byte ids
+of a word and the ranks of its neighbouring pairs are folded, and every step joins the leftmost pair
+of lowest rank and looks up the two new pairs in a literal rank map. Words that are in the
+vocabulary as a whole are one token, as in the tiktoken library. Then the codes of each document are
+replaced by the merged words. Nothing is shuffled: a list stands before the documents that use it.
+Decoding concatenates the pieces of the ids.
 
 The rank map is two literal arrays: a pair (a, b) of ids, as the number a * 65536 + b, stands
 either at place `pair % PRIMES[0]` of the first or at `pair % PRIMES[1]` of the second.
@@ -18,19 +20,16 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import frequent, stored
-
-WORDS = 1 << 18
-LONG = 200
+#: A block ends at so many distinct words or word codes; so many words go into one row of its list.
+WORDS, CODES, CHUNK = 400_000, 8_000_000, 200
+LONG, NONE = 200, 1 << 20
 PRIMES = (200003, 230003)
 
 
@@ -77,34 +76,41 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def merged(pieces: Column, ranks: Ranks) -> Column:
-    """Fold the ranked merges over an array of byte ids."""
+def merged(word: Column, ranks: Ranks) -> Column:
+    """Fold the ranked merges over a word: an array with one number per piece, made of the rank of the
+    merge with the next piece (NONE without one), the place of the piece's first byte and its id, so
+    that the least number is the leftmost merge of lowest rank. Gives the ids."""
     first, second = (_literal(t) for t in ranks.tables())
+    low, sixteen = F.lit(0xFFFFFF).cast("bigint"), F.lit(0xFFFF).cast("bigint")
 
-    def rank(pair: Column) -> Column:
-        def other(entry: Column) -> Column:
-            return F.when(F.shiftright(entry, 16) == pair, entry.bitwiseAND(F.lit(65535)))
+    def ranked(x: Column) -> Column:
+        """x: 24 bits of the new piece above the 32 bits of its pair."""
+        def stands(entry: Column, otherwise: Column) -> Column:
+            return F.when(F.shiftright(entry, 16) == pair, entry.bitwiseAND(sixteen)).otherwise(otherwise)
 
-        return F.coalesce(other(F.get(first, (pair % PRIMES[0]).cast("int"))),
-                          other(F.get(second, (pair % PRIMES[1]).cast("int"))))
+        pair = x.bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint"))
+        rank = stands(F.get(first, (pair % PRIMES[0]).cast("int")),
+                      stands(F.get(second, (pair % PRIMES[1]).cast("int")), F.lit(NONE).cast("bigint")))
+        return F.shiftleft(rank, 24).bitwiseOR(F.shiftright(x, 32))
 
     def step(p: Column, _: Column) -> Column:
-        found = F.transform(F.slice(p, 1, F.size(p) - 1),
-                            lambda left, i: rank(left * 65536 + F.get(p, i + 1)))
-
-        def join(ranked: Column) -> Column:
-            best = F.array_min(ranked)
+        def join(best: Column) -> Column:
+            def at(i: Column) -> Column:  # the pieces at places i and i + 1 become one
+                new = F.shiftright(best, 24)
+                left = F.get(p, i - 2).bitwiseAND(low)
+                after = F.coalesce(F.get(p, i + 1).bitwiseAND(sixteen), sixteen)
+                before = F.shiftleft(left, 32).bitwiseOR(F.shiftleft(left.bitwiseAND(sixteen), 16)).bitwiseOR(new)
+                own = F.shiftleft(best.bitwiseAND(F.lit(0xFF0000).cast("bigint")).bitwiseOR(new), 32).bitwiseOR(
+                    F.shiftleft(new, 16)).bitwiseOR(after)
+                return F.concat(F.slice(p, F.lit(1), F.greatest(i - 2, F.lit(0))),
+                                F.transform(F.when(i > 1, F.array(before, own)).otherwise(F.array(own)), ranked),
+                                F.slice(p, i + 2, F.lit(LONG)))
 
-            def at(place: Column) -> Column:
-                return F.concat(F.slice(p, F.lit(1), place - 1), F.array(best),
-                                F.slice(p, place + 2, F.size(p)))
+            return F.when(best >= NONE << 24, p).otherwise(_let(F.array_position(p, best).cast("int"), at))
 
-            return F.when(best.isNull(), p).otherwise(_let(F.array_position(ranked, best).cast("int"), at))
+        return _let(F.array_min(p), join)
 
-        return F.when(F.size(p) < 2, p).otherwise(_let(found, join))
-
-    return F.when((F.size(pieces) > 1) & (F.size(pieces) <= LONG), F.aggregate(
-        F.sequence(F.lit(2), F.size(pieces)), pieces, step)).otherwise(pieces)
+    return F.transform(F.aggregate(word, word, step), lambda x: x.bitwiseAND(sixteen).cast("int"))
 
 
 def _heap_merged(ids: list[int], pairs: dict[int, int]) -> list[int]:
@@ -127,107 +133,133 @@ def _heap_merged(ids: list[int], pairs: dict[int, int]) -> list[int]:
     return [i for i in ids if i >= 0]
 
 
-def _word_counts(texts: DataFrame, pattern: str) -> DataFrame:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        cut, counts = regex.compile(pattern).findall, Counter()
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                counts.update(cut(text))
-                if len(counts) > 400_000:
-                    yield pa.record_batch([pa.array(counts.keys(), pa.string()),
-                                           pa.array(counts.values(), pa.int64())], ["word", "n"])
-                    counts = Counter()
-        yield pa.record_batch([pa.array(counts.keys(), pa.string()),
-                               pa.array(counts.values(), pa.int64())], ["word", "n"])
+def _special(word: bytes, odd: dict[bytes, int], pairs: dict[int, int], byte_ids: np.ndarray,
+             first_rank: np.ndarray) -> list[int]:
+    """One word as `merged` takes it; odd and long words are given with all merges done."""
+    data = np.frombuffer(word, np.uint8)
+    if word in odd or len(word) > LONG:
+        ids = [odd[word]] if word in odd else _heap_merged(byte_ids[data].tolist(), pairs)
+        return [NONE << 24 | i for i in ids]
+    rank = np.append(first_rank[data[:-1], data[1:]], NONE)
+    return (rank << 24 | np.arange(len(data)) << 16 | byte_ids[data]).tolist()
 
-    return texts.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
+class _Codes(dict):
+    """Numbers words in the order in which they are first asked for."""
 
-def _as_ids(words: list[str], table: np.ndarray) -> pa.Array:
-    raw = [w.encode() for w in words]
-    flat = table[np.frombuffer(b"".join(raw), np.uint8)]
-    ends = np.concatenate(([0], np.cumsum([len(w) for w in raw]))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int64)))
+    def __missing__(self, word: str) -> int:
+        self[word] = code = len(self)
+        return code
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
-           text_col: str = "text", words: int = WORDS) -> DataFrame:
+           text_col: str = "text") -> DataFrame:
     """Per document: doc_id and ids (array of token ids)."""
-    spark, ranks = docs.sparkSession, Ranks(ranks_path)
+    ranks = Ranks(ranks_path)
+    pairs = ranks.pairs()
+    # Vocabulary pieces that their own merges would not give; as whole words they are still one token.
+    odd = {piece: number for piece, number in ranks.ids.items()
+           if _heap_merged(ranks.bytes[np.frombuffer(piece, np.uint8)].tolist(), pairs) != [number]}
+    shared = docs.sparkSession.sparkContext.broadcast((odd, pairs, ranks.bytes))
     texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"),
                         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    byte_ids, whole = ranks.bytes, {}
-    for piece, number in ranks.ids.items():
-        try:
-            whole[piece.decode()] = number
-        except UnicodeDecodeError:
-            pass
-    counts = stored(_word_counts(texts.select("text"), pattern), "word-counts")
-
-    def as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.record_batch([batch.column("word"), _as_ids(batch.column("word").to_pylist(), byte_ids)],
-                                  ["word", "pieces"])
-
-    common = (frequent(counts, words).where(F.octet_length("word") <= LONG).select("word")
-              .mapInArrow(as_bytes, "word string, pieces array<bigint>")
-              .select("word", merged(F.col("pieces"), ranks).alias("ids")).toPandas())
-    known = {w: (n,) for w, n in whole.items()}
-    known.update((w, tuple(ids)) for w, ids in zip(common["word"], common["ids"], strict=True) if w not in whole)
-    flat = np.fromiter((i for ids in known.values() for i in ids), np.int32)
-    starts = np.concatenate(([0], np.cumsum([len(ids) for ids in known.values()]))).astype(np.int64)
-    shared = spark.sparkContext.broadcast((list(known), flat, starts))
-    long_pairs = spark.sparkContext.broadcast(ranks.pairs())
-
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    listed = pa.list_(pa.list_(pa.int64()))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        cut = regex.compile(pattern).findall
-        codes_of = {w: i for i, w in enumerate(shared.value[0])}
-        get, n_known = codes_of.get, len(codes_of)
+        find = regex.compile(pattern).findall
+        odd, pairs, byte_ids = shared.value
+        first_rank = np.full((256, 256), NONE, np.int64)
+        for a in range(256):
+            for b in range(256):
+                first_rank[a, b] = pairs.get(int(byte_ids[a]) << 16 | int(byte_ids[b]), NONE)
+
+        def pieces(words: list[bytes]) -> pa.Array:
+            """The words as `merged` takes them."""
+            sizes = np.array([len(w) for w in words])
+            if max(sizes) > LONG or not odd.keys().isdisjoint(words):
+                return pa.array([_special(w, odd, pairs, byte_ids, first_rank) for w in words], pa.list_(pa.int64()))
+            data = np.frombuffer(b"".join(words), np.uint8)
+            ends = np.cumsum(sizes)
+            rank = np.append(first_rank[data[:-1], data[1:]], NONE)
+            rank[ends - 1] = NONE
+            place = np.arange(len(data)) - np.repeat(ends - sizes, sizes)
+            return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)),
+                                            pa.array(rank << 24 | place << 16 | byte_ids[data]))
+
+        def block(known: dict[str, int], held: list[tuple[pa.Array, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+            words = [w.encode() for w in known]
+            known.clear()
+            for at in range(0, len(words), CHUNK * 20):
+                part = words[at:at + CHUNK * 20]
+                ends = np.append(np.arange(0, len(part), CHUNK), len(part)).astype(np.int32)
+                rows = len(ends) - 1
+                yield pa.record_batch(
+                    [pa.nulls(rows, pa.int64()), pa.array([at == 0 and row == 0 for row in range(rows)]),
+                     pa.nulls(rows, pa.list_(pa.int32())), pa.ListArray.from_arrays(pa.array(ends), pieces(part))],
+                    ["doc_id", "opens", "codes", "words"])
+            del words
+            for ids, codes in held:
+                ends = np.concatenate(([0], np.cumsum([len(c) for c in codes]))).astype(np.int32)
+                flat = np.concatenate([*codes, np.zeros(0, np.int32)])
+                yield pa.record_batch([ids, pa.nulls(len(ids), pa.bool_()),
+                                       pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+                                       pa.nulls(len(ids), listed)], ["doc_id", "opens", "codes", "words"])
+
+        known, held, total = _Codes(), [], 0
         for batch in batches:
-            codes, rare = [], []
-            for text in batch.column("text").to_pylist():
-                found = cut(text)
-                row = np.fromiter(map(get, found, repeat(-1)), np.int32, len(found))
-                own: dict[str, int] = {}
-                for i in np.flatnonzero(row < 0).tolist():
-                    row[i] = n_known + own.setdefault(found[i], len(own))
-                codes.append(row)
-                rare.append([p.tolist() if len(p) <= LONG else _heap_merged(p.tolist(), long_pairs.value)
-                             for w in own for p in (byte_ids[np.frombuffer(w.encode(), np.uint8)],)])
-            ends = np.concatenate(([0], np.cumsum([len(r) for r in codes]))).astype(np.int32)
-            yield pa.record_batch(
-                [batch.column("doc_id"),
-                 pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*codes, np.zeros(0, np.int32)]))),
-                 pa.array(rare, pa.list_(pa.list_(pa.int64())))], ["doc_id", "codes", "rare"])
+            column, codes, start = batch.column("text"), [], 0
+            for i in range(len(column)):
+                found = find(column[i].as_py())
+                codes.append(np.fromiter(map(known.__getitem__, found), np.int32, len(found)))
+                total += len(found)
+                if len(known) >= WORDS or total >= CODES or len(codes) == 1000:
+                    held.append((batch.column("doc_id").slice(start, i + 1 - start), codes))
+                    codes, start = [], i + 1
+                    if len(known) >= WORDS or total >= CODES:
+                        yield from block(known, held)
+                        known, held, total = _Codes(), [], 0
+            held.append((batch.column("doc_id").slice(start), codes))
+        yield from block(known, held)
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, flat, starts = shared.value
-        n_known = len(starts) - 1
+        flat, sizes = [], []
+        pool = begins = lengths = None
         for batch in batches:
-            codes, rare = batch.column("codes"), batch.column("rare")
-            ends = codes.offsets.to_numpy()
-            code = codes.flatten().to_numpy().astype(np.int64)
-            per_doc = rare.offsets.to_numpy()  # words of all documents of the batch, one after another
-            words = rare.flatten()
-            lengths = np.concatenate((np.diff(starts), np.diff(words.offsets.to_numpy())))
-            begins = np.concatenate((starts[:-1], len(flat) + words.offsets.to_numpy()[:-1] - words.offsets.to_numpy()[0]))
-            pool = np.concatenate((flat, words.flatten().to_numpy().astype(np.int32)))
-            shift = np.repeat((per_doc[:-1] - per_doc[0]).astype(np.int64), np.diff(ends))
-            code = np.where(code >= n_known, code + shift, code)
-            sizes = lengths[code]
-            stop = np.cumsum(sizes)
-            index = np.repeat(begins[code] - (stop - sizes), sizes) + np.arange(int(sizes.sum()))
-            bounds = np.concatenate(([0], stop))[ends - ends[0]]
-            yield pa.record_batch(
-                [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(pool[index]))],
-                ["doc_id", "ids"])
-
-    return (texts.mapInArrow(look_up, "doc_id bigint, codes array<int>, rare array<array<bigint>>")
-            .select("doc_id", "codes", F.transform("rare", lambda p: merged(p, ranks)).alias("rare"))
+            opens = batch.column("opens")
+            is_list = np.asarray(opens.is_valid())
+            runs = np.concatenate(([0], np.flatnonzero(is_list[1:] != is_list[:-1]) + 1, [len(is_list)]))
+            for a, b in zip(runs[:-1].tolist(), runs[1:].tolist(), strict=True):
+                part = batch.slice(a, b - a)
+                if is_list[a]:
+                    for i, first in enumerate(part.column("opens").to_pylist()):
+                        if first:
+                            flat, sizes = [], []
+                        words = part.column("ids").slice(i, 1).flatten()
+                        flat.append(words.flatten().to_numpy())
+                        sizes.append(np.diff(words.offsets.to_numpy()))
+                    pool = None
+                    continue
+                if pool is None:
+                    pool = np.concatenate([*flat, np.zeros(0, np.int32)])
+                    lengths = np.concatenate([*sizes, np.zeros(0, np.int64)]).astype(np.int64)
+                    begins = np.cumsum(lengths) - lengths
+                for c in range(0, len(part), 500):
+                    rows = part.slice(c, 500)
+                    codes = rows.column("codes")
+                    ends = codes.offsets.to_numpy()
+                    code = codes.flatten().to_numpy()
+                    n = lengths[code]
+                    stop = np.cumsum(n)
+                    index = np.repeat(begins[code] - (stop - n), n) + np.arange(int(n.sum()))
+                    bounds = np.concatenate(([0], stop))[ends - ends[0]]
+                    yield pa.record_batch([rows.column("doc_id"), pa.ListArray.from_arrays(
+                        pa.array(bounds.astype(np.int32)), pa.array(pool[index]))], ["doc_id", "ids"])
+
+    return (texts.mapInArrow(cut, "doc_id bigint, opens boolean, codes array<int>, "
+                                  "words array<array<bigint>>")
+            .select("doc_id", "opens", "codes", F.transform("words", lambda w: merged(w, ranks)).alias("ids"))
             .mapInArrow(assemble, "doc_id bigint, ids array<int>"))
 
 
