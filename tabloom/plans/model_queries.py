@@ -13,6 +13,7 @@ from tabloom.operators import predict as R
 from tabloom.operators import training as N
 from tabloom.operators.reports import anomaly_report, classification_report, dimred_report, long_report
 from tabloom.plans.fixtures import (
+    DAILY_EVENTS,
     REGRESSED, VECTOR_CELLS, VECTORS, regressed, vector_columns, vectors,
 )
 from tabloom.plans.metric_queries import (
@@ -193,6 +194,38 @@ def cv_scores(spark, sf):
     return rounded(N.cv_scores(priced(spark, sf), ONE, "linear_regression"), 4)
 
 
+DAY_TASK = N.Task("forecasting", key="day", target="y", time_column="day", features=())
+
+
+def days(spark, sf):
+    return placed(spark, sf).groupBy("day").agg(F.round(F.sum("y"), 4).alias("y"))
+
+
+def cv_season_sql(period: int) -> str:
+    """Expanding folds over the daily totals: the last season of the history is repeated."""
+    return f"""WITH s AS (SELECT day, round(sum(y), 4) AS y FROM {DAILY_EVENTS} GROUP BY day),
+p AS (SELECT y, row_number() OVER (ORDER BY day) - 1 AS pos, count(*) OVER () AS n FROM s),
+f AS (SELECT f - 1 AS fold, n - 5 * (n // 6) + (f - 1) * (n // 6) AS a, n // 6 AS size FROM (SELECT max(n) AS n FROM p), range(1, 6) r(f)),
+v AS (SELECT fold, h.y AS y, t.y AS g FROM f JOIN p h ON h.pos >= a AND h.pos < a + size
+  JOIN p t ON t.pos = a - least({period}, a) + (h.pos - a) % least({period}, a)),
+o AS (SELECT fold, h.y AS y, t.y AS g FROM f JOIN p h ON h.pos < a JOIN p t ON t.pos = h.pos - least({period}, a)),
+e AS (SELECT fold, 'val' AS part, y, g FROM v UNION ALL SELECT fold, 'train', y, g FROM o),
+m AS (SELECT fold, part, avg(abs(y - g)) AS mae, sqrt(avg((y - g) ** 2)) AS rmse,
+  100 * avg(2 * abs(y - g) / (abs(y) + abs(g))) AS smape FROM e GROUP BY 1, 2)
+SELECT fold::INTEGER AS fold, metric, round(max(value) FILTER (part = 'train'), 4) AS train, round(max(value) FILTER (part = 'val'), 4) AS val
+FROM (UNPIVOT m ON mae, rmse, smape INTO NAME metric VALUE value) GROUP BY 1, 2"""
+
+
+@query("cv_naive", cv_season_sql(1))
+def cv_naive(spark, sf):
+    return rounded(N.cv_scores(days(spark, sf), DAY_TASK, "naive"), 4).filter("metric <> 'mase'")
+
+
+@query("cv_seasonal_naive", cv_season_sql(3))
+def cv_seasonal_naive(spark, sf):
+    return rounded(N.cv_scores(days(spark, sf), DAY_TASK, "seasonal_naive", {"period": 3}), 4).filter("metric <> 'mase'")
+
+
 # One feature, hash folds: the validation RMSE of least squares has a closed form.
 @query("leaderboard_stats", """WITH s AS (SELECT run, fold, v, t FROM (SELECT l_returnflag AS run, l_linenumber AS fold, avg(l_discount) AS v, avg(l_tax) AS t FROM lineitem GROUP BY 1, 2))
 SELECT run, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, round(avg(t), 6) AS train_mean, round(avg(t) - avg(v), 6) AS gap, count(*) AS folds FROM s GROUP BY 1""")

@@ -175,3 +175,20 @@ def test_task_suggestion(spark):
     assert suggest_task(df, "b") == "regression" and suggest_task(df, "c") == "multiclass"
     with pytest.raises(ValueError):
         suggest_task(df, "a")
+
+
+def test_forecasters_train_score_and_predict(spark):
+    rows = [(i, i, float(10 * (i % 4) + i % 3)) for i in range(60)]
+    df = spark.createDataFrame(rows, "k int, t int, y double")
+    task = N.Task("forecasting", key="k", target="y", time_column="t", features=())
+    for name, params in (("naive", {}), ("seasonal_naive", {"period": 4}), ("lag_boosting", {"lags": 4, "max_iter": 5})):
+        run = N.train_model(df, task, name, params)
+        board = {r.metric: r["mean"] for r in run.leaderboard().collect()}
+        assert set(board) == {"mae", "rmse", "smape", "mase"} and all(v is not None for v in board.values())
+        values = {r.metric: r.value for r in D.evaluate_test(run.trained, run.prepared).collect()}
+        assert values["mae"] >= 0
+    early = df.filter("t < 50")
+    fitted = N.fit_model(early, task, "seasonal_naive", {"period": 4})
+    got = {r.k: r.prediction for r in fitted.predict(df).collect()}
+    assert [got[k] for k in range(50, 60)] == [rows[46 + (k - 50) % 4][2] for k in range(50, 60)]
+    assert got[3] is None and got[10] == rows[6][2]
