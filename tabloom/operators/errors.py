@@ -158,9 +158,26 @@ def score_quantiles(df: DataFrame, score: str, probs: Sequence[float] = (0.5, 0.
 def error_views(
     df: DataFrame, task_type: str, key: str, *, score: str | None = None
 ) -> dict[str, DataFrame]:
-    """The views of a task over test rows with `truth` and `prediction` in original units."""
+    """The views of a task over test rows with `truth` and `prediction` in original units. Tasks
+    without a truth take what their model gives: `cluster` and `vector`; `error` and `above` of
+    reconstruction rows; an anomaly `score`."""
     from tabloom.operators import metrics as M
 
+    if task_type == "clustering":
+        rows = M.silhouette_rows(df.select(key, "cluster", "vector"), key)
+        return {
+            "silhouette": rows, "low_silhouette": worst_n(rows, "silhouette", key, largest=False),
+            "imbalance": cluster_imbalance(df),
+        }
+    if task_type == "dimensionality_reduction":
+        return {"worst": worst_n(df, "error", key), "poorly_embedded": df.filter("above").orderBy(F.desc("error"), key)}
+    if task_type == "anomaly_detection":
+        name = score or "score"
+        return {
+            "score_distribution": score_summary(df, name), "quantiles": score_quantiles(df, name),
+            "flagged": flag_filter(df, name, 0.0, key), "worst": worst_n(df, name, key),
+        }
+
     if task_type == "binary":
         views = {"confusion": dense_confusion(df)}
         if score is not None:

@@ -457,6 +457,25 @@ def error_views(spark, sf):
         "spearman": ("heteroscedasticity", None, None, "spearman")}).drop("b"), 4)
 
 
+@query("error_views_unsupervised", """WITH s AS (SELECT l_linenumber AS cluster, count(*) AS size FROM lineitem GROUP BY 1),
+w AS (SELECT (l_extendedprice - 40000) AS score, l_orderkey * 10 + l_linenumber AS row_key FROM lineitem)
+SELECT 'imbalance' AS part, cluster::VARCHAR AS a, size::DOUBLE AS value FROM s
+UNION ALL SELECT 'flagged', '', count(*)::DOUBLE FROM w WHERE score > 0
+UNION ALL SELECT 'worst', row_key::VARCHAR, round(score, 4) FROM (SELECT * FROM w ORDER BY score DESC, row_key LIMIT 10)""")
+def error_views_unsupervised(spark, sf):
+    rows = table(spark, sf, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_key"), F.col("l_linenumber").alias("cluster"),
+        (F.col("l_extendedprice") - 40000).alias("score"), F.array(F.col("l_quantity")).alias("vector"))
+    sizes = E.error_views(rows, "clustering", "row_key")["imbalance"]
+    odd = E.error_views(rows, "anomaly_detection", "row_key")
+    parts = [
+        sizes.select(F.lit("imbalance").alias("part"), F.col("cluster").cast("string").alias("a"), F.col("size").cast("double").alias("value")),
+        odd["flagged"].agg(F.lit("flagged").alias("part"), F.lit("").alias("a"), F.count("*").cast("double").alias("value")),
+        odd["worst"].select(F.lit("worst").alias("part"), F.col("row_key").cast("string").alias("a"), F.round("score", 4).alias("value")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("error_views_binary")
 def error_views_binary(spark, sf):
     d, fitted = fitted_docs(spark, sf, "logistic_regression")
