@@ -51,10 +51,10 @@ def _automaton(token: str, patterns: list[tuple[bytes, list[str]]]):
     if token not in _BUILT:
         import ahocorasick
 
-        built = ahocorasick.Automaton()
+        built = ahocorasick.Automaton() if patterns else None
         for win, items in patterns:
             built.add_word(f" {win.decode('latin-1')} ", (win.count(b" ") + 1, items))
-        if patterns:
+        if built is not None:
             built.make_automaton()
         _BUILT.clear()
         _BUILT[token] = built
@@ -65,6 +65,8 @@ def _scan(raw: bytes, built) -> tuple[int, list[tuple[int, int]], set[str]]:
     """Words of the text, hit word ranges [from, to) and items found."""
     words = raw.translate(WORD_BYTES).split()
     ranges, items, ends = [], set(), None
+    if built is None:
+        return len(words), ranges, items
     joined = b" " + b" ".join(words) + b" "
     for end, (size, found) in built.iter(joined.decode("latin-1")):
         if ends is None:  # the word that ends before each space
@@ -85,33 +87,35 @@ def _merged(ranges: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
+def _blocks(docs: DataFrame, items: DataFrame, n: int, item_id: str, item_text: str):
+    """The windows in broadcasts of about PATTERNS each, with a name for the automaton."""
+    windows = stored(item_windows(items, n, item_id, item_text), "windows")
+    blocks = max(1, -(-windows.count() // PATTERNS))
+    for block in range(blocks):
+        part = windows.where(F.pmod(F.xxhash64("win"), F.lit(blocks)) == block)
+        patterns = [(bytes(r["win"]), list(r["items"])) for r in part.collect()]
+        yield docs.sparkSession.sparkContext.broadcast(patterns), uuid.uuid4().hex
+
+
 def contamination(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id",
                   text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Per document: doc_id, n_words, words (hit word ranges, from and to), spans (the same as
     bytes of the original UTF-8 text) and items (ids of the items found, sorted as strings)."""
-    windows = stored(item_windows(items, n, item_id, item_text), "windows")
-    blocks = max(1, -(-windows.count() // PATTERNS))
+    blocks = list(_blocks(docs, items, n, item_id, item_text))
     schema = ("doc_id bigint, raw binary, n_words bigint, words array<array<bigint>>, "
               "spans array<array<bigint>>, items array<string>")
     frame = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), as_bytes(text_col).alias("raw"))
-    for block in range(blocks):
-        part = windows.where(F.pmod(F.xxhash64("win"), F.lit(blocks)) == block)
-        patterns = [(bytes(r["win"]), list(r["items"])) for r in part.collect()]
-        shared, token = docs.sparkSession.sparkContext.broadcast(patterns), uuid.uuid4().hex
-
+    for block, (shared, token) in enumerate(blocks):
         def scan(batches: Iterator[pa.RecordBatch], shared=shared, token=token, first=block == 0,
-                 last=block == blocks - 1, empty=not patterns) -> Iterator[pa.RecordBatch]:
-            built = None if empty else _automaton(token, shared.value)
+                 last=block == len(blocks) - 1) -> Iterator[pa.RecordBatch]:
+            built = _automaton(token, shared.value)
             for batch in batches:
                 texts = batch.column("raw").to_pylist()
                 had = [[]] * len(texts) if first else batch.column("words").to_pylist()
                 named = [[]] * len(texts) if first else batch.column("items").to_pylist()
                 counts, words, spans, items = [], [], [], []
                 for raw, before, names in zip(texts, had, named, strict=True):
-                    if built is None:
-                        count, ranges, found = len(raw.translate(WORD_BYTES).split()), [], set()
-                    else:
-                        count, ranges, found = _scan(raw, built)
+                    count, ranges, found = _scan(raw, built)
                     merged = _merged([tuple(w) for w in before] + ranges)
                     starts, stops = word_spans(raw.translate(WORD_BYTES)) if merged else ((), ())
                     counts.append(count)
@@ -141,11 +145,15 @@ def flagged(docs: DataFrame, items: DataFrame, n: int = 10, **names: str) -> Dat
 
 def clean_documents(docs: DataFrame, items: DataFrame, n: int = 10, text_col: str = "text",
                     item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of `docs` without any hit, all columns. Hits depend on the text alone, so rows are
-    told apart by its hash."""
-    own = "__own_hash__"
-    marked = docs.withColumn(own, F.xxhash64(as_bytes(text_col)))
-    found = contamination(marked.select(F.col(own).alias("doc_id"), F.col(f"`{text_col}`").alias("text")),
-                          items, n, "doc_id", "text", item_id, item_text)
-    bad = found.where(F.size("words") > 0).select(F.col("doc_id").alias(own)).distinct()
-    return marked.join(bad, own, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of `docs` without any hit, all columns."""
+    raw, names = "__own_raw__", docs.columns
+    left = docs
+    for shared, token in _blocks(docs, items, n, item_id, item_text):
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared, token=token) -> Iterator[pa.RecordBatch]:
+            built = _automaton(token, shared.value)
+            for batch in batches:
+                hit = [bool(_scan(text, built)[1]) for text in batch.column(raw).to_pylist()]
+                yield batch.filter(pa.array([not h for h in hit], pa.bool_())).select(names)
+
+        left = left.withColumn(raw, as_bytes(text_col)).mapInArrow(clean, docs.schema)
+    return left

@@ -188,10 +188,23 @@ def predictions(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose language is recognised, all columns. The decision depends on the
-    text alone, so rows are matched by its hash."""
-    own = "__own_hash__"
-    marked = docs.withColumn(own, F.xxhash64(as_bytes(text_col)))
-    found = identify(marked.select(F.col(own).alias("doc_id"), F.col(f"`{text_col}`").alias("text")), fit(docs))
-    gone = found.where("rejected").select(F.col("doc_id").alias(own)).distinct()
-    return marked.join(gone, own, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of `docs` whose language is recognised, all columns."""
+    model = fit(docs)
+    if model is None:
+        return docs.limit(0)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    raw, letters, names = "__own_raw__", "__own_letters__", docs.columns
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            texts = batch.column(raw).to_pylist()
+            best = np.zeros(len(texts))
+            for a, b in slices(np.array([len(t) for t in texts]), 1 << 22):
+                best[a:b] = own.probabilities(texts[a:b]).max(1)
+            known = (best >= own.bound) & np.array(batch.column(letters).to_pylist(), bool)
+            yield batch.filter(pa.array(known)).select(names)
+
+    wide = docs.withColumn(raw, as_bytes(text_col)).withColumn(
+        letters, F.coalesce(F.col(f"`{text_col}`").cast("string").rlike(r"\p{L}"), F.lit(False)))
+    return wide.mapInArrow(keep, docs.schema)
