@@ -2,9 +2,9 @@
 
 A text is the set of its hashed shingles of N words. Texts with equal sets are one class. In each run
 a set x goes along the tokens whose hash (of run and path) is below BETA / (threshold * |x|), so that
-two similar sets share BETA tokens on average; sets on the same path form a bucket. Buckets of more
-than SMALL classes are split in the same way by one more token, until they are small, or hold
-together (more than half of the parent stays: near copies), or DEPTH is reached. Buckets are then
+two similar sets share BETA tokens on average; sets on the same path of two tokens form a bucket.
+Buckets of more than SMALL classes are split in the same way by one more token, until they are small,
+or hold together (more than half of the parent stays: near copies), or DEPTH is reached. Buckets are then
 compared by brute force on the exact sets. A pair at the threshold meets in a run with the probability
 `q = 1 - exp(-BETA q')` (q' that of the next level), and the number of runs follows from the target
 recall. Every pair counts in the first of its buckets only, so links are counted exactly without
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, as_bytes, stored
+from .common import WORD_BYTES, as_bytes, prefiltered, stored
 from .components import components
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -99,7 +99,7 @@ def _packed(keys: list[np.ndarray]) -> pa.Array:
 
 
 def _sets(docs: DataFrame, n: int, threshold: float, runs: int) -> DataFrame:
-    """doc_id, digest of the set, its size and first paths."""
+    """doc_id, digest of the set, its size and its paths of two tokens."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, roots = WordHashes(), _roots(runs)
         for batch in batches:
@@ -108,7 +108,8 @@ def _sets(docs: DataFrame, n: int, threshold: float, runs: int) -> DataFrame:
                 tokens = shingle_set(raw, hashes, n)
                 sizes.append(len(tokens))
                 digests.append(hashlib.md5(tokens.tobytes()).digest())
-                keys.append(np.unique(path_keys(tokens, roots, threshold)) if len(tokens) else tokens)
+                paths = np.unique(path_keys(tokens, roots, threshold)) if len(tokens) else tokens
+                keys.append(np.unique(path_keys(tokens, paths, threshold)) if len(tokens) else tokens)
             yield pa.record_batch([batch.column("doc_id"), pa.array(digests, pa.binary()),
                                    pa.array(sizes, pa.int64()), _packed(keys)], ["doc_id", "digest", "n", "keys"])
 
@@ -221,7 +222,7 @@ def _leaves(first: DataFrame, cand: DataFrame, threshold: float) -> DataFrame:
     """Final buckets (key, cls, m): small ones, those that hold together, and the deepest."""
     members = first.withColumn("was", F.lit(None).cast("bigint"))
     leaves = None
-    for depth in range(1, DEPTH + 1):
+    for depth in range(2, DEPTH + 1):
         sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.first("was").alias("was")).where("m > 1")
         now = stored(members.drop("was").join(sizes, "key"), "buckets")
         done = (F.col("m") <= SMALL) | (F.coalesce(F.col("m") * 2 > F.col("was"), F.lit(False)))
@@ -233,7 +234,7 @@ def _leaves(first: DataFrame, cand: DataFrame, threshold: float) -> DataFrame:
         if depth == DEPTH or big.isEmpty():
             return leaves
         parents = big.groupBy("cls").agg(F.collect_set("key").alias("parents"))
-        children = _longer(cand.join(parents, "cls").select("cls", "tokens", "parents"), threshold)
+        children = _longer(prefiltered(cand, "cls", parents).join(parents, "cls").select("cls", "tokens", "parents"), threshold)
         up = big.select(F.col("key").alias("parent"), F.col("m").alias("was")).distinct()
         members = children.join(up, "parent").select("key", "cls", "was")
     return leaves
@@ -258,7 +259,8 @@ def _resolved(docs, id_col, text_col, n, threshold, recall) -> DataFrame:
     shared = paths.join(paths.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi")
     first = stored(shared, "paths")
     wanted = classes.join(first.select("cls").distinct(), "cls", "left_semi").select("cls", "digest", "copies", "set_id")
-    texts = plain.join(wanted.withColumnRenamed("set_id", "doc_id"), "doc_id")
+    wanted = stored(wanted.withColumnRenamed("set_id", "doc_id"), "wanted")
+    texts = prefiltered(plain, "doc_id", wanted).join(wanted, "doc_id")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -289,7 +291,7 @@ def _resolved(docs, id_col, text_col, n, threshold, recall) -> DataFrame:
     others = F.sequence(F.lit(0), blocks - 1)
     spread = listed.select("key", "cls", "before", block.alias("side"), F.explode(F.transform(
         others, lambda b: F.struct(F.least(b, block).alias("a"), F.greatest(b, block).alias("b")))).alias("pair"))
-    pairs = spread.join(cand, "cls").select("key", F.col("pair.a").alias("a"), F.col("pair.b").alias("b"),
+    pairs = spread.join(prefiltered(cand, "cls", listed), "cls").select("key", F.col("pair.a").alias("a"), F.col("pair.b").alias("b"),
                                             "cls", "copies", "side", "before", "tokens")
     found = stored(pairs.groupBy("key", "a", "b").applyInArrow(
         _compare(threshold), "u bigint, v bigint, links bigint, similar bigint"), "links")

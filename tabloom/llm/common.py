@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,3 +79,41 @@ def with_groups(rows: DataFrame, groups: DataFrame, key: str, heavy: int) -> Dat
     hot = F.broadcast(groups.where(F.col("group_size") > heavy))
     cold = rows.join(hot.select(key), key, "left_anti")
     return rows.join(hot, key).unionByName(cold.join(groups.where(F.col("group_size") <= heavy), key))
+
+
+def bitmap(hashes: DataFrame, column: str, log2: int) -> np.ndarray:
+    """2 ** log2 bits, set at the hashes modulo their number; segments of 65,536 bits are made in
+    tasks, and the whole has at most 2 ** log2 / 8 bytes."""
+    place = F.pmod(F.col(column), F.lit(1 << log2))
+    spots = hashes.select(F.shiftright(place, 16).alias("segment"), F.pmod(place, F.lit(1 << 16)).alias("bit")).distinct()
+
+    def pack(table: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << 16, np.uint8)
+        bits[table.column("bit").to_numpy()] = 1
+        return pa.table({"segment": table.column("segment").slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    out = np.zeros((1 << log2) // 8, np.uint8)
+    for row in spots.groupBy("segment").applyInArrow(pack, "segment bigint, bits binary").collect():
+        out[row["segment"] << 13:(row["segment"] + 1) << 13] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def marked(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether the bits of the values are set."""
+    place = values & (len(bits) * 8 - 1)
+    return (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
+
+
+def prefiltered(df: DataFrame, column: str, wanted: DataFrame, log2: int = 24) -> DataFrame:
+    """The rows of `df` that may have a partner in `wanted` by `column`: a bitmap of a fixed size is
+    broadcast, so that a join which follows shuffles little. Rows without a partner may remain."""
+    place = "__place__"
+    shared = df.sparkSession.sparkContext.broadcast(
+        bitmap(wanted.select(F.xxhash64(column).alias(place)), place, log2))
+    names = df.columns
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(marked(shared.value, batch.column(place).to_numpy()))).select(names)
+
+    return df.withColumn(place, F.xxhash64(column)).mapInArrow(keep, df.schema)
