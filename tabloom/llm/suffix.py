@@ -5,10 +5,13 @@ alone in its group leaves. The first digit is an anchor: of the ANCHOR-byte stri
 SPAN bytes the one with the least hash, the leftmost if equal. Equal windows have the same anchor at
 the same place, so one suffix per anchor (about 2 of 70) stands for all windows around it, and an
 anchor that occurs once means that none of its windows repeats. Anchors that repeat carry their
-context, the bytes that their windows reach. Equal contexts are one group of equal windows: all
-but the first occurrence repeat. Different contexts of a group are told apart window by window;
-a group of more than GROUP contexts is first dealt by a longer digit (the bytes common to half of the
-windows), again and again, down to single windows.
+context, the bytes that their windows reach. Of equal contexts in one task only the first occurrence
+goes on, the others repeat it. Contexts of a group are told apart window by window; a group of more
+than GROUP contexts is first dealt by a longer digit (the bytes common to half of the windows), again
+and again, down to single windows.
+
+Which anchors repeat, and which texts have copies, reaches the tasks as bitmaps of a fixed size; a
+wrong hit there costs a row that a later pass drops, never a result.
 
 Occurrences are ordered by doc_id, then text hash, then start. Defined cases: null and empty texts
 have no bytes; texts under SPAN bytes keep everything; of rows with the same text only one of the
@@ -26,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, stored, with_groups
+from .common import as_bytes, bitmap, marked, stored, with_groups
 
 SPAN, ANCHOR, GROUP = 100, 32, 3000
+#: Contexts that a task remembers; contexts compared in one call.
+HELD, BUCKET = 300_000, 20_000
 LAST = (1 << 63) - 1
 _P = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.uint64((1 << 24) - 1)
@@ -76,75 +81,121 @@ def anchors(raw: bytes, span: int = SPAN, size: int = ANCHOR) -> tuple[np.ndarra
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def _anchor_rows(texts: DataFrame) -> DataFrame:
-    """(h, dkey, pos) of every anchor; a text met again in the same task is left out."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            keys, texts = batch.column("dkey").to_pylist(), batch.column("raw").to_pylist()
-            hs, ds, ps = [], [], []
-            for key, raw in zip(keys, texts, strict=True):
-                if key in seen:
-                    continue
-                if len(seen) < 1_000_000:
-                    seen.add(key)
-                pos, h, _, _ = anchors(raw)
-                pos, one = np.unique(pos, return_index=True)
-                hs.append(h[one])
-                ps.append(pos)
-                ds.append(np.full(len(pos), key, np.int64))
-            none = np.zeros(0, np.int64)
-            yield pa.record_batch([pa.array(np.concatenate([*x, none])) for x in (hs, ds, ps)], ["h", "dkey", "pos"])
+def _first_texts(texts: DataFrame, heads: DataFrame) -> DataFrame:
+    """One row (oid, dkey, raw) of each text of SPAN bytes or more, that of its head. Only texts
+    that may have copies are joined with the heads."""
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast(bitmap(heads.where("group_size > 1"), "dkey", 24))
+
+    def picked(want: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(marked(shared.value, batch.column("dkey").to_numpy()) == want))
+
+        return texts.mapInArrow(run, "oid bigint, dkey bigint, raw binary")
 
-    return texts.mapInArrow(run, "h bigint, dkey bigint, pos bigint")
+    copies = stored(picked(True).join(heads.select("dkey", "oid"), ["dkey", "oid"], "left_semi")
+                    .dropDuplicates(["dkey", "oid"]).select("oid", "dkey", "raw"), "copied-texts")
+    return picked(False).unionByName(copies)
 
 
-def _contexts(texts: DataFrame) -> DataFrame:
-    """Rows (dkey, oid, raw, places) give the first radix groups: key, lo, hi (offsets before the
-    anchor that the group deals with), a, b (those that this anchor has), ctx (bytes from the
-    start of window b to the end of window a), and oid, dkey, pos."""
+def _anchor_counts(texts: DataFrame) -> DataFrame:
+    """Anchor hashes with their numbers of occurrences."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: dict[str, list] = {k: [] for k in ("key", "lo", "hi", "a", "b", "ctx", "oid", "dkey", "pos")}
-            for oid, key, raw, places in zip(*(batch.column(k).to_pylist() for k in ("oid", "dkey", "raw", "places")), strict=True):
-                pos, h, first, last = anchors(raw)
-                keep = np.flatnonzero(np.isin(pos, np.array(places, np.int64)))
-                for p, x, s, e in zip(pos[keep].tolist(), h[keep].tolist(), first[keep].tolist(), last[keep].tolist(), strict=True):
-                    cols["key"].append(x)
-                    cols["a"].append(p - e)
-                    cols["b"].append(p - s)
-                    cols["ctx"].append(raw[s:e + SPAN])
-                    cols["pos"].append(p)
-                    cols["oid"].append(oid)
-                    cols["dkey"].append(key)
-            size = len(cols["key"])
-            cols["lo"], cols["hi"] = [0] * size, [SPAN - ANCHOR] * size
-            yield pa.record_batch([pa.array(v, pa.binary() if k == "ctx" else pa.int64()) for k, v in cols.items()], list(cols))
+            found = []
+            for raw in batch.column("raw").to_pylist():
+                pos, h, _, _ = anchors(raw)
+                found.append(h[np.unique(pos, return_index=True)[1]])
+            h, n = np.unique(np.concatenate([*found, np.zeros(0, np.int64)]), return_counts=True)
+            yield pa.record_batch([pa.array(h), pa.array(n)], ["h", "n"])
 
-    return texts.mapInArrow(run, ROWS)
+    return texts.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 ROWS = "key bigint, lo bigint, hi bigint, a bigint, b bigint, ctx binary, oid bigint, dkey bigint, pos bigint"
 FOUND = "dkey bigint, s bigint, e bigint"
 
 
+def _contexts(texts: DataFrame, often: np.ndarray) -> DataFrame:
+    """The first radix groups: key, lo, hi (offsets before the anchor that the group deals with), a, b
+    (those that this anchor has), ctx (bytes from the start of window b to the end of window a), and
+    oid, dkey, pos. An occurrence after another one of the same context in the same task repeats it:
+    it comes with a null ctx and the windows' starts, from lo to hi."""
+    shared = texts.sparkSession.sparkContext.broadcast(often)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: dict[tuple[int, int, bytes], tuple[int, int, int, int]] = {}
+        names = ("key", "lo", "hi", "a", "b", "ctx", "oid", "dkey", "pos")
+
+        def packed(cols: list[list]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(c, pa.binary() if k == "ctx" else pa.int64())
+                                    for k, c in zip(names, cols, strict=True)], list(names))
+
+        def held() -> Iterator[pa.RecordBatch]:
+            items = list(first.items())
+            first.clear()
+            for at in range(0, len(items), 20_000):
+                part = items[at:at + 20_000]
+                yield packed([[v[3] for _, v in part], [0] * len(part), [SPAN - ANCHOR] * len(part),
+                              [k[0] for k, _ in part], [k[1] for k, _ in part], [k[2] for k, _ in part],
+                              *([v[j] for _, v in part] for j in range(3))])
+
+        for batch in batches:
+            gone: list[tuple[int, int, int]] = []
+            for oid, key, raw in zip(*(batch.column(k).to_pylist() for k in ("oid", "dkey", "raw")), strict=True):
+                pos, h, start, end = anchors(raw)
+                keep = np.flatnonzero(marked(shared.value, h))
+                for p, x, s, e in zip(*(c[keep].tolist() for c in (pos, h, start, end)), strict=True):
+                    context = (p - e, p - s, raw[s:e + SPAN])
+                    own, known = (oid, key, p, x), first.get(context)
+                    if known is None:
+                        first[context] = own
+                    elif own[:3] == known[:3]:
+                        continue
+                    elif own[:3] > known[:3]:
+                        if gone and gone[-1][0] == key and gone[-1][2] == s - 1:
+                            gone[-1] = (key, gone[-1][1], e)
+                        else:
+                            gone.append((key, s, e))
+                    else:
+                        gone.append((known[1], known[2] - context[1], known[2] - context[0]))
+                        first[context] = own
+            if gone:
+                none = [None] * len(gone)
+                yield packed([none, [g[1] for g in gone], [g[2] for g in gone], none, none, none, none, [g[0] for g in gone], none])
+            if len(first) > HELD:
+                yield from held()
+        yield from held()
+
+    return texts.mapInArrow(run, ROWS)
+
+
 def _told_apart(table: pa.Table) -> pa.Table:
-    """The windows of first occurrences that another context of the group has earlier."""
-    rows = sorted(zip(*(table.column(k).to_pylist() for k in ("oid", "dkey", "pos", "a", "b", "ctx")), strict=True))
+    """Many groups: the windows that an occurrence before has, in (oid, dkey, pos) order."""
+    key = table.column("key").to_numpy()
+    _, which, sizes = np.unique(key, return_inverse=True, return_counts=True)
+    table = table.filter(pa.array(sizes[which] > 1))  # a suffix that is alone leaves
+    rows = sorted(zip(*(table.column(k).to_pylist() for k in ("key", "oid", "dkey", "pos", "a", "b", "ctx")), strict=True))
     met: set[tuple[int, bytes]] = set()
     keys, starts, ends = [], [], []
-    for _, dkey, pos, a, b, ctx in rows:
+    last = own = None
+    for key, oid, dkey, pos, a, b, ctx in rows:
+        if key != last:
+            met, last = set(), key
+        if (oid, dkey, pos) == own and met:
+            continue
+        own = (oid, dkey, pos)
         for o in range(b, a - 1, -1):
             window = (o, ctx[b - o:b - o + SPAN])
-            if window in met:
-                if keys and keys[-1] == dkey and ends[-1] == pos - o - 1:
-                    ends[-1] = pos - o
-                else:
-                    keys.append(dkey)
-                    starts.append(pos - o)
-                    ends.append(pos - o)
-            else:
+            if window not in met:
                 met.add(window)
+            elif keys and keys[-1] == dkey and ends[-1] == pos - o - 1:
+                ends[-1] = pos - o
+            else:
+                keys.append(dkey)
+                starts.append(pos - o)
+                ends.append(pos - o)
     return pa.table({"dkey": pa.array(keys, pa.int64()), "s": pa.array(starts, pa.int64()), "e": pa.array(ends, pa.int64())})
 
 
@@ -165,26 +216,26 @@ def _halves(rows: DataFrame) -> DataFrame:
 
 def repeated_windows(rows: DataFrame, group: int = GROUP) -> DataFrame:
     """Radix passes over anchor contexts; starts (from s to e) of windows that occur earlier."""
-    found = None
-
-    def add(part: DataFrame) -> None:
-        nonlocal found
-        found = part if found is None else found.unionByName(part)
-
+    rows = stored(rows, "contexts")
+    found = rows.where("ctx is null").select("dkey", F.col("lo").alias("s"), F.col("hi").alias("e"))
+    rows = rows.where("ctx is not null")
+    buckets = max(64, rows.count() // BUCKET)
     while True:
-        rows = stored(rows.withColumn("cx", F.md5("ctx")), "contexts")
-        place = F.struct("oid", "dkey", "pos")
-        same = stored(rows.groupBy("key", "a", "b", "cx").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "same")
-        later = rows.join(same.where("n > 1"), ["key", "a", "b", "cx"]).where(place > F.col("first"))
-        add(later.select("dkey", (F.col("pos") - F.col("b")).alias("s"), (F.col("pos") - F.col("a")).alias("e")))
-        kinds = same.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-        firsts = stored(rows.join(same.join(kinds, "key").select("key", "a", "b", "cx", "first", "kinds"),
-                                  ["key", "a", "b", "cx"]).where(place == F.col("first")).drop("first", "cx"), "firsts")
-        add(firsts.where(F.col("kinds") <= group).groupBy("key").applyInArrow(_told_apart, FOUND))
-        large = firsts.where(F.col("kinds") > group).drop("kinds")
-        if large.isEmpty():
+        large_keys = stored(rows.groupBy("key").count().where(F.col("count") > group).select("key"), "large-groups")
+        some_large = not large_keys.isEmpty()
+        small = rows.join(large_keys, "key", "left_anti") if some_large else rows
+        bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")
+        found = found.unionByName(small.groupBy(bucket).applyInArrow(_told_apart, FOUND))
+        if not some_large:
             return found
-        rows = _halves(large)
+        # Large groups: all but the first of equal contexts repeat, the first ones get a longer digit.
+        large = stored(_halves(rows.join(large_keys, "key")), "halves")
+        place = F.struct("oid", "dkey", "pos")
+        kinds = ["key", "lo", "hi", "a", "b", "ctx"]
+        first = stored(large.groupBy(*kinds).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
+        later = large.join(first.where("n > 1"), kinds).where(place > F.col("first"))
+        found = found.unionByName(later.select("dkey", (F.col("pos") - F.col("b")).alias("s"), (F.col("pos") - F.col("a")).alias("e")))
+        rows = first.select(*kinds, "first.oid", "first.dkey", "first.pos")
 
 
 def _cut(texts: DataFrame) -> DataFrame:
@@ -220,15 +271,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                   .withColumn("row", F.monotonically_increasing_id()), "rows")
     heads = stored(rows.groupBy("dkey").agg(F.min(F.struct("oid", "row")).alias("head"), F.count(F.lit(1)).alias("group_size"))
                    .select("dkey", F.col("head.oid").alias("oid"), F.col("head.row").alias("head"), "group_size"), "heads")
-    spots = _anchor_rows(texts.where(F.length("raw") >= SPAN))
-    often = spots.groupBy("h").count().where("count > 1").select("h")
-    met = stored(spots.join(often, "h").distinct(), "anchors")  # copies of a text have the same rows
-    again = met.groupBy("h").count().where("count > 1").select("h")
-    places = met.join(again, "h").groupBy("dkey").agg(F.collect_set("pos").alias("places"))
-    held = stored(texts.join(places.join(heads, "dkey").select("dkey", "oid", "places"), ["dkey", "oid"]), "held-texts")
-    windows = repeated_windows(_contexts(held))
-    starts = windows.groupBy("dkey").agg(F.collect_list(F.struct("s", "e")).alias("starts"))
-    cut = stored(_cut(held.drop("places", "oid").join(starts, "dkey")).dropDuplicates(["dkey"]), "cut")
+    once = _first_texts(texts.where(F.length("raw") >= SPAN).select("oid", "dkey", "raw"), heads)
+    often = bitmap(_anchor_counts(once).where("n > 1"), "h", 27)
+    windows = repeated_windows(_contexts(once, often))
+    starts = stored(windows.groupBy("dkey").agg(F.collect_list(F.struct("s", "e")).alias("starts")), "starts")
+    wanted = texts.join(starts.join(heads, "dkey").select("dkey", "oid", "starts"), ["dkey", "oid"])
+    cut = stored(_cut(wanted.select("dkey", "raw", "starts")), "cut").dropDuplicates(["dkey"])
     both = heads.drop("oid").join(cut, "dkey", "left")
     total = rows.count()
     full = with_groups(rows, both, "dkey", max(2, total // 500))
