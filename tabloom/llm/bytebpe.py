@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A block ends at so many distinct words or word codes; so many words go into one row of its list.
-WORDS, CODES, CHUNK = 400_000, 8_000_000, 200
+WORDS, CODES, CHUNK = 500_000, 8_000_000, 200
 LONG, NONE = 200, 1 << 20
 PRIMES = (200003, 230003)
 
@@ -106,11 +107,11 @@ def merged(word: Column, ranks: Ranks) -> Column:
                                 F.transform(F.when(i > 1, F.array(before, own)).otherwise(F.array(own)), ranked),
                                 F.slice(p, i + 2, F.lit(LONG)))
 
-            return F.when(best >= NONE << 24, p).otherwise(_let(F.array_position(p, best).cast("int"), at))
+            return _let(F.array_position(p, best).cast("int"), at)
 
-        return _let(F.array_min(p), join)
+        return F.when(F.array_min(p) >= NONE << 24, p).otherwise(_let(F.array_min(p), join))
 
-    return F.transform(F.aggregate(word, word, step), lambda x: x.bitwiseAND(sixteen).cast("int"))
+    return F.transform(F.aggregate(F.slice(word, F.lit(2), F.lit(LONG)), word, step), lambda x: x.bitwiseAND(sixteen).cast("int"))
 
 
 def _heap_merged(ids: list[int], pairs: dict[int, int]) -> list[int]:
@@ -133,12 +134,12 @@ def _heap_merged(ids: list[int], pairs: dict[int, int]) -> list[int]:
     return [i for i in ids if i >= 0]
 
 
-def _special(word: bytes, odd: dict[bytes, int], pairs: dict[int, int], byte_ids: np.ndarray,
-             first_rank: np.ndarray) -> list[int]:
-    """One word as `merged` takes it; odd and long words are given with all merges done."""
+def _long(word: bytes, ids_of: dict[bytes, int], pairs: dict[int, int], byte_ids: np.ndarray,
+          first_rank: np.ndarray) -> list[int]:
+    """One word as `merged` takes it; whole and long words are given with all merges done."""
     data = np.frombuffer(word, np.uint8)
-    if word in odd or len(word) > LONG:
-        ids = [odd[word]] if word in odd else _heap_merged(byte_ids[data].tolist(), pairs)
+    if word in ids_of or len(word) > LONG:
+        ids = [ids_of[word]] if word in ids_of else _heap_merged(byte_ids[data].tolist(), pairs)
         return [NONE << 24 | i for i in ids]
     rank = np.append(first_rank[data[:-1], data[1:]], NONE)
     return (rank << 24 | np.arange(len(data)) << 16 | byte_ids[data]).tolist()
@@ -157,10 +158,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     """Per document: doc_id and ids (array of token ids)."""
     ranks = Ranks(ranks_path)
     pairs = ranks.pairs()
-    # Vocabulary pieces that their own merges would not give; as whole words they are still one token.
-    odd = {piece: number for piece, number in ranks.ids.items()
-           if _heap_merged(ranks.bytes[np.frombuffer(piece, np.uint8)].tolist(), pairs) != [number]}
-    shared = docs.sparkSession.sparkContext.broadcast((odd, pairs, ranks.bytes))
+    shared = docs.sparkSession.sparkContext.broadcast((ranks.ids, pairs, ranks.bytes))
     texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"),
                         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     listed = pa.list_(pa.list_(pa.int64()))
@@ -169,7 +167,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         import regex
 
         find = regex.compile(pattern).findall
-        odd, pairs, byte_ids = shared.value
+        ids_of, pairs, byte_ids = shared.value
+        whole = ids_of.get
         first_rank = np.full((256, 256), NONE, np.int64)
         for a in range(256):
             for b in range(256):
@@ -178,15 +177,20 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         def pieces(words: list[bytes]) -> pa.Array:
             """The words as `merged` takes them."""
             sizes = np.array([len(w) for w in words])
-            if max(sizes) > LONG or not odd.keys().isdisjoint(words):
-                return pa.array([_special(w, odd, pairs, byte_ids, first_rank) for w in words], pa.list_(pa.int64()))
+            if max(sizes) > LONG:
+                return pa.array([_long(w, ids_of, pairs, byte_ids, first_rank) for w in words], pa.list_(pa.int64()))
             data = np.frombuffer(b"".join(words), np.uint8)
             ends = np.cumsum(sizes)
             rank = np.append(first_rank[data[:-1], data[1:]], NONE)
             rank[ends - 1] = NONE
             place = np.arange(len(data)) - np.repeat(ends - sizes, sizes)
-            return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)),
-                                            pa.array(rank << 24 | place << 16 | byte_ids[data]))
+            flat = rank << 24 | place << 16 | byte_ids[data]
+            token = np.fromiter(map(whole, words, repeat(-1)), np.int64, len(words))
+            one = token >= 0  # words of the vocabulary are done
+            flat[(ends - sizes)[one]] = NONE << 24 | token[one]
+            flat = flat[~np.repeat(one, sizes) | (place == 0)]
+            ends = np.cumsum(np.where(one, 1, sizes))
+            return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(flat))
 
         def block(known: dict[str, int], held: list[tuple[pa.Array, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
             words = [w.encode() for w in known]
