@@ -26,7 +26,7 @@ from .common import as_bytes, crc_mod, slices
 from .sampling import labelled_sample
 
 #: Documents of a language in the sample, pieces of a document, bytes of a piece.
-PER_LANG, SNIPPETS, SNIPPET = 1500, 3, 200
+PER_LANG, SNIPPETS, SNIPPET = 1000, 3, 200
 SIZES, BUCKETS, DIM = (2, 3, 4), 1 << 15, 16
 EPOCHS, BATCH, RATE = 4, 128, 0.5
 #: The rejection bound is this share of the least probability among held-back pieces of known languages.
@@ -91,7 +91,7 @@ def train(texts: list[bytes], labels: list[str], seed: int = 7) -> LanguageModel
     rows, owner, target = [], [], []
     for i, (raw, lang) in enumerate(zip(texts, labels, strict=True)):
         for piece in _pieces(raw, rng):
-            rows.append(np.concatenate([grams(piece, s) for s in SIZES]))
+            rows.append(np.concatenate([grams(piece, s) for s in SIZES]).astype(np.uint16))
             owner.append(i)
             target.append(langs.index(lang))
     target, held = np.array(target), np.array(owner) % 5 == 0
@@ -144,7 +144,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rows = docs.where(crc_mod(id_col, held_mod) != held_is).select(
         F.col(f"`{id_col}`").cast("string").alias("k"), as_bytes(text_col).alias("raw"),
         F.col(f"`{lang_col}`").cast("string").alias("lang")).where(F.length("raw") > 0)
-    short = rows.withColumn("raw", F.substring("raw", 1, 4000))  # of sampled rows only, for training
+    short = rows.withColumn("raw", F.substring("raw", 1, 2000))  # of sampled rows only, for training
     sample = labelled_sample(short, "lang", ["k"], PER_LANG)
     if sample.empty:
         return None
