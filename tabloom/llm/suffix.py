@@ -33,7 +33,7 @@ from .common import as_bytes, bitmap, marked, stored, with_groups
 
 SPAN, ANCHOR, GROUP = 100, 32, 3000
 #: Contexts that a task remembers; contexts compared in one call.
-HELD, BUCKET = 300_000, 20_000
+HELD, BUCKET = 60_000, 20_000
 LAST = (1 << 63) - 1
 _P = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.uint64((1 << 24) - 1)
