@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 #: A block ends at so many distinct words or word codes; so many words go into one row of its list.
 WORDS, CODES, CHUNK = 500_000, 8_000_000, 200
 LONG, NONE = 200, 1 << 20
-PRIMES = (200003, 230003)
+PRIMES = (130003, 140009)
 
 
 class Ranks:
