@@ -282,6 +282,25 @@ def test_language_model_odd_rows(spark):
     assert hpylm.score(frame(spark, ["a b"], [None])).count() == 1
 
 
+def test_language_model_pairs_beyond_frequent_words(spark):
+    """Pairs of words that are neither frequent contexts nor frequent dishes count in the score."""
+    rng = random.Random(5)
+    usual = [f"u{i}" for i in range(hpylm.DISHES)] * 8
+    first, second = [f"a{i}" for i in range(600)], [f"b{i}" for i in range(600)]
+    train, held = ([i for i in range(400) if (zlib.crc32(str(i).encode()) % 10 == 0) == out] for out in (False, True))
+    rng.shuffle(usual)
+    texts = {i: " ".join(usual[k::len(train)]) for k, i in enumerate(train)}
+    for k, i in enumerate(train):
+        places = [(k + s * 37) % 600 for s in range(9)]
+        texts[i] += " " + " ".join(f"{first[j]} {second[j]}" for j in places)
+    pick = rng.sample(range(600), 40)
+    texts[held[0]] = " ".join(f"{first[j]} {second[j]}" for j in pick)
+    texts[held[1]] = " ".join(f"{first[j]} {second[k]}" for j, k in zip(pick, pick[1:] + pick[:1]))
+    rows = [(i, t) for i, t in texts.items()]
+    got = {r.doc_id: r.score for r in hpylm.score(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[held[0]] > got[held[1]] + 20
+
+
 def test_seating_matches_exact_distribution():
     d, theta, p, c = 0.5, 1.0, 0.2, 6
     weights = np.zeros(c + 1)
