@@ -3,7 +3,7 @@
 Letters are lower-cased (A-Z), all other ASCII becomes spaces; byte n-grams of SIZES are hashed
 into BUCKETS, their embeddings are averaged and go through a linear layer. Both are trained by
 stochastic gradient descent in numpy on a bounded sample: at most PER_LANG documents of each
-language, SNIPPETS pieces of each. A temperature and a rejection bound are fitted on a fifth of the
+language, SNIPPETS pieces of each at hashed places of the whole text. A temperature and a rejection bound are fitted on a fifth of the
 sample that the training does not see. Scoring is linear in the embeddings, so each bucket is
 folded to one number per language and a text is one pass over its bytes.
 
@@ -78,19 +78,13 @@ class LanguageModel:
         return out / out.sum(1, keepdims=True)
 
 
-def _pieces(raw: bytes, rng: np.random.Generator) -> list[np.ndarray]:
-    folded = _FOLD[np.frombuffer(raw, np.uint8)]
-    if len(folded) <= SNIPPET:
-        return [folded] if len(folded) >= min(SIZES) else []
-    return [folded[a:a + SNIPPET] for a in rng.integers(0, len(folded) - SNIPPET + 1, SNIPPETS)]
-
-
-def train(texts: list[bytes], labels: list[str], seed: int = 7) -> LanguageModel:
+def train(texts: list[list[bytes]], labels: list[str], seed: int = 7) -> LanguageModel:
+    """`texts`: the pieces of each text."""
     langs = sorted(set(labels))
     rng = np.random.default_rng(seed)
     rows, owner, target = [], [], []
-    for i, (raw, lang) in enumerate(zip(texts, labels, strict=True)):
-        for piece in _pieces(raw, rng):
+    for i, (pieces, lang) in enumerate(zip(texts, labels, strict=True)):
+        for piece in (_FOLD[np.frombuffer(raw, np.uint8)] for raw in pieces if len(raw) >= min(SIZES)):
             rows.append(np.concatenate([grams(piece, s) for s in SIZES]).astype(np.uint16))
             owner.append(i)
             target.append(langs.index(lang))
@@ -144,11 +138,19 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rows = docs.where(crc_mod(id_col, held_mod) != held_is).select(
         F.col(f"`{id_col}`").cast("string").alias("k"), as_bytes(text_col).alias("raw"),
         F.col(f"`{lang_col}`").cast("string").alias("lang")).where(F.length("raw") > 0)
-    short = rows.withColumn("raw", F.substring("raw", 1, 2000))  # of sampled rows only, for training
-    sample = labelled_sample(short, "lang", ["k"], PER_LANG)
+    sample = labelled_sample(with_pieces(rows), "lang", ["k"], PER_LANG)
     if sample.empty:
         return None
-    return train([bytes(r) for r in sample["raw"]], list(sample["lang"]))
+    return train([[bytes(r) for r in own] for own in sample["pieces"]], list(sample["lang"]))
+
+
+def with_pieces(rows: DataFrame) -> DataFrame:
+    """`pieces` instead of the column `raw`: SNIPPETS pieces of SNIPPET bytes, at places of the whole text that
+    follow from a hash of the id `k`; the text itself where it is shorter."""
+    room = F.greatest(F.length("raw") - SNIPPET + 1, F.lit(1))
+    return rows.withColumn("pieces", F.array_distinct(F.array(*[
+        F.col("raw").substr((F.pmod(F.xxhash64("k", F.lit(i)), room) + 1).cast("int"), F.lit(SNIPPET))
+        for i in range(SNIPPETS)]))).drop("raw")
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id",

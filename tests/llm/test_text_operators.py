@@ -210,6 +210,14 @@ def test_language(spark, docs):
     assert langid.accepted(marked).where("text is null").count() == 0
 
 
+def test_language_pieces_from_whole_text(spark):
+    """Nothing but the end of the texts tells the languages apart."""
+    rows = [(i, "0 " * 1050 + ("wald und wiese " if i % 2 else "bosque y prado ") * 2000, "de" if i % 2 else "es") for i in range(1200)]
+    train = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fit(train)
+    assert model.probabilities([b"wald und wiese " * 20, b"bosque y prado " * 20]).argmax(1).tolist() == [0, 1]
+
+
 def test_quality(spark, docs, labels):
     got = quality.predictions(docs, labels).join(labels, "doc_id")
     held = got.where("held_out")
