@@ -3,8 +3,10 @@
 Letters are lower-cased (A-Z), all other ASCII becomes spaces; byte n-grams of SIZES are hashed
 into BUCKETS, their embeddings are averaged and go through a linear layer. Both are trained by
 stochastic gradient descent in numpy on a bounded sample: at most PER_LANG documents of each
-language, SNIPPETS pieces of each at hashed places of the whole text. A temperature and a rejection bound are fitted on a fifth of the
-sample that the training does not see. Scoring is linear in the embeddings, so each bucket is
+language, SNIPPETS pieces of each at hashed places of the whole text. A temperature is fitted on a fifth of the
+sample that the training does not see. The whole texts of that fifth also give the two bounds of the
+rejection: on the top probability, and on how familiar the n-grams are (their mean log frequency in the
+language found, see `LanguageModel.strange`), which works for any number of languages. Scoring is linear in the embeddings, so each bucket is
 folded to one number per language and a text is one pass over its bytes.
 
 Defined cases: a null text and a text without a letter are `und` with score 0; empty tables give no
@@ -29,8 +31,8 @@ from .sampling import labelled_sample
 PER_LANG, SNIPPETS, SNIPPET = 1000, 3, 200
 SIZES, BUCKETS, DIM = (2, 3, 4), 1 << 15, 16
 EPOCHS, BATCH, RATE = 4, 128, 0.5
-#: The rejection bound is this share of the least probability among held-back pieces of known languages.
-REJECT = 0.8
+#: Each rejection bound leaves out this share of the held-back texts of known languages.
+QUANTILE = 0.005
 UNKNOWN = "und"
 
 _FOLD = np.array([b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20
@@ -52,30 +54,56 @@ def grams(raw: np.ndarray, size: int) -> np.ndarray:
 
 @dataclass
 class LanguageModel:
-    """`table`: one number per bucket and language; `bias`; temperature; rejection bound."""
+    """`table`: one number per bucket and language; `bias`; temperature; `usual`: log frequency of each
+    bucket in each language, `mean` and `spread` of its averages over pieces; rejection bounds."""
 
     langs: list[str]
     table: np.ndarray
     bias: np.ndarray
     heat: float
-    bound: float
+    usual: np.ndarray
+    mean: np.ndarray
+    spread: np.ndarray
+    bound: float = 0.0
+    most_strange: float = np.inf
 
     def probabilities(self, texts: list[bytes]) -> np.ndarray:
         """One row per text; uniform for a text without n-grams."""
-        out = np.zeros((len(texts), len(self.langs)))
-        folded = [_FOLD[np.frombuffer(t, np.uint8)] for t in texts]
-        for i, raw in enumerate(folded):
-            total, count = np.zeros(len(self.langs)), 0
+        return self.judged(texts)[0]
+
+    def judged(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities of every text, and how strange it is for its likeliest language."""
+        width = len(self.langs)
+        both = np.concatenate([self.table, self.usual], 1)
+        sums, counts = np.zeros((len(texts), 2 * width)), np.zeros(len(texts))
+        for i, raw in enumerate(_FOLD[np.frombuffer(t, np.uint8)] for t in texts):
             for at in range(0, len(raw), 1 << 18):
                 for size in SIZES:  # pieces overlap by size - 1 bytes, so every n-gram counts once
                     found = grams(raw[at:at + (1 << 18) + size - 1], size)
-                    total += np.bincount(found, minlength=BUCKETS) @ self.table if len(found) > 20_000 \
-                        else self.table[found].sum(0)
-                    count += len(found)
-            out[i] = total / max(count, 1) + self.bias
-        out = out / self.heat
+                    sums[i] += np.bincount(found, minlength=BUCKETS) @ both if len(found) > 20_000 \
+                        else both[found].sum(0)
+                    counts[i] += len(found)
+        sums /= np.maximum(counts, 1)[:, None]
+        out = (sums[:, :width] + self.bias) / self.heat
         out = np.exp(out - out.max(1, keepdims=True))
-        return out / out.sum(1, keepdims=True)
+        out /= out.sum(1, keepdims=True)
+        return out, self.strange(sums[:, width:], counts, out.argmax(1))
+
+    def strange(self, familiar: np.ndarray, counts: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        """How far the mean log frequency of the n-grams lies below that of the language, in standard
+        deviations of a text of that many n-grams (at least a piece's share of them stays)."""
+        wide = np.sqrt(0.5 + 0.5 * len(SIZES) * SNIPPET / np.maximum(counts, 1))
+        at = np.arange(len(lang))
+        return (self.mean[lang] - familiar[at, lang]) / (self.spread[lang] * wide)
+
+    def rejects(self, top: np.ndarray, strange: np.ndarray) -> np.ndarray:
+        return (top < self.bound) | (strange > self.most_strange)
+
+    def calibrate(self, top: np.ndarray, strange: np.ndarray) -> None:
+        """Bounds from the top probability and strangeness of held-back whole texts."""
+        if len(top):
+            self.bound = float(np.quantile(top, QUANTILE, method="lower"))
+            self.most_strange = float(np.quantile(strange, 1 - QUANTILE, method="higher"))
 
 
 def train(texts: list[list[bytes]], labels: list[str], seed: int = 7) -> LanguageModel:
@@ -115,7 +143,18 @@ def train(texts: list[list[bytes]], labels: list[str], seed: int = 7) -> Languag
         pull = np.repeat(back, sizes, 0)
         for d in range(DIM):  # each piece moves its embeddings by its own gradient
             embed[:, d] -= rate * 8 * np.bincount(found, pull[:, d], BUCKETS)
-    model = LanguageModel(langs, (embed @ weight).astype(np.float64), bias.astype(np.float64), 1.0, 0.0)
+    usual = np.zeros((BUCKETS, len(langs)))
+    for k in range(len(langs)):
+        own = [rows[i] for i in np.flatnonzero((target == k) & ~held)]
+        n = np.bincount(np.concatenate(own), minlength=BUCKETS) if own else np.zeros(BUCKETS)
+        usual[:, k] = np.log((n + 0.5) / (n.sum() + 0.5 * BUCKETS))
+    fits = np.array([usual[r, k].mean() for r, k in zip(rows, target, strict=True)])
+    mean, spread = np.zeros(len(langs)), np.ones(len(langs))
+    for k in range(len(langs)):
+        own = fits[(target == k) & held] if ((target == k) & held).sum() > 1 else fits[target == k]
+        if len(own):
+            mean[k], spread[k] = own.mean(), max(own.std(), 0.05)
+    model = LanguageModel(langs, (embed @ weight).astype(np.float64), bias.astype(np.float64), 1.0, usual, mean, spread)
     check = [rows[i] for i in np.flatnonzero(held)]
     if check:
         logits = np.array([model.table[r].mean(0) for r in check]) + model.bias
@@ -127,8 +166,6 @@ def train(texts: list[list[bytes]], labels: list[str], seed: int = 7) -> Languag
             return float((np.log(np.exp(z).sum(1)) - z[np.arange(len(z)), truth]).mean())
 
         model.heat = min(np.geomspace(0.2, 5, 40), key=loss)
-        z = np.exp((logits - logits.max(1, keepdims=True)) / model.heat)
-        model.bound = float(np.clip(REJECT * (z / z.sum(1, keepdims=True)).max(1).min(), 1.2 / len(langs), 0.45))
     return model
 
 
@@ -141,7 +178,20 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     sample = labelled_sample(with_pieces(rows), "lang", ["k"], PER_LANG)
     if sample.empty:
         return None
-    return train([[bytes(r) for r in own] for own in sample["pieces"]], list(sample["lang"]))
+    model = train([[bytes(r) for r in own] for own in sample["pieces"]], list(sample["lang"]))
+    held = sample["k"][np.arange(len(sample)) % 5 == 0]  # as in train
+    whole = rows.where(F.col("lang").isNotNull() & F.col("k").isin(held.dropna().tolist()))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, strange = shared.value.judged(batch.column("raw").to_pylist())
+            yield pa.record_batch([pa.array(p.max(1)), pa.array(strange)], ["top", "strange"])
+
+    letters = whole.where(F.col("raw").cast("string").rlike(r"\p{L}"))
+    found = letters.select("raw").mapInArrow(judge, "top double, strange double").toPandas()
+    model.calibrate(found["top"].to_numpy(), found["strange"].to_numpy())
+    return model
 
 
 def with_pieces(rows: DataFrame) -> DataFrame:
@@ -156,7 +206,7 @@ def with_pieces(rows: DataFrame) -> DataFrame:
 def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
     """Per document: doc_id, lang_pred, score (calibrated probability of it), rejected (`und`, or
-    a score below the bound)."""
+    beyond one of the model's bounds)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,17 +214,17 @@ def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id
         for batch in batches:
             texts = batch.column("raw").to_pylist()
             letters = batch.column("letters").to_pylist()
-            langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+            langs, scores, rejected = [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
             if own is not None:
                 for a, b in slices(np.array([len(t) for t in texts]), 1 << 22):
-                    p = own.probabilities(texts[a:b])
+                    p, strange = own.judged(texts[a:b])
+                    no = own.rejects(p.max(1), strange).tolist()
                     for i, k in enumerate(p.argmax(1).tolist(), a):
                         if letters[i]:
-                            langs[i], scores[i] = own.langs[k], float(p[i - a, k])
-            low = own.bound if own is not None else 1.0
+                            langs[i], scores[i], rejected[i] = own.langs[k], float(p[i - a, k]), no[i - a]
             yield pa.record_batch([
                 batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()),
-                pa.array([x == UNKNOWN or s < low for x, s in zip(langs, scores, strict=True)], pa.bool_())],
+                pa.array(rejected, pa.bool_())],
                 ["doc_id", "lang_pred", "score", "rejected"])
 
     return docs.select(
@@ -201,10 +251,10 @@ def accepted(docs: DataFrame, text_col: str = "text") -> DataFrame:
         own = shared.value
         for batch in batches:
             texts = batch.column(raw).to_pylist()
-            best = np.zeros(len(texts))
+            known = np.array(batch.column(letters).to_pylist(), bool)
             for a, b in slices(np.array([len(t) for t in texts]), 1 << 22):
-                best[a:b] = own.probabilities(texts[a:b]).max(1)
-            known = (best >= own.bound) & np.array(batch.column(letters).to_pylist(), bool)
+                p, strange = own.judged(texts[a:b])
+                known[a:b] &= ~own.rejects(p.max(1), strange)
             yield batch.filter(pa.array(known)).select(names)
 
     wide = docs.withColumn(raw, as_bytes(text_col)).withColumn(

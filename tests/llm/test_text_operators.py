@@ -210,6 +210,21 @@ def test_language(spark, docs):
     assert langid.accepted(marked).where("text is null").count() == 0
 
 
+@pytest.mark.parametrize("n_known", [1, 2, 3])
+def test_language_left_out(spark, docs, n_known):
+    """Texts of a language that was not learned, and gibberish, are rejected; known ones are not."""
+    langs = sorted(r[0] for r in docs.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count")).limit(4).collect())
+    model = langid.fit(docs.where(F.col("lang").isin(langs[:n_known])))
+    found = langid.identify(docs.where("length(text) > 100"), model).join(docs.select("doc_id", "lang"), "doc_id")
+    share = {r.lang: r.s for r in found.groupBy("lang").agg(F.avg(F.col("rejected").cast("double")).alias("s")).collect()}
+    print(n_known, share, model.bound, model.most_strange)
+    assert all(share[x] <= 0.05 for x in langs[:n_known])
+    assert all(share[x] >= 0.9 for x in langs[n_known:])
+    rng = random.Random(3)
+    odd = [" ".join("".join(rng.choices("bcdfghjklmnpqrstvwxz", k=7)) for _ in range(60)) for _ in range(20)]
+    assert langid.identify(frame(spark, odd), model).where("rejected").count() >= 19
+
+
 def test_language_pieces_from_whole_text(spark):
     """Nothing but the end of the texts tells the languages apart."""
     rows = [(i, "0 " * 1050 + ("wald und wiese " if i % 2 else "bosque y prado ") * 2000, "de" if i % 2 else "es") for i in range(1200)]
