@@ -118,3 +118,38 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix import remove_repeats
 
     return remove_repeats(docs_of(spark, sf_dir)).drop("edges")
+
+
+@query("op12_filter_audit", r"""
+WITH l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS bad FROM labels GROUP BY doc_id),
+w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+             regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+f AS (SELECT doc_id, part, (len(ws) < 50)::INT + 2 * (100 * len(list_distinct(ws)) < 65 * len(ws))::INT
+             + 4 * (100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * len(t))::INT
+             + 8 * regexp_matches(t, '[#$%&*|]')::INT
+             + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask FROM w),
+m AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(bad, 0)) AS bad
+      FROM f LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+c AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+o AS (SELECT p.c || q.c || r.c || s.c || t.c AS filter_order FROM c p, c q, c r, c s, c t
+      WHERE len(list_distinct([p.c, q.c, r.c, s.c, t.c])) = 5),
+st AS (SELECT filter_order, step, 1 << (ascii(filter_order[step]) - 65) AS own,
+              coalesce(list_sum([1 << (ascii(filter_order[j]) - 65) FOR j IN range(1, step)]), 0)::INT AS earlier
+       FROM o, (SELECT unnest(range(1, 6))::INT AS step)),
+x AS (SELECT part, filter_order, step, own,
+             sum(n) FILTER (mask & (own | earlier) = 0) AS kept,
+             sum(n) FILTER (mask & own > 0 AND mask & earlier = 0) AS removed,
+             sum(n) FILTER (mask & own > 0 AND mask & earlier > 0) AS redundant,
+             sum(n) FILTER (mask = own) AS unique_fails,
+             sum(good) FILTER (mask & own > 0 AND mask & earlier = 0) AS good_lost,
+             sum(bad) FILTER (mask & own > 0 AND mask & earlier = 0) AS toxic_lost
+      FROM m, st GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+       coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+       coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       (sum(coalesce(removed, 0)) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM x
+""")
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .interaction import filter_audit
+
+    return filter_audit(docs_of(spark, sf_dir), docs_of(spark, sf_dir, "labels"))
