@@ -153,3 +153,20 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .interaction import filter_audit
 
     return filter_audit(docs_of(spark, sf_dir), docs_of(spark, sf_dir, "labels"))
+
+
+@query("op13_line_dedup", r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, rid, unnest(range(1, len(ls) + 1)) AS pos, unnest(ls) AS line FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+s AS (SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+x AS (SELECT k.*, s.key IS NULL OR doc_id = top AS stays FROM k LEFT JOIN s USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (NOT stays)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (stays), '')) AS kept_sha256
+FROM x GROUP BY rid
+""")
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import line_digests
+
+    return line_digests(docs_of(spark, sf_dir))
