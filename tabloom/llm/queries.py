@@ -170,3 +170,55 @@ def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .linededup import line_digests
 
     return line_digests(docs_of(spark, sf_dir))
+
+
+@query("op11_conversation_repair", r"""
+WITH RECURSIVE b AS (
+  SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS cid, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+h AS (SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, len(k) + 1), lambda i: ascii(k[i])::BIGINT)),
+        lambda c, x: list_reduce(list_concat([xor(c, x)], [1, 1, 1, 1, 1, 1, 1, 1]::BIGINT[]),
+          lambda y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)), 4294967295) % 20 AS dealt FROM b),
+d AS (SELECT cid, turn, CASE WHEN dealt = 4 THEN 'user' ELSE role END AS role,
+             CASE WHEN dealt = 1 THEN '' WHEN dealt = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+      FROM (SELECT *, unnest(range(CASE dealt WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM h)),
+o AS (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY turn NULLS FIRST, role, sha256(text)) AS pos,
+             trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS core FROM d),
+f AS (SELECT *, role[1] AS ini, lag(role[1]) OVER (PARTITION BY cid ORDER BY pos) AS prev,
+             CASE WHEN core = '' THEN 'b' WHEN row_number() OVER (PARTITION BY cid, role, text ORDER BY pos) > 1 THEN 'd'
+                  WHEN right(core, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM o),
+n AS (SELECT cid, max(pos) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+             count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+             count(*) FILTER (fault = 't') AS truncated,
+             count(*) FILTER (prev IS NOT NULL AND prev || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY cid),
+ins AS (SELECT * FROM (VALUES (0, '', 0, 0), (1, '', 1, 0), (2, '', 2, 0), (3, '', 3, 0),
+                              (0, 'I', 2, 5), (1, 'I', 2, 5), (2, 'I', 3, 5), (3, 'I', 2, 5)) AS v(q, pre, q1, c1)),
+act AS (SELECT * FROM (VALUES ('D', 0, 0, 2), ('D', 1, 1, 2), ('D', 2, 2, 2), ('D', 3, 3, 2),
+                              ('R', 0, 2, 1), ('R', 1, 2, 1), ('R', 2, 3, 1), ('R', 3, 2, 1),
+                              ('s', 0, 1, 0), ('u', 0, 2, 0), ('u', 1, 2, 0), ('u', 3, 2, 0), ('a', 2, 3, 0)) AS v(a, q1, q2, c2)),
+w AS (SELECT cid, 0::BIGINT AS pos, 0 AS q, {'cost': 0, 'path': ''} AS best FROM n
+      UNION ALL
+      SELECT w.cid, w.pos + 1, q2,
+             min({'cost': best.cost + c1 + c2 + CASE WHEN fault = 't' AND a <> 'D' THEN 5 ELSE 0 END,
+                  'path': best.path || pre || CASE WHEN a IN ('D', 'R') THEN a ELSE 'K' END})
+      FROM w JOIN f ON f.cid = w.cid AND f.pos = w.pos + 1 JOIN ins USING (q) JOIN act USING (q1)
+      WHERE a = 'D' OR (fault IN ('', 't') AND (a = 'R' OR a = ini)) GROUP BY w.cid, w.pos, q2),
+e AS (SELECT cid, min({'cost': best.cost + c1, 'path': best.path || pre}) AS best
+      FROM w JOIN n USING (cid) JOIN ins USING (q) WHERE pos = n AND q1 IN (0, 3) GROUP BY cid),
+l AS (SELECT cid, i, best.path[i] AS c FROM (SELECT *, unnest(range(1, len(best.path) + 1)) AS i FROM e)),
+p AS (SELECT *, count(*) FILTER (c <> 'I') OVER (PARTITION BY cid ORDER BY i) AS pos,
+             count(*) FILTER (c <> 'D') OVER (PARTITION BY cid ORDER BY i) AS k FROM l),
+r AS (SELECT p.cid, p.c, k, role, ini, CASE WHEN p.c = 'I' THEN '' ELSE text END AS text
+      FROM p LEFT JOIN f ON f.cid = p.cid AND f.pos = p.pos WHERE p.c <> 'D'),
+z AS (SELECT cid, max((k = 1 AND c = 'K' AND ini = 's')::INT) AS lead FROM r GROUP BY cid),
+t AS (SELECT cid, sha256(string_agg(CASE WHEN c = 'K' THEN role WHEN (k - lead) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                                    || ':' || text, chr(10) ORDER BY k)) AS sha FROM r JOIN z USING (cid) GROUP BY cid)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.cost, 0)::BIGINT AS cost,
+       coalesce(best.path, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT cid, conv_id FROM b) LEFT JOIN n USING (cid) LEFT JOIN e USING (cid) LEFT JOIN t USING (cid)
+""")
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repair import damage_report
+
+    return damage_report(docs_of(spark, sf_dir, "conversations"))
