@@ -6,7 +6,7 @@ one digest in one partition streams into one row (documents, largest id); the fe
 give its document count and the document that keeps it, and go back to their own partition. What
 leaves is a bitmap of kept lines per document, never text.
 
-Defined cases: a null or empty text is one empty line; rows with one id count as one document, and
+Defined cases: a null or empty text is one empty line (a null text stays null); rows with one id count as one document, and
 a null id is one document smaller than any other; every line of the keeping document stays, also
 repeats; rows that repeat id and text get the same bitmap; an empty table gives no rows; other
 columns are not read by `line_bitmaps` and pass through `without_shared_lines`.
@@ -108,7 +108,8 @@ def without_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
                          min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """`docs` with the shared lines taken out of its texts, all columns."""
     found = _with_bitmaps(docs, id_col, text_col, min_chars=min_chars, min_docs=min_docs)
-    return found.select(*[F.col("__left__").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    left = F.when(F.col("__keep__").isNotNull(), F.col("__left__")).otherwise(F.col(f"`{text_col}`"))
+    return found.select(*[left.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 def line_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -38,4 +38,4 @@ def test_stages(spark):
 
 def test_every_operator_is_registered():
     found = {int(name[2:].split("_")[0]) for name in queries.QUERIES}
-    assert found == set(range(1, 11)) and set(queries.ORACLES) <= set(queries.QUERIES)
+    assert found == set(range(1, 14)) and set(queries.ORACLES) <= set(queries.QUERIES)
