@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.functions.hashing import unit_hash
@@ -16,6 +16,7 @@ from tabloom.functions.prefix import row_positions
 from tabloom.functions.quantiles import exact_quantiles
 from tabloom.functions.tiles import nearest
 from tabloom.operators.profile import hash_sample
+from tabloom.operators.store import Parts, TableModel
 from tabloom.session import cut
 
 SAMPLE_ROWS = 256
@@ -56,15 +57,32 @@ def _grow(rows: np.ndarray, depth_limit: int, columns: np.ndarray, rng) -> list[
     return [tuple(n) for n in nodes]
 
 
+_NODE = ["f", "t", "l", "r", "d", "n"]
+
+
 @dataclass(frozen=True)
-class IsolationForest:
-    nodes: dict[int, np.ndarray]
+class IsolationForest(TableModel):
+    """Trees as a table of nodes: tree, node, feature, threshold, left, right, depth, rows. A tree
+    has fewer than 2 * SAMPLE_ROWS nodes, so the trees of a task are a few MB."""
+
+    nodes: DataFrame
     sample: int
     offset: float = 0.0
 
+    def parts(self, spark: SparkSession) -> Parts:
+        return Parts({"nodes": self.nodes}, {}, {"sample": self.sample, "offset": self.offset})
+
+    @classmethod
+    def of(cls, parts: Parts) -> IsolationForest:
+        return cls(parts.tables["nodes"], **parts.values)
+
+    def trees(self) -> list[np.ndarray]:
+        grown = self.nodes.toPandas().sort_values(["tree", "node"])
+        return [g[_NODE].to_numpy(float) for _, g in grown.groupby("tree")]
+
     def raw(self, df: DataFrame, vector: str, out: str = "score") -> DataFrame:
         """Adds 2^(-mean depth / expected depth) minus the offset."""
-        trees = df.sparkSession.sparkContext.broadcast(list(self.nodes.values()))
+        trees = df.sparkSession.sparkContext.broadcast(self.trees())
         expected, offset = float(_path_length(self.sample)), self.offset
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
@@ -122,13 +140,11 @@ def fit_isolation_forest(
         ordered = pdf.sort_values("pos")
         columns = np.sort(own.choice(width, size=used, replace=False))
         nodes = _grow(np.asarray(ordered[vector].tolist(), dtype=float), depth_limit, columns, own)
-        out = pd.DataFrame(nodes, columns=["f", "t", "l", "r", "d", "n"])
-        return out.assign(tree=tree, node=range(len(out)))[["tree", "node", "f", "t", "l", "r", "d", "n"]]
+        out = pd.DataFrame(nodes, columns=_NODE)
+        return out.assign(tree=tree, node=range(len(out)))[["tree", "node", *_NODE]]
 
-    grown = slots.join(placed.select("pos", vector), "pos").groupBy("tree").applyInPandas(
-        grow, "tree int, node int, f int, t double, l int, r int, d int, n int"
-    ).toPandas().sort_values(["tree", "node"])
-    nodes = {int(t): g[["f", "t", "l", "r", "d", "n"]].to_numpy(float) for t, g in grown.groupby("tree")}
+    nodes = cut(slots.join(placed.select("pos", vector), "pos").groupBy("tree").applyInPandas(
+        grow, "tree int, node int, f int, t double, l int, r int, d int, n int"))
     bare = IsolationForest(nodes, size)
     scored = bare.raw(df.select(key, vector), vector)
     offset = exact_quantiles(scored, ["score"], [1 - contamination])["score"][0]
@@ -136,7 +152,7 @@ def fit_isolation_forest(
 
 
 @dataclass(frozen=True)
-class LocalOutlierFactor:
+class LocalOutlierFactor(TableModel):
     """Train rows with their k-distance and local density, and the zero of the score."""
 
     train: DataFrame
@@ -145,6 +161,13 @@ class LocalOutlierFactor:
     k: int
     offset: float
 
+    def parts(self, spark: SparkSession) -> Parts:
+        return Parts({"train": self.train}, {}, {"key": self.key, "vector": self.vector, "k": self.k, "offset": self.offset})
+
+    @classmethod
+    def of(cls, parts: Parts) -> LocalOutlierFactor:
+        return cls(parts.tables["train"], **parts.values)
+
     def raw(self, df: DataFrame, out: str = "score") -> DataFrame:
         near = nearest(df, self.train, self.key, self.vector, self.k, skip_self=False)
         factor = _factor(near, self.train, self.key)

@@ -4,18 +4,25 @@ A basket table is long: one row per (basket, item)."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
+from typing import Any
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.scalar import is_missing, join_items, rule_text
 from tabloom.operators.profile import type_of
+from tabloom.operators.store import Parts, TableModel
 from tabloom.session import cut
 
 MAX_LEN = 3
 BROADCAST_RULES = 100_000
+#: An item in more baskets than this is split into parts when it is not joined by broadcast.
+HEAVY_BASKETS, MAX_PARTS = 1_000_000, 10_000
 
 
 def baskets_from_wide(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -62,23 +69,72 @@ def _needed(n: int, support: float) -> int:
 
 
 def mine_itemsets(baskets: DataFrame, min_support: float, *, max_len: int = MAX_LEN) -> DataFrame:
-    """(items, support): sorted itemsets up to `max_len` items. Infrequent items leave before
-    the baskets are collected into arrays, so an array is no longer than the number of
-    frequent items."""
+    """(items, support): sorted itemsets up to `max_len` items, level by level.
+
+    Infrequent items leave first; a basket becomes the array of its frequent item codes, stored once. Per
+    level the frequent sets of the level before go to the tasks as a prefix tree, whose siblings are the
+    candidates; a task counts them in bitmaps of baskets, a block at a time, and sends one count per
+    candidate that it met. Frequent sets of k items number at most the mean of (size over k) over baskets
+    divided by the support, whatever the number of baskets, so they may be held in one place."""
+    spark = baskets.sparkSession
     n = baskets.select("basket").distinct().count()
+    schema = "items array<string>, support double"
     if not n:
-        return baskets.sparkSession.createDataFrame([], "items array<string>, support double")
+        return spark.createDataFrame([], schema)
     need = _needed(n, min_support)
-    frequent = baskets.groupBy("item").count().filter(F.col("count") >= need).select("item")
-    kept = baskets.join(frequent, "item")
-    arrays = cut(kept.groupBy("basket").agg(F.collect_set("item").alias("items")).select("items"))
-    rows = arrays.count()
-    if not rows:
-        return baskets.sparkSession.createDataFrame([], "items array<string>, support double")
-    model = FPGrowth(itemsCol="items", minSupport=max(0.0, (need - 0.5) / rows)).fit(arrays)
-    return model.freqItemsets.filter(F.size("items") <= max_len).select(
-        F.array_sort("items").alias("items"), (F.col("freq") / F.lit(n)).alias("support")
-    )
+    counted = baskets.groupBy("item").count().filter(F.col("count") >= need).collect()
+    found = {r["item"]: r["count"] for r in counted}
+    names = sorted(found)
+    counts = [((i,), found[name]) for i, name in enumerate(names)]
+    if len(names) > 1 and max_len > 1:
+        codes = spark.createDataFrame(list(enumerate(names)), "code int, item string")
+        coded = baskets.join(F.broadcast(codes), "item").groupBy("basket").agg(F.collect_set("code").alias("codes"))
+        blocks = cut(coded.filter(F.size("codes") > 1).select("codes"))
+        level = [sets for sets, _ in counts]
+        for _ in range(2, max_len + 1):
+            grown = _grown(blocks, level, len(names), need)
+            level = [sets for sets, _ in grown]
+            counts += grown
+            if len(level) < 2:
+                break
+    return spark.createDataFrame([([names[i] for i in sets], c / n) for sets, c in counts], schema)
+
+
+def _grown(blocks: DataFrame, level: list[tuple[int, ...]], width: int, need: int) -> list[tuple[tuple[int, ...], int]]:
+    """The frequent sets with one item more than those of `level`, and their counts."""
+    tree: dict[tuple[int, ...], list[int]] = {}
+    for sets in sorted(level):
+        tree.setdefault(sets[:-1], []).append(sets[-1])
+    tree = {prefix: last for prefix, last in tree.items() if len(last) > 1}
+    first = np.cumsum([0, *[len(last) * (len(last) - 1) // 2 for last in tree.values()]])
+    if not first[-1]:
+        return []
+    shared = blocks.sparkSession.sparkContext.broadcast([
+        (prefix, np.array(last)) for prefix, last in tree.items()])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros(first[-1], np.int64)
+        for batch in batches:
+            lists = batch.column(0)
+            rows = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            bits = np.zeros((width, -(-len(lists) // 64) * 64), bool)
+            bits[lists.flatten().to_numpy(), rows] = True
+            bits = np.packbits(bits, axis=1).view(np.uint64)
+            for at, (prefix, last) in zip(first, shared.value):
+                both = bits[last]
+                for item in prefix:
+                    both = both & bits[item]
+                for i in range(len(last) - 1):
+                    more = len(last) - 1 - i
+                    totals[at:at + more] += np.bitwise_count(both[i] & both[i + 1:]).sum(axis=1, dtype=np.int64)
+                    at += more
+        met = np.flatnonzero(totals)
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(totals[met])], ["at", "n"])
+
+    summed = blocks.mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n"))
+    counts = {r["at"]: r["n"] for r in summed.filter(F.col("n") >= need).collect()}
+    pairs = ((prefix, a, b) for prefix, last in tree.items() for i, a in enumerate(last) for b in last[i + 1:])
+    return [((*prefix, a, b), counts[at]) for at, (prefix, a, b) in enumerate(pairs) if at in counts]
 
 
 def mine_rules(
@@ -132,45 +188,71 @@ def rule_stats(rules: DataFrame) -> DataFrame:
 
 
 def rule_nodes(rules: DataFrame) -> DataFrame:
-    items = F.explode(F.array_union("antecedent", "consequent"))
+    offered = "consequent" if "consequent" in rules.columns else F.array("item")
+    items = F.explode(F.array_union("antecedent", offered))
     return rules.select(items.alias("item")).distinct()
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_RULES else df
+def _indexed(baskets: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Baskets with the rule items they hold, and the rules under their rarest antecedent item, `lead`.
+    Where the rules are too many to broadcast, leads that are in many baskets are split by a hash of
+    the basket: `part` of a basket is one of the parts of the lead."""
+    usable = rules.filter(F.size("antecedent") > 0)
+    nodes = rule_nodes(usable)
+    few = nodes.count() <= BROADCAST_RULES
+    known = baskets.join(F.broadcast(nodes) if few else nodes, "item")
+    held = known.groupBy("basket").agg(F.collect_set("item").alias("held"))
+    seen = known.groupBy("item").agg(F.count("*").alias("n"))
+    numbered = usable.withColumn("__rule", F.monotonically_increasing_id())
+    sought = numbered.select("__rule", F.explode("antecedent").alias("item")).join(F.broadcast(seen) if few else seen, "item", "left")
+    rarest = sought.groupBy("__rule").agg(F.min_by("item", F.struct(F.coalesce("n", F.lit(0)), "item")).alias("lead"))
+    return held, numbered.join(rarest, "__rule").drop("__rule")
+
+
+def _met(baskets: DataFrame, rules: DataFrame) -> DataFrame:
+    """(basket, held, rule columns) of rules whose whole antecedent is in the basket. `rules` must not
+    change between scans."""
+    held, index = _indexed(baskets, rules)
+    if rules.count() <= BROADCAST_RULES:
+        met = held.withColumn("lead", F.explode("held")).join(F.broadcast(index), "lead")
+    else:
+        many = held.withColumn("lead", F.explode("held"))
+        heavy = many.groupBy("lead").agg(F.count("*").alias("n")).filter(F.col("n") > HEAVY_BASKETS)
+        heavy = heavy.select("lead", F.least(F.ceil(F.col("n") / HEAVY_BASKETS), F.lit(MAX_PARTS)).cast("int").alias("parts"))
+        split = lambda df: df.join(F.broadcast(heavy), "lead", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        left = split(many).withColumn("part", F.pmod(F.xxhash64("basket"), F.col("parts")).cast("int")).drop("parts")
+        right = split(index).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        met = left.join(right, ["lead", "part"]).drop("part")
+    return met.filter(F.size(F.array_except("antecedent", "held")) == 0).drop("lead")
 
 
 def matching_rules(baskets: DataFrame, rules: DataFrame) -> DataFrame:
     """(basket, held, rule columns) for every rule whose whole antecedent is in the basket.
     Only items that occur in a rule are collected, so `held` is no longer than the rule
-    vocabulary; a basket meets the rules through their first antecedent item."""
-    usable = rules.filter(F.size("antecedent") > 0)
-    known = baskets.join(_small(rule_nodes(usable)), "item")
-    held = known.groupBy("basket").agg(F.collect_set("item").alias("held"))
-    leads = _small(usable.withColumn("lead", F.col("antecedent")[0]))
-    met = held.withColumn("lead", F.explode("held")).join(leads, "lead")
-    return met.filter(F.size(F.array_except("antecedent", "held")) == 0).drop("lead")
+    vocabulary; a basket meets a rule through the rarest item of its antecedent."""
+    return _met(baskets, cut(rules))
 
 
-def candidates(baskets: DataFrame, rules: DataFrame) -> DataFrame:
-    """Consequent items a basket does not hold yet, with the score of each rule."""
-    offered = matching_rules(baskets, rules).withColumn("item", F.explode("consequent"))
-    new = offered.filter(~F.array_contains("held", F.col("item"))).drop("held")
-    return new.withColumn("score", F.round(F.col("lift") * F.col("confidence"), 6))
+def _score(lift: str = "lift", confidence: str = "confidence") -> Column:
+    return F.round(F.col(lift) * F.col(confidence), 6)
 
 
 def recommend(baskets: DataFrame, rules: DataFrame, *, top: int = 5) -> DataFrame:
     """The best rule per candidate item and the `top` items per basket. A basket has at most
-    as many candidates as there are distinct consequent items."""
-    best = candidates(baskets, rules).groupBy("basket", "item").agg(
-        F.max(F.struct(
-            "score", "lift", "confidence", "support",
-            F.concat_ws(" => ", join_items(F.col("antecedent")), F.col("item")).alias("rule"),
-        )).alias("b")
-    ).select("basket", "item", "b.*")
+    as many candidates as there are distinct consequent items. Every (rule, offered item) is numbered
+    once, best first, so that baskets compare numbers, not rules."""
+    offers = rules.withColumn("item", F.explode("consequent")).withColumn("score", _score()).withColumn(
+        "rule", F.concat_ws(" => ", join_items(F.col("antecedent")), F.col("item")))
+    best_first = [F.desc(c) for c in ("score", "lift", "confidence", "support", "rule")]
+    offers = cut(offers.orderBy(*best_first).withColumn("rank", F.monotonically_increasing_id()))
+    met = _met(baskets, offers.select("antecedent", "item", "rank"))
+    new = met.filter(~F.array_contains("held", F.col("item")))
+    best = new.groupBy("basket", "item").agg(F.min("rank").alias("rank"))
+    told = offers.select("rank", "score", "lift", "confidence", "support", "rule")
+    best = best.join(F.broadcast(told) if offers.count() <= BROADCAST_RULES else told, "rank")
     w = Window.partitionBy("basket").orderBy(F.desc("score"), "item")
-    ranked = best.withColumn("place", F.row_number().over(w))
-    return ranked.filter(F.col("place") <= top)
+    ranked = best.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= top)
+    return ranked.select("basket", "item", "score", "lift", "confidence", "support", "rule", "place")
 
 
 def recommended_text(recommended: DataFrame) -> DataFrame:
@@ -197,3 +279,43 @@ def explain_rules(rules: DataFrame) -> dict[str, DataFrame]:
 
 def association_report(baskets: DataFrame) -> dict[str, DataFrame]:
     return {"item_frequency": item_frequency(baskets), "basket_sizes": basket_sizes(baskets)}
+
+
+def item_rows(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """(basket, item) rows of a table with one basket per row: cells are items, a cell that holds
+    an array holds several."""
+    lists = [c for c in columns if type_of(df, c) == "array"]
+    wide = df.select(F.col(f"`{key}`").alias("basket"), *[F.col(f"`{c}`") for c in columns])
+    single = [c for c in columns if c not in lists]
+    parts = [wide.select("basket", F.explode(F.col(f"`{c}`").cast("array<string>")).alias("item")) for c in lists]
+    if single:
+        parts.append(baskets_from_wide(wide.select("basket", *[F.col(f"`{c}`") for c in single]), single)
+                     .select("basket", F.explode("items").alias("item")))
+    return reduce(DataFrame.unionByName, parts).na.drop().dropDuplicates()
+
+
+@dataclass(frozen=True)
+class RuleModel(TableModel):
+    """Mined rules; it recommends items for baskets."""
+
+    rules: DataFrame
+    columns: tuple[str, ...]
+
+    def parts(self, spark: SparkSession) -> Parts:
+        return Parts({"rules": self.rules}, {}, {"columns": list(self.columns)})
+
+    @classmethod
+    def of(cls, parts: Parts) -> RuleModel:
+        return cls(parts.tables["rules"], tuple(parts.values["columns"]))
+
+    def predict(self, df: DataFrame, key: str) -> DataFrame:
+        """Adds the best five items that the basket does not hold, as one text; empty where there is none."""
+        told = recommended_text(recommend(item_rows(df, key, self.columns), self.rules))
+        told = told.select(F.col("basket").alias("__basket"), F.col("items").alias("__items"))
+        return df.join(told, df[key].eqNullSafe(told["__basket"]), "left").select(
+            *[F.col(f"`{c}`") for c in df.columns], F.coalesce("__items", F.lit("")).alias("prediction"))
+
+
+def fit_rules(df: DataFrame, key: str, columns: Sequence[str], params: Mapping[str, Any]) -> RuleModel:
+    rules = mine_rules(item_rows(df, key, columns), **params)
+    return RuleModel(cut(rules), tuple(columns))

@@ -9,12 +9,15 @@ from dataclasses import dataclass
 from typing import Any
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tabloom.functions.prefix import row_positions, with_halo
 from tabloom.operators.predict import LagForecaster, fit_lag_boosting
+from tabloom.operators.store import Parts, TableModel
 from tabloom.operators.timeseries import lag_features
+from tabloom.session import cut
 
 SERIES = "__series"
 
@@ -27,13 +30,26 @@ def ordered(df: DataFrame, time: str, key: str, y: str | None = None) -> DataFra
     return row_positions(rows, time, by=[SERIES], tie=key, out="pos", total="n")
 
 
+def _end_table(spark: SparkSession, end: tuple[Any, Any], schema: StructType) -> DataFrame:
+    return spark.createDataFrame([end], schema)
+
+
 @dataclass(frozen=True)
-class SeasonModel:
+class SeasonModel(TableModel):
     """Repeats the last season of the train rows (at most 366 values); a season of one value is
     the naive forecast."""
 
     end: tuple[Any, Any]
     season: tuple[float, ...]
+    kinds: StructType
+
+    def parts(self, spark: SparkSession) -> Parts:
+        return Parts({"end": _end_table(spark, self.end, self.kinds)}, {}, {"season": list(self.season)})
+
+    @classmethod
+    def of(cls, parts: Parts) -> SeasonModel:
+        table = parts.tables["end"]
+        return cls(tuple(table.first()), tuple(parts.values["season"]), table.schema)
 
     def predict(self, df: DataFrame, time: str, key: str, target: str) -> DataFrame:
         period = len(self.season)
@@ -48,12 +64,24 @@ class SeasonModel:
 
 
 @dataclass(frozen=True)
-class LagModel:
+class LagModel(TableModel):
     """Lag boosting with the train rows that its recursion starts from."""
 
     end: tuple[Any, Any]
     forecaster: LagForecaster
     train: DataFrame
+    kinds: StructType
+
+    def parts(self, spark: SparkSession) -> Parts:
+        f = self.forecaster
+        return Parts({"end": _end_table(spark, self.end, self.kinds), "train": self.train}, {"boosting": f.model},
+                     {"series": list(f.series), "lags": f.lags})
+
+    @classmethod
+    def of(cls, parts: Parts) -> LagModel:
+        end, values = parts.tables["end"], parts.values
+        forecaster = LagForecaster(parts.models["boosting"], tuple(values["series"]), values["lags"])
+        return cls(tuple(end.first()), forecaster, parts.tables["train"], end.schema)
 
     def predict(self, df: DataFrame, time: str, key: str, target: str) -> DataFrame:
         placed = ordered(df, time, key, target).withColumn("__later", _after(time, key, self.end))
@@ -86,10 +114,11 @@ def fit_forecaster(
     if not last:
         raise ValueError("forecasting needs train rows with a value")
     end = (last[-1][0], last[-1][1])
+    kinds = StructType([StructField(f"end_{part}", placed.schema[c].dataType) for part, c in (("time", time), ("key", key))])
     if name != "lag_boosting":
-        return SeasonModel(end, tuple(r["y"] for r in last))
+        return SeasonModel(end, tuple(r["y"] for r in last), kinds)
     fitted = fit_lag_boosting(
         placed.select(SERIES, "pos", "n", "y"), [SERIES], lags=int(params["lags"]),
         learning_rate=params["learning_rate"], max_iter=int(params["max_iter"]), seed=seed,
     )
-    return LagModel(end, fitted, placed.select(SERIES, "pos", "n", "y"))
+    return LagModel(end, fitted, cut(placed.select(SERIES, "pos", "n", "y")), kinds)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import random
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.hashing import unit_hash_sql
@@ -20,7 +25,7 @@ from tabloom.plans.metric_queries import (
     ANOVA, ERROR_BY_QUANTILE, HETERO, PROFILES, RESIDUAL_HIST, _F, lines, personas_sql,
 )
 from tabloom.plans.profile_queries import _EIGEN2, IQR, MAHALANOBIS, ZSCORE, _VIF_SQL, histogram_sql
-from tabloom.plans.association_queries import RULES, rules
+from tabloom.plans.association_queries import B, CONFIDENCE, LIFT, RULES, SUPPORT, _TOP, baskets, rules
 from tabloom.plans.registry import query, rounded
 from tabloom.plans.series_queries import KEY, placed
 from tabloom.session import scratch_dir, table
@@ -247,6 +252,35 @@ def tune(spark, sf):
     return rounded(N.tune(docs(spark, sf), DOC_TASK, "logistic_regression", trials=5, frozen={"max_iter": 100}), 4)
 
 
+def tune_sql(trials: int, seed: int = 0) -> str:
+    """Successive halving of ridge fits on one standardised feature, in closed form."""
+    rng = random.Random(seed)
+    drawn = [N.draw(N.spec_of("ridge", "regression"), rng, {"fit_intercept": True}) for _ in range(trials)]
+    values = ", ".join(f"({t}, '{json.dumps(p, sort_keys=True)}', {p['alpha']!r}::DOUBLE)" for t, p in enumerate(drawn))
+    return f"""WITH k AS MATERIALIZED (SELECT x, y, {unit_hash_sql('row_key', seed='tune:0')} AS u,
+  row_number() OVER (ORDER BY {_H}) <= ceil(0.25 * count(*) OVER ()) AS held FROM {_KEYED}),
+m AS (SELECT share, avg(x) AS mx, avg(y) AS my, regr_sxx(y, x) AS sxx, regr_sxy(y, x) AS sxy, count(*) AS n
+  FROM k, (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (1.0::DOUBLE)) AS r(share) WHERE NOT held AND u < share GROUP BY share),
+a AS (SELECT * FROM (VALUES {values}) AS v(trial, params, alpha)),
+s AS MATERIALIZED (SELECT trial, share, sqrt(avg((y - my - sxy / (sxx * (1 + alpha / n)) * (x - mx)) ** 2)) AS score
+  FROM k, m, a WHERE held GROUP BY trial, share),
+r1 AS (SELECT trial FROM s WHERE share = 0.25 ORDER BY score, trial LIMIT {-(-trials // 2)}),
+r2 AS (SELECT trial FROM s JOIN r1 USING (trial) WHERE share = 0.5 ORDER BY score, trial LIMIT {-(-(-(-trials // 2)) // 2)}),
+z AS (SELECT trial, score FROM s JOIN r2 USING (trial) WHERE share = 1.0 ORDER BY score, trial LIMIT 1)
+SELECT trial::INTEGER AS trial, params, round(score, 4) AS score, share < 1.0 AS pruned, trial IN (SELECT trial FROM z) AS best
+FROM s JOIN a USING (trial) WHERE share = CASE WHEN trial IN (SELECT trial FROM r2) THEN 1.0 WHEN trial IN (SELECT trial FROM r1) THEN 0.5 ELSE 0.25 END"""
+
+
+@query("tune_ridge", tune_sql(4))
+def tune_ridge(spark, sf):
+    return rounded(N.tune(priced(spark, sf), ONE, "ridge", trials=4, frozen={"fit_intercept": True}), 4)
+
+
+@query("tune_forecast")
+def tune_forecast(spark, sf):
+    return rounded(N.tune(days(spark, sf), DAY_TASK, "seasonal_naive", trials=4), 4)
+
+
 @query("auto_compare", " UNION ALL ".join(
     f"""SELECT '{m}' AS model, metric, round(avg(val), 4) AS mean, round(stddev_samp(val), 4) AS std, round(avg(train), 4) AS train_mean,
     round(avg(train) - avg(val), 4) AS gap, count(*) AS folds FROM {cv_sql(a)} GROUP BY metric""" for m, a in (("linear_regression", 0), ("ridge", 1000))))
@@ -272,6 +306,68 @@ def persist_model(spark, sf):
         F.count("*").alias("rows"), F.count_if(F.col("prediction") == F.col("again")).alias("same"))
 
 
+def _kept(spark, fitted, df, key):
+    """Rows, and rows whose predictions are the same after the model was stored and loaded."""
+    told = [c for c in fitted.predict(df.limit(1)).columns if c not in df.columns]
+    again = N.load_model(spark, N.save_model(fitted, f"{scratch_dir(spark, 'model')}/run")).predict(df)
+    again = again.select(F.col(key).alias("__key"), F.struct(*[F.col(c) for c in told]).alias("__again"))
+    both = fitted.predict(df).select(key, F.struct(*[F.col(c) for c in told]).alias("__own"))
+    both = both.join(again, both[key] == again["__key"])
+    return both.agg(F.count("*").alias("rows"), F.count_if(F.col("__own").eqNullSafe(F.col("__again"))).alias("same"))
+
+
+_DAYS = f"(SELECT count(DISTINCT day) AS n FROM {DAILY_EVENTS})"
+
+
+@query("model_store", f"""SELECT unnest(['isolation_forest', 'lof']) AS model, n AS rows, n AS same FROM (SELECT count(*) AS n FROM embeddings)
+UNION ALL SELECT unnest(['seasonal_naive', 'lag_boosting']), n, n FROM {_DAYS}
+UNION ALL SELECT 'apriori', n, n FROM (SELECT count(DISTINCT basket) AS n FROM {B})
+UNION ALL SELECT unnest(['hist_gradient_boosting', 'ridge']), n, n FROM (SELECT count(*) AS n FROM labels JOIN documents USING (doc_id))""")
+def model_store(spark, sf):
+    v, anomalies = kind(spark, sf, "anomaly_detection")
+    s, o, d = days(spark, sf), orders(spark, sf), docs(spark, sf)
+    amount = N.Task("regression", key="doc_id", target="n_chars", features=("lang", "quality"))
+    runs = [
+        (v, anomalies, "isolation_forest", {"n_estimators": 20}), (v, anomalies, "lof", {}),
+        (s, DAY_TASK, "seasonal_naive", {"period": 3}), (s, DAY_TASK, "lag_boosting", {"lags": 3, "max_iter": 3}),
+        (o, ORDER_TASK, "apriori", ORDER_PARAMS),
+        (d, DOC_TASK, "hist_gradient_boosting", {"max_iter": 3, "max_depth": 3}), (d, amount, "ridge", {}),
+    ]
+    parts = [
+        _kept(spark, N.fit_model(df, task, name, params), df, task.key).select(F.lit(name).alias("model"), "rows", "same")
+        for df, task, name, params in runs]
+    return reduce(DataFrame.unionByName, parts)
+
+
+# association as a training task: one row per order, its brands in an array
+ORDER_TASK = N.Task("association", key="o_orderkey", features=("brands",))
+ORDER_PARAMS = {"min_support": SUPPORT, "min_confidence": CONFIDENCE, "min_lift": LIFT}
+
+
+def orders(spark, sf):
+    return baskets(spark, sf).groupBy(F.col("basket").alias("o_orderkey")).agg(F.collect_set("item").alias("brands"))
+
+
+@query("fit_association", f"SELECT unnest(['support', 'confidence', 'lift']) AS metric, unnest([round(avg(support), 6), round(avg(confidence), 6), round(avg(lift), 6)]) AS value FROM {RULES}")
+def fit_association(spark, sf):
+    o = orders(spark, sf)
+    fitted = N.fit_model(o, ORDER_TASK, "apriori", ORDER_PARAMS)
+    values = N.score_rows(fitted, o, N.metric_plan(o, ORDER_TASK))
+    return spark.createDataFrame(sorted(values.items()), "metric string, value double")
+
+
+@query("predict_association", f"""SELECT basket AS o_orderkey, coalesce(items, '') AS prediction FROM (SELECT DISTINCT basket FROM {B})
+LEFT JOIN (SELECT basket, string_agg(item, ', ' ORDER BY place) AS items FROM {_TOP} GROUP BY 1) USING (basket)""")
+def predict_association(spark, sf):
+    o = orders(spark, sf)
+    return N.fit_model(o, ORDER_TASK, "apriori", ORDER_PARAMS).predict(o).select("o_orderkey", "prediction")
+
+
+@query("train_association")
+def train_association(spark, sf):
+    return rounded(N.train_model(orders(spark, sf), ORDER_TASK, "apriori", ORDER_PARAMS).leaderboard(), 4)
+
+
 @query("predict_frame", f"""SELECT row_key, y AS l_extendedprice, round(exp(a + b * x) - 1, 2) AS prediction FROM {_KEYED},
 (SELECT regr_slope(ln(1 + y), x) AS b, regr_intercept(ln(1 + y), x) AS a FROM {_KEYED})""")
 def predict_frame(spark, sf):
