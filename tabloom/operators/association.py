@@ -76,6 +76,14 @@ def mine_itemsets(baskets: DataFrame, min_support: float, *, max_len: int = MAX_
     candidates; a task counts them in bitmaps of baskets, a block at a time, and sends one count per
     candidate that it met. Frequent sets of k items number at most the mean of (size over k) over baskets
     divided by the support, whatever the number of baskets, so they may be held in one place."""
+    rows = baskets.persist()
+    try:
+        return _mined(rows, min_support, max_len)
+    finally:
+        rows.unpersist()
+
+
+def _mined(baskets: DataFrame, min_support: float, max_len: int) -> DataFrame:
     spark = baskets.sparkSession
     n = baskets.select("basket").distinct().count()
     schema = "items array<string>, support double"
@@ -201,8 +209,8 @@ def _indexed(baskets: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame
     nodes = rule_nodes(usable)
     few = nodes.count() <= BROADCAST_RULES
     known = baskets.join(F.broadcast(nodes) if few else nodes, "item")
-    held = known.groupBy("basket").agg(F.collect_set("item").alias("held"))
-    seen = known.groupBy("item").agg(F.count("*").alias("n"))
+    held = cut(known.groupBy("basket").agg(F.collect_set("item").alias("held")))
+    seen = held.select(F.explode("held").alias("item")).groupBy("item").agg(F.count("*").alias("n"))
     numbered = usable.withColumn("__rule", F.monotonically_increasing_id())
     sought = numbered.select("__rule", F.explode("antecedent").alias("item")).join(F.broadcast(seen) if few else seen, "item", "left")
     rarest = sought.groupBy("__rule").agg(F.min_by("item", F.struct(F.coalesce("n", F.lit(0)), "item")).alias("lead"))
@@ -223,7 +231,8 @@ def _met(baskets: DataFrame, rules: DataFrame) -> DataFrame:
         left = split(many).withColumn("part", F.pmod(F.xxhash64("basket"), F.col("parts")).cast("int")).drop("parts")
         right = split(index).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
         met = left.join(right, ["lead", "part"]).drop("part")
-    return met.filter(F.size(F.array_except("antecedent", "held")) == 0).drop("lead")
+    whole = (F.size("antecedent") == 1) | (F.size(F.array_except("antecedent", "held")) == 0)
+    return met.filter(whole).drop("lead")
 
 
 def matching_rules(baskets: DataFrame, rules: DataFrame) -> DataFrame:
