@@ -2,8 +2,8 @@
 
 Both sides are cut into blocks by a hash of the key; every (left block, right block) pair
 is one bounded Arrow task that yields partial results per left row, never pairs of rows.
-The work is quadratic by nature of the operators that use it (neighbour search, Euclidean
-silhouette, trustworthiness); it spreads evenly because blocks are cut by hash.
+The work is quadratic by nature of the operators that use it (sums of distances, ranks); it spreads
+evenly because blocks are cut by hash. Neighbour search is in `neighbours`.
 """
 
 from __future__ import annotations
@@ -48,45 +48,3 @@ def tiles(
 
 def matrix(series: pd.Series) -> np.ndarray:
     return np.asarray(series.tolist(), dtype=float) if len(series) else np.empty((0, 0))
-
-
-def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Euclidean distances between the rows of two blocks."""
-    out = np.empty((len(x), len(y)))
-    for at in range(0, len(x), 256):
-        part = x[at : at + 256, None, :] - y[None, :, :]
-        out[at : at + 256] = np.sqrt(np.einsum("ijk,ijk->ij", part, part))
-    return out
-
-
-def nearest(
-    queries: DataFrame, points: DataFrame, key: str, vector: str, k: int, *, skip_self: bool
-) -> DataFrame:
-    """Exact k nearest points of every query: (key, neighbour, distance, place 1..k)."""
-    kind = queries.schema[key].dataType.simpleString()
-
-    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({key: [], "neighbour": [], "distance": []})
-        d = distances(matrix(x[vector]), matrix(y[vector]))
-        ids, others = x[key].to_numpy(), y[key].to_numpy()
-        if skip_self:
-            d[ids[:, None] == others[None, :]] = np.inf
-        rank = np.lexsort((np.broadcast_to(others, d.shape), d), axis=1)[:, :k]
-        rows = np.repeat(np.arange(len(x)), rank.shape[1])
-        out = pd.DataFrame(
-            {key: ids[rows], "neighbour": others[rank.ravel()], "distance": d[rows, rank.ravel()]}
-        )
-        return out[np.isfinite(out["distance"])]
-
-    partial = tiles(
-        queries.select(key, vector), points.select(key, vector), key, best,
-        f"{key} {kind}, neighbour {kind}, distance double",
-    )
-    merged = partial.groupBy(key).agg(
-        F.slice(F.sort_array(F.collect_list(F.struct("distance", "neighbour"))), 1, k).alias("near")
-    )
-    return merged.select(key, F.posexplode("near").alias("at", "near")).select(
-        key, F.col("near.neighbour").alias("neighbour"),
-        F.col("near.distance").alias("distance"), (F.col("at") + 1).alias("place"),
-    )

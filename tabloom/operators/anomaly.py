@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tabloom.functions.hashing import unit_hash
 from tabloom.functions.prefix import row_positions
 from tabloom.functions.quantiles import exact_quantiles
-from tabloom.functions.tiles import nearest
+from tabloom.functions.neighbours import nearest
 from tabloom.operators.profile import hash_sample
 from tabloom.operators.store import Parts, TableModel
 from tabloom.session import cut
@@ -190,7 +190,7 @@ def _factor(near: DataFrame, train: DataFrame, key: str) -> DataFrame:
 def fit_lof(
     df: DataFrame, key: str, vector: str, *, k: int = 20, contamination: float = 0.05
 ) -> LocalOutlierFactor:
-    """Exact neighbours by blocks: the work is quadratic in the train rows."""
+    """Exact neighbours, found in the cells that can hold them."""
     rows = df.select(key, vector)
     k = min(k, rows.count() - 1)
     near = cut(nearest(rows, rows, key, vector, k, skip_self=True))

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.prefix import prefix_sums, with_halo
-from tabloom.functions.tiles import distances, matrix, nearest, tiles
+from tabloom.functions.neighbours import distances, nearest
+from tabloom.functions.tiles import matrix, tiles
 from tabloom.operators.profile import rows_of
 
 CLASS_LIMIT = 10_000
@@ -340,14 +341,21 @@ def trustworthiness(
         if not len(x) or not len(y):
             return pd.DataFrame({key: [], "neighbour": [], "n": []})
         a, b, others = matrix(x[high]), matrix(y[high]), y[key].to_numpy()
+        sizes = x["near"].map(len).to_numpy()
+        rows = np.repeat(np.arange(len(x)), sizes)
+        near = pd.DataFrame([r for some in x["near"] for r in some])
+        target, ids = matrix(near["__y"]), near["neighbour"].to_numpy()
+        gap = (a[rows] - target)[:, None, :]
+        limit = np.sqrt(np.einsum("ijk,ijk->ij", gap, gap))
+        own, counts = x[key].to_numpy()[rows], np.zeros(len(rows), np.int64)
         d = distances(a, b)
-        out = []
-        for i, (own, near_rows) in enumerate(zip(x[key], x["near"])):
-            for r in near_rows:
-                limit = distances(a[i : i + 1], np.asarray(r["__y"], dtype=float)[None, :])[0, 0]
-                before = (d[i] < limit) | ((d[i] == limit) & (others < r["neighbour"]))
-                out.append((own, r["neighbour"], int((before & (others != own) & (others != r["neighbour"])).sum())))
-        return pd.DataFrame(out, columns=[key, "neighbour", "n"])
+        step = max(1, 4_000_000 // len(y))
+        for at in range(0, len(rows), step):
+            part = slice(at, at + step)
+            gap, mine = d[rows[part]], ids[part, None]
+            before = (gap < limit[part]) | ((gap == limit[part]) & (others < mine))
+            counts[part] = (before & (others != own[part, None]) & (others != mine)).sum(axis=1)
+        return pd.DataFrame({key: own, "neighbour": ids, "n": counts})
 
     counted = tiles(left, df.select(key, high), key, closer, f"{key} {kind}, neighbour {kind}, n long")
     ranks = counted.groupBy(key, "neighbour").agg((F.sum("n") + 1).alias("rank"))

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from tabloom.functions.prefix import prefix_sums, row_positions, value_ranks, with_halo
 from tabloom.functions.quantiles import exact_quantiles, grouped_quantiles, kth_smallest
 from tabloom.functions.scalar import chi2_quantile, norm_ppf
-from tabloom.functions.tiles import nearest
 from tabloom.operators.profile import hash_sample
 
 
@@ -106,23 +105,6 @@ def test_hash_sample_is_the_smallest_hashes(spark):
     assert sorted(r.k for r in hash_sample(df, "k", 50, seed=4).collect()) == sorted(want)
 
 
-def test_nearest_over_blocks(spark):
-    from tabloom.functions import tiles
-
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(90, 3))
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<double>")
-    before, tiles.tiles.__kwdefaults__["block_rows"] = tiles.tiles.__kwdefaults__["block_rows"], 25
-    try:
-        got = nearest(df, df, "k", "v", 4, skip_self=True).toPandas()
-    finally:
-        tiles.tiles.__kwdefaults__["block_rows"] = before
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
-    np.fill_diagonal(d, np.inf)
-    for k, part in got.groupby("k"):
-        assert part.sort_values("place").neighbour.tolist() == np.argsort(d[k])[:4].tolist()
-
-
 def test_normal_and_chi_square(spark):
     from statistics import NormalDist
 
