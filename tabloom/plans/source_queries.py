@@ -83,22 +83,36 @@ def read_version(spark, sf):
     return W.read_version_info(spark, root, 7).select("column", "dtype", "unique")
 
 
-def digest_sql(source: str, columns) -> str:
-    """`columns` maps a sorted column name to its text expression."""
-    parts = ", ".join(f"coalesce(length(CAST({e} AS VARCHAR)) || ':' || CAST({e} AS VARCHAR), '-')" for e in columns)
+def digest_sql(source: str, columns: dict[str, str]) -> str:
+    """`columns` maps the sorted column names to their types."""
+    head = "".join(f"{len(t)}:{t}" for c, kind in columns.items() for t in (c, kind))
+    texts = [f"epoch_us({c})" if kind == "timestamp" else c for c, kind in columns.items()]
+    parts = ", ".join(f"coalesce(length(CAST({e} AS VARCHAR)) || ':' || CAST({e} AS VARCHAR), '-')" for e in texts)
     half = "CAST(sum(CAST('0x' || substr(m, {}, 16) AS UBIGINT)) AS VARCHAR)"
     return f"""SELECT count(*) AS rows, {half.format(1)} || '-' || {half.format(17)} AS digest
-FROM (SELECT md5(concat_ws('|', {parts})) AS m FROM {source})"""
+FROM (SELECT md5(concat_ws('|', '{head}', {parts})) AS m FROM {source})"""
 
 
-@query("dataset_hash", digest_sql("orders", [
-    "o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice"]))
+@query("dataset_hash", digest_sql("orders", {
+    "o_orderkey": "bigint", "o_orderpriority": "string", "o_orderstatus": "string", "o_totalprice": "double"}))
 def dataset_hash(spark, sf):
     return W.dataset_hash(orders(spark, sf))
 
 
-@query("replay_steps", digest_sql(CLEANED, [
-    "balance", "c_custkey", "nation", "segment"]))
+@query("dataset_hash_zones", digest_sql("(SELECT event_id, ts FROM events)", {"event_id": "bigint", "ts": "timestamp"}))
+def dataset_hash_zones(spark, sf):
+    """A table of moments, digested under another time zone."""
+    e = table(spark, sf, "events").select("event_id", F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp"))).alias("ts"))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        return spark.createDataFrame(W.dataset_hash(e).collect(), "rows bigint, digest string")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+@query("replay_steps", digest_sql(CLEANED, {
+    "balance": "double", "c_custkey": "bigint", "nation": "bigint", "segment": "string"}))
 def replay_steps(spark, sf):
     done = W.replay(messy_doubled(spark, sf), [
         ("dedupe", {}), ("fix_dtypes", {}), ("drop_missing_target", {"target": "segment"}),

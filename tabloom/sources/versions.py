@@ -36,17 +36,34 @@ def read_version_info(spark: SparkSession, root: str, version: int) -> DataFrame
     return spark.read.schema(kinds).json(f"{version_path(root, version)}/schema")
 
 
-def _text(df: DataFrame, name: str) -> Column:
-    """Length and text of a value; a null has no length, so nothing else reads the same."""
-    text = F.col(f"`{name}`").cast("string")
+def _value(df: DataFrame, name: str) -> Column:
+    """A value as text that no session setting changes: timestamps as microseconds, binary as hex,
+    nested values as two hashes."""
+    c, kind = F.col(f"`{name}`"), df.schema[name].dataType
+    if kind.typeName() == "timestamp":
+        return F.unix_micros(c).cast("string")
+    if kind.typeName() == "binary":
+        return F.hex(c)
+    if kind.typeName() == "map":
+        c = F.sort_array(F.map_entries(c))
+    if kind.typeName() in ("array", "struct", "map"):
+        both = F.concat_ws(",", F.xxhash64(c).cast("string"), F.xxhash64(F.lit(name), c).cast("string"))
+        return F.when(F.col(f"`{name}`").isNotNull(), both)
+    return c.cast("string")
+
+
+def _sized(text: Column) -> Column:
+    """Length and text; a null has no length, so nothing else reads the same."""
     return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
 
 
 def dataset_hash(df: DataFrame) -> DataFrame:
-    """(rows, digest): a digest of the content that depends neither on row order nor on how
-    the data is cut into files: per row an md5 of the length-prefixed texts, of which both halves
-    are summed."""
-    row = F.md5(F.concat_ws("|", *[_text(df, c) for c in sorted(df.columns)]).cast("binary"))
+    """(rows, digest): a digest of the content, column names and types that depends neither on row order
+    nor on how the data is cut into files, nor on the time zone of the session: per row an md5 of the
+    length-prefixed names, types and values, of which both halves are summed."""
+    names = sorted(df.columns)
+    head = "".join(f"{len(t)}:{t}" for c in names for t in (c, df.schema[c].dataType.simpleString()))
+    row = F.md5(F.concat_ws("|", F.lit(head), *[_sized(_value(df, c)) for c in names]).cast("binary"))
     halves = [F.conv(F.substring(row, at, 16), 16, 10).cast("decimal(38,0)") for at in (1, 17)]
     sums = [F.coalesce(F.sum(h), F.lit(0)).cast("string") for h in halves]
     return df.agg(F.count("*").alias("rows"), F.concat_ws("-", *sums).alias("digest"))

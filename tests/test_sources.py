@@ -18,6 +18,19 @@ def test_digest_tells_contents_apart(spark):
     assert digest([(1e-7,)], "a double") != digest([(2e-7,)], "a double")
     assert digest([(1e33,)], "a double") == digest([(1e33,)], "a double")
     assert digest([("x", "y"), ("p", None)]) == digest([("p", None), ("x", "y")])
+    assert digest([("1", "x")]) != digest([("1", "x")], "k string, z string") != digest([(1, "x")], "k bigint, z string")
+    assert digest([({"a": 1, "b": 2},)], "m map<string,int>") == digest([({"b": 2, "a": 1},)], "m map<string,int>")
+    assert digest([(None,)], "m array<int>") != digest([([],)], "m array<int>")
+
+
+def test_digest_does_not_depend_on_the_time_zone(spark):
+    df = spark.range(5).selectExpr("id", "timestamp_seconds(id * 100000) AS at", "array(timestamp_seconds(id)) AS more")
+    seen = set()
+    for zone in ("UTC", "America/New_York", "Asia/Kathmandu"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        seen.add(W.dataset_hash(df).first().digest)
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert len(seen) == 1
 
 
 def test_stream_scores_only_what_came_since(spark, tmp_path):
