@@ -10,6 +10,7 @@ values, so recomputing a lost partition gives the same layout.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Mapping, Sequence
 from decimal import Decimal
 from functools import reduce
@@ -22,11 +23,12 @@ MAX_TIE_PARTS = 64
 MAX_RANK_PARTS = 2_000
 TREE_EDGES = 200
 FEW_VALUES = 180
+#: Sampled rows for one range of a string column, and the characters of an edge.
+EDGE_SAMPLE, EDGE_CHARS = 40, 256
 
 
 def order_number(df: DataFrame, name: str) -> Column | None:
-    """A number that never falls where the column grows, or None where there is none. It is the
-    value itself, in its own exact type, for all but strings."""
+    """The value as a number in its own exact type, or None where it is no number."""
     kind = df.schema[name].dataType.typeName()
     c = F.col(f"`{name}`")
     if kind == "timestamp":
@@ -35,13 +37,6 @@ def order_number(df: DataFrame, name: str) -> Column | None:
         return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', `{name}`)")
     if kind == "date":
         return F.unix_date(c).cast("bigint")
-    if kind == "string":
-        low, high = (bytes(v or "", "utf-8") for v in df.agg(F.min(c), F.max(c)).first())
-        shared = 0
-        while shared < min(len(low), len(high)) and low[shared] == high[shared]:
-            shared += 1
-        head = F.hex(F.substring(c.cast("binary"), shared + 1, 6))
-        return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("bigint")
     if kind in ("byte", "short", "integer", "long"):
         return c.cast("bigint")
     if kind == "decimal":
@@ -107,6 +102,71 @@ def _tag(df: DataFrame, number: Column, edges: Sequence, out: str) -> DataFrame:
     return placed.withColumn(out, code.cast("int")).drop("__n", "__x", "__b")
 
 
+def _is_text(df: DataFrame, name: str) -> bool:
+    return df.schema[name].dataType.typeName() == "string"
+
+
+def _text_edges(df: DataFrame, name: str, parts: int) -> list[str]:
+    """Strings that cut the column into about `parts` ranges: every n-th string of a sorted hash sample of
+    rows, in byte order. A string that fills a range of its own is among them; longer ones are cut to
+    EDGE_CHARS, which still is a place in the order."""
+    if parts < 2:
+        return []
+    place = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    rows = df.select(F.substring(f"`{name}`", 1, EDGE_CHARS).alias("s"), place.alias("h")).filter(F.col("s").isNotNull())
+    found = sorted((r["s"].encode() for r in rows.orderBy("h", "s").limit(EDGE_SAMPLE * parts).collect()))
+    return [v.decode() for v in sorted({found[i * len(found) // parts] for i in range(1, parts)})] if found else []
+
+
+def _below(value: Column, edges: Sequence[str], first: int) -> Column:
+    """`first` and the number of edges that do not exceed the value, by a balanced tree."""
+    if not edges:
+        return F.lit(first)
+    mid = len(edges) // 2
+    return F.when(value < F.lit(edges[mid]), _below(value, edges[:mid], first)).otherwise(
+        _below(value, edges[mid + 1 :], first + mid + 1))
+
+
+def _tag_text(df: DataFrame, name: str, edges: Sequence[str], out: str) -> DataFrame:
+    """Range of a string, coded as in `_tag`. Many edges are searched in two steps, so that a row
+    is compared with a few of them."""
+    if not edges:
+        return df.withColumn(out, F.lit(1))
+    value = F.col(f"`{name}`")
+    if len(edges) <= TREE_EDGES:
+        b, last = _below(value, edges, 0), F.array(*map(F.lit, edges))
+        placed = df.withColumn("__b", b).withColumn("__edge", F.element_at(last, F.greatest("__b", F.lit(1))))
+    else:
+        step = math.ceil(math.sqrt(len(edges)))
+        groups = [list(edges[i : i + step]) for i in range(0, len(edges), step)]
+        chosen = _below(value, [g[0] for g in groups], 0)
+        table = F.array(*[F.array(*map(F.lit, g)) for g in groups])
+        placed = df.withColumn("__g", chosen).withColumn("__of", F.element_at(table, F.greatest("__g", F.lit(1))))
+        inside = F.size(F.filter("__of", lambda e: e <= value))
+        placed = placed.withColumn("__b", F.when(F.col("__g") == 0, 0).otherwise((F.col("__g") - 1) * step + inside))
+        placed = placed.withColumn("__edge", F.element_at("__of", F.greatest(inside, F.lit(1)))).drop("__g", "__of")
+    b = F.col("__b").cast("int")
+    code = F.when(value.isNull(), 0).when(b == 0, 1).when(value == F.col("__edge"), 2 * b).otherwise(2 * b + 1)
+    return placed.withColumn(out, code.cast("int")).drop("__b", "__edge")
+
+
+def _placed(df: DataFrame, columns: Sequence[tuple[str, int, str]]) -> tuple[DataFrame, list[bool]]:
+    """Tag columns with the range of their value: (column, ranges, name of the tag). Also whether each
+    could be cut."""
+    numbers = [(c, parts, out, order_number(df, c)) for c, parts, out in columns]
+    found = iter(_edges(df, [(n, parts) for _, parts, _, n in numbers if n is not None]))
+    cut_up = []
+    for c, parts, out, number in numbers:
+        if number is not None:
+            edges = next(found)
+            df = _tag(df, number, edges, out)
+        else:
+            edges = _text_edges(df.drop(*[o for _, _, o in columns]), c, parts) if _is_text(df, c) else []
+            df = _tag_text(df, c, edges, out)
+        cut_up.append(bool(edges))
+    return df, cut_up
+
+
 def _ranges(
     df: DataFrame, order: str, tie: str | None, uniform: bool, parts: int | None
 ) -> DataFrame:
@@ -114,23 +174,11 @@ def _ranges(
     if uniform:
         code = F.floor(F.col(order) * parts).cast("int")
         return df.withColumn("__code", code).withColumn("__sub", F.lit(1))
-    number = order_number(df, order)
-    if number is None:
-        return df.withColumn("__code", F.lit(1)).withColumn("__sub", F.lit(1))
-    # two strings may share a number; all other numbers are the value, which ties can split
-    splits = df.schema[order].dataType.typeName() != "string"
-    tie_number = order_number(df, tie) if tie and splits else None
-    if tie and df.schema[tie].dataType.typeName() == "string":
-        tie_number = None
-    wanted = [(number, parts)]
-    if tie_number is not None:
-        wanted.append((tie_number, min(parts, MAX_TIE_PARTS)))
-    found = _edges(df, wanted)
-    tagged = _tag(df, number, found[0], "__code")
-    if tie_number is None or not found[1]:
+    wanted = [(order, parts, "__code"), *([(tie, min(parts, MAX_TIE_PARTS), "__sub")] if tie else [])]
+    tagged, cut_up = _placed(df, wanted)
+    if not tie or not all(cut_up):
         return tagged.withColumn("__sub", F.lit(1))
-    tagged = _tag(tagged, tie_number, found[1], "__sub")
-    one_value = F.col("__code") % 2 == 0
+    one_value = (F.col("__code") % 2 == 0) & (F.col("__code") > 0)
     return tagged.withColumn("__sub", F.when(one_value, F.col("__sub")).otherwise(F.lit(1)))
 
 

@@ -77,6 +77,29 @@ def test_string_order(spark):
     assert got == sorted(names, key=lambda s: s.encode())
 
 
+@pytest.mark.parametrize("parts", [4, 300])
+def test_one_string_in_a_third_of_the_rows_is_split(spark, parts):
+    from tabloom.functions import prefix
+
+    rng = np.random.default_rng(8)
+    urls = [f"https://example.org/{'a' * (i % 5)}/{'page' * (i % 3)}{i % 700}" for i in range(1500)]
+    urls += ["https://example.org/home"] * 800 + [None] * 20 + ["Ä", "", "x" * 400] * 3
+    rng.shuffle(urls)
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "id int, url string")
+    tagged = prefix._ranges(df, "url", "id", False, parts)
+    sizes = tagged.groupBy("__code", "__sub").count().collect()
+    assert max(r["count"] for r in sizes) < 800 / min(parts, 64) + 2400 / parts * 3
+    got = prefix_sums(df, "url", {"pos": F.lit(1).cast("long")}, tie="id", parts=parts).toPandas().sort_values("pos")
+    want = sorted(range(len(urls)), key=lambda i: (urls[i] is not None, (urls[i] or "").encode(), i))
+    assert got.id.tolist() == want and got.pos.tolist() == list(range(len(urls)))
+
+
+def test_strings_break_ties_of_numbers(spark):
+    df = spark.createDataFrame([(i % 2, f"k{(i * 37) % 500:03d}") for i in range(500)], "v int, k string")
+    got = row_positions(df, "v", tie="k").toPandas().sort_values("pos")
+    assert list(zip(got.v, got.k)) == sorted(zip(got.v, got.k))
+
+
 def test_ranks_with_a_frequent_value(spark, hot):
     got = value_ranks(spark.createDataFrame(hot), {"v": ("lv", "ev"), "w": ("lw", "ew")})
     got = got.toPandas().set_index("id").sort_index()
