@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 from itertools import combinations
@@ -9,7 +10,7 @@ from itertools import combinations
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation, Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.hashing import unit_hash
@@ -30,6 +31,8 @@ HISTOGRAM_BINS = 30
 
 NUMERIC = {"byte", "short", "integer", "long", "float", "double", "decimal"}
 WIDE = 20
+#: A sketch within this factor of a limit is followed by an exact count.
+SKETCH_MARGIN = 4
 
 
 def type_of(df: DataFrame, name: str) -> str:
@@ -63,33 +66,58 @@ def rows_of(one_row: DataFrame, structs: Sequence[Column]) -> DataFrame:
     return one_row.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
 
 
-def _kind(type_name: str, unique: Column, cap: int) -> Column:
+def literal_rows(spark: SparkSession, rows: Sequence[dict], schema: str) -> DataFrame:
+    """A small table of known values, as one literal of the plan."""
+    told = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")
+    return spark.range(1).select(F.inline(told))
+
+
+def _few_values(df: DataFrame, columns: Sequence[str], cap: int) -> dict[str, int]:
+    """Exact numbers of distinct present values of the columns with at most `cap` of them. Sketches of all
+    columns come first; only columns whose sketch is near the cap, or below it, are counted, by sets."""
+    if not columns:
+        return {}
+    row = df.agg(*[F.approx_count_distinct(_present(df, c)) for c in columns]).first()
+    near = [c for c, n in zip(columns, row) if n <= SKETCH_MARGIN * cap + 10]
+    if not near:
+        return {}
+    row = df.agg(*[F.size(F.collect_set(_present(df, c))) for c in near]).first()
+    return {c: n for c, n in zip(near, row) if n <= cap}
+
+
+def _kind_of(type_name: str, few: bool) -> str:
     if type_name == "boolean":
-        return F.lit("boolean")
+        return "boolean"
     if type_name in ("timestamp", "timestamp_ntz", "date"):
-        return F.lit("datetime")
+        return "datetime"
     if type_name in NUMERIC:
-        return F.lit("numeric")
-    if type_name == "string":
-        return F.when(unique <= cap, "categorical").otherwise("text")
-    return F.lit("other")
+        return "numeric"
+    return ("categorical" if few else "text") if type_name == "string" else "other"
 
 
 def infer_kind(df: DataFrame, *, cap: int = CATEGORY_CAP) -> DataFrame:
     """boolean / datetime / numeric / categorical / text / other per column."""
-    strings = [c for c in df.columns if type_of(df, c) == "string"]
-    stats = df.agg(
-        F.count("*").alias("__rows"),
-        *[F.countDistinct(f"`{c}`").alias(f"u_{c}") for c in strings],
-    )
-    unique = {c: F.col(f"`u_{c}`") for c in strings}
-    return rows_of(stats, [
-        F.struct(
-            F.lit(c).alias("column"),
-            _kind(type_of(df, c), unique.get(c, F.lit(0)), cap).alias("kind"),
-        )
-        for c in df.columns
-    ])
+    few = _few_values(df, [c for c in df.columns if type_of(df, c) == "string"], cap)
+    rows = [{"column": c, "kind": _kind_of(type_of(df, c), c in few)} for c in df.columns]
+    return literal_rows(df.sparkSession, rows, "column string, kind string")
+
+
+def _value_counts(df: DataFrame) -> tuple[int, dict[str, tuple[int, int]]]:
+    """Rows, and missing and distinct present values of every column, from one pass: a row per column and value,
+    as 128 bits, counted where they meet by hash; missing values are one such row."""
+    def bits(c: str) -> list[Column]:
+        value, kind = F.col(f"`{c}`"), type_of(df, c)
+        value = F.sort_array(F.map_entries(value)) if kind == "map" else value
+        return [F.when(~_missing(df, c), h) for h in (F.xxhash64(value), F.xxhash64(F.lit("second"), value))]
+
+    cells = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), *[h.alias(f"h{j}") for j, h in enumerate(bits(c))]) for i, c in enumerate(df.columns)]))
+    values = df.select(cells.alias("v")).groupBy("v.i", "v.h0", "v.h1").agg(F.count("*").alias("n"))
+    totals = values.groupBy("i").agg(
+        F.sum("n").alias("rows"), F.sum(F.when(F.col("h0").isNull(), F.col("n")).otherwise(0)).alias("missing"), F.count("h0").alias("unique"))
+    told = totals.collect()
+    found = {df.columns[r["i"]]: (r["missing"], r["unique"]) for r in told}
+    return max((r["rows"] for r in told), default=0), {c: found.get(c, (0, 0)) for c in df.columns}
 
 
 def schema_report(
@@ -97,25 +125,23 @@ def schema_report(
 ) -> DataFrame:
     """One row per column: dtype, kind, missing, missing_pct, unique. `approx` replaces the
     exact distinct counts by sketches, for very wide tables."""
-    distinct = F.approx_count_distinct if approx else F.countDistinct
-    stats = df.agg(
-        F.count("*").alias("__rows"),
-        *[F.count(_present(df, c)).alias(f"n_{c}") for c in df.columns],
-        *[distinct(_present(df, c)).alias(f"u_{c}") for c in df.columns],
-    )
-    missing = {c: F.col("__rows") - F.col(f"`n_{c}`") for c in df.columns}
-    return rows_of(stats, [
-        F.struct(
-            F.lit(c).alias("column"),
-            F.lit(df.schema[c].dataType.simpleString()).alias("dtype"),
-            _kind(type_of(df, c), F.col(f"`u_{c}`"), cap).alias("kind"),
-            missing[c].alias("missing"),
-            F.when(F.col("__rows") > 0, F.round(missing[c] / F.col("__rows"), 4))
-            .otherwise(0.0).alias("missing_pct"),
-            F.col(f"`u_{c}`").alias("unique"),
-        )
-        for c in df.columns
-    ])
+    if approx:
+        row = df.agg(
+            F.count("*"), *[F.count(_present(df, c)) for c in df.columns],
+            *[F.approx_count_distinct(_present(df, c)) for c in df.columns]).first()
+        total, k = row[0], len(df.columns)
+        found = {c: (total - row[1 + i], row[1 + k + i]) for i, c in enumerate(df.columns)}
+    else:
+        total, found = _value_counts(df)
+    rows = []
+    for c in df.columns:
+        missing, unique = found[c]
+        share = math.floor(missing / total * 1e4 + 0.5) / 1e4 if total else 0.0
+        rows.append({
+            "column": c, "dtype": df.schema[c].dataType.simpleString(), "kind": _kind_of(type_of(df, c), unique <= cap),
+            "missing": missing, "missing_pct": share, "unique": unique})
+    return literal_rows(
+        df.sparkSession, rows, "column string, dtype string, kind string, missing long, missing_pct double, unique long")
 
 
 def feature_columns(
@@ -128,11 +154,9 @@ def feature_columns(
 
 
 def categorical_cardinalities(df: DataFrame, *, cap: int = CATEGORY_CAP) -> DataFrame:
-    columns = categorical_columns(df)
-    stats = df.agg(*[F.countDistinct(f"`{c}`").alias(f"u_{c}") for c in columns])
-    return rows_of(stats, [
-        F.struct(F.lit(c).alias("column"), F.col(f"`u_{c}`").alias("unique")) for c in columns
-    ]).filter(F.col("unique") <= cap)
+    few = _few_values(df, categorical_columns(df), cap)
+    rows = [{"column": c, "unique": n} for c, n in few.items()]
+    return literal_rows(df.sparkSession, rows, "column string, unique long")
 
 
 def missing_counts(df: DataFrame) -> DataFrame:
@@ -257,10 +281,8 @@ def _chi(counts: DataFrame) -> DataFrame:
 
 
 def _low_cardinality(df: DataFrame, columns: Sequence[str], cap: int) -> list[str]:
-    if not columns:
-        return []
-    row = df.agg(*[F.countDistinct(_present(df, c)) for c in columns]).first()
-    return [c for c, u in zip(columns, row) if u <= cap]
+    few = _few_values(df, columns, cap)
+    return [c for c in columns if c in few]
 
 
 def cramers_v(df: DataFrame, columns: Sequence[str], *, cap: int = CATEGORY_CAP) -> DataFrame:
