@@ -99,7 +99,7 @@ def _packed(keys: list[np.ndarray]) -> pa.Array:
 
 
 def _sets(docs: DataFrame, n: int, threshold: float, runs: int) -> DataFrame:
-    """doc_id, digest of the set, its size and its paths of two tokens."""
+    """doc_id and hash of the text, digest of the set, its size and its paths of two tokens."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, roots = WordHashes(), _roots(runs)
         for batch in batches:
@@ -110,30 +110,30 @@ def _sets(docs: DataFrame, n: int, threshold: float, runs: int) -> DataFrame:
                 digests.append(hashlib.md5(tokens.tobytes()).digest())
                 paths = np.unique(path_keys(tokens, roots, threshold)) if len(tokens) else tokens
                 keys.append(np.unique(path_keys(tokens, paths, threshold)) if len(tokens) else tokens)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(digests, pa.binary()),
-                                   pa.array(sizes, pa.int64()), _packed(keys)], ["doc_id", "digest", "n", "keys"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), pa.array(digests, pa.binary()),
+                                   pa.array(sizes, pa.int64()), _packed(keys)], ["doc_id", "text_hash", "digest", "n", "keys"])
 
-    return docs.mapInArrow(run, "doc_id bigint, digest binary, n bigint, keys array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, text_hash bigint, digest binary, n bigint, keys array<bigint>")
 
 
 def _longer(rows: DataFrame, threshold: float) -> DataFrame:
-    """Rows (cls, tokens, parents) give (parent, key, cls)."""
+    """Rows (cls, tokens, parents with their sizes) give (key, cls, size of the parent)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cls, up, keys = [], [], []
             for c, raw, parents in zip(*(batch.column(k).to_pylist() for k in ("cls", "tokens", "parents")), strict=True):
                 tokens = np.frombuffer(raw, np.uint64)
                 for parent in parents:
-                    found = np.unique(path_keys(tokens, np.array([parent], np.int64).view(np.uint64), threshold))
+                    found = np.unique(path_keys(tokens, np.array([parent["key"]], np.int64).view(np.uint64), threshold))
                     keys.append(found)
                     cls.append(np.full(len(found), c, np.int64))
-                    up.append(np.full(len(found), parent, np.int64))
+                    up.append(np.full(len(found), parent["m"], np.int64))
             none = np.zeros(0, np.int64)
             yield pa.record_batch([pa.array(np.concatenate([*up, none])),
                                    pa.array(np.concatenate([*keys, none.view(np.uint64)]).view(np.int64)),
-                                   pa.array(np.concatenate([*cls, none]))], ["parent", "key", "cls"])
+                                   pa.array(np.concatenate([*cls, none]))], ["was", "key", "cls"])
 
-    return rows.mapInArrow(run, "parent bigint, key bigint, cls bigint")
+    return rows.mapInArrow(run, "was bigint, key bigint, cls bigint").select("key", "cls", "was")
 
 
 def common_counts(sets: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
@@ -233,10 +233,8 @@ def _leaves(first: DataFrame, cand: DataFrame, threshold: float) -> DataFrame:
         big = now.where(~done)
         if depth == DEPTH or big.isEmpty():
             return leaves
-        parents = big.groupBy("cls").agg(F.collect_set("key").alias("parents"))
-        children = _longer(prefiltered(cand, "cls", parents).join(parents, "cls").select("cls", "tokens", "parents"), threshold)
-        up = big.select(F.col("key").alias("parent"), F.col("m").alias("was")).distinct()
-        members = children.join(up, "parent").select("key", "cls", "was")
+        parents = big.groupBy("cls").agg(F.collect_set(F.struct("key", "m")).alias("parents"))
+        members = _longer(prefiltered(cand, "cls", parents).join(parents, "cls").select("cls", "tokens", "parents"), threshold)
     return leaves
 
 
@@ -245,22 +243,27 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Per document: doc_id; class_id, the smallest doc_id of its group of linked texts; set_id, the
     smallest doc_id with the same shingles; n_links, the number of other shingle sets at similarity
     `threshold` or more; n_similar, the number of other documents that are as similar."""
-    return _resolved(docs, id_col, text_col, n, threshold, recall).drop("digest")
+    return _resolved(docs, id_col, text_col, n, threshold, recall).drop("digest", "text_hash")
 
 
 def _resolved(docs, id_col, text_col, n, threshold, recall) -> DataFrame:
     plain = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), as_bytes(text_col).alias("raw"))
+    plain = plain.withColumn("text_hash", F.xxhash64("raw"))
     sets = stored(_sets(plain, n, threshold, runs_for(recall)), "sets")
     own = sets.where("n > 0")
     classes = stored(own.groupBy("digest").agg(
-        F.min("doc_id").alias("set_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"),
+        F.min("doc_id").alias("set_id"), F.min("text_hash").alias("text_hash"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"),
         F.first("keys").alias("keys")).withColumn("cls", F.monotonically_increasing_id()), "classes")
     paths = classes.select(F.explode("keys").alias("key"), "cls")
     shared = paths.join(paths.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi")
     first = stored(shared, "paths")
-    wanted = classes.join(first.select("cls").distinct(), "cls", "left_semi").select("cls", "digest", "copies", "set_id")
+    wanted = classes.join(first.select("cls").distinct(), "cls", "left_semi").select("cls", "digest", "copies", "set_id", "text_hash")
     wanted = stored(wanted.withColumnRenamed("set_id", "doc_id"), "wanted")
-    texts = prefiltered(plain, "doc_id", wanted).join(wanted, "doc_id")
+    texts = prefiltered(plain, "doc_id", wanted).drop("text_hash").join(wanted.drop("text_hash"), "doc_id")
+    if not wanted.where("doc_id IS NULL").isEmpty():  # sets of rows without an id: one text of each by its hash
+        lost = wanted.where("doc_id IS NULL").drop("doc_id")
+        held = prefiltered(plain.where("doc_id IS NULL"), "text_hash", lost).dropDuplicates(["text_hash"])
+        texts = texts.unionByName(held.join(lost, "text_hash").select(*texts.columns))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -303,15 +306,15 @@ def _resolved(docs, id_col, text_col, n, threshold, recall) -> DataFrame:
     full = stored(marked.join(heads, "component").join(counts, "cls", "left").select(
         "digest", "class_id", "set_id", F.coalesce("n_links", F.lit(0)).alias("n_links"),
         (F.coalesce("n_similar", F.lit(0)) + F.col("copies") - 1).alias("n_similar"), "copies"), "resolved")
-    rows = own.select("doc_id", "digest")
+    rows = own.select("doc_id", "text_hash", "digest")
     heavy = max(2, int((full.agg(F.sum("copies")).first()[0] or 0) * HEAVY))
     hot = F.broadcast(full.where(F.col("copies") > heavy))
     cold = rows.join(hot.select("digest"), "digest", "left_anti")
     out = rows.join(hot, "digest").unionByName(cold.join(full.where(F.col("copies") <= heavy), "digest"))
     alone = sets.where("n = 0").select(
-        "doc_id", "digest", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("set_id"),
+        "doc_id", "text_hash", "digest", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("set_id"),
         F.lit(0).cast("bigint").alias("n_links"), F.lit(0).cast("bigint").alias("n_similar"))
-    names = ["doc_id", "digest", "class_id", "set_id", "n_links", "n_similar"]
+    names = ["doc_id", "text_hash", "digest", "class_id", "set_id", "n_links", "n_similar"]
     return out.select(*names).unionByName(alone.select(*names))
 
 
@@ -325,10 +328,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of `docs` with the smallest id of their group, all columns, one row per group; rows
     without words or id stay."""
     found = _resolved(docs, id_col, text_col, n, threshold, recall)
-    gone = found.where(F.col("doc_id") > F.col("class_id")).select("doc_id").distinct()
     own, sha = "__own_id__", "__own_hash__"
+    gone = found.where(F.col("doc_id") > F.col("class_id")).select(F.col("doc_id").alias(own), F.col("text_hash").alias(sha)).distinct()
     marked = docs.withColumn(own, F.col(f"`{id_col}`").cast("bigint")).withColumn(sha, F.xxhash64(as_bytes(text_col)))
-    left = marked.join(gone.withColumnRenamed("doc_id", own), own, "left_anti")
+    left = marked.join(gone, [own, sha], "left_anti")  # an id may repeat with another text
     if docs_repeat(found.select("doc_id", "digest")):
         left = left.dropDuplicates([own, sha])
     return left.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -54,13 +54,13 @@ def _hashes(raw: np.ndarray, size: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def anchors(raw: bytes, span: int = SPAN, size: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(raw: bytes, span: int = SPAN, size: int = ANCHOR, step: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Places of the anchors of a text, their hashes, and the first and last start of the windows
-    of each."""
+    of each. An anchor whose windows begin in two pieces is one anchor."""
     out: list[tuple[np.ndarray, ...]] = []
     data = np.frombuffer(raw, np.uint8)
-    for at in range(0, max(0, len(data) - span + 1), PIECE - span + 1):
-        piece = data[at:at + PIECE]
+    for at in range(0, max(0, len(data) - span + 1), step - span + 1):
+        piece = data[at:at + step]
         if len(piece) < span:
             break
         h = _hashes(piece, size)
@@ -78,7 +78,9 @@ def anchors(raw: bytes, span: int = SPAN, size: int = ANCHOR) -> tuple[np.ndarra
     if not out:
         none = np.zeros(0, np.int64)
         return none, none, none, none
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+    place, h, first, last = (np.concatenate(c) for c in zip(*out, strict=True))
+    new = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+    return place[new], h[new], first[new], last[np.append(new[1:], len(place)) - 1]
 
 
 def _first_texts(texts: DataFrame, heads: DataFrame) -> DataFrame:
@@ -99,13 +101,13 @@ def _first_texts(texts: DataFrame, heads: DataFrame) -> DataFrame:
     return picked(False).unionByName(copies)
 
 
-def _anchor_counts(texts: DataFrame) -> DataFrame:
+def _anchor_counts(texts: DataFrame, piece: int) -> DataFrame:
     """Anchor hashes with their numbers of occurrences."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for raw in batch.column("raw").to_pylist():
-                pos, h, _, _ = anchors(raw)
+                pos, h, _, _ = anchors(raw, step=piece)
                 found.append(h[np.unique(pos, return_index=True)[1]])
             h, n = np.unique(np.concatenate([*found, np.zeros(0, np.int64)]), return_counts=True)
             yield pa.record_batch([pa.array(h), pa.array(n)], ["h", "n"])
@@ -117,7 +119,7 @@ ROWS = "key bigint, lo bigint, hi bigint, a bigint, b bigint, ctx binary, oid bi
 FOUND = "dkey bigint, s bigint, e bigint"
 
 
-def _contexts(texts: DataFrame, often: np.ndarray) -> DataFrame:
+def _contexts(texts: DataFrame, often: np.ndarray, piece: int) -> DataFrame:
     """The first radix groups: key, lo, hi (offsets before the anchor that the group deals with), a, b
     (those that this anchor has), ctx (bytes from the start of window b to the end of window a), and
     oid, dkey, pos. An occurrence after another one of the same context in the same task repeats it:
@@ -144,7 +146,7 @@ def _contexts(texts: DataFrame, often: np.ndarray) -> DataFrame:
         for batch in batches:
             gone: list[tuple[int, int, int]] = []
             for oid, key, raw in zip(*(batch.column(k).to_pylist() for k in ("oid", "dkey", "raw")), strict=True):
-                pos, h, start, end = anchors(raw)
+                pos, h, start, end = anchors(raw, step=piece)
                 keep = np.flatnonzero(marked(shared.value, h))
                 for p, x, s, e in zip(*(c[keep].tolist() for c in (pos, h, start, end)), strict=True):
                     context = (p - e, p - s, raw[s:e + SPAN])
@@ -260,9 +262,9 @@ def _cut(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "dkey bigint, n_removed bigint, n_spans bigint, kept_sha256 string, edges array<bigint>")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", piece: int = PIECE) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and edges (start and end of
-    the removed runs, one after another)."""
+    the removed runs, one after another). Texts are looked at in pieces of `piece` bytes, at most PIECE."""
     oid = F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(LAST))
     raw = as_bytes(text_col)
     texts = docs.select(oid.alias("oid"), raw.alias("raw")).withColumn("dkey", F.xxhash64("raw"))
@@ -272,8 +274,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     heads = stored(rows.groupBy("dkey").agg(F.min(F.struct("oid", "row")).alias("head"), F.count(F.lit(1)).alias("group_size"))
                    .select("dkey", F.col("head.oid").alias("oid"), F.col("head.row").alias("head"), "group_size"), "heads")
     once = _first_texts(texts.where(F.length("raw") >= SPAN).select("oid", "dkey", "raw"), heads)
-    often = bitmap(_anchor_counts(once).where("n > 1"), "h", 27)
-    windows = repeated_windows(_contexts(once, often))
+    often = bitmap(_anchor_counts(once, piece).where("n > 1"), "h", 27)
+    windows = repeated_windows(_contexts(once, often, piece))
     starts = stored(windows.groupBy("dkey").agg(F.collect_list(F.struct("s", "e")).alias("starts")), "starts")
     wanted = texts.join(starts.join(heads, "dkey").select("dkey", "oid", "starts"), ["dkey", "oid"])
     cut = stored(_cut(wanted.select("dkey", "raw", "starts")), "cut").dropDuplicates(["dkey"])

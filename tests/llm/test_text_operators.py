@@ -451,7 +451,6 @@ def brute_repeats(rows):
 @pytest.mark.parametrize("group", [3000, 1])
 def test_repeats(spark, monkeypatch, group):
     monkeypatch.setattr(suffix.repeated_windows, "__defaults__", (group,))
-    monkeypatch.setattr(suffix, "PIECE", 700)
     rng = random.Random(2)
     passages = ["".join(rng.choices("abcdefgh é", k=n)) for n in (60, 99, 100, 101, 160, 400)]
     texts = []
@@ -463,7 +462,7 @@ def test_repeats(spark, monkeypatch, group):
     texts += [*ODD, *texts[:5], "ab" * 500, "q" * 99, "q" * 100, "q" * 101]
     order = list(range(len(texts)))
     rng.shuffle(order)
-    got = {r.doc_id: r for r in suffix.remove_repeats(frame(spark, texts, order)).collect()}
+    got = {r.doc_id: r for r in suffix.remove_repeats(frame(spark, texts, order), piece=230).collect()}
     for key, want in brute_repeats(list(zip(order, [t or "" for t in texts], strict=True))).items():
         assert (got[key].n_bytes, got[key].n_removed, got[key].n_spans, got[key].kept_sha256) == want
     assert suffix.remove_repeats(frame(spark, [])).count() == 0
@@ -473,3 +472,24 @@ def test_repeats_repeated_and_null_ids(spark):
     text = "".join(random.Random(1).choices("abcdef", k=150))
     got = suffix.remove_repeats(frame(spark, [text, text, text, "short"], [3, 3, None, None])).collect()
     assert sorted((str(r.doc_id), r.n_removed) for r in got) == [("3", 0), ("3", 150), ("None", 0), ("None", 150)]
+
+
+def test_windows_of_a_border_anchor_stay_together(spark):
+    rng = random.Random(12)
+    for _ in range(300):
+        raw = "".join(rng.choices("abc", k=rng.randint(100, 900))).encode()
+        whole, cut = suffix.anchors(raw), suffix.anchors(raw, step=rng.randint(110, 300))
+        assert all(np.array_equal(a, b) for a, b in zip(whole, cut, strict=True))
+
+
+def test_near_copies_with_repeated_and_null_ids(spark):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    near = base[:-1] + ["other"]
+    text, copy, apart = " ".join(base), " ".join(near), " ".join(f"z{i}" for i in range(80))
+    left = chosenpath.one_of_each(frame(spark, [text, copy, apart], [1, 5, 5])).collect()
+    assert sorted((r.doc_id, r.text) for r in left) == sorted([(1, text), (5, apart)])
+    third = " ".join(base[1:])
+    rows = chosenpath.similar_texts(frame(spark, [text, copy, third, third, apart], [None, None, 7, None, None])).collect()
+    links = sorted((str(r.doc_id), r.n_links, r.n_similar) for r in rows)
+    assert links == sorted([("None", 2, 3), ("None", 2, 3), ("7", 2, 3), ("None", 2, 3), ("None", 0, 0)])
