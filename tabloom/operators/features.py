@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabloom.functions.hashing import unit_hash
 from tabloom.functions.prefix import row_positions
 from tabloom.functions.quantiles import exact_quantiles
 from tabloom.operators.cleaning import fit_fills
@@ -96,6 +97,70 @@ def encode_one_hot(df: DataFrame, column: str, categories: Sequence[str | None])
     }).drop(column)
 
 
+@dataclass(frozen=True)
+class TargetEncoding:
+    """Smoothed target means of a column's categories. `table` has, for every category and fold, the mean over
+    the other folds, and under fold -1 the mean over all; `priors` are the target means without each fold."""
+
+    column: str
+    key: str
+    table: DataFrame
+    priors: tuple[float, ...]
+    prior: float
+    seed: int
+
+    def encode_train(self, df: DataFrame) -> DataFrame:
+        """The rows of the fit: no row sees a target of its own fold."""
+        fold = _target_fold(self.key, len(self.priors), self.seed)
+        prior = F.element_at(F.array(*map(F.lit, self.priors)), fold + 1)
+        return self._joined(df, fold, prior)
+
+    def encode(self, df: DataFrame) -> DataFrame:
+        """Other rows; a category that the fit has not seen gets the mean of all."""
+        return self._joined(df, F.lit(-1), F.lit(self.prior))
+
+    def _joined(self, df: DataFrame, fold: Column, prior: Column) -> DataFrame:
+        table = F.broadcast(self.table) if self.table.count() <= BROADCAST_CATEGORIES else self.table
+        rows = df.withColumn("__fold", fold).withColumn("__prior", prior)
+        same = _category(self.column).eqNullSafe(F.col("category")) & (F.col("__fold") == F.col("part"))
+        value = F.coalesce("encoded", "__prior")
+        return rows.join(table, same, "left").withColumn(self.column, value).select(*df.columns)
+
+
+def _category(column: str) -> Column:
+    return F.col(f"`{column}`").cast("string")
+
+
+def _target_fold(key: str, folds: int, seed: int) -> Column:
+    return F.floor(unit_hash(key, seed=f"target:{seed}") * folds).cast("int")
+
+
+def fit_target_encoding(
+    train: DataFrame, column: str, target: str, key: str, *, folds: int = 5, smoothing: float = 10.0, seed: int = 0
+) -> TargetEncoding:
+    """Out-of-fold target encoding. Sums per category and fold are made in one aggregation, combined before
+    they are shuffled, so a category in a third of the rows is a few numbers per task; a missing value is a
+    category, rows without a target do not count."""
+    rows = train.select(_category(column).alias("category"), _target_fold(key, folds, seed).alias("part"),
+                        F.col(f"`{target}`").cast("double").alias("y")).filter(F.col("y").isNotNull() & ~F.isnan("y"))
+    sums = cut(rows.groupBy("category", "part").agg(F.sum("y").alias("s"), F.count("*").alias("n")))
+    by_fold = {r["part"]: (r["s"], r["n"]) for r in sums.groupBy("part").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()}
+    s, n = (sum(v[i] for v in by_fold.values()) for i in (0, 1))
+    prior = s / n if n else 0.0
+    priors = []
+    for f in range(folds):
+        own = by_fold.get(f, (0.0, 0))
+        priors.append((s - own[0]) / (n - own[1]) if n > own[1] else prior)
+    w = Window.partitionBy("category")
+    whole = sums.select("category", "part", F.sum("s").over(w).alias("sc"), F.sum("n").over(w).alias("nc"), "s", "n")
+    outside = F.element_at(F.array(*map(F.lit, priors)), F.col("part") + 1)
+    apart = whole.select("category", "part", (
+        (F.col("sc") - F.col("s") + smoothing * outside) / (F.col("nc") - F.col("n") + smoothing)).alias("encoded"))
+    every = sums.groupBy("category").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).select(
+        "category", F.lit(-1).alias("part"), ((F.col("s") + smoothing * prior) / (F.col("n") + smoothing)).alias("encoded"))
+    return TargetEncoding(column, key, cut(apart.unionByName(every)), tuple(priors), prior, seed)
+
+
 @dataclass(frozen=True)
 class FittedFeatures:
     numeric: tuple[str, ...]

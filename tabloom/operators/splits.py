@@ -12,11 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.hashing import unit_hash
-from tabloom.functions.prefix import row_positions
+from tabloom.functions.prefix import prefix_sums, row_positions
 from tabloom.functions.quantiles import kth_smallest
+from tabloom.session import cut
 
 TEST_SIZE = 0.2
 FOLDS = 5
+EXACT_GROUPS = 200
 
 
 def _side(test: Column) -> Column:
@@ -37,16 +39,16 @@ def split_random(df: DataFrame, key: str, *, test_size: float = TEST_SIZE, seed:
     held = math.ceil(df.count() * test_size)
     if held < 1:
         return split_none(df)
-    (cut,) = _cuts(df, [key], seed, [held - 1])
-    return df.withColumn("split", _side(unit_hash(key, seed=seed) <= cut))
+    (edge,) = _cuts(df, [key], seed, [held - 1])
+    return df.withColumn("split", _side(unit_hash(key, seed=seed) <= edge))
 
 
 def split_grouped(df: DataFrame, group: str, *, test_size: float = TEST_SIZE, seed: int = 0) -> DataFrame:
     """Whole groups on one side; ceil(test_size * groups) groups are test."""
     groups = df.select(group).distinct()
     held = math.ceil(groups.count() * test_size)
-    (cut,) = _cuts(groups, [group], seed, [held - 1])
-    return df.withColumn("split", _side(unit_hash(group, seed=seed) <= cut))
+    (edge,) = _cuts(groups, [group], seed, [held - 1])
+    return df.withColumn("split", _side(unit_hash(group, seed=seed) <= edge))
 
 
 def split_stratified(
@@ -77,8 +79,8 @@ def cv_kfold(df: DataFrame, key: str, *, folds: int = FOLDS, seed: int = 0) -> D
     ends = [sum(sizes[: i + 1]) - 1 for i in range(folds - 1)]
     h = unit_hash(key, seed=seed)
     fold = F.lit(0)
-    for cut in _cuts(df, [key], seed, ends):
-        fold = fold + (h > cut).cast("int")
+    for edge in _cuts(df, [key], seed, ends):
+        fold = fold + (h > edge).cast("int")
     return df.withColumn("fold", fold)
 
 
@@ -94,6 +96,44 @@ def cv_group(df: DataFrame, group: str, *, folds: int = FOLDS, seed: int = 0) ->
     return df.withColumn("fold", F.floor(unit_hash(group, seed=seed) * folds).cast("int"))
 
 
+def cv_group_even(df: DataFrame, group: str, *, folds: int = FOLDS, seed: int = 0) -> DataFrame:
+    """Groups never cross folds; folds are even in rows. Groups of more than 1 / EXACT_GROUPS of a fold (so
+    at most folds * EXACT_GROUPS of them) are placed one by one, largest first, into the emptiest fold. The
+    others follow in hash order and fill what the folds lack, so a border is off by less than one small
+    group. A missing group is a group."""
+    sizes = cut(df.groupBy(F.col(f"`{group}`").alias("__group")).agg(F.count("*").alias("__n")))
+    total = sizes.agg(F.sum("__n")).first()[0] or 0
+    large = F.col("__n") > total / (folds * EXACT_GROUPS)
+    loads, placed = [0] * folds, []
+    for r in sizes.filter(large).orderBy(F.desc("__n"), "__group").collect():
+        fold = loads.index(min(loads))
+        loads[fold] += r["__n"]
+        placed.append((r["__group"], fold))
+    edges = _fill_edges(loads, total - sum(loads))
+    rest = prefix_sums(sizes.filter(~large).withColumn("__h", unit_hash("__group", seed=seed)), "__h",
+                       {"__before": F.col("__n")}, tie="__group", uniform=True)
+    fold = sum(((F.col("__before") >= e).cast("int") for e in edges), F.lit(0))
+    small = rest.select(F.col("__group").alias("__small"), fold.alias("__fold_small"))
+    kind = sizes.schema["__group"].dataType.simpleString()
+    first = df.sparkSession.createDataFrame(placed, f"__large {kind}, __fold_large int")
+    own = F.col(f"`{group}`")
+    out = df.join(F.broadcast(first), own.eqNullSafe(F.col("__large")), "left")
+    out = out.join(small, own.eqNullSafe(F.col("__small")), "left")
+    return out.withColumn("fold", F.coalesce("__fold_large", "__fold_small")).select(*df.columns, "fold")
+
+
+def _fill_edges(loads: Sequence[int], rest: int) -> list[int]:
+    """Where the running total of the other rows goes on to the next fold, when they fill the folds up
+    to one level."""
+    ordered, level = sorted(loads), 0.0
+    for m in range(1, len(loads) + 1):
+        level = (rest + sum(ordered[:m])) / m
+        if m == len(loads) or level <= ordered[m]:
+            break
+    rooms = [max(0.0, level - n) for n in loads]
+    return [math.floor(sum(rooms[: i + 1]) + 1e-6) for i in range(len(loads) - 1)]
+
+
 def cv_time(df: DataFrame, time: str, key: str, *, folds: int = FOLDS) -> DataFrame:
     """Block 0 is the initial history; fold f validates block f and trains on blocks below."""
     placed = row_positions(df, time, tie=key, out="__pos", total="__n")
@@ -111,8 +151,8 @@ def cv_shuffle(
     out = {}
     for r in range(repeats):
         salt = f"{seed}:{r}"
-        (cut,) = _cuts(df, [key], salt, [kept - 1])
-        out[f"train_{r}"] = (unit_hash(key, seed=salt) <= cut).cast("int")
+        (edge,) = _cuts(df, [key], salt, [kept - 1])
+        out[f"train_{r}"] = (unit_hash(key, seed=salt) <= edge).cast("int")
     return df.withColumns(out)
 
 

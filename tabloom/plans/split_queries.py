@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tabloom.functions.hashing import unit_hash
 from tabloom.functions.hashing import unit_hash_sql as H
 from tabloom.operators import features as X
 from tabloom.operators import splits as S
@@ -86,6 +87,47 @@ def cv_group(spark, sf):
     return S.cv_group(orders(spark, sf), "o_custkey").select("o_orderkey", "fold")
 
 
+# one customer group holds 15 % of the orders
+_UNEVEN = f"(SELECT o_orderkey, CASE WHEN {H('o_orderkey', seed='big')} < 0.15 THEN 0 ELSE o_custkey END AS grp FROM orders)"
+
+
+@query("cv_group_even", f"""WITH RECURSIVE k AS MATERIALIZED (SELECT * FROM {_UNEVEN}),
+g AS MATERIALIZED (SELECT grp, count(*) AS n FROM k GROUP BY 1), z AS (SELECT sum(n) AS total FROM g),
+big AS MATERIALIZED (SELECT grp, n, row_number() OVER (ORDER BY n DESC, grp) AS i FROM g, z WHERE n > total / 1000.0),
+lp AS (SELECT 0::BIGINT AS i, -1::BIGINT AS fold, [0, 0, 0, 0, 0]::BIGINT[] AS l
+  UNION ALL SELECT big.i, list_position(l, list_min(l)) - 1,
+    list_transform(l, lambda x, j: x + CASE WHEN j = list_position(l, list_min(l)) THEN n ELSE 0 END)::BIGINT[]
+  FROM lp JOIN big ON big.i = lp.i + 1),
+l AS (SELECT unnest(l) AS load, unnest(range(5)) AS f FROM lp WHERE i = (SELECT max(i) FROM lp)),
+w AS (SELECT load, row_number() OVER (ORDER BY load, f) AS m, sum(load) OVER (ORDER BY load, f) AS s, lead(load) OVER (ORDER BY load, f) AS next FROM l),
+lv AS (SELECT arg_min(level, m) AS level FROM (SELECT m, (total - (SELECT sum(load) FROM l) + s) / m AS level, next FROM w, z) WHERE next IS NULL OR level <= next),
+e AS (SELECT floor(sum(greatest(0.0, level - load)) OVER (ORDER BY f) + 1e-6) AS edge, f FROM l, lv),
+t AS (SELECT grp, sum(n) OVER (ORDER BY {H('grp', seed=0)}, grp) - n AS before FROM g, z WHERE n <= total / 1000.0),
+p AS (SELECT grp, count(*) FILTER (before >= edge) AS fold FROM t, e WHERE f < 4 GROUP BY grp UNION ALL SELECT grp, fold FROM lp JOIN big USING (i))
+SELECT o_orderkey, fold::INTEGER AS fold FROM k JOIN p USING (grp)""")
+def cv_group_even(spark, sf):
+    big = F.when(unit_hash("o_orderkey", seed="big") < 0.15, 0).otherwise(F.col("o_custkey"))
+    return S.cv_group_even(orders(spark, sf).withColumn("grp", big), "grp").select("o_orderkey", "fold")
+
+
+_RATED = f"(SELECT o_orderkey, o_custkey AS c, o_totalprice AS y, floor({H('o_orderkey', seed='target:0')} * 5) AS f, {H('o_orderkey', seed=0)} AS h FROM orders)"
+
+
+@query("encode_target", f"""WITH r AS (SELECT *, row_number() OVER (ORDER BY h) <= ceil(0.2 * count(*) OVER ()) AS test FROM {_RATED}),
+n AS (SELECT *, sum(y) OVER (PARTITION BY c) AS sc, count(*) OVER (PARTITION BY c) AS nc, sum(y) OVER (PARTITION BY c, f) AS sf,
+  count(*) OVER (PARTITION BY c, f) AS nf, sum(y) OVER () AS s, count(*) OVER () AS n, sum(y) OVER (PARTITION BY f) AS st,
+  count(*) OVER (PARTITION BY f) AS nt FROM r WHERE NOT test),
+a AS (SELECT c, sum(y) AS sc, count(*) AS nc FROM r WHERE NOT test GROUP BY c), p AS (SELECT avg(y) AS prior FROM r WHERE NOT test)
+SELECT o_orderkey, round((sc - sf + 10 * (s - st) / (n - nt)) / (nc - nf + 10), 4) AS encoded FROM n
+UNION ALL SELECT o_orderkey, round((coalesce(sc, 0) + 10 * prior) / (coalesce(nc, 0) + 10), 4) FROM r LEFT JOIN a USING (c), p WHERE test""")
+def encode_target(spark, sf):
+    o = S.split_random(orders(spark, sf), "o_orderkey")
+    train, test = o.filter("split = 'train'"), o.filter("split = 'test'")
+    fitted = X.fit_target_encoding(train, "o_custkey", "o_totalprice", "o_orderkey")
+    both = fitted.encode_train(train).unionByName(fitted.encode(test))
+    return rounded(both.select("o_orderkey", F.col("o_custkey").alias("encoded")), 4)
+
+
 @query("cv_time", """WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS pos,
 count(*) OVER () AS n FROM orders), s AS (SELECT *, n // 6 AS size, n - 5 * (n // 6) AS head FROM r)
 SELECT o_orderkey, CAST(CASE WHEN pos < head THEN 0 ELSE (pos - head) // size + 1 END AS INTEGER) AS block FROM s""")
