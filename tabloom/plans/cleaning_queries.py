@@ -134,6 +134,24 @@ def impute_iterative(spark, sf):
 f AS (SELECT regr_slope(size, price) AS b, regr_intercept(size, price) AS a FROM p)
 SELECT p_partkey, round(coalesce(size, a + b * price), 4) AS size FROM p, f""")
 def impute_iterative_one_gap(spark, sf):
+    gaps = gapped_parts(spark, sf).select("p_partkey", "size")
+    full = table(spark, sf, "part").select("p_partkey", (F.col("p_retailprice") / 100).alias("price"))
+    rows = gaps.join(full, "p_partkey")
+    filled = C.fit_iterative(rows, ["size", "price"], estimator="least_squares").apply(rows)
+    return rounded(filled.select("p_partkey", "size"), 4)
+
+
+# The same with a prior on the slope, whose precisions are found step by step.
+@query("impute_bayesian_one_gap", f"""WITH RECURSIVE p AS MATERIALIZED (SELECT p_partkey, size, p_retailprice / 100 AS price FROM {GAPPED_PARTS} JOIN part USING (p_partkey)),
+m AS (SELECT regr_sxx(size, price) AS xx, regr_sxy(size, price) AS xy, regr_syy(size, price) AS yy, count(size) AS n, avg(size) AS my,
+  avg(price) FILTER (size IS NOT NULL) AS mx FROM p),
+s AS (SELECT 0 AS i, 1 / (yy / n + 2.220446049250313e-16) AS noise, 1.0::DOUBLE AS prior, NULL::DOUBLE AS b, false AS done FROM m
+  UNION ALL SELECT i + 1, (n - used + 2e-6) / (greatest(0, yy - 2 * w * xy + w * w * xx) + 2e-6), (used + 2e-6) / (w * w + 2e-6), w,
+    coalesce(abs(w - b) < 1e-3, false)
+  FROM (SELECT *, xy / (xx + prior / noise) AS w, noise * xx / (prior + noise * xx) AS used FROM s, m WHERE NOT done AND i < 300)),
+f AS (SELECT xy / (xx + prior / noise) AS b, my, mx FROM s, m ORDER BY i DESC LIMIT 1)
+SELECT p_partkey, round(coalesce(size, my + b * (price - mx)), 4) AS size FROM p, f""")
+def impute_bayesian_one_gap(spark, sf):
     gaps = gapped_parts(spark, sf).select("p_partkey", "size")
     full = table(spark, sf, "part").select("p_partkey", (F.col("p_retailprice") / 100).alias("price"))
     filled = C.impute(gaps.join(full, "p_partkey"), ["size", "price"], "iterative")
