@@ -160,7 +160,7 @@ def error_views(
 ) -> dict[str, DataFrame]:
     """The views of a task over test rows with `truth` and `prediction` in original units. Tasks
     without a truth take what their model gives: `cluster` and `vector`; `error` and `above` of
-    reconstruction rows; an anomaly `score`."""
+    reconstruction rows; an anomaly `score`, which a 0/1 `truth` is held against where there is one."""
     from tabloom.operators import metrics as M
 
     if task_type == "clustering":
@@ -173,10 +173,14 @@ def error_views(
         return {"worst": worst_n(df, "error", key), "poorly_embedded": df.filter("above").orderBy(F.desc("error"), key)}
     if task_type == "anomaly_detection":
         name = score or "score"
-        return {
+        views = {
             "score_distribution": score_summary(df, name), "quantiles": score_quantiles(df, name),
             "flagged": flag_filter(df, name, 0.0, key), "worst": worst_n(df, name, key),
         }
+        if "truth" in df.columns:
+            flagged = df.withColumn("__flag", (F.col(name) > 0).cast("int"))
+            views["confusion"] = anomaly_confusion(flagged, "truth", "__flag")
+        return views
 
     if task_type == "binary":
         views = {"confusion": dense_confusion(df)}

@@ -119,7 +119,7 @@ def explain_pdp_ice(
     curves_of: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Response over a grid of every numeric input (or of `features`): the average over all rows of
-    `df`, and one curve per row, or only per key of `curves_of`."""
+    `df`, and one curve per key of `curves_of`, where it is given (`df` itself for all)."""
     task = trained.task
     chosen = features or [n for n in trained.features.numeric if type_of(df, n) in NUMERIC]
     average, curves = None, None
@@ -132,10 +132,11 @@ def explain_pdp_ice(
             F.col(response if response in scored.columns else "prediction").cast("double").alias("response"),
         )
         mean = points.groupBy("feature", "grid").agg(F.avg("response").alias("average"))
-        own = points if curves_of is None else points.join(curves_of.select(task.key).distinct(), task.key)
         average = mean if average is None else average.unionByName(mean)
-        curves = own if curves is None else curves.unionByName(own)
-    return {"average": average, "ice": curves}
+        if curves_of is not None:
+            own = points if curves_of is df else points.join(curves_of.select(task.key).distinct(), task.key)
+            curves = own if curves is None else curves.unionByName(own)
+    return {"average": average} if curves_of is None else {"average": average, "ice": curves}
 
 
 def _network(trained: Trained) -> list[tuple[np.ndarray, np.ndarray]]:

@@ -17,6 +17,8 @@ from pyspark.ml.clustering import KMeans
 CLASSIFICATION = ("binary", "multiclass", "multilabel")
 SUPERVISED = (*CLASSIFICATION, "regression", "forecasting")
 MAX_TREE_DEPTH = 30
+#: Depth of boosted trees where none is asked for.
+BOOSTING_DEPTH = 5
 
 # Hidden layer widths of the network presets.
 PRESETS = {"small": (64,), "medium": (128, 64), "large": (256, 128, 64)}
@@ -89,8 +91,13 @@ def _lasso(p, c):
     )
 
 
-def _depth(value: int | None) -> int:
-    return MAX_TREE_DEPTH if value is None else min(int(value), MAX_TREE_DEPTH)
+def _depth(value: int | None, default: int = MAX_TREE_DEPTH) -> int:
+    """The depth of a tree, without one the default; Spark's trees end at 30, which is not exceeded in silence."""
+    if value is None:
+        return default
+    if int(value) > MAX_TREE_DEPTH:
+        raise ValueError(f"trees are at most {MAX_TREE_DEPTH} deep, not {value}")
+    return int(value)
 
 
 def _weighted(est, p):
@@ -116,7 +123,7 @@ def _forest(p, c):
 
 
 def _boosting(p, c):
-    depth = 5 if p["max_depth"] is None else min(int(p["max_depth"]), MAX_TREE_DEPTH)
+    depth = _depth(p["max_depth"], default=BOOSTING_DEPTH)
     common = dict(stepSize=p["learning_rate"], maxDepth=depth, maxIter=p["max_iter"], seed=c.seed)
     stop = dict(validationIndicatorCol="validation", validationTol=1e-4)
     if c.task_type == "regression":

@@ -6,19 +6,24 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.functions.neighbours import distances, stacked
 from tabloom.functions.quantiles import exact_quantiles
 from tabloom.functions.scalar import normal_quantile
-from tabloom.operators.metrics import CLASS_LIMIT, square_distance
+from tabloom.operators.metrics import CLASS_LIMIT
 from tabloom.operators.timeseries import PERIOD, horizon, lag_features
 from tabloom.operators.training import MetricPlan, Prepared, Trained, metric_plan, score_rows
 from tabloom.session import cut
 
 CUT_EVERY = 6
+#: Numbers of one broadcast part of the centres (16 MB).
+CENTER_VALUES = 2_000_000
 
 
 def prediction_interval(
@@ -40,18 +45,41 @@ def confidence_bands(
 
 
 def nearest_centroid(df: DataFrame, centers: DataFrame, vector: str, *, cluster: str = "cluster") -> DataFrame:
-    """Adds the cluster whose `center` is nearest; the centres are counted and then put into
-    the plan as one array."""
-    rows = centers.select(cluster, "center").limit(CLASS_LIMIT + 1).collect()
-    if len(rows) > CLASS_LIMIT:
-        raise ValueError(f"more than {CLASS_LIMIT} clusters")
-    options = F.array(*[
-        F.struct(F.lit(r[cluster]).alias("id"), F.array(*[F.lit(float(v)) for v in r["center"]]).alias("c"))
-        for r in sorted(rows, key=lambda r: r[cluster])
-    ])
-    ranked = F.transform(options, lambda o: F.struct(
-        square_distance(F.col(vector), o["c"]).alias("d"), o["id"].alias("id")))
-    return df.withColumn("assigned", F.array_min(ranked)["id"])
+    """Adds the cluster whose `center` is nearest, the smaller one of two. Centres are broadcast in parts of
+    at most CENTER_VALUES numbers, and a row keeps the best of all parts, so any number of them will do."""
+    context = df.sparkSession.sparkContext
+    best, part, size, at = None, [], 0, 0
+
+    def nearest_of(points: np.ndarray, start: int) -> Column:
+        shared = context.broadcast(points)
+
+        @F.pandas_udf("struct<d double, i long>")
+        def run(vectors: pd.Series) -> pd.DataFrame:
+            d = distances(stacked(vectors), shared.value)
+            pick = d.argmin(axis=1) if len(d) else np.zeros(0, np.int64)
+            return pd.DataFrame({"d": d[np.arange(len(d)), pick], "i": pick + start})
+
+        return run(F.col(vector))
+
+    numbered = centers.select(cluster, "center").orderBy(cluster)
+    ids = []
+    for r in numbered.toLocalIterator():
+        ids.append((at + len(part), r[cluster]))
+        part.append(r["center"])
+        size += len(r["center"])
+        if size >= CENTER_VALUES:
+            here = nearest_of(np.asarray(part, float), at)
+            best, at = here if best is None else F.least(best, here), at + len(part)
+            part, size = [], 0
+    if part:
+        here = nearest_of(np.asarray(part, float), at)
+        best = here if best is None else F.least(best, here)
+    if best is None:
+        raise ValueError("no centres")
+    names = df.sparkSession.createDataFrame(ids, f"__i long, assigned {centers.schema[cluster].dataType.simpleString()}")
+    names = F.broadcast(names) if len(ids) <= CLASS_LIMIT else names
+    placed = df.withColumn("__best", best).withColumn("__i", F.col("__best.i"))
+    return placed.join(names, "__i").select(*df.columns, "assigned")
 
 
 def evaluate_test(trained: Trained, prepared: Prepared, plan: MetricPlan | None = None) -> DataFrame:

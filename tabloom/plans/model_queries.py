@@ -520,7 +520,7 @@ def explain_pdp_ice(spark, sf):
 @query("explain_ice_tree")
 def explain_ice_tree(spark, sf):
     d, fitted = fitted_docs(spark, sf, "decision_tree", max_depth=4)
-    return rounded(X.explain_pdp_ice(fitted, d)["ice"], 4)
+    return rounded(X.explain_pdp_ice(fitted, d, curves_of=d)["ice"], 4)
 
 
 @query("explain_ig")
@@ -573,6 +573,38 @@ def error_views_unsupervised(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query("error_views_anomaly", """SELECT count(*) FILTER (l_returnflag = 'R' AND l_quantity > 40) AS tp, count(*) FILTER (l_returnflag <> 'R' AND l_quantity > 40) AS fp,
+count(*) FILTER (l_returnflag = 'R' AND l_quantity <= 40) AS fn, count(*) FILTER (l_returnflag <> 'R' AND l_quantity <= 40) AS tn FROM lineitem""")
+def error_views_anomaly(spark, sf):
+    rows = priced(spark, sf).select("row_key", (F.col("l_quantity") - 40).alias("score"), (F.col("l_returnflag") == "R").cast("int").alias("truth"))
+    return E.error_views(rows, "anomaly_detection", "row_key")["confusion"]
+
+
+# the axes of a PCA are unit vectors at right angles, and lengths along all of them add up to the total
+@query("pca_axes", f"""SELECT i.i::INTEGER AS i, j.i::INTEGER AS j, (i.i = j.i)::INTEGER::DOUBLE AS dot FROM range(1, 4) i(i), range(1, 4) j(i)
+UNION ALL SELECT 0, 0, round(sum(v), 5) FROM (SELECT var_samp(x) AS v FROM {VECTOR_CELLS} GROUP BY d)""")
+def pca_axes(spark, sf):
+    v, task = kind(spark, sf, "dimensionality_reduction")
+    fitted = N.fit_model(v, task, "pca", {"n_components": len(task.features)}, options=RAW)
+    axes = fitted.model.stages[1].pc.toArray()[:, :3]
+    dots = axes.T @ axes
+    rows = [(i + 1, j + 1, abs(round(float(dots[i, j]), 6))) for i in range(3) for j in range(3)]
+    rows.append((0, 0, round(float(sum(fitted.extra["eigenvalues"])), 5)))
+    return spark.createDataFrame(rows, "i int, j int, dot double")
+
+
+@query("kmeans_fixed_point", "SELECT count(*) AS rows, count(*) AS nearest FROM embeddings")
+def kmeans_fixed_point(spark, sf):
+    """Rows whose cluster is that of the nearest centre of the fit."""
+    v, task = kind(spark, sf, "clustering")
+    fitted = N.fit_model(v, task, "kmeans", {"n_clusters": 6, "n_init": 1})
+    centers = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(fitted.model.clusterCenters())], "cluster int, center array<double>")
+    from pyspark.ml.functions import vector_to_array
+    rows = fitted.vectors(v).select("vec_id", vector_to_array("features").alias("vector"))
+    both = R.nearest_centroid(rows, centers, "vector").join(fitted.predict(v).select("vec_id", "prediction"), "vec_id")
+    return both.agg(F.count("*").alias("rows"), F.count_if(F.col("assigned") == F.col("prediction")).alias("nearest"))
+
+
 @query("error_views_binary")
 def error_views_binary(spark, sf):
     d, fitted = fitted_docs(spark, sf, "logistic_regression")
