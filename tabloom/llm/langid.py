@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -246,17 +247,21 @@ def accepted(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return docs.limit(0)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     raw, letters, names = "__own_raw__", "__own_letters__", docs.columns
+    read = text_col if docs.schema[text_col].dataType.typeName() == "string" else raw
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            texts = batch.column(raw).to_pylist()
-            known = np.array(batch.column(letters).to_pylist(), bool)
-            for a, b in slices(np.array([len(t) for t in texts]), 1 << 22):
-                p, strange = own.judged(texts[a:b])
-                known[a:b] &= ~own.rejects(p.max(1), strange)
-            yield batch.filter(pa.array(known)).select(names)
-
-    wide = docs.withColumn(raw, as_bytes(text_col)).withColumn(
+            texts = batch.column(batch.schema.names.index(read)).cast(pa.binary())  # the same bytes
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+            for a, b in slices(sizes, 1 << 22):
+                part = batch.slice(a, b - a)
+                p, strange = own.judged([t or b"" for t in texts.slice(a, b - a).to_pylist()])
+                known = np.array(part.column(letters).to_pylist(), bool) & ~own.rejects(p.max(1), strange)
+                yield part.filter(pa.array(known)).select(names)
+
+    wide = docs.withColumn(
         letters, F.coalesce(F.col(f"`{text_col}`").cast("string").rlike(r"\p{L}"), F.lit(False)))
+    if read == raw:
+        wide = wide.withColumn(raw, as_bytes(text_col))
     return wide.mapInArrow(keep, docs.schema)
