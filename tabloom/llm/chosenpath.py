@@ -120,14 +120,17 @@ def _longer(rows: DataFrame, threshold: float) -> DataFrame:
     """Rows (cls, tokens, parents with their sizes) give (key, cls, size of the parent)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            lists, tokens = batch.column("parents"), batch.column("tokens")
+            ends, parts = lists.offsets.to_numpy(), lists.values
+            parent, size = (parts.field(k).to_numpy() for k in ("key", "m"))
             cls, up, keys = [], [], []
-            for c, raw, parents in zip(*(batch.column(k).to_pylist() for k in ("cls", "tokens", "parents")), strict=True):
-                tokens = np.frombuffer(raw, np.uint64)
-                for parent in parents:
-                    found = np.unique(path_keys(tokens, np.array([parent["key"]], np.int64).view(np.uint64), threshold))
+            for i, c in enumerate(batch.column("cls").to_numpy()):
+                own = np.frombuffer(tokens[i].as_buffer(), np.uint64)
+                for at in range(ends[i], ends[i + 1]):
+                    found = np.unique(path_keys(own, parent[at:at + 1].view(np.uint64), threshold))
                     keys.append(found)
                     cls.append(np.full(len(found), c, np.int64))
-                    up.append(np.full(len(found), parent["m"], np.int64))
+                    up.append(np.full(len(found), size[at], np.int64))
             none = np.zeros(0, np.int64)
             yield pa.record_batch([pa.array(np.concatenate([*up, none])),
                                    pa.array(np.concatenate([*keys, none.view(np.uint64)]).view(np.int64)),
