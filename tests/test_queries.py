@@ -16,7 +16,8 @@ SAMPLE = (
     "cv_kfold", "encode_ordinal", "ts_residual", "ts_acf", "ts_pacf", "forecast_frame", "mine_rules",
     "recommend", "metric_pr_auc", "metric_roc_auc", "calibration", "confusion", "error_by_quantile",
     "silhouette_rows", "metric_trustworthiness", "fit_lof", "fit_ridge", "cv_scores", "dataset_hash",
-    "stream_score", "scan_csv",
+    "stream_score", "scan_csv", "dataset_hash_zones", "cv_group_even", "encode_target", "impute_knn",
+    "impute_bayesian_one_gap", "fit_association", "pca_axes", "error_views_anomaly",
 )
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("TABLOOM_ALL_QUERIES") else SAMPLE
 
