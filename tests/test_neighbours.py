@@ -2,7 +2,6 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tabloom.functions import neighbours as B
 from tabloom.operators import cleaning as C
