@@ -99,3 +99,34 @@ def test_trustworthiness_with_ties(spark):
             lost += max(0, rank[j] - k)
     got = M.trustworthiness(df, "k", "x", "z", k=k).first()[0]
     assert got == pytest.approx(1 - lost * 2 / (n * k * (2 * n - 3 * k - 1)))
+
+
+def test_blocks_meet_in_single_precision_but_far_from_the_origin_nothing_is_lost(spark, monkeypatch):
+    monkeypatch.setattr(B, "CELL_ROWS", 20)
+    monkeypatch.setattr(B, "BLOCK_ROWS", 64)
+    rng = np.random.default_rng(3)
+    x = 1e6 + rng.normal(size=(300, 5)).round(3)
+    x[100:140] = x[7]
+    rows = list(enumerate(x.tolist()))
+    df = spark.createDataFrame(rows, "k long, v array<double>").repartition(4)
+    assert found(B.nearest(df, df, "k", "v", 6, skip_self=True)) == brute(rows, rows, 6, True)
+    apart = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    assert np.allclose(B.distances(x, x), apart, rtol=1e-9, atol=0)
+    assert B.nearest_row(x[100:140], x)[0].tolist() == [7] * 40
+
+
+def test_a_pair_of_blocks_costs_a_product_not_an_array_of_differences(monkeypatch):
+    import tracemalloc
+
+    x = np.random.default_rng(4).normal(size=(400, 256))
+    tracemalloc.start()
+    B.distances(x, x)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 12_000_000  # differences of all coordinates: 30 MB a time
+
+
+def test_small_cells_share_a_block(spark):
+    cells = B._Cells({0: (np.arange(40), np.arange(40.0).reshape(-1, 1))})
+    cells.measure([{"cell": c, "n": 1000, "near": 0.0, "far": 1.0} for c in range(40)])
+    assert cells.blocks == 5 and sorted(set(cells.first)) == list(range(5))
