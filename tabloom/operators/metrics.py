@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.prefix import prefix_sums, with_halo
-from tabloom.functions.neighbours import distances, nearest
+from tabloom.functions.neighbours import CHUNK, SLACK, direct, distances, hits, nearest, squares
 from tabloom.functions.tiles import matrix, tiles
 from tabloom.operators.profile import rows_of
 
@@ -296,11 +296,12 @@ def silhouette_rows(
     def sums(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
             return pd.DataFrame({key: [], "other": [], "total": [], "n": []})
-        d = distances(matrix(x[vector]), matrix(y[vector]))
+        points, others = matrix(x[vector]), matrix(y[vector])
         codes, labels = pd.factorize(y[cluster])
         onehot = np.zeros((len(y), len(labels)))
         onehot[np.arange(len(y)), codes] = 1.0
-        totals = d @ onehot
+        step = max(1, CHUNK // len(y))
+        totals = np.concatenate([distances(points[at : at + step], others) @ onehot for at in range(0, len(x), step)])
         rows = np.repeat(np.arange(len(x)), len(labels))
         return pd.DataFrame({
             key: x[key].to_numpy()[rows], "other": np.tile(np.asarray(labels), len(x)),
@@ -345,16 +346,28 @@ def trustworthiness(
         rows = np.repeat(np.arange(len(x)), sizes)
         near = pd.DataFrame([r for some in x["near"] for r in some])
         target, ids = matrix(near["__y"]), near["neighbour"].to_numpy()
-        gap = (a[rows] - target)[:, None, :]
-        limit = np.sqrt(np.einsum("ijk,ijk->ij", gap, gap))
+        limit = direct(a[rows], target)
+        same = pd.DataFrame({"key": x[key].to_numpy(), "i": np.arange(len(x))}).merge(
+            pd.DataFrame({"key": others, "j": np.arange(len(y))}), on="key").sort_values("i")
         own, counts = x[key].to_numpy()[rows], np.zeros(len(rows), np.int64)
-        d = distances(a, b)
-        step = max(1, 4_000_000 // len(y))
-        for at in range(0, len(rows), step):
-            part = slice(at, at + step)
-            gap, mine = d[rows[part]], ids[part, None]
-            before = (gap < limit[part]) | ((gap == limit[part]) & (others < mine))
-            counts[part] = (before & (others != own[part, None]) & (others != mine)).sum(axis=1)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        step = max(1, CHUNK // len(y))
+        for at in range(0, len(x), step):
+            d2 = squares(a[at : at + step], b)
+            for place in range(int(sizes[at : at + step].max())):
+                some = np.flatnonzero(sizes[at : at + step] > place)
+                row = ends[at + some] + place
+                part = d2[some] if len(some) < len(d2) else d2
+                sure = part < ((limit[row] * (1 - SLACK)) ** 2)[:, None]
+                counts[row] = np.count_nonzero(sure, axis=1)
+                # rows as far as the neighbour are measured; the row itself and the neighbour do not count
+                i, j = hits((part <= ((limit[row] * (1 + SLACK) + SLACK) ** 2)[:, None]) & ~sure)
+                gap = direct(a[at + some[i]], b[j])
+                before = (gap < limit[row[i]]) | ((gap == limit[row[i]]) & (others[j] < ids[row[i]]))
+                np.add.at(counts, row[i], before & (others[j] != own[row[i]]) & (others[j] != ids[row[i]]))
+            first, last = np.searchsorted(same["i"], [at, at + step])
+            for i, j in same[["i", "j"]].to_numpy()[first:last]:
+                counts[ends[i] : ends[i + 1]] -= d2[i - at, j] < (limit[ends[i] : ends[i + 1]] * (1 - SLACK)) ** 2
         return pd.DataFrame({key: own, "neighbour": ids, "n": counts})
 
     counted = tiles(left, df.select(key, high), key, closer, f"{key} {kind}, neighbour {kind}, n long")
