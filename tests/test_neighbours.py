@@ -130,3 +130,10 @@ def test_small_cells_share_a_block(spark):
     cells = B._Cells({0: (np.arange(40), np.arange(40.0).reshape(-1, 1))})
     cells.measure([{"cell": c, "n": 1000, "near": 0.0, "far": 1.0} for c in range(40)])
     assert cells.blocks == 5 and sorted(set(cells.first)) == list(range(5))
+
+
+def test_a_side_without_rows_has_no_vectors():
+    import pyarrow as pa
+
+    assert B._rows(pa.array([], pa.list_(pa.float64()))).shape == (0, 0)
+    assert B._rows(pa.array([[1.0, 2.0]])).tolist() == [[1.0, 2.0]]
