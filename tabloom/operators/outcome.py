@@ -13,6 +13,7 @@ from tabloom.operators.errors import score_summary
 from tabloom.operators.metrics import apply_threshold
 from tabloom.operators.training import PreprocessingOptions, Trained, fit_model, pca_parts
 from tabloom.functions.scalar import join_items
+from tabloom.session import cut
 from tabloom.sources.versions import write_csv
 
 
@@ -77,12 +78,13 @@ def package(tables: Mapping[str, DataFrame], path: str) -> list[str]:
 
 
 def reconstruction_rows(trained: Trained, df: DataFrame, *, share: float = 0.8) -> DataFrame:
-    """Reconstruction norm per row with the quantile threshold and whether it is above."""
+    """Reconstruction norm per row with the quantile threshold and whether it is above. The norms are made once;
+    the passes that find the threshold read them."""
     from tabloom.functions.quantiles import exact_quantiles
 
     gaps = F.zip_with("x", "back", lambda a, b: (a - b) * (a - b))
     norm = F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda a, b: a + b))
-    rows = pca_parts(trained, df).select(trained.task.key, norm.alias("error"))
+    rows = cut(pca_parts(trained, df).select(trained.task.key, norm.alias("error")))
     limit = exact_quantiles(rows, ["error"], [share])["error"][0]
     return rows.select("*", F.lit(limit).alias("threshold"), (F.col("error") > limit).alias("above"))
 
