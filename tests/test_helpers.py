@@ -174,3 +174,16 @@ def test_a_frequent_time_is_split(spark):
     assert _positions(df, "t", "id")
     parts = _ranges(df, "t", "id", False, 16).groupBy("__code", "__sub").count()
     assert parts.agg(F.max("count")).first()[0] <= 1500
+
+
+def test_ranks_take_more_tasks_as_rows_grow(spark, monkeypatch):
+    from tabloom.functions import prefix
+
+    monkeypatch.setattr(prefix, "RANK_ROWS", 40)
+    rows = [(i, float(i * 37 % 997), float(i * i % 211)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "k long, a double, b double")
+    ranked = prefix.value_ranks(df, {"a": ("la", "ea"), "b": ("lb", "eb")})
+    for r in ranked.collect():
+        assert r["la"] == sum(x[1] < r["a"] for x in rows) and r["ea"] == sum(x[1] == r["a"] for x in rows)
+        assert r["lb"] == sum(x[2] < r["b"] for x in rows) and r["eb"] == sum(x[2] == r["b"] for x in rows)
+    assert "REPARTITION_BY_NUM" in ranked._jdf.queryExecution().toString()
