@@ -5,7 +5,10 @@ words of a block of documents and one code per word. Spark merges the words of t
 of a word and the ranks of its neighbouring pairs are folded, and every step joins the leftmost pair
 of lowest rank and looks up the two new pairs in a literal rank map. Words that are in the
 vocabulary as a whole are one token, as in the tiktoken library. Then the codes of each document are
-replaced by the merged words. Nothing is shuffled: a list stands before the documents that use it.
+replaced by the merged words. No text is shuffled: a list stands before the documents that use it.
+Words of many blocks are merged once: the most frequent words of one text in SHARE (at most COMMON) are
+merged beforehand, and all tasks get them with their ids; a block merges only what is not among them.
+Which words these are decides where a word is merged, not into what.
 Decoding concatenates the pieces of the ids.
 
 The rank map is two literal arrays: a pair (a, b) of ids, as the number a * 65536 + b, stands
@@ -20,16 +23,20 @@ from __future__ import annotations
 
 import base64
 import heapq
+from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import frequent, stored
+
 #: A block ends at so many distinct words or word codes; so many words go into one row of its list.
 WORDS, CODES, CHUNK = 500_000, 8_000_000, 200
+SHARE, COMMON = 16, 1 << 18
 LONG, NONE = 200, 1 << 20
 PRIMES = (130003, 140009)
 
@@ -153,55 +160,102 @@ class _Codes(dict):
         return code
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
-           text_col: str = "text") -> DataFrame:
-    """Per document: doc_id and ids (array of token ids)."""
-    ranks = Ranks(ranks_path)
-    pairs = ranks.pairs()
-    shared = docs.sparkSession.sparkContext.broadcast((ranks.ids, pairs, ranks.bytes))
-    texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"),
-                        F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+class _Pieces:
+    """Makes words ready for `merged`."""
+
+    def __init__(self, ranks: Ranks):
+        self.ids_of, self.pairs, self.byte_ids = ranks.ids, ranks.pairs(), ranks.bytes
+        ids = self.byte_ids.tolist()
+        self.first_rank = np.array([[self.pairs.get(a << 16 | b, NONE) for b in ids] for a in ids], np.int64)
+
+    def __call__(self, words: list[bytes]) -> pa.Array:
+        sizes = np.array([len(w) for w in words])
+        if max(sizes) > LONG:
+            return pa.array([_long(w, self.ids_of, self.pairs, self.byte_ids, self.first_rank) for w in words],
+                            pa.list_(pa.int64()))
+        data = np.frombuffer(b"".join(words), np.uint8)
+        ends = np.cumsum(sizes)
+        rank = np.append(self.first_rank[data[:-1], data[1:]], NONE)
+        rank[ends - 1] = NONE
+        place = np.arange(len(data)) - np.repeat(ends - sizes, sizes)
+        flat = rank << 24 | place << 16 | self.byte_ids[data]
+        token = np.fromiter(map(self.ids_of.get, words, repeat(-1)), np.int64, len(words))
+        one = token >= 0  # words of the vocabulary are done
+        flat[(ends - sizes)[one]] = NONE << 24 | token[one]
+        flat = flat[~np.repeat(one, sizes) | (place == 0)]
+        ends = np.cumsum(np.where(one, 1, sizes))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(flat))
+
+
+def _lists(words: list[bytes], pieces: _Pieces) -> Iterator[pa.Array]:
+    """The words as rows of CHUNK words each, twenty rows at a time."""
+    for at in range(0, len(words), CHUNK * 20):
+        part = words[at:at + CHUNK * 20]
+        ends = np.append(np.arange(0, len(part), CHUNK), len(part)).astype(np.int32)
+        yield pa.ListArray.from_arrays(pa.array(ends), pieces(part))
+
+
+def _common(texts: DataFrame, pattern: str, ranks: Ranks, shared) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The most frequent words of a sample of texts, their ids one after another and how many each has."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        find = regex.compile(pattern).findall
+        counts: Counter = Counter()
+
+        def packed() -> pa.RecordBatch:
+            return pa.record_batch([pa.array([w.encode() for w in counts], pa.binary()),
+                                    pa.array(counts.values(), pa.int64())], ["word", "n"])
+
+        for batch in batches:
+            for text in batch.column("text"):
+                counts.update(find(text.as_py()))
+                if len(counts) > WORDS:
+                    yield packed()
+                    counts.clear()
+        yield packed()
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column("word").to_pylist()
+            lists = _lists(words, shared.value) if words else ()
+            for i, part in enumerate(lists):
+                first = i * CHUNK * 20
+                names = pa.ListArray.from_arrays(part.offsets, pa.array(words[first:first + CHUNK * 20], pa.binary()))
+                yield pa.record_batch([names, part], ["names", "words"])
+
+    sample = texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SHARE)) == 0).select("text")
+    counts = stored(sample.mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+                    .where("n > 1"), "bpe-words")
+    tasks = texts.sparkSession.sparkContext.defaultParallelism
+    found = (frequent(counts, COMMON).select("word").repartition(tasks, "word")
+             .mapInArrow(listed, "names array<binary>, words array<array<bigint>>")
+             .select("names", F.transform("words", lambda w: merged(w, ranks)).alias("ids")).toArrow())
+    names, ids = (found.column(c).combine_chunks().flatten() for c in ("names", "ids"))
+    return ([bytes(w).decode() for w in names.to_pylist()], ids.flatten().to_numpy().astype(np.int32),
+            ids.value_lengths().to_numpy().astype(np.int64))
+
+
+def _blocks(texts: DataFrame, pattern: str, shared, common) -> DataFrame:
+    """Blocks of texts: rows with lists of the words that are not common, then doc_id and codes; the common
+    words have the first codes."""
     listed = pa.list_(pa.list_(pa.int64()))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         find = regex.compile(pattern).findall
-        ids_of, pairs, byte_ids = shared.value
-        whole = ids_of.get
-        first_rank = np.full((256, 256), NONE, np.int64)
-        for a in range(256):
-            for b in range(256):
-                first_rank[a, b] = pairs.get(int(byte_ids[a]) << 16 | int(byte_ids[b]), NONE)
-
-        def pieces(words: list[bytes]) -> pa.Array:
-            """The words as `merged` takes them."""
-            sizes = np.array([len(w) for w in words])
-            if max(sizes) > LONG:
-                return pa.array([_long(w, ids_of, pairs, byte_ids, first_rank) for w in words], pa.list_(pa.int64()))
-            data = np.frombuffer(b"".join(words), np.uint8)
-            ends = np.cumsum(sizes)
-            rank = np.append(first_rank[data[:-1], data[1:]], NONE)
-            rank[ends - 1] = NONE
-            place = np.arange(len(data)) - np.repeat(ends - sizes, sizes)
-            flat = rank << 24 | place << 16 | byte_ids[data]
-            token = np.fromiter(map(whole, words, repeat(-1)), np.int64, len(words))
-            one = token >= 0  # words of the vocabulary are done
-            flat[(ends - sizes)[one]] = NONE << 24 | token[one]
-            flat = flat[~np.repeat(one, sizes) | (place == 0)]
-            ends = np.cumsum(np.where(one, 1, sizes))
-            return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(flat))
+        pieces = shared.value
+        usual = {w: i for i, w in enumerate(common.value)}
 
         def block(known: dict[str, int], held: list[tuple[pa.Array, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
-            words = [w.encode() for w in known]
+            words = [w.encode() for w in islice(known, len(usual), None)]
             known.clear()
-            for at in range(0, len(words), CHUNK * 20):
-                part = words[at:at + CHUNK * 20]
-                ends = np.append(np.arange(0, len(part), CHUNK), len(part)).astype(np.int32)
-                rows = len(ends) - 1
+            for at, part in enumerate(_lists(words, pieces)):
+                rows = len(part)
                 yield pa.record_batch(
                     [pa.nulls(rows, pa.int64()), pa.array([at == 0 and row == 0 for row in range(rows)]),
-                     pa.nulls(rows, pa.list_(pa.int32())), pa.ListArray.from_arrays(pa.array(ends), pieces(part))],
+                     pa.nulls(rows, pa.list_(pa.int32())), part],
                     ["doc_id", "opens", "codes", "words"])
             del words
             for ids, codes in held:
@@ -211,24 +265,39 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                                        pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                                        pa.nulls(len(ids), listed)], ["doc_id", "opens", "codes", "words"])
 
-        known, held, total = _Codes(), [], 0
+        known, held, total = _Codes(usual), [], 0
         for batch in batches:
             column, codes, start = batch.column("text"), [], 0
             for i in range(len(column)):
                 found = find(column[i].as_py())
                 codes.append(np.fromiter(map(known.__getitem__, found), np.int32, len(found)))
                 total += len(found)
-                if len(known) >= WORDS or total >= CODES or len(codes) == 1000:
+                full = len(known) - len(usual) >= WORDS or total >= CODES
+                if full or len(codes) == 1000:
                     held.append((batch.column("doc_id").slice(start, i + 1 - start), codes))
                     codes, start = [], i + 1
-                    if len(known) >= WORDS or total >= CODES:
+                    if full:
                         yield from block(known, held)
-                        known, held, total = _Codes(), [], 0
+                        known, held, total = _Codes(usual), [], 0
             held.append((batch.column("doc_id").slice(start), codes))
         yield from block(known, held)
 
+    return texts.mapInArrow(cut, "doc_id bigint, opens boolean, codes array<int>, words array<array<bigint>>")
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
+           text_col: str = "text") -> DataFrame:
+    """Per document: doc_id and ids (array of token ids)."""
+    ranks = Ranks(ranks_path)
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast(_Pieces(ranks))
+    texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"),
+                        F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    words, *usual_ids = _common(texts, pattern, ranks, shared)
+    common, usual = context.broadcast(words), context.broadcast(usual_ids)
+
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, sizes = [], []
+        flat, sizes = ([part] for part in usual.value)
         pool = begins = lengths = None
         for batch in batches:
             opens = batch.column("opens")
@@ -239,7 +308,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 if is_list[a]:
                     for i, first in enumerate(part.column("opens").to_pylist()):
                         if first:
-                            flat, sizes = [], []
+                            flat, sizes = ([part] for part in usual.value)
                         words = part.column("ids").slice(i, 1).flatten()
                         flat.append(words.flatten().to_numpy())
                         sizes.append(np.diff(words.offsets.to_numpy()))
@@ -261,8 +330,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                     yield pa.record_batch([rows.column("doc_id"), pa.ListArray.from_arrays(
                         pa.array(bounds.astype(np.int32)), pa.array(pool[index]))], ["doc_id", "ids"])
 
-    return (texts.mapInArrow(cut, "doc_id bigint, opens boolean, codes array<int>, "
-                                  "words array<array<bigint>>")
+    return (_blocks(texts, pattern, shared, common)
             .select("doc_id", "opens", "codes", F.transform("words", lambda w: merged(w, ranks)).alias("ids"))
             .mapInArrow(assemble, "doc_id bigint, ids array<int>"))
 

@@ -187,6 +187,18 @@ def test_bpe_against_library(spark, tokenizer, monkeypatch):
     assert bytebpe.encode(frame(spark, []), path, pattern).count() == 0
 
 
+def test_bpe_merges_common_words_once(spark, tokenizer, monkeypatch):
+    path, pattern = tokenizer[:2]
+    blocks, made = [], bytebpe._blocks
+    monkeypatch.setattr(bytebpe, "SHARE", 1)
+    monkeypatch.setattr(bytebpe, "_blocks", lambda *given: blocks.append(made(*given)) or blocks[-1])
+    texts = ["Quetzalcoatlus\u00e4xyz Donaudampfschifffahrt"] * 40 + ["Hapaxlegomenonword"]
+    got = {r.doc_id: list(r.ids) for r in bytebpe.encode(frame(spark, texts).repartition(4), path, pattern).collect()}
+    assert blocks[0].agg(F.sum(F.size("words"))).first()[0] == 1  # the word that is met once
+    monkeypatch.setattr(bytebpe, "SHARE", 1 << 40)  # no word is merged beforehand
+    assert got == {r.doc_id: list(r.ids) for r in bytebpe.encode(frame(spark, texts), path, pattern).collect()}
+
+
 def test_bpe_repeated_and_null_ids(spark, tokenizer):
     path, pattern, library = tokenizer
     got = bytebpe.encode(frame(spark, ["one", "one", "two"], [1, 1, None]), path, pattern).collect()
