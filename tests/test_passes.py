@@ -1,7 +1,8 @@
-"""How often fits read their rows."""
+"""How often fits read their rows, and mining of repeated rows."""
 
 from pyspark.sql import functions as F
 
+from tabloom.operators import association as A
 from tabloom.operators import features as X
 from tabloom.operators import splits as S
 from tabloom.operators import training as N
@@ -49,3 +50,10 @@ def test_tuned_rows_are_read_once_after_the_split(spark):
     task = N.Task("regression", key="id", target="y", features=("x",))
     N.tune(df, task, "ridge", trials=2)
     assert seen.value <= 5 * ROWS
+
+
+def test_repeated_rows_of_a_basket_count_once(spark):
+    rows = [(b, i) for b in range(20) for i in "abc"[: 1 + b % 3]]
+    once = spark.createDataFrame(rows, "basket long, item string")
+    mined = [sorted(map(str, A.mine_itemsets(df, 0.1).collect())) for df in (once, once.unionByName(once))]
+    assert mined[0] == mined[1] and len(mined[0]) == 7
