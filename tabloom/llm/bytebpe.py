@@ -1,21 +1,22 @@
-"""Byte-level BPE: ranked merges folded by higher-order functions over the byte arrays of words.
+"""Byte-level BPE: ranked merges over the distinct words of blocks of texts.
 
 Each task cuts its texts into words (matches of the tokenizer's pattern), keeps a list of the distinct
-words of a block of documents and one code per word. Spark merges the words of the lists: the byte ids
-of a word and the ranks of its neighbouring pairs are folded, and every step joins the leftmost pair
-of lowest rank and looks up the two new pairs in a literal rank map. Words that are in the
-vocabulary as a whole are one token, as in the tiktoken library. Then the codes of each document are
-replaced by the merged words. No text is shuffled: a list stands before the documents that use it.
-Words of many blocks are merged once: the most frequent words of one text in SHARE (at most COMMON) are
-merged beforehand, and all tasks get them with their ids; a block merges only what is not among them.
-Which words these are decides where a word is merged, not into what.
-Decoding concatenates the pieces of the ids.
-
-The rank map is two literal arrays: a pair (a, b) of ids, as the number a * 65536 + b, stands
-either at place `pair % PRIMES[0]` of the first or at `pair % PRIMES[1]` of the second.
+words of a block of documents and one code per word. The words of a list are merged together: the ids
+of their pieces lie in one array, and every step joins, in each word, the leftmost pair of lowest rank
+and looks up the two new pairs. Words that are in the vocabulary as a whole are one token, as in the
+tiktoken library. Then the codes of each document are replaced by the merged words. No text is
+shuffled: a list stands before the documents that use it.
+Words of many blocks are merged once: Spark counts the words of one text in SHARE, the most frequent
+ones (at most COMMON) are merged beforehand, and all tasks get them with their ids; a block merges only
+what is not among them. Which words these are decides where a word is merged, not into what.
+Decoding concatenates the pieces of the ids: an Arrow array of pieces is taken by the ids, and its bytes are cut
+at the ends of the documents. The ids are written as text in the same way.
+
+The rank map is two arrays: a pair (a, b) of ids, as the number a * 65536 + b, stands either at
+place `pair % PRIMES[0]` of the first or at `pair % PRIMES[1]` of the second.
 
 Defined cases: null and empty texts have no tokens; words over LONG bytes are merged with a heap
-in Python, as a fold would take time with the square of the length; equal rows give equal ids; an
+in Python, as these steps would take time with the square of the length; equal rows give equal ids; an
 empty table gives no rows; other columns are not read.
 """
 
@@ -24,20 +25,24 @@ from __future__ import annotations
 import base64
 import heapq
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cached_property
 from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import frequent, stored
+from .common import frequent, slices, stored
 
 #: A block ends at so many distinct words or word codes; so many words go into one row of its list.
 WORDS, CODES, CHUNK = 500_000, 8_000_000, 200
 SHARE, COMMON = 16, 1 << 18
 LONG, NONE = 200, 1 << 20
+#: Ids that are assembled or written at once.
+TOKENS = 2_000_000
 PRIMES = (130003, 140009)
 
 
@@ -54,15 +59,17 @@ class Ranks:
             raise ValueError("a rank file of at most 65,536 pieces is needed")
         self.bytes = np.array([self.ids[bytes([b])] for b in range(256)], np.int32)
 
+    @cached_property
     def pairs(self) -> dict[int, int]:
         get = self.ids.get
         return {a << 16 | b: number for piece, number in self.ids.items() for i in range(1, len(piece))
                 if (a := get(piece[:i])) is not None and (b := get(piece[i:])) is not None}
 
+    @cached_property
     def tables(self) -> tuple[list[int], list[int]]:
         """Cuckoo tables; an entry is pair * 65536 + merged id, and -1 where free."""
         tables = ([-1] * PRIMES[0], [-1] * PRIMES[1])
-        for pair, merged in self.pairs().items():
+        for pair, merged in self.pairs.items():
             entry, side = pair << 16 | merged, 0
             for _ in range(1000):
                 place = (entry >> 16) % PRIMES[side]
@@ -75,50 +82,36 @@ class Ranks:
         return tables
 
 
-def _literal(numbers: list[int]) -> Column:
-    """An array constant (folded by the optimizer)."""
-    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>")
-
-
-def _let(value: Column, body) -> Column:
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def merged(word: Column, ranks: Ranks) -> Column:
-    """Fold the ranked merges over a word: an array with one number per piece, made of the rank of the
-    merge with the next piece (NONE without one), the place of the piece's first byte and its id, so
-    that the least number is the leftmost merge of lowest rank. Gives the ids."""
-    first, second = (_literal(t) for t in ranks.tables())
-    low, sixteen = F.lit(0xFFFFFF).cast("bigint"), F.lit(0xFFFF).cast("bigint")
-
-    def ranked(x: Column) -> Column:
-        """x: 24 bits of the new piece above the 32 bits of its pair."""
-        def stands(entry: Column, otherwise: Column) -> Column:
-            return F.when(F.shiftright(entry, 16) == pair, entry.bitwiseAND(sixteen)).otherwise(otherwise)
-
-        pair = x.bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint"))
-        rank = stands(F.get(first, (pair % PRIMES[0]).cast("int")),
-                      stands(F.get(second, (pair % PRIMES[1]).cast("int")), F.lit(NONE).cast("bigint")))
-        return F.shiftleft(rank, 24).bitwiseOR(F.shiftright(x, 32))
-
-    def step(p: Column, _: Column) -> Column:
-        def join(best: Column) -> Column:
-            def at(i: Column) -> Column:  # the pieces at places i and i + 1 become one
-                new = F.shiftright(best, 24)
-                left = F.get(p, i - 2).bitwiseAND(low)
-                after = F.coalesce(F.get(p, i + 1).bitwiseAND(sixteen), sixteen)
-                before = F.shiftleft(left, 32).bitwiseOR(F.shiftleft(left.bitwiseAND(sixteen), 16)).bitwiseOR(new)
-                own = F.shiftleft(best.bitwiseAND(F.lit(0xFF0000).cast("bigint")).bitwiseOR(new), 32).bitwiseOR(
-                    F.shiftleft(new, 16)).bitwiseOR(after)
-                return F.concat(F.slice(p, F.lit(1), F.greatest(i - 2, F.lit(0))),
-                                F.transform(F.when(i > 1, F.array(before, own)).otherwise(F.array(own)), ranked),
-                                F.slice(p, i + 2, F.lit(LONG)))
-
-            return _let(F.array_position(p, best).cast("int"), at)
-
-        return F.when(F.array_min(p) >= NONE << 24, p).otherwise(_let(F.array_min(p), join))
-
-    return F.transform(F.aggregate(F.slice(word, F.lit(2), F.lit(LONG)), word, step), lambda x: x.bitwiseAND(sixteen).cast("int"))
+def merged(ids: np.ndarray, sizes: np.ndarray, rank_of: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of words, one word after another, and how many each has, after all merges: a step joins the
+    leftmost pair of lowest rank of every word; words without a pair are taken out when they are half."""
+    first, ids = np.cumsum(sizes) - sizes, ids.copy()
+    out, ends, left = np.full(len(ids), -1, np.int32), np.zeros(len(sizes), np.int64), np.arange(len(sizes))
+    rank = np.append(rank_of(ids[:-1], ids[1:]), NONE)
+    rank[first + sizes - 1] = NONE
+    while len(left):
+        starts = np.cumsum(sizes) - sizes
+        best = np.minimum.reduceat(rank << 32 | np.arange(len(rank)), starts)
+        some = best < NONE << 32
+        if 2 * some.sum() <= len(left):
+            own = np.repeat(some, sizes)
+            place = np.repeat(first[left] - starts, sizes) + np.arange(len(ids))
+            out[place[~own]] = ids[~own]
+            ends[left[~some]] = sizes[~some]
+            ids, rank, sizes, left = ids[own], rank[own], sizes[some], left[some]
+            continue
+        at = best[some] & 0xFFFFFFFF
+        ids[at] = rank[at]
+        keep = np.ones(len(ids), bool)
+        keep[at + 1] = False
+        ids, rank, sizes = ids[keep], rank[keep], sizes - some
+        at -= np.arange(len(at))  # every word before has lost a piece
+        starts = (np.cumsum(sizes) - sizes)[some]
+        last = at + 1 == starts + sizes[some]
+        rank[at] = np.where(last, NONE, rank_of(ids[at], ids[np.where(last, at, at + 1)]))
+        at = at[at > starts]
+        rank[at - 1] = rank_of(ids[at - 1], ids[at])
+    return out[out >= 0], ends
 
 
 def _heap_merged(ids: list[int], pairs: dict[int, int]) -> list[int]:
@@ -141,17 +134,6 @@ def _heap_merged(ids: list[int], pairs: dict[int, int]) -> list[int]:
     return [i for i in ids if i >= 0]
 
 
-def _long(word: bytes, ids_of: dict[bytes, int], pairs: dict[int, int], byte_ids: np.ndarray,
-          first_rank: np.ndarray) -> list[int]:
-    """One word as `merged` takes it; whole and long words are given with all merges done."""
-    data = np.frombuffer(word, np.uint8)
-    if word in ids_of or len(word) > LONG:
-        ids = [ids_of[word]] if word in ids_of else _heap_merged(byte_ids[data].tolist(), pairs)
-        return [NONE << 24 | i for i in ids]
-    rank = np.append(first_rank[data[:-1], data[1:]], NONE)
-    return (rank << 24 | np.arange(len(data)) << 16 | byte_ids[data]).tolist()
-
-
 class _Codes(dict):
     """Numbers words in the order in which they are first asked for."""
 
@@ -161,30 +143,30 @@ class _Codes(dict):
 
 
 class _Pieces:
-    """Makes words ready for `merged`."""
+    """Merges words: a list of ids for each."""
 
     def __init__(self, ranks: Ranks):
-        self.ids_of, self.pairs, self.byte_ids = ranks.ids, ranks.pairs(), ranks.bytes
-        ids = self.byte_ids.tolist()
-        self.first_rank = np.array([[self.pairs.get(a << 16 | b, NONE) for b in ids] for a in ids], np.int64)
+        self.ids_of, self.pairs, self.byte_ids = ranks.ids, ranks.pairs, ranks.bytes.astype(np.int64)
+        self.first, self.second = (np.array(t) for t in ranks.tables)
 
-    def __call__(self, words: list[bytes]) -> pa.Array:
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        pair = a << 16 | b
+        first, second = self.first[pair % PRIMES[0]], self.second[pair % PRIMES[1]]
+        return np.where(first >> 16 == pair, first & 0xFFFF, np.where(second >> 16 == pair, second & 0xFFFF, NONE))
+
+    def __call__(self, words: list[bytes]) -> pa.ListArray:
         sizes = np.array([len(w) for w in words])
-        if max(sizes) > LONG:
-            return pa.array([_long(w, self.ids_of, self.pairs, self.byte_ids, self.first_rank) for w in words],
-                            pa.list_(pa.int64()))
-        data = np.frombuffer(b"".join(words), np.uint8)
-        ends = np.cumsum(sizes)
-        rank = np.append(self.first_rank[data[:-1], data[1:]], NONE)
-        rank[ends - 1] = NONE
-        place = np.arange(len(data)) - np.repeat(ends - sizes, sizes)
-        flat = rank << 24 | place << 16 | self.byte_ids[data]
         token = np.fromiter(map(self.ids_of.get, words, repeat(-1)), np.int64, len(words))
-        one = token >= 0  # words of the vocabulary are done
-        flat[(ends - sizes)[one]] = NONE << 24 | token[one]
-        flat = flat[~np.repeat(one, sizes) | (place == 0)]
-        ends = np.cumsum(np.where(one, 1, sizes))
-        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(flat))
+        whole = token >= 0  # words of the vocabulary are done
+        long = np.flatnonzero(~whole & (sizes > LONG))
+        plain = np.flatnonzero(~whole & (sizes <= LONG))
+        heaps = [_heap_merged(self.byte_ids[np.frombuffer(words[i], np.uint8)].tolist(), self.pairs) for i in long]
+        data = np.frombuffer(b"".join([words[i] for i in plain]), np.uint8)
+        ids, ends = merged(self.byte_ids[data], sizes[plain], self.rank)
+        flat = np.concatenate([token[whole], *heaps, ids]).astype(np.int32)
+        ends = np.concatenate(([0], np.ones(int(whole.sum()), np.int64), [len(h) for h in heaps], ends))
+        order = np.argsort(np.concatenate((np.flatnonzero(whole), long, plain)))
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(ends).astype(np.int32)), pa.array(flat)).take(pa.array(order))
 
 
 def _lists(words: list[bytes], pieces: _Pieces) -> Iterator[pa.Array]:
@@ -195,7 +177,7 @@ def _lists(words: list[bytes], pieces: _Pieces) -> Iterator[pa.Array]:
         yield pa.ListArray.from_arrays(pa.array(ends), pieces(part))
 
 
-def _common(texts: DataFrame, pattern: str, ranks: Ranks, shared) -> tuple[list[str], np.ndarray, np.ndarray]:
+def _common(texts: DataFrame, pattern: str, shared) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The most frequent words of a sample of texts, their ids one after another and how many each has."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -222,24 +204,23 @@ def _common(texts: DataFrame, pattern: str, ranks: Ranks, shared) -> tuple[list[
             for i, part in enumerate(lists):
                 first = i * CHUNK * 20
                 names = pa.ListArray.from_arrays(part.offsets, pa.array(words[first:first + CHUNK * 20], pa.binary()))
-                yield pa.record_batch([names, part], ["names", "words"])
+                yield pa.record_batch([names, part], ["names", "ids"])
 
     sample = texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SHARE)) == 0).select("text")
     counts = stored(sample.mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
                     .where("n > 1"), "bpe-words")
     tasks = texts.sparkSession.sparkContext.defaultParallelism
     found = (frequent(counts, COMMON).select("word").repartition(tasks, "word")
-             .mapInArrow(listed, "names array<binary>, words array<array<bigint>>")
-             .select("names", F.transform("words", lambda w: merged(w, ranks)).alias("ids")).toArrow())
+             .mapInArrow(listed, "names array<binary>, ids array<array<int>>").toArrow())
     names, ids = (found.column(c).combine_chunks().flatten() for c in ("names", "ids"))
     return ([bytes(w).decode() for w in names.to_pylist()], ids.flatten().to_numpy().astype(np.int32),
             ids.value_lengths().to_numpy().astype(np.int64))
 
 
 def _blocks(texts: DataFrame, pattern: str, shared, common) -> DataFrame:
-    """Blocks of texts: rows with lists of the words that are not common, then doc_id and codes; the common
+    """Blocks of texts: rows with lists of the ids of the words that are not common, then doc_id and codes; the common
     words have the first codes."""
-    listed = pa.list_(pa.list_(pa.int64()))
+    listed = pa.list_(pa.list_(pa.int32()))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -282,18 +263,33 @@ def _blocks(texts: DataFrame, pattern: str, shared, common) -> DataFrame:
             held.append((batch.column("doc_id").slice(start), codes))
         yield from block(known, held)
 
-    return texts.mapInArrow(cut, "doc_id bigint, opens boolean, codes array<int>, words array<array<bigint>>")
+    return texts.mapInArrow(cut, "doc_id bigint, opens boolean, codes array<int>, words array<array<int>>")
+
+
+def _joined(ids: pa.ListArray, table: pa.Array) -> pa.Array:
+    """Per list of ids, the entries of `table` (large binaries) one after another."""
+    found = table.take(ids.flatten())
+    ends = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1, found.offset * 8) if len(found) else np.zeros(1, np.int64)
+    ends = ends[ids.offsets.to_numpy() - ids.offsets[0].as_py()]
+    start = int(ends[0])
+    data = found.buffers()[2].slice(start) if len(found) and found.buffers()[2] is not None else pa.py_buffer(b"")
+    return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer((ends - start).astype(np.int32)), data])
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
            text_col: str = "text") -> DataFrame:
     """Per document: doc_id and ids (array of token ids)."""
-    ranks = Ranks(ranks_path)
+    return _encoded(docs, Ranks(ranks_path), pattern, id_col, text_col, "ids array<int>", lambda ids: [ids])
+
+
+def _encoded(docs: DataFrame, ranks: Ranks, pattern: str, id_col: str, text_col: str, columns: str,
+             made: Callable[[pa.ListArray], list[pa.Array]]) -> DataFrame:
+    """Per document: doc_id and what `made` gives for its ids."""
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(_Pieces(ranks))
     texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"),
                         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    words, *usual_ids = _common(texts, pattern, ranks, shared)
+    words, *usual_ids = _common(texts, pattern, shared)
     common, usual = context.broadcast(words), context.broadcast(usual_ids)
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +305,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                     for i, first in enumerate(part.column("opens").to_pylist()):
                         if first:
                             flat, sizes = ([part] for part in usual.value)
-                        words = part.column("ids").slice(i, 1).flatten()
+                        words = part.column("words").slice(i, 1).flatten()
                         flat.append(words.flatten().to_numpy())
                         sizes.append(np.diff(words.offsets.to_numpy()))
                     pool = None
@@ -318,8 +314,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                     pool = np.concatenate([*flat, np.zeros(0, np.int32)])
                     lengths = np.concatenate([*sizes, np.zeros(0, np.int64)]).astype(np.int64)
                     begins = np.cumsum(lengths) - lengths
-                for c in range(0, len(part), 500):
-                    rows = part.slice(c, 500)
+                codes = part.column("codes")
+                sizes_of = np.add.reduceat(np.append(lengths[codes.flatten().to_numpy()], 0),
+                                           codes.offsets.to_numpy()[:-1] - codes.offsets[0].as_py())
+                sizes_of[codes.value_lengths().to_numpy() == 0] = 0
+                for c, e in slices(sizes_of, TOKENS):
+                    rows = part.slice(c, e - c)
                     codes = rows.column("codes")
                     ends = codes.offsets.to_numpy()
                     code = codes.flatten().to_numpy()
@@ -327,23 +327,30 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                     stop = np.cumsum(n)
                     index = np.repeat(begins[code] - (stop - n), n) + np.arange(int(n.sum()))
                     bounds = np.concatenate(([0], stop))[ends - ends[0]]
-                    yield pa.record_batch([rows.column("doc_id"), pa.ListArray.from_arrays(
-                        pa.array(bounds.astype(np.int32)), pa.array(pool[index]))], ["doc_id", "ids"])
+                    ids = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(pool[index]))
+                    yield pa.record_batch([rows.column("doc_id"), *made(ids)], names)
 
+    names = ["doc_id", *(c.split()[0] for c in columns.split(", "))]
     return (_blocks(texts, pattern, shared, common)
-            .select("doc_id", "opens", "codes", F.transform("words", lambda w: merged(w, ranks)).alias("ids"))
-            .mapInArrow(assemble, "doc_id bigint, ids array<int>"))
+            .mapInArrow(assemble, f"doc_id bigint, {columns}"))
 
 
-def decoded(ids: Column, ranks: Ranks) -> Column:
-    """The bytes of an array of ids: the pieces, one after another."""
-    pieces = F.split(F.lit(",".join(p.hex() for p in ranks.pieces)), ",")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
+def _pieces_of(ranks: Ranks) -> pa.Array:
+    return pa.array(ranks.pieces, pa.large_binary())
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """Add raw, the bytes that `ids` stand for."""
-    return encoded.withColumn("raw", decoded(F.col("ids"), Ranks(ranks_path)))
+    pieces = encoded.sparkSession.sparkContext.broadcast(_pieces_of(Ranks(ranks_path)))
+    names = [*encoded.columns, "raw"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column("ids").value_lengths().fill_null(0).to_numpy(), TOKENS):
+                rows = batch.slice(a, b - a)
+                yield pa.record_batch([*rows.columns, _joined(rows.column("ids"), pieces.value)], names)
+
+    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("raw", T.BinaryType())]))
 
 
 def digests(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -354,8 +361,13 @@ def digests(docs: DataFrame, ranks_path: str | None = None, pattern: str | None
 
         ranks_path = ranks_path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
         pattern = pattern or public_tokenizers.PATTERN
-    both = decode(encode(docs, ranks_path, pattern), ranks_path)
-    return both.select(
-        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("raw", 256).alias("decoded_sha256"))
+    ranks = Ranks(ranks_path)
+    tables = docs.sparkSession.sparkContext.broadcast(
+        (pa.array([b",%d" % i for i in range(len(ranks.pieces))], pa.large_binary()), _pieces_of(ranks)))
+
+    def made(ids: pa.ListArray) -> list[pa.Array]:
+        return [pa.array(ids.value_lengths(), pa.int64()), *(_joined(ids, table) for table in tables.value)]
+
+    both = _encoded(docs, ranks, pattern, "doc_id", "text", "n_tokens bigint, listed binary, raw binary", made)
+    return both.select("doc_id", "n_tokens", F.sha2(F.expr("substring(listed, 2)"), 256).alias("ids_sha256"),
+                       F.sha2("raw", 256).alias("decoded_sha256"))

@@ -206,6 +206,20 @@ def test_bpe_repeated_and_null_ids(spark, tokenizer):
         (k, tuple(library.encode_ordinary(t))) for k, t in (("1", "one"), ("1", "one"), ("None", "two")))
 
 
+def test_bpe_digests_in_slices_and_a_small_plan(spark, tokenizer, monkeypatch):
+    path, pattern, library = tokenizer
+    monkeypatch.setattr(bytebpe, "TOKENS", 7)  # several slices of a batch
+    texts = ["Quetzalcoatlus \u00e4xyz " * 3, "", None, "aaaa" * 90, "\u65e5\u672c\u8a9e text"]
+    out = bytebpe.digests(frame(spark, texts), path, pattern)
+    assert len(out._jdf.queryExecution().toString()) < 50_000  # no vocabulary in the plan
+    got = {r.doc_id: r for r in out.collect()}
+    for i, text in enumerate(texts):
+        ids = library.encode_ordinary(text or "")
+        assert got[i].n_tokens == len(ids)
+        assert got[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert got[i].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
+
+
 # ---- language, quality, toxicity
 
 def test_language(spark, docs):
