@@ -4,7 +4,9 @@ A text is the set of its hashed shingles of N words. Texts with equal sets are o
 a set x goes along the tokens whose hash (of run and path) is below BETA / (threshold * |x|), so that
 two similar sets share BETA tokens on average; sets on the same path of two tokens form a bucket.
 Buckets of more than SMALL classes are split in the same way by one more token, until they are small,
-or hold together (more than half of the parent stays: near copies), or DEPTH is reached. Buckets are then
+or hold together (more than half of the parent stays: near copies), or DEPTH is reached. The upper half of
+a first key is that of its path of one token, so that the size of that parent is counted from the keys
+themselves, and a group that holds together is not split at all. Buckets are then
 compared by brute force on the exact sets. A pair at the threshold meets in a run with the probability
 `q = 1 - exp(-BETA q')` (q' that of the next level), and the number of runs follows from the target
 recall. Every pair counts in the first of its buckets only, so links are counted exactly without
@@ -36,6 +38,7 @@ BETA, SMALL, DEPTH = 2.0, 48, 4
 BLOCK = 2048
 HEAVY = 1 / 500
 
+_LOW = np.uint64(0xFFFFFFFF)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -51,7 +54,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > 500_000:
             self.clear()
         self[word] = got = xxhash.xxh64_intdigest(word)
         return got
@@ -70,14 +73,16 @@ def shingle_set(raw: bytes, hashes: WordHashes, n: int = N) -> np.ndarray:
     return np.unique(mix(total))
 
 
-def path_keys(tokens: np.ndarray, parents: np.ndarray, threshold: float) -> np.ndarray:
-    """Paths one token longer, for a set on each of the parent paths."""
+def path_keys(tokens: np.ndarray, parents: np.ndarray, threshold: float, family: bool = False) -> np.ndarray:
+    """Paths one token longer, for a set on each of the parent paths; with `family`, keys that keep the
+    upper half of the parent's."""
     limit = BETA / (threshold * len(tokens))
     out = []
     for parent in parents:
         drawn = mix(tokens ^ mix(np.full(1, parent, np.uint64)))
         chosen = drawn if limit >= 1 else drawn[drawn < np.uint64(limit * 2.0 ** 64)]
-        out.append(mix(chosen ^ np.uint64(parent)))
+        longer = mix(chosen ^ np.uint64(parent))
+        out.append(longer & _LOW | np.uint64(parent) & ~_LOW if family else longer)
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -109,7 +114,7 @@ def _sets(docs: DataFrame, n: int, threshold: float, runs: int) -> DataFrame:
                 sizes.append(len(tokens))
                 digests.append(hashlib.md5(tokens.tobytes()).digest())
                 paths = np.unique(path_keys(tokens, roots, threshold)) if len(tokens) else tokens
-                keys.append(np.unique(path_keys(tokens, paths, threshold)) if len(tokens) else tokens)
+                keys.append(np.unique(path_keys(tokens, paths, threshold, family=True)) if len(tokens) else tokens)
             yield pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), pa.array(digests, pa.binary()),
                                    pa.array(sizes, pa.int64()), _packed(keys)], ["doc_id", "text_hash", "digest", "n", "keys"])
 
@@ -221,6 +226,16 @@ def _compare(threshold: float):
     return run
 
 
+def _with_parents(buckets: DataFrame) -> DataFrame:
+    """First buckets (key, cls, m): large ones with the size of their parent, counted over the classes that
+    meet others below it."""
+    family = F.shiftright("key", 32)
+    large = buckets.where(F.col("m") > SMALL).withColumn("family", family)
+    below = buckets.withColumn("family", family).join(large.select("family").distinct(), "family", "left_semi")
+    sizes = below.groupBy("family").agg(F.countDistinct("cls").alias("was"))
+    return large.join(sizes, "family").drop("family")
+
+
 def _leaves(first: DataFrame, cand: DataFrame, threshold: float) -> DataFrame:
     """Final buckets (key, cls, m): small ones, those that hold together, and the deepest."""
     members = first.withColumn("was", F.lit(None).cast("bigint"))
@@ -228,13 +243,16 @@ def _leaves(first: DataFrame, cand: DataFrame, threshold: float) -> DataFrame:
     for depth in range(2, DEPTH + 1):
         sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.first("was").alias("was")).where("m > 1")
         now = stored(members.drop("was").join(sizes, "key"), "buckets")
-        done = (F.col("m") <= SMALL) | (F.coalesce(F.col("m") * 2 > F.col("was"), F.lit(False)))
-        if depth == DEPTH:
-            done = F.lit(True)
-        part = now.where(done).select("key", "cls", "m")
+        part = now if depth == DEPTH else now.where(F.col("m") <= SMALL)
+        part = part.select("key", "cls", "m")
         leaves = part if leaves is None else leaves.unionByName(part)
-        big = now.where(~done)
-        if depth == DEPTH or big.isEmpty():
+        if depth == DEPTH:
+            return leaves
+        large = stored(_with_parents(now.drop("was")), "large") if depth == 2 else now.where(F.col("m") > SMALL)
+        whole = F.col("m") * 2 > F.col("was")
+        leaves = leaves.unionByName(large.where(whole).select("key", "cls", "m"))
+        big = large.where(~whole)
+        if big.isEmpty():
             return leaves
         parents = big.groupBy("cls").agg(F.collect_set(F.struct("key", "m")).alias("parents"))
         members = _longer(prefiltered(cand, "cls", parents).join(parents, "cls").select("cls", "tokens", "parents"), threshold)

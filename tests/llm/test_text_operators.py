@@ -431,6 +431,15 @@ def test_near_copies(spark, monkeypatch, small, block):
     assert chosenpath.similar_texts(frame(spark, [])).count() == 0
 
 
+def test_group_that_holds_together_is_not_split(spark, monkeypatch):
+    split, longer = [], chosenpath._longer
+    monkeypatch.setattr(chosenpath, "_longer", lambda *given: split.append(longer(*given)) or split[-1])
+    texts = [" ".join(f"w{k}" for k in range(600)) + f" end{i}" for i in range(120)]  # similar at 0.99
+    got = chosenpath.similar_texts(frame(spark, texts)).collect()
+    assert {(r.class_id, r.n_links) for r in got} == {(0, 119)}
+    assert not split or split[0].count() == 0
+
+
 def test_near_copies_repeated_and_null_ids(spark):
     text = " ".join(f"w{k}" for k in range(30))
     got = chosenpath.similar_texts(frame(spark, [text, text, text, "other words stand here now", None], [7, 7, None, 7, None])).collect()
