@@ -37,15 +37,21 @@ BETA, SMALL, DEPTH = 2.0, 48, 4
 #: Classes of a bucket compared in one task; larger buckets are compared block by block.
 BLOCK = 2048
 HEAVY = 1 / 500
+#: Words whose hashes a task remembers, and their longest; cells of the arrays of one step, pairs compared at once
+#: and cells of a matrix of sets and tokens.
+REMEMBERED, LONG, CELLS, PAIRS, SLICE = 150_000, 64, 1 << 16, 1 << 20, 4_000_000
 
 _LOW = np.uint64(0xFFFFFFFF)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= _M1
+    x ^= x >> np.uint64(27)
+    x *= _M2
+    x ^= x >> np.uint64(31)
+    return x
 
 
 class WordHashes(dict):
@@ -54,9 +60,11 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = got = xxhash.xxh64_intdigest(word)
+        got = xxhash.xxh64_intdigest(word)
+        if len(word) <= LONG:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = got
         return got
 
 
@@ -77,13 +85,16 @@ def path_keys(tokens: np.ndarray, parents: np.ndarray, threshold: float, family:
     """Paths one token longer, for a set on each of the parent paths; with `family`, keys that keep the
     upper half of the parent's."""
     limit = BETA / (threshold * len(tokens))
-    out = []
-    for parent in parents:
-        drawn = mix(tokens ^ mix(np.full(1, parent, np.uint64)))
-        chosen = drawn if limit >= 1 else drawn[drawn < np.uint64(limit * 2.0 ** 64)]
-        longer = mix(chosen ^ np.uint64(parent))
-        out.append(longer & _LOW | np.uint64(parent) & ~_LOW if family else longer)
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    out = [np.zeros(0, np.uint64)]
+    step = max(1, CELLS // len(tokens))
+    for at in range(0, len(parents), step):
+        some = parents[at:at + step]
+        drawn = mix(tokens ^ mix(some)[:, None]).ravel()
+        spots = np.arange(len(drawn)) if limit >= 1 else np.flatnonzero(drawn < np.uint64(limit * 2.0 ** 64))
+        parent = some[spots // len(tokens)]
+        longer = mix(drawn[spots] ^ parent)
+        out.append(longer & _LOW | parent & ~_LOW if family else longer)
+    return np.concatenate(out)
 
 
 def runs_for(recall: float) -> int:
@@ -109,8 +120,8 @@ def _sets(docs: DataFrame, n: int, threshold: float, runs: int) -> DataFrame:
         hashes, roots = WordHashes(), _roots(runs)
         for batch in batches:
             digests, sizes, keys = [], [], []
-            for i, raw in enumerate(batch.column("raw").to_pylist()):
-                tokens = shingle_set(raw, hashes, n)
+            for raw in batch.column("raw"):
+                tokens = shingle_set(raw.as_py(), hashes, n)
                 sizes.append(len(tokens))
                 digests.append(hashlib.md5(tokens.tobytes()).digest())
                 paths = np.unique(path_keys(tokens, roots, threshold)) if len(tokens) else tokens
@@ -144,26 +155,32 @@ def _longer(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInArrow(run, "was bigint, key bigint, cls bigint").select("key", "cls", "was")
 
 
-def common_counts(sets: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of the sets `rows` with all sets, by products of incidence
-    matrices over slices of the tokens."""
-    sizes = np.array([len(s) for s in sets])
-    tokens, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    shared = np.bincount(ids, minlength=len(tokens)) > 1  # others cannot be common
-    keep = shared[ids]
-    place = np.cumsum(shared) - 1
-    ids, owner = place[ids[keep]], owner[keep]
-    order = np.argsort(ids, kind="stable")
-    ids, owner = ids[order], owner[order]
-    out = np.zeros((len(rows), len(sets)), np.float32)
-    width = max(256, 8_000_000 // max(1, len(sets)))
-    for at in range(0, int(shared.sum()), width):
-        a, b = np.searchsorted(ids, (at, at + width))
-        block = np.zeros((len(sets), min(width, int(shared.sum()) - at)), np.float32)
-        block[owner[a:b], ids[a:b] - at] = 1
-        out += block[rows] @ block.T
-    return out
+class Incidence:
+    """Which sets hold which tokens, for tokens that several sets hold."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets = len(sets)
+        flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        new = np.append(True, flat[1:] != flat[:-1])[:len(flat)]
+        uses = np.diff(np.append(np.flatnonzero(new), len(flat)))
+        keep = np.repeat(uses > 1, uses)  # others cannot be common
+        self.owner, self.size = owner[keep], int((uses > 1).sum())
+        self.ids = np.repeat(np.arange(self.size, dtype=np.int32), uses[uses > 1])
+
+    def common(self, rows: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of the sets `rows` with all sets, by products of matrices over slices
+        of the tokens."""
+        out = np.zeros((len(rows), self.sets), np.float32)
+        width = max(256, SLICE // max(1, self.sets))
+        for at in range(0, self.size, width):
+            a, b = np.searchsorted(self.ids, (at, at + width))
+            block = np.zeros((self.sets, min(width, self.size - at)), np.float32)
+            block[self.owner[a:b], self.ids[a:b] - at] = 1
+            out += block[rows] @ block.T
+        return out
 
 
 def _compare(threshold: float):
@@ -172,50 +189,40 @@ def _compare(threshold: float):
         cls = table.column("cls").to_numpy()
         order = np.argsort(cls)
         cls, copies = cls[order], table.column("copies").to_numpy()[order]
-        side = table.column("side").to_numpy()[order]
-        raw, before = table.column("tokens").to_pylist(), table.column("before").to_pylist()
-        sets = [np.frombuffer(raw[i], np.uint64) for i in order]
+        side, raw, before = table.column("side").to_numpy()[order], table.column("tokens"), table.column("before")
+        sets = [np.frombuffer(raw[i].as_buffer(), np.uint64) for i in order]
         m, n = len(cls), np.array([len(s) for s in sets])
-        edges, links, similar = [], np.zeros(m, np.int64), np.zeros(m, np.int64)
+        held = Incidence(sets)
         # Buckets that come before this one and are shared by members: those pairs count there.
-        flat = np.concatenate([np.array(before[i], np.int64) for i in order]) if m else np.zeros(0, np.int64)
-        owner = np.repeat(np.arange(m), [len(before[i]) for i in order])
-        keys, ids, uses = np.unique(flat, return_inverse=True, return_counts=True)
-        met = np.zeros((m, len(keys)), np.float32)
-        met[owner, ids] = 1
-        met = met[:, uses > 1]
+        met = Incidence([before[i].values.to_numpy().view(np.uint64) for i in order])
+        links, similar, edges = np.zeros(m, np.int64), np.zeros(m, np.int64), []
         two = side.min() != side.max() if m else False
-        root = np.arange(m)
-
-        def top(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for at in range(0, m, 512):
-            rows = np.arange(at, min(m, at + 512))
-            open_pairs = (met[rows] @ met.T) == 0
-            open_pairs &= np.minimum(n[rows, None], n) >= threshold * np.maximum(n[rows, None], n)
+        tree = np.arange(m)  # the smallest member of each one's part of the forest
+
+        step = max(64, PAIRS // max(1, m))
+        for at in range(0, m, step):
+            rows = np.arange(at, min(m, at + step))
+            open_pairs = np.minimum(n[rows, None], n) >= threshold * np.maximum(n[rows, None], n)
             open_pairs &= rows[:, None] < np.arange(m)
             if two:  # the blocks' own pairs are compared elsewhere
                 open_pairs &= side[rows, None] != side
+            open_pairs &= met.common(rows) == 0
             need = np.flatnonzero(open_pairs.any(1))
             if not len(need):
                 continue
-            both = common_counts(sets, rows[need])
-            total = n[rows[need], None] + n - both
-            linked = open_pairs[need] & (both >= threshold * total - 1e-6)
-            for i, j in zip(*np.nonzero(linked), strict=True):
-                i = rows[need[i]]
-                links[i] += 1
-                links[j] += 1
-                similar[i] += copies[j]
-                similar[j] += copies[i]
-                a, b = top(i), top(j)
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-                    edges.append((cls[i], cls[j]))
+            both = held.common(rows[need])
+            linked = open_pairs[need] & (both >= threshold * (n[rows[need], None] + n - both) - 1e-6)
+            links += linked.sum(0)
+            links[rows[need]] += linked.sum(1)
+            similar += copies[rows[need]] @ linked
+            similar[rows[need]] += linked @ copies
+            for i, row in zip(rows[need], linked, strict=True):
+                others = np.flatnonzero(row)
+                for j in others[np.sort(np.unique(tree[others], return_index=True)[1])]:
+                    if tree[i] != tree[j]:
+                        a, b = sorted((tree[i], tree[j]))
+                        tree[tree == b] = a
+                        edges.append((cls[i], cls[j]))
         some = np.flatnonzero(links)
         return pa.table({
             "u": pa.array(np.concatenate([cls[some], [e[0] for e in edges]]).astype(np.int64)),
@@ -255,7 +262,8 @@ def _leaves(first: DataFrame, cand: DataFrame, threshold: float) -> DataFrame:
         if big.isEmpty():
             return leaves
         parents = big.groupBy("cls").agg(F.collect_set(F.struct("key", "m")).alias("parents"))
-        members = _longer(prefiltered(cand, "cls", parents).join(parents, "cls").select("cls", "tokens", "parents"), threshold)
+        some = stored(prefiltered(cand, "cls", parents), "split")  # the next Python step gets workers after this one
+        members = _longer(some.join(parents, "cls").select("cls", "tokens", "parents"), threshold)
     return leaves
 
 
@@ -280,7 +288,8 @@ def _resolved(docs, id_col, text_col, n, threshold, recall) -> DataFrame:
     first = stored(shared, "paths")
     wanted = classes.join(first.select("cls").distinct(), "cls", "left_semi").select("cls", "digest", "copies", "set_id", "text_hash")
     wanted = stored(wanted.withColumnRenamed("set_id", "doc_id"), "wanted")
-    texts = prefiltered(plain, "doc_id", wanted).drop("text_hash").join(wanted.drop("text_hash"), "doc_id")
+    met = stored(prefiltered(plain.drop("text_hash"), "doc_id", wanted), "texts")  # the tokens get workers after this
+    texts = met.join(wanted.drop("text_hash"), "doc_id")
     if not wanted.where("doc_id IS NULL").isEmpty():  # sets of rows without an id: one text of each by its hash
         lost = wanted.where("doc_id IS NULL").drop("doc_id")
         held = prefiltered(plain.where("doc_id IS NULL"), "text_hash", lost).dropDuplicates(["text_hash"])
@@ -290,8 +299,8 @@ def _resolved(docs, id_col, text_col, n, threshold, recall) -> DataFrame:
         hashes = WordHashes()
         for batch in batches:
             cls, copies, out = [], [], []
-            for c, k, digest, raw in zip(*(batch.column(x).to_pylist() for x in ("cls", "copies", "digest", "raw")), strict=True):
-                found = shingle_set(raw, hashes, n).tobytes()
+            for c, k, digest, raw in zip(*(batch.column(x).to_pylist() for x in ("cls", "copies", "digest")), batch.column("raw"), strict=True):
+                found = shingle_set(raw.as_py(), hashes, n).tobytes()
                 if hashlib.md5(found).digest() == digest:  # ids may repeat with other texts
                     cls.append(c)
                     copies.append(k)
