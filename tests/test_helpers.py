@@ -187,3 +187,25 @@ def test_ranks_take_more_tasks_as_rows_grow(spark, monkeypatch):
         assert r["la"] == sum(x[1] < r["a"] for x in rows) and r["ea"] == sum(x[1] == r["a"] for x in rows)
         assert r["lb"] == sum(x[2] < r["b"] for x in rows) and r["eb"] == sum(x[2] == r["b"] for x in rows)
     assert "REPARTITION_BY_NUM" in ranked._jdf.queryExecution().toString()
+
+
+def test_wide_medians_and_moments_of_one_pass(spark, monkeypatch):
+    import numpy as np
+
+    import tabloom.functions.quantiles as quantiles
+    from tabloom.operators.profile import moments
+
+    monkeypatch.setattr(quantiles, "FEW", 20)
+    x = np.random.default_rng(3).normal(0, 1, (500, 40))
+    x[:, 1], x[:3, 2], x[5, 3], x[6, 4], x[7:300, 5] = 2.5, (np.inf, -np.inf, -0.0), np.nan, 1e-300, -7.0
+    names = [f"c{j}" for j in range(40)]
+    rows = spark.createDataFrame([[None if np.isnan(v) else float(v) for v in r] for r in x], ", ".join(f"{c} double" for c in names))
+    got = quantiles.exact_quantiles(rows.repartition(5), names, [0.25, 0.5], exact_rows=20)
+    with np.errstate(invalid="ignore"):
+        want = np.nanquantile(x, [0.25, 0.5], axis=0)
+    assert np.allclose([got[c] for c in names], want.T, rtol=1e-12)
+    sql = rows.drop("c2").repartition(5)
+    names.remove("c2")
+    full = x[~np.isnan(x).any(1)][:, [j for j in range(40) if j != 2]]
+    n, mean, cov = moments(sql, names)
+    assert n == 499 and np.allclose(mean, full.mean(0)) and np.allclose(cov, np.cov(full.T))
