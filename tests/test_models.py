@@ -53,6 +53,30 @@ def test_logistic_finds_the_signal_and_explains_it(spark, planted):
     assert drops[0].feature == "x" and drops[0].importance > 0.2
 
 
+def test_partial_dependence_comes_with_the_curve_of_every_row(spark, planted, tmp_path):
+    few = planted.filter("k < 30").select("k", "x", F.round("noise").alias("noise"), "y")
+    task = N.Task("binary", key="k", target="y", features=("x", "noise"))
+    fitted = N.fit_model(few, task, "decision_tree", {"max_depth": 3})
+    told = X.explain_pdp_ice(fitted, few, features=["noise"])
+    average = {r.grid: r.average for r in told["average"].collect()}
+    curves = {(r.k, r.grid): r.response for r in told["ice"].collect()}
+    assert set(curves) == {(k, g) for k in range(30) for g in average}
+    for g, mean in average.items():
+        own = {r.k: r.p_1 for r in fitted.predict(few.withColumn("noise", F.lit(g))).collect()}
+        assert {k: curves[k, g] for k in range(30)} == own and mean == pytest.approx(sum(own.values()) / 30)
+    some = X.explain_pdp_ice(fitted, few, features=["noise"], curves_of=few.filter("k < 2"))["ice"]
+    assert {r.k for r in some.collect()} == {0, 1}
+
+    import __spark_entry__ as entry
+    lines = [(i, 1, 1, 1, float(i % 3), 10.0 * (i % 3) + 5, 0.1, 0.0, "R") for i in range(9)]
+    spark.createDataFrame(lines, """l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double,
+        l_extendedprice double, l_discount double, l_tax double, l_returnflag string""").write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = entry.queries()["explain_pdp_ice"](spark, str(tmp_path)).collect()
+    assert sorted((r.grid, r.average) for r in rows if r.row_key is None) == [(0.0, 5.0), (1.0, 15.0), (2.0, 25.0)]
+    assert sorted((r.row_key, r.grid, r.response) for r in rows if r.row_key is not None) == [
+        (f"{i}-1-1-1", float(g), 10.0 * g + 5) for i in range(9) for g in range(3)]
+
+
 def test_integrated_gradients_are_complete(planted):
     task = N.Task("binary", key="k", target="y", features=("x", "noise"))
     fitted = N.fit_model(planted, task, "mlp", {"hidden": (5,), "epochs": 60})
