@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -13,9 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.prefix import prefix_sums, with_halo
-from tabloom.functions.neighbours import CHUNK, SLACK, direct, distances, hits, nearest, squares
-from tabloom.functions.tiles import matrix, tiles
+from tabloom.functions.neighbours import BLOCK_ROWS, CHUNK, QUERY_ROWS, Rough, _rows, direct, distances, hits, nearest
+from tabloom.functions.tiles import LEAST, matrix, packed, streamed, tiles
 from tabloom.operators.profile import rows_of
+from tabloom.session import cut
 
 CLASS_LIMIT = 10_000
 THRESHOLDS = tuple(i / 8 for i in range(9))
@@ -326,7 +329,8 @@ def trustworthiness(
     df: DataFrame, key: str, high: str, low: str, *, k: int = TRUST_NEIGHBOURS
 ) -> DataFrame:
     """How far the k neighbours in the embedding are from being neighbours in the original
-    space. Ranks are counts of closer rows, summed over blocks."""
+    space. Ranks are counts of closer rows, over all rows: a block of rows stays in its task and reads the others
+    block by block."""
     n = df.count()
     if not 0 < k < n / 2:
         raise ValueError("needs more than twice as many rows as neighbours")
@@ -336,44 +340,69 @@ def trustworthiness(
     probes = near.join(target, "neighbour").groupBy(key).agg(
         F.collect_list(F.struct("neighbour", "__y")).alias("near")
     )
-    left = df.select(key, high).join(probes, key)
+    left = df.select(F.col(key).alias("id"), F.col(high).cast("array<double>").alias("v"), key).join(probes, key).select(
+        "id", "v", F.transform("near", lambda r: r["neighbour"]).alias("near"),
+        F.flatten(F.transform("near", lambda r: r["__y"].cast("array<double>"))).alias("y"))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = batch["near"].value_lengths().to_numpy()
+            x = _rows(batch["v"])
+            y = batch["y"].flatten().to_numpy(zero_copy_only=False).reshape(int(lengths.sum()), x.shape[1])
+            ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+            limit = direct(np.repeat(x, lengths, axis=0), y)
+            yield pa.RecordBatch.from_arrays(
+                [batch["id"], batch["v"], batch["near"], pa.ListArray.from_arrays(pa.array(ends), pa.array(limit))],
+                ["id", "v", "near", "far"])
+
+    rows = left.mapInArrow(measure, f"id {kind}, v array<double>, near array<{kind}>, far array<double>")
+    blocks = lambda size: max(1, math.ceil(n / size), min(LEAST, n // 1024))
+    part = lambda parts: F.pmod(F.xxhash64("id", "v"), F.lit(parts))
+    few, many = blocks(QUERY_ROWS), blocks(BLOCK_ROWS)
+    others = df.select(F.col(key).alias("id"), F.col(high).cast("array<double>").alias("v"))
+    counted = streamed(packed(rows, part(few), few), cut(packed(others, part(many), many)), _closer,
+                       f"id {kind}, neighbour {kind}, n long")
+    ranks = counted.groupBy("id", "neighbour").agg((F.sum("n") + 1).alias("rank"))
+    penalty = F.sum(F.greatest(F.col("rank") - k, F.lit(0)))
+    return ranks.agg((1 - penalty * (2.0 / (n * k * (2 * n - 3 * k - 1)))).alias("trustworthiness"))
 
-    def closer(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({key: [], "neighbour": [], "n": []})
-        a, b, others = matrix(x[high]), matrix(y[high]), y[key].to_numpy()
-        sizes = x["near"].map(len).to_numpy()
-        rows = np.repeat(np.arange(len(x)), sizes)
-        near = pd.DataFrame([r for some in x["near"] for r in some])
-        target, ids = matrix(near["__y"]), near["neighbour"].to_numpy()
-        limit = direct(a[rows], target)
-        same = pd.DataFrame({"key": x[key].to_numpy(), "i": np.arange(len(x))}).merge(
-            pd.DataFrame({"key": others, "j": np.arange(len(y))}), on="key").sort_values("i")
-        own, counts = x[key].to_numpy()[rows], np.zeros(len(rows), np.int64)
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        step = max(1, CHUNK // len(y))
-        for at in range(0, len(x), step):
-            d2 = squares(a[at : at + step], b)
+
+def _closer(x: pa.Table):
+    """For the neighbours of a block of rows, the number of rows nearer than each."""
+    x = x.combine_chunks()
+    column = lambda name: x[name].chunk(0)
+    a, keys, sizes = _rows(column("v")), column("id").to_numpy(zero_copy_only=False), column("near").value_lengths().to_numpy()
+    near, limit = column("near").flatten(), column("far").flatten().to_numpy()
+    ids, counts = near.to_numpy(zero_copy_only=False), np.zeros(len(near), np.int64)
+    ends, rows = np.concatenate([[0], np.cumsum(sizes)]), np.repeat(np.arange(len(a)), sizes)
+    single = lambda v, to: np.nextafter(v.astype(np.float32), np.float32(to))[:, None]
+
+    def meet(_: int, opened) -> None:
+        y = opened().combine_chunks()
+        b, others = _rows(y["v"].chunk(0)), y["id"].chunk(0).to_numpy(zero_copy_only=False)
+        rough = Rough(b)
+        same = pd.DataFrame({"key": keys, "i": np.arange(len(a))}).merge(
+            pd.DataFrame({"key": others, "j": np.arange(len(b))}), on="key").sort_values("i")
+        step = max(1, CHUNK // len(b))
+        for at in range(0, len(a), step):
+            d2, off = rough(a[at : at + step])
+            first, last = np.searchsorted(same["i"], [at, at + step])
+            d2[same["i"].to_numpy()[first:last] - at, same["j"].to_numpy()[first:last]] = np.inf  # the row itself
             for place in range(int(sizes[at : at + step].max())):
                 some = np.flatnonzero(sizes[at : at + step] > place)
                 row = ends[at + some] + place
                 part = d2[some] if len(some) < len(d2) else d2
-                sure = part < ((limit[row] * (1 - SLACK)) ** 2)[:, None]
-                counts[row] = np.count_nonzero(sure, axis=1)
-                # rows as far as the neighbour are measured; the row itself and the neighbour do not count
-                i, j = hits((part <= ((limit[row] * (1 + SLACK) + SLACK) ** 2)[:, None]) & ~sure)
-                gap = direct(a[at + some[i]], b[j])
-                before = (gap < limit[row[i]]) | ((gap == limit[row[i]]) & (others[j] < ids[row[i]]))
-                np.add.at(counts, row[i], before & (others[j] != own[row[i]]) & (others[j] != ids[row[i]]))
-            first, last = np.searchsorted(same["i"], [at, at + step])
-            for i, j in same[["i", "j"]].to_numpy()[first:last]:
-                counts[ends[i] : ends[i + 1]] -= d2[i - at, j] < (limit[ends[i] : ends[i + 1]] * (1 - SLACK)) ** 2
-        return pd.DataFrame({key: own, "neighbour": ids, "n": counts})
-
-    counted = tiles(left, df.select(key, high), key, closer, f"{key} {kind}, neighbour {kind}, n long")
-    ranks = counted.groupBy(key, "neighbour").agg((F.sum("n") + 1).alias("rank"))
-    penalty = F.sum(F.greatest(F.col("rank") - k, F.lit(0)))
-    return ranks.agg((1 - penalty * (2.0 / (n * k * (2 * n - 3 * k - 1)))).alias("trustworthiness"))
+                sure = part < single(limit[row] ** 2 - off[some], -np.inf)
+                counts[row] += np.count_nonzero(sure, axis=1)
+                # rows about as far as the neighbour are measured; the neighbour does not count
+                i, j = hits((part <= single(limit[row] ** 2 + off[some], np.inf)) ^ sure)
+                for s in range(0, len(i), CHUNK // 50):
+                    p, q = i[s : s + CHUNK // 50], j[s : s + CHUNK // 50]
+                    gap, to = direct(a[at + some[p]], b[q]), row[p]
+                    before = (gap < limit[to]) | ((gap == limit[to]) & (others[q] < ids[to]))
+                    np.add.at(counts, to, before & (others[q] != ids[to]))
+
+    return meet, lambda: pa.table({"id": column("id").take(pa.array(rows)), "neighbour": near, "n": counts})
 
 
 def ari_nmi(df: DataFrame, truth: str = "truth", prediction: str = "prediction") -> DataFrame:

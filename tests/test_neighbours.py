@@ -137,3 +137,41 @@ def test_a_side_without_rows_has_no_vectors():
 
     assert B._rows(pa.array([], pa.list_(pa.float64()))).shape == (0, 0)
     assert B._rows(pa.array([[1.0, 2.0]])).tolist() == [[1.0, 2.0]]
+
+
+@pytest.mark.parametrize("skip_self", [True, False])
+def test_where_no_cell_can_be_excluded_visits_are_not_shuffled(spark, monkeypatch, skip_self):
+    for name, value in (("CELL_ROWS", 10), ("BLOCK_ROWS", 10), ("QUERY_ROWS", 64), ("ROUNDS", (2, None))):
+        monkeypatch.setattr(B, name, value, raising=False)
+    rng = np.random.default_rng(5)
+    points = [(f"p{i}", i % 2, rng.integers(0, 4, size=12 + i % 2).astype(float).tolist()) for i in range(400)]
+    asked = points[:150]
+    schema = "k string, g int, v array<double>"
+    df, q = spark.createDataFrame(points, schema).repartition(3), spark.createDataFrame(asked, schema)
+    kept, cut = [], B.cut
+    monkeypatch.setattr(B, "cut", lambda d: (lambda out: (kept.append(out.count()) if "block" in out.columns else None, out)[1])(cut(d)))
+    rows = B.nearest(q, df, "k", "v", 5, skip_self=skip_self, by="g").collect()
+    got = {k: [r["neighbour"] for r in sorted((r for r in rows if r["k"] == k), key=lambda r: r["place"])] for k, *_ in asked}
+    for g in (0, 1):
+        some = lambda t: [(k, v) for k, h, v in t if h == g]  # noqa: E731, B023
+        want = brute(some(points), some(asked), 5, skip_self)
+        assert {k: got[k] for k in want} == want
+    assert len(rows) == 5 * len(asked) and max(kept) <= 4 * len(asked)  # before: almost all of 20 blocks a query
+
+
+def test_trustworthiness_shuffles_no_copies_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(M, "QUERY_ROWS", 30, raising=False)
+    monkeypatch.setattr(M, "BLOCK_ROWS", 40, raising=False)
+    rng = np.random.default_rng(8)
+    x = 1000 + rng.integers(0, 3, size=(200, 4)) + rng.integers(-8, 8, size=(200, 1)) / 8  # differences are exact
+    z = x[:, :2] + rng.normal(size=(200, 2))
+    df = spark.createDataFrame([(f"r{i:03}", h.tolist(), w.tolist()) for i, (h, w) in enumerate(zip(x, z))],
+                               "k string, x array<double>, z array<double>").repartition(3)
+    told = M.trustworthiness(df, "k", "x", "z")
+    a, b, n, lost = *(np.sqrt(((m[:, None] - m[None]) ** 2).sum(-1)) for m in (x, z)), 200, 0
+    for i in range(n):
+        rank = {j: r for r, (_, j) in enumerate(sorted((a[i, j], j) for j in range(n) if j != i), 1)}
+        lost += sum(max(0, rank[j] - 5) for _, j in sorted((b[i, j], j) for j in range(n) if j != i)[:5])
+    assert told.first()[0] == pytest.approx(1 - lost * 2 / (n * 5 * (2 * n - 16)))
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "CoGroup" not in plan  # blocks meet where they are kept
